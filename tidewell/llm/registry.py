@@ -1,10 +1,13 @@
 """Queries of the training-data operators and the SQL that checks them."""
 
-from tidewell.llm import quality_rules, source_mixing, topk_search, url_filters
+from tidewell.llm import packing, quality_rules, source_mixing, token_counts, token_files, topk_search, url_filters
 
 QUERIES = {
     "op3_url_filters": url_filters.op3_url_filters,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_token_files": token_files.op5_token_files,
+    "op6_token_counts": token_counts.op6_token_counts,
+    "op7_packing": packing.op7_packing,
     "op8_topk_search": topk_search.op8_topk_search,
     "op9_source_mixing": source_mixing.op9_source_mixing,
 }
