@@ -34,6 +34,8 @@ from tidewell.llm.common import U64, chunks, component_table, lowered, mix, part
 WORDS, SIMILARITY = 5, (3, 4)
 #: Hashes that a task gathers before it deals them out, children of an R-tree node, and rows of a block of a hot hash.
 FLUSH, FANOUT, BLOCK = 1 << 21, 16, 2048
+#: Times that sets are held against pivots before all that is left is.
+TURNS = 3
 #: Words of the Bloom filter at most, 64 bits each.
 MOST_BLOCKS = 1 << 20
 
@@ -439,10 +441,17 @@ def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return maybe.join(w, (F.col("t1") == F.col("_1")) & (F.col("t2") == F.col("_2")) & F.col("doc_id").eqNullSafe(F.col("_3")), "left_semi")
 
 
+def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """With the label of each set's component so far and the component's size."""
+    if labels is None:
+        return postings.withColumn("label", F.col("sid")).withColumn("size", F.lit(1).cast("long"))
+    return postings.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid")).withColumn("size", F.coalesce("size", F.lit(1).cast("long")))
+
+
 def ngram_join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(documents, links): the class of each document, and verified links between classes.
 
-    documents: doc_id, sid, n.  Documents with the same set are one class ``sid``, so
+    documents: doc_id, t1 (a hash of the text), sid, n.  Documents with the same set are one class ``sid``, so
     copies are never paired.  links: a, b (sids, a < b), overlap.  Links inside a component
     that is already joined are not listed one by one; every two classes that reach the
     threshold are in one component of the links.
@@ -470,16 +479,26 @@ def ngram_join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", word
     sets = stored(asked.mapInArrow(_reply(parts), _REPLY).repartitionById(parts, "part").mapInArrow(_choose(similarity), _CANDIDATES), "join-sets")
     postings = sets.select("sid", "n", F.explode("prefix").alias("key"))
 
-    # Each set against the pivot it meets most, among sets of about its size.
+    # Each set against the pivot that it meets most, among sets of about its size; pivots
+    # come from the component that is largest so far.
     sized = postings.withColumn("c", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int"))
-    pivots = sized.groupBy("key", "c").agg(F.min("sid").alias("pivot"), F.count("*").alias("m")).where("m > 1").drop("m")
-    met = sized.join(pivots, ["key", "c"]).where("pivot <> sid").groupBy("sid", "pivot").agg(F.count("*").alias("m"))
-    star = met.groupBy("sid").agg(F.max(F.struct("m", "pivot")).alias("x")).select(F.least("sid", "x.pivot").alias("a"), F.greatest("sid", "x.pivot").alias("b")).distinct()
-    near = stored(verified(star, sets, similarity), "join-links")
-    labels = component_table(near.select("a", "b")).select(F.col("node").alias("sid"), F.col("root").alias("label"))
+    labels = links = None
+    for turn in range(TURNS):
+        named = _labelled(sized, labels)
+        pivot = F.max(F.struct("size", F.xxhash64("sid", F.lit(turn)).alias("h"), F.col("sid").alias("pivot"), "label")).alias("p")
+        torn = named.groupBy("key", "c").agg(pivot, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "c", "p.pivot", F.col("p.label").alias("to"))
+        met = named.join(torn, ["key", "c"]).where("label <> to").groupBy("sid", "pivot").agg(F.count("*").alias("m"))
+        star = met.groupBy("sid").agg(F.max(F.struct("m", "pivot")).alias("x")).select(F.least("sid", "x.pivot").alias("a"), F.greatest("sid", "x.pivot").alias("b")).distinct()
+        near = stored(verified(star, sets, similarity), "join-links")
+        links = near if links is None else links.union(near)
+        if near.isEmpty():
+            break
+        roots = component_table(links.select("a", "b"))
+        sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
+        labels = stored(roots.join(sizes, "root").select(F.col("node").alias("sid"), F.col("root").alias("label"), "size"), "join-labels")
 
     # What still joins different components.
-    named = postings.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    named = _labelled(postings, labels)
     torn = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m")
     open_ = named.join(torn, "key").join(sets.select("sid", "vector"), "sid")
     cells = F.ceil(F.col("m") / BLOCK).cast("int")
@@ -489,8 +508,15 @@ def ngram_join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", word
     dealt = open_.withColumn("cell", F.explode(spread)).select("key", "cell", "sid", "n", "label", "vector")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = dealt.repartition(n, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_pairs_of_keys(similarity), "a long, b long").distinct()
-    links = near.union(verified(pairs, sets, similarity))
-    return documents.select("doc_id", "sid", "n"), links
+    links = links.union(verified(pairs, sets, similarity))
+    return documents.select("doc_id", "t1", "sid", "n"), links
+
+
+def _rooted(docs: DataFrame, **options: object) -> DataFrame:
+    """doc_id, t1, n and the component's root of each document."""
+    documents, links = ngram_join(docs, **options)
+    roots = component_table(stored(links.select("a", "b"), "join-all"))
+    return documents.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "t1", "n", F.coalesce("root", "sid").alias("root"))
 
 
 def ngram_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -499,14 +525,24 @@ def ngram_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id"
     See ngram_join() for texts without words, repeated rows and null ids.  A component
     whose ids are all null has a null component_id.
     """
-    documents, links = ngram_join(docs, text=text, key=key, words=words, similarity=similarity)
-    links = stored(links.select("a", "b"), "join-all")
-    roots = component_table(links)
-    named = documents.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    named = _rooted(docs, text=text, key=key, words=words, similarity=similarity)
     least = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = named.where("n > 0").join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
     return out.union(named.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def distinct_documents(docs: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """One row of ``docs`` for each component, that of the least doc_id (null last), with all its columns.
+
+    Texts without words are in no group, so all of them stay.
+    """
+    named = _rooted(docs, text=text, key=key, words=words, similarity=similarity)
+    one = named.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1")).alias("one")).select(F.col("one.doc_id").alias("_j_d"), F.col("one.t1").alias("_j_t"))
+    marked = docs.withColumn("_j_1", F.coalesce(text_hashes(F.col(text).cast("string"))[0], F.lit(0))).withColumn("_j_k", F.col(key).cast("long"))
+    wordless = ~F.coalesce(F.col(text).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = marked.where(~wordless).join(one, (F.col("_j_1") == F.col("_j_t")) & F.col("_j_k").eqNullSafe(F.col("_j_d")), "left_semi").dropDuplicates(["_j_1", "_j_k"])
+    return kept.unionByName(marked.where(wordless)).select(*docs.columns)
+
+
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -1,8 +1,10 @@
 """Queries of the training-data operators and the SQL that checks them."""
 
-from tidewell.llm import packing, quality_rules, source_mixing, token_counts, token_files, topk_search, url_filters
+from tidewell.llm import ngram_join, packing, quality_classifier, quality_rules, source_mixing, suffix_dedup, token_counts, token_files, topk_search, url_filters
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_url_filters": url_filters.op3_url_filters,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_token_files": token_files.op5_token_files,
@@ -10,6 +12,7 @@ QUERIES = {
     "op7_packing": packing.op7_packing,
     "op8_topk_search": topk_search.op8_topk_search,
     "op9_source_mixing": source_mixing.op9_source_mixing,
+    "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 ORACLES = {
     "op3_url_filters": url_filters.ORACLE,

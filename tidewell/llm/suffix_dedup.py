@@ -395,7 +395,7 @@ def _found_by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield _rows([(t1[a], span[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)], _COVERED)
 
 
-_CUT = "t1 long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+_CUT = "t1 long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
 def removed_spans(windows: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -425,10 +425,10 @@ def _cut(length: int, with_text: bool):
                     if with_text:
                         kept.append(bytes(raw[at:a]))
                     at = b
-                rows.append((t1, int((spans[:, 1] - spans[:, 0]).sum()), len(spans), sha.hexdigest(), b"".join(kept) if with_text else None))
+                rows.append((t1, int((spans[:, 1] - spans[:, 0]).sum()), len(spans), sha.hexdigest(), b"".join(kept).decode("utf-8", "ignore") if with_text else None))
             if rows:
                 c = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.string()), pa.array(c[4], pa.binary())], [f.split()[0] for f in _CUT.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.string()), pa.array(c[4], pa.string())], [f.split()[0] for f in _CUT.split(", ")])
 
     return run
 
@@ -438,8 +438,8 @@ def suffix_dedup(docs: DataFrame, *, text: str = "text", length: int = LENGTH, g
 
     Each byte of a text's UTF-8 form that a string of ``length`` bytes covers which also
     starts anywhere else, in the same text or another, is removed; strings are judged on
-    the input.  With ``with_text``, ``kept`` holds the bytes that are left, as binary since
-    a cut may fall inside a character.
+    the input.  With ``with_text``, ``kept`` holds the text that is left, without the
+    rest of characters that a cut fell into.
 
     Texts are known by a 64-bit hash; copies of a text are cut once.  Null and empty texts
     have 0 bytes and nothing removed; repeated rows are copies of each other; an empty
@@ -477,10 +477,18 @@ def suffix_dedup(docs: DataFrame, *, text: str = "text", length: int = LENGTH, g
     out = out.join(cut.withColumnsRenamed(names), "_s_t1", "left")
     out = out.withColumn("n_removed", F.coalesce("_s_n", F.lit(0).cast("long"))).withColumn("n_spans", F.coalesce("_s_k", F.lit(0).cast("long"))).withColumn("kept_sha256", F.coalesce("_s_kept", "_s_sha"))
     if with_text:
-        out = out.withColumn("kept", F.coalesce("_s_b", t.cast("binary")))
+        out = out.withColumn("kept", F.coalesce("_s_b", t))
     return out.drop(*[c for c in out.columns if c.startswith("_s_")])
 
 
+def cut_documents(docs: DataFrame, *, text: str = "text", length: int = LENGTH) -> DataFrame:
+    """``docs`` with what suffix_dedup() keeps of each text; n_chars, where there is one, follows."""
+    out = suffix_dedup(docs, text=text, length=length, with_text=True).withColumn(text, F.col("kept"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length(text).cast("long"))
+    return out.select(*docs.columns)
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return suffix_dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
