@@ -70,7 +70,7 @@ def normalized(hooks: DataFrame, runtime: str) -> DataFrame:
         "event_type",
         cwd.alias("cwd"),
         F.when(tool, message).alias("message_id"),
-        scrub(F.when(~tool, text)).alias("c"),
+        scrub(F.when(F.col("event_type").isin("prompt", "assistant"), text)).alias("c"),
         F.when(tool, name).alias("tool_name"),
         scrub(F.when(tool, given)).alias("i"),
         F.when(tool, tool_result(output, F.coalesce(path, F.lit("")))).alias("r"),
