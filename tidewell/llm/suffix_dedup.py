@@ -272,11 +272,11 @@ def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
     Bytes beyond the end count as less than all others.
     """
     n = len(text)
-    full = np.concatenate([text.astype(np.int64) + 1, np.zeros(depth, np.int64)])
-    packed = np.zeros(n, U64)
-    for j in range(7):  # 9 bits a byte, so that the end differs from byte 0
+    full = np.concatenate([text.astype(np.int64) + 1, np.zeros(7, np.int64)])
+    packed, have = np.zeros(n, U64), min(7, depth)
+    for j in range(have):  # 9 bits a byte, so that the end differs from byte 0
         packed = (packed << U64(9)) | full[j : n + j].astype(U64)
-    rank, have = _ranked(packed), 7
+    rank = _ranked(packed)
     while have < depth:
         step = min(have, depth - have)
         # a prefix of have + step bytes: that of this suffix and that of the suffix step bytes on
