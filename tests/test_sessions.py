@@ -81,3 +81,32 @@ def test_proposals(spark):
     rows = [("c", "outcome", "x", cite), (" ", "outcome", "x", cite), ("c", "outcome", "", cite), ("c", "guess", "x", cite), ("c", "outcome", "x", []), ("c", "outcome", "x", None), ("c", "outcome", "x", cite * 21), ("c", "outcome", "x", [("s", " ")])]
     df = spark.createDataFrame(rows, "claim string, claim_type string, subject string, evidence array<struct<session_id: string, message_id: string>>")
     assert [r.problem for r in problems(df).select(F.col("problem")).collect()] == [None, "claim is empty", "subject is empty", "unknown type", "no evidence", "no evidence", "too much evidence", "evidence names no message"]
+
+
+def test_history_becomes_envelopes(spark):
+    from tidewell.sources import history
+
+    sessions = spark.createDataFrame([("a",), ("empty",)], "id string")
+    calls = '[{"id":"c1","function":{"name":"read","arguments":"{\\"path\\":\\"/w/x\\"}"}}]'
+    rows = [
+        (1, "a", "user", "hi", None, None, None, None, 0), (2, "a", "assistant", "ok", None, calls, None, 1700000000.0, 1), (3, "a", "tool", "body", "c1", None, "", 1e13, 1),
+        (4, "a", "tool", "secret", "c2", '[{"id":"c2","name":"cat","args":"{\\"path\\":\\"/h/.ssh/id_a\\"}"}]', None, 1700000009.0, 0), (5, "a", "system", "x", None, None, None, None, None),
+    ]
+    messages = spark.createDataFrame(rows, "id long, session_id string, role string, content string, tool_call_id string, tool_calls string, tool_name string, timestamp double, compacted int")
+    used = spark.createDataFrame([("a", "m1", 3, 4, None), ("a", "m2", 1, 1, 0.5)], "session_id string, model string, input_tokens long, output_tokens long, cost_usd double")
+    got = history.envelopes(sessions, messages, used).orderBy("order", "part").collect()
+    assert [r.event_type for r in got] == ["session_start", "prompt", "assistant", "tool_call", "compact", "tool_call", "session_end"]
+    assert got[1].emitted_at == got[2].emitted_at == "2023-11-14T22:13:20.000Z"
+    assert (got[3].tool_name, got[3].parent_message_id, got[3].path, got[3].result) == ("read", "2", "/w/x", "body")
+    assert got[5].tool_name == "cat" and "secret" not in got[5].result
+    assert (got[6].input_tokens, got[6].cost_usd, got[6].model) == (4, 0.5, None)
+    assert history.missing_columns(messages.drop("role")) == ["role"]
+    assert history.since(messages, 1800000000.0 * 1e5).count() == 0
+
+
+def test_known_claims_pass_over_what_does_not_fit(spark):
+    from tidewell.operators.transcripts import BUDGET, known_claims
+
+    rows = [("3", "outcome", "x" * BUDGET, "promoted"), ("2", "outcome", "short", "contested"), ("1", "outcome", "new", "candidate")]
+    df = spark.createDataFrame(rows, "claim_id string, claim_type string, claim string, status string")
+    assert [(r.claim_id, r.line) for r in known_claims(df).collect()] == [("2", "- [outcome] short\n")]

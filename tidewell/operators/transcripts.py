@@ -56,6 +56,32 @@ def claims_from_answers(answers: DataFrame, index: DataFrame, existing: DataFram
     return kept.join(known, (F.col("norm") == F.col("kn")) & (F.col("c.claim_type") == F.col("kt")), "left").select("session_id", "n", F.col("c.claim").alias("claim"), F.col("c.claim_type").alias("claim_type"), F.col("c.subject").alias("subject"), "evidence", "observed_at", "claim_id")
 
 
+#: Claims that a preamble lists at most, and the bytes it may take.
+SHOWN, BUDGET = 400, 64 * 1024
+
+
+def known_claims(claims: DataFrame) -> DataFrame:
+    """(claim_id, line) that a new extraction is shown: the newest decided claims, whole ones that fit the budget.
+
+    A line that does not fit is passed over and later ones still may; the walk is over the
+    SHOWN newest rows only, which is what such a list holds.
+    """
+    import pandas as pd
+
+    line = F.concat(F.lit("- ["), F.col("claim_type"), F.lit("] "), F.col("claim"), F.lit("\n"))
+    top = claims.where(F.col("status").isin("promoted", "contested")).select("claim_id", line.alias("line")).orderBy(F.desc("claim_id")).limit(SHOWN)
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        spent, keep = 0, []
+        for text in rows.sort_values("claim_id", ascending=False)["line"]:
+            size = len(text.encode())
+            keep.append(spent + size <= BUDGET)
+            spent += size if keep[-1] else 0
+        return rows.sort_values("claim_id", ascending=False)[keep]
+
+    return top.groupBy(F.lit(0).alias("all")).applyInPandas(lambda x: fit(x[["claim_id", "line"]]), "claim_id string, line string")
+
+
 def problems(proposals: DataFrame, most: int = 20) -> DataFrame:
     """Proposals (claim, claim_type, subject, evidence array<struct>) with the first rule they break, or null."""
     blank = lambda c: F.coalesce(_trimmed(F.col(c)) == "", F.lit(True))

@@ -267,3 +267,22 @@ def briefing_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("confidence"), "claim_id")).cast("long"))
 
 
+
+
+@query("known_claims", sql("claims", "SELECT claim_id, '- [' || claim_type || '] ' || claim || chr(10) AS line FROM claims WHERE status <> 'candidate' AND claim_type = 'outcome' AND strlen(claim) < 100 QUALIFY row_number() OVER (ORDER BY claim_id DESC) <= 400"))
+def known_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short outcomes that an extraction is shown as known already; few enough to fit whole."""
+    c = document_claims(spark, sf_dir).where("claim_type = 'outcome' and octet_length(claim) < 100")
+    return T.known_claims(c)
+
+
+@query("history_import", sql("conv", ", n AS (SELECT session_id, count(*) AS n, max(event_id::BIGINT) AS m FROM conv GROUP BY ALL) SELECT session_id, event_id::BIGINT AS \"order\", event_type, message_id FROM conv WHERE event_type <> 'session_start' UNION ALL SELECT session_id, min(event_id::BIGINT) - 1, 'session_start', NULL FROM conv GROUP BY 1 UNION ALL SELECT session_id, max(event_id::BIGINT) + 1, 'session_end', NULL FROM conv GROUP BY 1"))
+def history_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as an exported history: start, turns and end of each session."""
+    from tidewell.sources.history import envelopes
+
+    c = table(spark, sf_dir, "conversations")
+    none = F.lit(None).cast("string")
+    messages = c.select(F.col("turn").alias("id"), F.col("conv_id").cast("string").alias("session_id"), "role", F.col("text").alias("content"), none.alias("tool_call_id"), none.alias("tool_calls"), none.alias("tool_name"), (F.col("turn") * 60.0 + 1.7e9).alias("timestamp"), F.lit(0).alias("compacted"))
+    used = spark.createDataFrame([], "session_id string, model string, input_tokens long, output_tokens long, cost_usd double")
+    return envelopes(messages.select(F.col("session_id").alias("id")).distinct(), messages, used).select("session_id", "order", "event_type", "message_id")
