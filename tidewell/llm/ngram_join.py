@@ -35,7 +35,7 @@ WORDS, SIMILARITY = 5, (3, 4)
 #: Hashes that a task gathers before it deals them out, children of an R-tree node, and rows of a block of a hot hash.
 FLUSH, FANOUT, BLOCK = 1 << 21, 16, 2048
 #: Times that sets are held against pivots before all that is left is.
-TURNS = 3
+TURNS = 2
 #: Words of the Bloom filter at most, 64 bits each.
 MOST_BLOCKS = 1 << 20
 
@@ -256,16 +256,22 @@ def _reply(parts: int):
     return run
 
 
-_CANDIDATES = "sid long, n long, keys binary, prefix array<bigint>, vector binary"
+_CANDIDATES = "sid long, n long, keys binary, lonely long, prefix array<bigint>, vector binary"
 
 
 def groups_of(n: int) -> int:
-    """Groups of a count vector for a set of n hashes: a power of two, four hashes a group or fewer."""
-    return max(8, 1 << max(0, (n - 1).bit_length() - 2))
+    """Groups of a count vector for a set of n hashes: the next power of two, one hash a group or fewer."""
+    return max(8, 1 << (n - 1).bit_length())
 
 
 def count_vector(keys: np.ndarray, groups: int) -> np.ndarray:
-    return np.bincount((keys & U64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint16)
+    out = np.bincount((keys & U64(groups - 1)).astype(np.int64), minlength=groups)
+    return out.astype(np.uint8 if out.max() < 128 else np.uint32)
+
+
+def _vector(raw: bytes, n: int) -> np.ndarray:
+    """A stored vector; it has groups_of(n) counts of one byte or four, which a fold can't overflow."""
+    return np.frombuffer(raw, np.uint8 if len(raw) == groups_of(int(n)) else np.uint32)
 
 
 def _choose(similarity: tuple[int, int]):
@@ -293,7 +299,7 @@ def _choose(similarity: tuple[int, int]):
                 continue
             k = keys[a:b]
             first = np.lexsort((k, df[a:b]))[:p]
-            rows.append((sid, n, k.tobytes(), k[first].view(np.int64), count_vector(k, groups_of(n)).tobytes()))
+            rows.append((sid, n, k.tobytes(), lonely, k[first].view(np.int64), count_vector(k, groups_of(n)).tobytes()))
             if len(rows) == 512:
                 yield _rows(rows)
                 rows = []
@@ -304,8 +310,8 @@ def _choose(similarity: tuple[int, int]):
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    sid, n, keys, prefix, vector = zip(*rows, strict=True)
-    cols = [pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(vector, pa.binary())]
+    sid, n, keys, lonely, prefix, vector = zip(*rows, strict=True)
+    cols = [pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(lonely, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(vector, pa.binary())]
     return pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in _CANDIDATES.split(", ")])
 
 
@@ -387,20 +393,36 @@ def tree_pairs(sizes: np.ndarray, labels: np.ndarray, vectors: list[np.ndarray],
     return np.unique(np.concatenate(found), axis=0)
 
 
-def _pairs_of_keys(similarity: tuple[int, int]):
+def _may_begin(n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
+    """Pairs whose first common hash may stand at these places: what comes before it is in one set only."""
+    num, den = similarity
+    need = -(-num * (n[i] + n[j]) // (num + den))
+    return (at[i] <= n[i] - need) & (at[j] <= n[j] - need)
+
+
+def _pairs_of_keys(similarity: tuple[int, int], with_vectors: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, at in whole_groups(batches, ["key", "cell"]):
-            sid, n, label = (table.column(c).to_numpy() for c in ("sid", "n", "label"))
-            vectors = [np.frombuffer(x, np.uint16) for x in table.column("vector").to_pylist()]
+        for table, bounds in whole_groups(batches, ["key", "cell"]):
+            sid, n, label, at = (table.column(c).to_numpy() for c in ("sid", "n", "label", "at"))
+            raw = table.column("vector").to_pylist() if with_vectors else None
+            size = np.diff(bounds)
             out = []
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                if (label[a:b] != label[a]).any():
-                    p = tree_pairs(n[a:b], label[a:b], vectors[a:b], similarity) + a
-                    out.append(np.sort(np.stack([sid[p[:, 0]], sid[p[:, 1]]], 1), axis=1))
-            if out:
-                pairs = np.unique(np.concatenate(out), axis=0)
-                pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+            if with_vectors:
+                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                    if b - a > 1 and (label[a:b] != label[a]).any():
+                        out.append(tree_pairs(n[a:b], label[a:b], [_vector(raw[i], n[i]) for i in range(a, b)], similarity) + a)
+            else:
+                for step in range(1, int(size.max(initial=1))):  # each row with the one ``step`` rows on in its group
+                    left = np.arange(table.num_rows)[np.arange(table.num_rows) - np.repeat(bounds[:-1], size) + step < np.repeat(size, size)]
+                    out.append(np.stack([left, left + step], 1))
+            if not out:
+                continue
+            pairs = np.concatenate(out)
+            i, j = pairs[:, 0], pairs[:, 1]
+            pairs = pairs[(label[i] != label[j]) & (sid[i] != sid[j]) & _may_begin(n, at, i, j, similarity)]
+            both = np.unique(np.sort(np.stack([sid[pairs[:, 0]], sid[pairs[:, 1]]], 1), axis=1), axis=0)
+            if len(both):
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
 
     return run
 
@@ -437,15 +459,33 @@ def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     block, mask = _probe(F.col("t1"), blocks, 5)
     words = F.broadcast(bloom_blocks(wanted, "t1", blocks).select(F.col("block").alias("_b"), F.col("word").alias("_w")))
     maybe = docs.withColumn("_b", block).withColumn("_m", mask).join(words, "_b").where(F.col("_w").bitwiseAND(F.col("_m")) == F.col("_m")).drop("_b", "_w", "_m")
+    # an inner join: a semi join would be pushed below the filter
     w = wanted.select(F.col("t1").alias("_1"), F.col("t2").alias("_2"), F.col("doc_id").alias("_3"))
-    return maybe.join(w, (F.col("t1") == F.col("_1")) & (F.col("t2") == F.col("_2")) & F.col("doc_id").eqNullSafe(F.col("_3")), "left_semi")
+    return maybe.join(w, (F.col("t1") == F.col("_1")) & (F.col("t2") == F.col("_2")) & F.col("doc_id").eqNullSafe(F.col("_3"))).drop("_1", "_2", "_3")
+
 
+def _star(met: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Verified links of each set with the one pivot that it meets most."""
+    times = met.groupBy("sid", "pivot").agg(F.count("*").alias("m"))
+    best = times.groupBy("sid").agg(F.max(F.struct("m", "pivot")).alias("x"))
+    pairs = best.select(F.least("sid", "x.pivot").alias("a"), F.greatest("sid", "x.pivot").alias("b")).distinct()
+    return verified(pairs, sets, similarity)
 
-def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """With the label of each set's component so far and the component's size."""
-    if labels is None:
-        return postings.withColumn("label", F.col("sid")).withColumn("size", F.lit(1).cast("long"))
-    return postings.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid")).withColumn("size", F.coalesce("size", F.lit(1).cast("long")))
+
+def _components(links: DataFrame) -> DataFrame:
+    """(sid, label, size): the component of each linked set so far and how many sets it has."""
+    roots = component_table(links.select("a", "b"))
+    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
+    return stored(roots.join(sizes, "root").select(F.col("node").alias("sid"), F.col("root").alias("label"), "size"), "join-labels")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid")).withColumn("size", F.coalesce("size", F.lit(1).cast("long")))
+
+
+def _torn(named: DataFrame, *by: str) -> DataFrame:
+    """Keys whose sets are in different components, and how many sets (m) they have."""
+    return named.groupBy(*by).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi").drop("lo", "hi")
 
 
 def ngram_join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -477,37 +517,39 @@ def ngram_join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", word
     text_of = _only(rows, left).select("text")
     asked = text_of.mapInArrow(_send_sets(parts, words), _SETS).repartitionById(parts, "part")
     sets = stored(asked.mapInArrow(_reply(parts), _REPLY).repartitionById(parts, "part").mapInArrow(_choose(similarity), _CANDIDATES), "join-sets")
-    postings = sets.select("sid", "n", F.explode("prefix").alias("key"))
+    c = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")
+    postings = lambda x, *more: x.select("sid", "n", c.alias("c"), *more, "lonely", F.posexplode("prefix").alias("pos", "key")).withColumn("at", F.col("lonely") + F.col("pos")).drop("lonely", "pos")
+
+    # Each set against the pivot that it meets most, among sets of about its size.
+    first_of = postings(sets).groupBy("key", "c").agg(F.min("sid").alias("pivot"), F.max("sid").alias("other")).where("pivot <> other").select("key", "c", "pivot")
+    links = stored(_star(postings(sets).select("key", "c", "sid").join(first_of, ["key", "c"]).where("sid <> pivot"), sets, similarity), "join-links")
+    labels = _components(links)
 
-    # Each set against the pivot that it meets most, among sets of about its size; pivots
-    # come from the component that is largest so far.
-    sized = postings.withColumn("c", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int"))
-    labels = links = None
+    # Hashes that still join different components; again with pivots from the largest of them.
+    named = postings(_labelled(sets.select("sid", "n", "lonely", "prefix"), labels), "label")
+    open_ = stored(named.join(_torn(named, "key").select("key"), "key").select("key", "c", "sid", "n", "at"), "join-open")
     for turn in range(TURNS):
-        named = _labelled(sized, labels)
-        pivot = F.max(F.struct("size", F.xxhash64("sid", F.lit(turn)).alias("h"), F.col("sid").alias("pivot"), "label")).alias("p")
-        torn = named.groupBy("key", "c").agg(pivot, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "c", "p.pivot", F.col("p.label").alias("to"))
-        met = named.join(torn, ["key", "c"]).where("label <> to").groupBy("sid", "pivot").agg(F.count("*").alias("m"))
-        star = met.groupBy("sid").agg(F.max(F.struct("m", "pivot")).alias("x")).select(F.least("sid", "x.pivot").alias("a"), F.greatest("sid", "x.pivot").alias("b")).distinct()
-        near = stored(verified(star, sets, similarity), "join-links")
-        links = near if links is None else links.union(near)
+        named = _labelled(open_, labels)
+        pivot = F.max(F.struct("size", F.xxhash64("sid", F.lit(turn)).alias("h"), F.col("sid").alias("pivot"), F.col("label").alias("to"))).alias("p")
+        pivots = named.groupBy("key", "c").agg(pivot, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "c", "p.pivot", "p.to")
+        near = stored(_star(named.join(pivots, ["key", "c"]).where("label <> to"), sets, similarity), "join-links")
         if near.isEmpty():
             break
-        roots = component_table(links.select("a", "b"))
-        sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
-        labels = stored(roots.join(sizes, "root").select(F.col("node").alias("sid"), F.col("root").alias("label"), "size"), "join-labels")
-
-    # What still joins different components.
-    named = _labelled(postings, labels)
-    torn = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m")
-    open_ = named.join(torn, "key").join(sets.select("sid", "vector"), "sid")
+        links = links.union(near)
+        labels = _components(links)
+
+    # All that is left: few sets to a hash in pairs, many in an R-tree.
+    named = _labelled(open_, labels)
+    torn = _torn(named, "key")
+    small = named.join(torn.where(F.col("m") <= FANOUT), "key").withColumn("cell", F.lit(0)).select("key", "cell", "sid", "n", "label", "at")
+    large = named.join(torn.where(F.col("m") > FANOUT), "key").join(sets.select("sid", "vector"), "sid")
     cells = F.ceil(F.col("m") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("sid"), cells).cast("int")
     # A hash of more than BLOCK sets is cut into blocks, and each two blocks meet in a cell.
     spread = F.transform(F.sequence(F.lit(0), cells - 1), lambda o: F.greatest(mine, o) * cells + F.least(mine, o))
-    dealt = open_.withColumn("cell", F.explode(spread)).select("key", "cell", "sid", "n", "label", "vector")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = dealt.repartition(n, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_pairs_of_keys(similarity), "a long, b long").distinct()
+    large = large.withColumn("cell", F.explode(spread)).select("key", "cell", "sid", "n", "label", "at", "vector")
+    dealt = lambda x: x.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell")
+    pairs = dealt(small).mapInArrow(_pairs_of_keys(similarity, False), "a long, b long").union(dealt(large).mapInArrow(_pairs_of_keys(similarity, True), "a long, b long")).distinct()
     links = links.union(verified(pairs, sets, similarity))
     return documents.select("doc_id", "t1", "sid", "n"), links
 
