@@ -49,9 +49,9 @@ class WaveletMatrix:
             counts = np.bitwise_count(full.view(np.uint64)).reshape(-1, _STEP // 64).sum(1, dtype=np.int64)
             planes.append(plane.tobytes())
             ranks.append(np.concatenate([[0], np.cumsum(counts)]).astype("<u4").tobytes())
-            low = now[~ones]
+            low = np.compress(~ones, now)
             zeros.append(len(low))
-            now = np.concatenate([low, now[ones]])
+            now = np.concatenate([low, np.compress(ones, now)])
         return cls(len(ids), zeros, planes, ranks)
 
     def parts(self) -> tuple[list[int], list[bytes], list[bytes]]:
@@ -64,8 +64,8 @@ class WaveletMatrix:
         for level in range(self.bits - 1, -1, -1):
             ones = np.unpackbits(self.planes[level], count=self.n).view(bool)
             now = np.empty(self.n, kind)
-            now[~ones] = out[: self.zeros[level]]
-            now[ones] = out[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
+            np.place(now, ~ones, out[: self.zeros[level]])
+            np.place(now, ones, out[self.zeros[level] :] | kind(1 << (self.bits - 1 - level)))
             out = now
         return out
 
@@ -138,7 +138,7 @@ class WaveletMatrix:
 def write_token_files(docs: DataFrame, path: str, *, text: str = "text", key: str = "doc_id", tokenizer: str | None = None, end: int = END, shard_ids: int = SHARD_IDS) -> None:
     """Write all documents' ids, each with the end id, in ascending order of their ids.
 
-    Documents are dealt out by range of id and sorted; a task closes a shard at about
+    Documents are dealt out by range of id, a null id first, and sorted; a task closes a shard at about
     ``shard_ids`` ids, whole documents only, and writes it as one row of FILE.  Spark's
     writer commits the files, so a lost task leaves nothing behind and is run again.
     """
@@ -171,7 +171,11 @@ def write_token_files(docs: DataFrame, path: str, *, text: str = "text", key: st
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Bounds from the ids alone, so that no text is read for them.
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []
+    at = F.size(F.filter(F.lit(sorted(set(cuts))), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
+    rows = rows.withColumn("part", F.coalesce(F.when(F.col("doc_id").isNotNull(), at), F.lit(0)).cast("int"))
+    rows = rows.repartitionById(n, "part").sortWithinPartitions("doc_id", "text").drop("part")
     rows.mapInArrow(shards, FILE).write.option("compression", "zstd").parquet(path)
 
 

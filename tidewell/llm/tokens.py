@@ -8,14 +8,16 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The tokenizer of the queries, and the id that ends each document.
 TOKENIZER, END = "byte_bpe_50k.json", 0
 #: Entries of a worker's unit cache before it starts anew.
-CACHE = 400_000
+CACHE = 800_000
 
 _TEARS = re.compile(r" (?=\S)")
-_ODD = re.compile(r" (?=\s)| \Z")
+_SPACE = "\u0120"  # the letter that stands for a space in byte-level vocabularies
 _open: dict[str, Encoder] = {}
 
 
@@ -38,26 +40,85 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         self.byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.cache: dict[str, bytes] = {}
+        if self.byte_level:
+            vocab = self.tokenizer.get_vocab()
+            self.begins = np.zeros(max(vocab.values()) + 1, bool)
+            self.begins[[i for token, i in vocab.items() if token.startswith(_SPACE)]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _units(self, units: list[str]) -> list[bytes]:
+        """Ids of each unit, from the cache where it has them."""
+        if len(self.cache) > CACHE:
+            self.cache = {}
+        get = self.cache.get
+        found = list(map(get, units))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            new = [units[i] for i in missing]
+            ids = self._ids(new)
+            self.cache.update(zip(new, ids, strict=True))
+            for i, x in zip(missing, ids, strict=True):
+                found[i] = x
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.byte_level:
             return self._ids(texts)
-        cut = []
-        for text in texts:
-            first, *rest = _TEARS.split(text) if _ODD.search(text) else text.split(" ")
-            cut.append([first, *map(" ".__add__, rest)])
-        wanted: set[str] = set()
-        for units in cut:
-            wanted.update(units)
+        out = self._plain(texts)
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            first, *rest = _TEARS.split(texts[i])
+            out[i] = b"".join(self._units([first, *map(" ".__add__, rest)]))
+        return out
+
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of a space and each word; words without spaces go in as one text, and the ids with a space begin anew."""
         if len(self.cache) > CACHE:
             self.cache = {}
-        if missing := list(wanted - self.cache.keys()):
-            self.cache.update(zip(missing, self._ids(missing), strict=True))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, units)) for units in cut]
+        get = self.cache.get
+        units = [" " + w for w in words]
+        found = list(map(get, units))
+        missing = [i for i, x in enumerate(found) if x is None and words[i]]
+        for lo in range(0, len(missing), 50_000):
+            part = missing[lo : lo + 50_000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join([units[i] for i in part])], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(self.begins[ids])
+            if len(cut) != len(part):
+                raise ValueError("a token with a space inside")
+            for i, a, b in zip(part, cut.tolist(), [*cut[1:].tolist(), len(ids)], strict=True):
+                found[i] = self.cache[units[i]] = ids[a:b].tobytes()
+        return [x or b"" for x in found]
+
+    def _plain(self, texts: list[str]) -> list[bytes | None]:
+        """Ids of texts whose units are what single spaces part, None for others.
+
+        Words are numbered, and the ids of the numbers gathered.
+        """
+        column = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        off = column.offsets.to_numpy()
+        coded = column.flatten().dictionary_encode()
+        at = coded.indices.to_numpy().astype(np.int64)
+        words = coded.dictionary.to_pylist()
+        # a space before white space or the end is not torn off: such texts are left to the caller
+        odd = np.array([not w or w[0].isspace() for w in words], bool)
+        lead = at[off[:-1]]
+        bad = odd[at]
+        bad[off[:-1]] = False
+        bad = np.logical_or.reduceat(bad, off[:-1]) if bad.any() else np.zeros(len(texts), bool)
+        table = self._spaced([w if not o else "" for w, o in zip(words, odd, strict=True)])
+        firsts = [words[i] for i in lead.tolist()]
+        # a text's first unit has no space before it
+        at[off[:-1]] = len(table) + np.arange(len(firsts))
+        table += self._units(firsts)
+        n = np.array(list(map(len, table)), np.int64) >> 2
+        flat = np.frombuffer(b"".join(table), "<u4")
+        begin = (np.cumsum(n) - n)[at]
+        size = n[at]
+        end = np.cumsum(size)
+        ids = flat[np.repeat(begin - (end - size), size) + np.arange(end[-1])]
+        cut = np.concatenate([[0], end])[off]
+        return [None if o else ids[a:b].tobytes() for a, b, o in zip(cut[:-1].tolist(), cut[1:].tolist(), bad.tolist(), strict=True)]
 
     def byte_lengths(self) -> np.ndarray:
         """Bytes of each id of a byte-level vocabulary, whose letters stand for bytes."""
