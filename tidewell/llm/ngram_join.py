@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import U64, chunks, component_table, lowered, mix, partitions, span_hashes, stored, whole_groups, word_spans
+from tidewell.llm.url_filters import parted
 
 #: Words of a shingle; Jaccard similarity as a fraction.
 WORDS, SIMILARITY = 5, (3, 4)
@@ -453,12 +454,7 @@ def text_hashes(text: Column) -> tuple[Column, Column]:
 
 def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose (t1, t2, doc_id) ``wanted`` has: a Bloom filter of bounded size, then an exact join."""
-    from tidewell.llm.url_filters import _probe, bloom_blocks
-
-    blocks = min(MOST_BLOCKS, 1 << max(10, (wanted.count() // 4).bit_length()))
-    block, mask = _probe(F.col("t1"), blocks, 5)
-    words = F.broadcast(bloom_blocks(wanted, "t1", blocks).select(F.col("block").alias("_b"), F.col("word").alias("_w")))
-    maybe = docs.withColumn("_b", block).withColumn("_m", mask).join(words, "_b").where(F.col("_w").bitwiseAND(F.col("_m")) == F.col("_m")).drop("_b", "_w", "_m")
+    maybe = parted(docs, wanted.select("t1").distinct(), "t1", MOST_BLOCKS)[1]
     # an inner join: a semi join would be pushed below the filter
     w = wanted.select(F.col("t1").alias("_1"), F.col("t2").alias("_2"), F.col("doc_id").alias("_3"))
     return maybe.join(w, (F.col("t1") == F.col("_1")) & (F.col("t2") == F.col("_2")) & F.col("doc_id").eqNullSafe(F.col("_3"))).drop("_1", "_2", "_3")
@@ -578,12 +574,19 @@ def distinct_documents(docs: DataFrame, *, text: str = "text", key: str = "doc_i
 
     Texts without words are in no group, so all of them stay.
     """
-    named = _rooted(docs, text=text, key=key, words=words, similarity=similarity)
-    one = named.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1")).alias("one")).select(F.col("one.doc_id").alias("_j_d"), F.col("one.t1").alias("_j_t"))
+    named = stored(_rooted(docs, text=text, key=key, words=words, similarity=similarity).where("n > 0"), "join-named")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1")
+    one = named.groupBy("root").agg(F.min(order).alias("one"))
+    # Rows to go, and rows that stand there several times, of which one stays.
+    rows = named.groupBy("root", "doc_id", "t1").agg(F.count("*").alias("m")).join(one, "root").select("doc_id", "t1", "m", (order != F.col("one")).alias("_j_go"))
+    asked = stored(rows.where("_j_go or m > 1").select(F.col("doc_id").alias("_j_d"), F.col("t1").alias("_j_1"), "_j_go"), "join-asked")
     marked = docs.withColumn("_j_1", F.coalesce(text_hashes(F.col(text).cast("string"))[0], F.lit(0))).withColumn("_j_k", F.col(key).cast("long"))
-    wordless = ~F.coalesce(F.col(text).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = marked.where(~wordless).join(one, (F.col("_j_1") == F.col("_j_t")) & F.col("_j_k").eqNullSafe(F.col("_j_d")), "left_semi").dropDuplicates(["_j_1", "_j_k"])
-    return kept.unionByName(marked.where(wordless)).select(*docs.columns)
+    sure, maybe = parted(marked, asked.select("_j_1").distinct(), "_j_1")
+    found = asked.withColumnRenamed("_j_1", "_j_t")
+    tested = maybe.join(found, (F.col("_j_1") == F.col("_j_t")) & F.col("_j_k").eqNullSafe(F.col("_j_d")), "left").drop("_j_t", "_j_d")
+    alone = tested.where("_j_go is null").drop("_j_go")
+    again = tested.where("not _j_go").drop("_j_go").dropDuplicates(["_j_1", "_j_k"])
+    return sure.unionByName(alone).unionByName(again).select(*docs.columns)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import chunks, span_hashes, stored, word_spans
 from tidewell.llm.ngram_join import shingle_sets
+from tidewell.llm.url_filters import parted
 
 #: Labelled rows that the model is fitted on at most; a hash of the id picks them, evenly.
 MOST_LABELLED = 400_000
@@ -219,8 +220,10 @@ def good_documents(docs: DataFrame, labels: DataFrame, *, text: str = "text", ke
     quality_scores() for nulls, empty texts and repeated rows.
     """
     x = stored(document_statistics(docs, text, key), "statistics")
-    bad = scored(x, fit(x, labels)).where("predicted = 0").select(F.col("text_hash").alias("_q_h")).distinct()
-    return docs.withColumn("_q_h", _hash(text)).join(bad, "_q_h", "left_anti").drop("_q_h")
+    bad = stored(scored(x, fit(x, labels)).where("predicted = 0").select(F.col("text_hash").alias("_q_h")).distinct(), "rejected")
+    # most rows are settled by a filter of bounded size, in place; the others by an exact join
+    sure, maybe = parted(docs.withColumn("_q_h", _hash(text)), bad, "_q_h")
+    return sure.unionByName(maybe.join(bad, "_q_h", "left_anti")).select(*docs.columns)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

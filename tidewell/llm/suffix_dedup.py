@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import U64, mix, partitions, powers, stored, text_buffer, whole_groups
+from tidewell.llm.url_filters import parted
 
 #: Bytes of a repeat, and of a trigger.
 LENGTH, GRAM = 200, 64
@@ -446,8 +447,6 @@ def suffix_dedup(docs: DataFrame, *, text: str = "text", length: int = LENGTH, g
     table gives an empty one.  Columns of ``docs`` with the names made here are replaced;
     names that begin with ``_s_`` are taken.
     """
-    from tidewell.llm.url_filters import _probe, bloom_blocks
-
     if not 0 < length - gram <= 255 or gram < 1:
         raise ValueError("gram must be from length - 255 to length - 1")
     spark = docs.sparkSession
@@ -459,10 +458,7 @@ def suffix_dedup(docs: DataFrame, *, text: str = "text", length: int = LENGTH, g
     parse = rows.mapInArrow(_send(parts, length, gram), _SENT).repartitionById(parts, "part").mapInArrow(_match(parts, hot), _REPLY)
     asked = stored(parse.repartitionById(parts, "part").mapInArrow(_by_text, _ASKED), "dedup-parse")
 
-    blocks = min(MOST_BLOCKS, 1 << max(10, (asked.count() // 4).bit_length()))
-    block, mask = _probe(F.col("t1"), blocks, 5)
-    words = F.broadcast(bloom_blocks(asked, "t1", blocks).select(F.col("block").alias("_b"), F.col("word").alias("_w")))
-    maybe = rows.withColumn("_b", block).withColumn("_m", mask).join(words, "_b").where(F.col("_w").bitwiseAND(F.col("_m")) == F.col("_m")).select("t1", "text")
+    maybe = parted(rows, asked.select("t1"), "t1", MOST_BLOCKS)[1]
     texts = maybe.dropDuplicates(["t1"]).join(asked, "t1")
     spelt = texts.where(F.octet_length("spell") > 0).select("t1", "text", "spell").mapInArrow(_spelt(length), _DICTIONARY)
     dictionary = spelt.repartition(parts, "trigger").sortWithinPartitions("trigger").mapInArrow(_sorted_dictionary(parts, length), _FOUND)
@@ -474,7 +470,9 @@ def suffix_dedup(docs: DataFrame, *, text: str = "text", length: int = LENGTH, g
 
     out = docs.withColumn("_s_t1", F.xxhash64(t)).withColumn("n_bytes", F.octet_length(t).cast("long")).withColumn("_s_sha", F.sha2(t.cast("binary"), 256))
     names = {"t1": "_s_t1", "n_removed": "_s_n", "n_spans": "_s_k", "kept_sha256": "_s_kept", "kept": "_s_b"}
-    out = out.join(cut.withColumnsRenamed(names), "_s_t1", "left")
+    named = cut.withColumnsRenamed(names)
+    sure, others = parted(out, cut.select(F.col("t1").alias("_s_t1")), "_s_t1", MOST_BLOCKS)
+    out = others.join(named, "_s_t1", "left").unionByName(sure, allowMissingColumns=True)
     out = out.withColumn("n_removed", F.coalesce("_s_n", F.lit(0).cast("long"))).withColumn("n_spans", F.coalesce("_s_k", F.lit(0).cast("long"))).withColumn("kept_sha256", F.coalesce("_s_kept", "_s_sha"))
     if with_text:
         out = out.withColumn("kept", F.coalesce("_s_b", t))

@@ -80,6 +80,20 @@ def bloom_blocks(keys: DataFrame, key: str, blocks: int = 1 << 16, bits: int = 5
     return keys.select(block.alias("block"), mask.alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("word"))
 
 
+def parted(rows: DataFrame, keys: DataFrame, key: str, most: int = 1 << 20, bits: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Rows whose long column ``key`` is surely none of ``keys`` (same column), and the others.
+
+    The filter has at most ``most`` words, so its size is bounded; rows that it settles need
+    no shuffle.  Null keys are among the first.
+    """
+    blocks = min(most, 1 << max(10, (keys.count() // 4).bit_length()))
+    block, mask = _probe(F.col(key), blocks, bits)
+    words = F.broadcast(bloom_blocks(keys, key, blocks, bits).select(F.col("block").alias("_p_b"), F.col("word").alias("_p_w")))
+    tested = rows.withColumn("_p_b", block).join(words, "_p_b", "left").withColumn("_p_m", F.coalesce(F.col("_p_w").bitwiseAND(mask) == mask, F.lit(False)))
+    kept = lambda x: x.drop("_p_b", "_p_w", "_p_m").select(*rows.columns)
+    return kept(tested.where(~F.col("_p_m"))), kept(tested.where("_p_m"))
+
+
 def url_filter(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = RULES, *, url: str = "url", blocks: int = 1 << 16, bits: int = 5) -> DataFrame:
     """Add host, path, rule and verdict to ``pages``; its other columns stay.
 
