@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 #: The tokenizer of the queries, and the id that ends each document.
 TOKENIZER, END = "byte_bpe_50k.json", 0
 #: Entries of a worker's unit cache before it starts anew.
-CACHE = 800_000
+CACHE = 500_000
 
 _TEARS = re.compile(r" (?=\S)")
 _SPACE = "\u0120"  # the letter that stands for a space in byte-level vocabularies
