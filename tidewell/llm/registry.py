@@ -6,6 +6,7 @@ QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_url_filters": url_filters.op3_url_filters,
+    "op3_junk_urls": url_filters.op3_junk_urls,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_token_files": token_files.op5_token_files,
     "op6_token_counts": token_counts.op6_token_counts,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 ORACLES = {
     "op3_url_filters": url_filters.ORACLE,
+    "op3_junk_urls": url_filters.JUNK_ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
     "op8_topk_search": topk_search.ORACLE,
 }

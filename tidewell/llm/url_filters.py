@@ -32,6 +32,8 @@ RULES = (
 
 #: Labels of hosts whose pages are on the block list that the query is run with.
 LISTED_LABELS = ("ads-track", "spam-farm")
+#: All labels of junk hosts; some of their pages are on hosts that no rule decides.
+JUNK_LABELS = (*LISTED_LABELS, "adult-x", "casino-win", "cheap-pills", "free-bets")
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?"
@@ -130,9 +132,9 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = RULE
     )
 
 
-def listed_urls(pages: DataFrame) -> DataFrame:
+def listed_urls(pages: DataFrame, labels: Sequence[str] = LISTED_LABELS) -> DataFrame:
     """The query's block list: URLs of pages on hosts with a listed label."""
-    return pages.where(host_of(F.col("url")).rlike(r"(^|\.)(" + "|".join(LISTED_LABELS) + r")\.")).select("url")
+    return pages.where(host_of(F.col("url")).rlike(r"(^|\.)(" + "|".join(labels) + r")\.")).select("url")
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,6 +142,12 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages, listed_urls(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_junk_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with all junk hosts on the list, so that the list decides pages that no rule fits."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_filter(pages, listed_urls(pages, JUNK_LABELS)).select("page_id", "host", "path", "rule", "verdict")
+
+
 ORACLE = r"""
 WITH p AS (
   SELECT page_id, url,
@@ -160,3 +168,4 @@ SELECT p.page_id, p.host, p.path, best.rule,
   coalesce(best.verdict, CASE WHEN c.key <> '' AND c.key IN (SELECT key FROM l) THEN 'block' ELSE 'allow' END) AS verdict
 FROM p JOIN c USING (page_id) LEFT JOIN best ON best.page_id = p.page_id AND best.k = 1
 """
+JUNK_ORACLE = ORACLE.replace("(" + "|".join(LISTED_LABELS) + ")", "(" + "|".join(JUNK_LABELS) + ")")
