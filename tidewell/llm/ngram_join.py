@@ -17,6 +17,10 @@ A document's set holds the 64-bit hashes of its distinct word n-grams.  Four ste
    below it, and the sum of coordinate minima bounds the overlap.  Pairs that survive the
    bound go on.
 4. Surviving pairs are verified on the sets themselves.
+
+That gives components, and links enough to join them.  Where every link is asked for, the
+sets of a component then meet all others of it: the component is cut into blocks, each two
+blocks meet in a cell, and there an R-tree of one label a set and the sets decide.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ WORDS, SIMILARITY = 5, (3, 4)
 FLUSH, FANOUT, BLOCK = 1 << 21, 16, 2048
 #: Times that sets are held against pivots before all that is left is.
 TURNS = 2
+#: Hashes of a block of a component whose links are all asked for.
+BLOCK_HASHES = 1 << 20
 #: Words of the Bloom filter at most, 64 bits each.
 MOST_BLOCKS = 1 << 20
 
@@ -442,6 +448,70 @@ def _verify(similarity: tuple[int, int]):
     return run
 
 
+def overlaps(keys: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """Number of common hashes of each pair of rows; the pairs stand by their first row."""
+    n = np.array([len(k) for k in keys])
+    off = np.concatenate([[0], np.cumsum(n)])
+    used, number = np.unique(np.concatenate(keys), return_inverse=True)
+    there = np.zeros(len(used), bool)
+    out = np.zeros(len(pairs), np.int64)
+    cuts = np.append(np.flatnonzero(np.concatenate([[True], pairs[1:, 0] != pairs[:-1, 0]])), len(pairs)) if len(pairs) else np.zeros(1, int)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        own = number[off[pairs[a, 0]] : off[pairs[a, 0] + 1]]
+        there[own] = True
+        sums = np.concatenate([[0], np.cumsum(n[pairs[a:b, 1]])])
+        at = np.repeat(off[pairs[a:b, 1]] - sums[:-1], n[pairs[a:b, 1]]) + np.arange(sums[-1])
+        hits = np.concatenate([[0], np.cumsum(there[number[at]])])
+        out[a:b] = hits[sums[1:]] - hits[sums[:-1]]
+        there[own] = False
+    return out
+
+
+def _links_of_cells(similarity: tuple[int, int], counted: bool):
+    """Links between the sets of each cell, or how many of them each set has; two sets meet in one cell only."""
+    num, den = similarity
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in whole_groups(batches, ["label", "cell"]):
+            sid, n, block, alone = (table.column(c).to_numpy() for c in ("sid", "n", "block", "alone"))
+            raw = table.column("keys")
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                label = np.arange(b - a) if alone[a] else block[a:b]
+                if (label == label[0]).all():
+                    continue
+                keys = [np.frombuffer(x, "<u8") for x in raw.slice(a, b - a).to_pylist()]
+                size = n[a:b]
+                pairs = tree_pairs(size, label, [count_vector(k, groups_of(int(m))) for k, m in zip(keys, size, strict=True)], similarity)
+                overlap = overlaps(keys, pairs)
+                ok = (num + den) * overlap >= num * (size[pairs[:, 0]] + size[pairs[:, 1]])
+                pairs, overlap = pairs[ok], overlap[ok]
+                if not len(pairs):
+                    continue
+                if counted:
+                    m = np.bincount(pairs.ravel(), minlength=b - a)
+                    yield pa.RecordBatch.from_arrays([pa.array(sid[a:b][m > 0]), pa.array(m[m > 0].astype(np.int64))], ["sid", "n_links"])
+                    continue
+                both = np.sort(np.stack([sid[a + pairs[:, 0]], sid[a + pairs[:, 1]]], 1), axis=1)
+                for lo in range(0, len(both), FLUSH):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + FLUSH].copy()) for x in (both[:, 0], both[:, 1], overlap)], ["a", "b", "overlap"])
+
+    return run
+
+
+def _every_link(sets: DataFrame, links: DataFrame, similarity: tuple[int, int], parts: int, counted: bool = False) -> DataFrame:
+    """(a, b, overlap) of all linked sets, or (sid, n_links) of each that has links, from links that join the components."""
+    labelled = sets.select("sid", "n", "keys").join(_components(links), "sid")
+    weight = F.ceil(F.sum("n") / BLOCK_HASHES).cast("int")
+    blocks = labelled.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK).cast("int"), weight).alias("blocks"))
+    mine = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
+    cut = labelled.join(blocks, "label").withColumn("block", mine)
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.greatest("block", "other").cast("long") * F.col("blocks") + F.least("block", "other")
+    met = met.select("label", cell.alias("cell"), "block", (F.col("block") == F.col("other")).alias("alone"), "sid", "n", "keys")
+    dealt = met.repartition(parts, "label", "cell").sortWithinPartitions("label", "cell")
+    return dealt.mapInArrow(_links_of_cells(similarity, counted), "sid long, n_links long" if counted else "a long, b long, overlap long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """(a, b, overlap) of the pairs of sets that reach the threshold."""
     side = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("keys").alias(f"k{x}"))
@@ -484,18 +554,26 @@ def _torn(named: DataFrame, *by: str) -> DataFrame:
     return named.groupBy(*by).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi").drop("lo", "hi")
 
 
-def ngram_join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def ngram_join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents, links): the class of each document, and verified links between classes.
 
     documents: doc_id, t1 (a hash of the text), sid, n.  Documents with the same set are one class ``sid``, so
     copies are never paired.  links: a, b (sids, a < b), overlap.  Links inside a component
-    that is already joined are not listed one by one; every two classes that reach the
-    threshold are in one component of the links.
+    that is already joined are not listed one by one, unless ``every`` asks for them; every
+    two classes that reach the threshold are in one component of the links.
 
     Null, empty and wordless texts have the empty set (sid 0, n 0), linked with nothing.
     Repeated rows stay rows, null ids stay null, an empty table gives two empty ones; other
     columns, whatever their names, are not read.
     """
+    documents, sets, links = _joined(docs, text, key, words, similarity)
+    if every:
+        links = _every_link(sets, links, similarity, partitions(docs.sparkSession))
+    return documents, links
+
+
+def _joined(docs: DataFrame, text: str, key: str, words: int, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, the sets that can be linked, and links that join their components; see ngram_join()."""
     if not words > 0 or not similarity[1] <= 2 * similarity[0] <= 2 * similarity[1]:
         raise ValueError("words must be positive and similarity from 1/2 to 1")
     parts = partitions(docs.sparkSession)
@@ -547,7 +625,21 @@ def ngram_join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", word
     dealt = lambda x: x.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell")
     pairs = dealt(small).mapInArrow(_pairs_of_keys(similarity, False), "a long, b long").union(dealt(large).mapInArrow(_pairs_of_keys(similarity, True), "a long, b long")).distinct()
     links = links.union(verified(pairs, sets, similarity))
-    return documents.select("doc_id", "t1", "sid", "n"), links
+    return documents.select("doc_id", "t1", "sid", "n"), sets, links
+
+
+def class_links(docs: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles, class_id, n_links of each row: the least doc_id with the same set, and how many other classes reach the threshold with it.
+
+    Links are counted where sets meet and never stand as rows.  See ngram_components() for
+    texts without words, repeated rows and null ids.
+    """
+    documents, sets, links = _joined(docs, text, key, words, similarity)
+    counts = _every_link(sets, links, similarity, partitions(docs.sparkSession), True).groupBy("sid").agg(F.sum("n_links").alias("n_links"))
+    classes = documents.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("class_id")).join(counts, "sid", "left")
+    n_links = F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
+    out = documents.where("n > 0").join(classes, "sid").select("doc_id", F.col("n").alias("n_shingles"), "class_id", n_links)
+    return out.union(documents.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def _rooted(docs: DataFrame, **options: object) -> DataFrame:
@@ -591,3 +683,7 @@ def distinct_documents(docs: DataFrame, *, text: str = "text", key: str = "doc_i
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def op1_class_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_links(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

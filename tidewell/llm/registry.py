@@ -4,6 +4,7 @@ from tidewell.llm import ngram_join, packing, quality_classifier, quality_rules,
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
+    "op1_class_links": ngram_join.op1_class_links,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_url_filters": url_filters.op3_url_filters,
     "op3_junk_urls": url_filters.op3_junk_urls,
