@@ -22,8 +22,8 @@ MARKERS = (
 )
 # Prefixes that mean a secret if so many token characters follow.
 PREFIXES = (("Bearer ", "bearer_token", 16), ("hf_", "huggingface_token", 20), ("npm_", "npm_token", 20), ("SG.", "sendgrid_key", 16))
-#: Characters scanned for markers, shortest run and least bits a character of a random secret.
-SCANNED, RUN, BITS = 262_144, 32, 4.5
+#: Shortest run and least bits a character of a random secret.
+RUN, BITS = 32, 4.5
 
 URI = r"(://[^/?\"'\s@:]*:)[^/?\"'\s@]*(@)"
 SSN = r"(?<![0-9])(?!000|666|9)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])"
@@ -33,9 +33,8 @@ _RUNS = r"[A-Za-z0-9+/=_-]+|[^A-Za-z0-9+/=_-]+"
 
 def marker_rules(text: Column) -> Column:
     """Sorted names of the rules whose markers the text has."""
-    scanned = F.substring(text, 1, SCANNED)
-    rules = F.array(*[F.when(scanned.contains(m), F.lit(rule)) for m, rule in MARKERS])
-    return F.when(scanned.rlike(any_of(tuple(m for m, _ in MARKERS))), F.array_sort(F.array_distinct(F.array_compact(rules)))).otherwise(F.array().cast("array<string>"))
+    rules = F.array(*[F.when(text.contains(m), F.lit(rule)) for m, rule in MARKERS])
+    return F.when(text.rlike(any_of(tuple(m for m, _ in MARKERS))), F.array_sort(F.array_distinct(F.array_compact(rules)))).otherwise(F.array().cast("array<string>"))
 
 
 def _rebuilt(text: Column, pattern: str, found: object, mark: str) -> Column:
