@@ -9,14 +9,18 @@ them, and a trigger depends on the window's bytes alone: equal windows have equa
 triggers at equal places, in whatever document they stand.
 
 * The parse: every occurrence of a phrase sends its trigger's hash and its own to a range
-  of hashes, packed in arrays.  A trigger seen once ends there: its windows are unique.  A
+  of hashes, packed in arrays; what a task has several times it sends once and settles
+  itself.  There the parse is sorted by phrase: its suffix array to a depth of one phrase,
+  which is as deep as a string of ``length`` bytes can see.  Intervals of equal phrases
+  give the times of each.  A trigger seen once ends there: its windows are unique.  A
   phrase seen twice is repeated in all its windows, whatever surrounds it.
 * The dictionary: phrases that occur once but share their trigger with others send their
   bytes, and of those that occur more often one does.  By trigger, their suffixes are sorted by prefix
-  doubling to a depth of ``length`` bytes; since a window is a suffix of one phrase only,
-  equal ranks in the dictionary, with the parse's counts, are equal strings in corpus order.
-* Windows of triggers with very many phrases are matched by their hashes, one by one, so
-  that no group is gathered in a task.
+  doubling to a depth of ``length`` bytes.
+* Corpus order: a run of equal dictionary suffixes stands for as many places of the corpus
+  as the parse's intervals of their phrases are wide (corpus_places()).
+* The windows of a trigger with very many phrases are dealt out as phrases of one window
+  each, so that no group is gathered in a task; they go through the same parse.
 
 Both answers go back to the texts, whose bytes are cut.
 """
@@ -31,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import U64, mix, partitions, powers, stored, text_buffer, whole_groups
+from tidewell.llm.common import U64, apart, mix, partitions, powers, stored, text_buffer, whole_groups
 from tidewell.llm.url_filters import parted
 
 #: Bytes of a repeat, and of a trigger.
 LENGTH, GRAM = 200, 64
 #: Windows looked at together, occurrences that a task gathers before it deals them out, bytes of a dictionary
-#: sorted together, and phrases of a trigger from which its windows are matched by hash.
-PIECE, FLUSH, SORTED, HOT = 1 << 20, 1 << 19, 1 << 21, 1 << 13
+#: sorted together, and phrases of a trigger from which its windows are dealt out one by one.
+PIECE, FLUSH, SORTED, HOT = 1 << 19, 1 << 19, 1 << 20, 1 << 10
 #: Words of the Bloom filter at most, 64 bits each.
 MOST_BLOCKS = 1 << 20
 
@@ -114,19 +118,47 @@ def _pieces(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndar
         lo = hi
 
 
-_SENT = "part int, trigger binary, phrase binary, t1 binary, first binary, size binary"
-_NAMES = ["trigger", "phrase", "t1", "first", "size"]
-_KINDS = ("<u8", "<u8", "<i8", "<u4", "u1")
+_SENT = "part int, trigger binary, phrase binary, t1 binary, first binary, size binary, seen binary"
+_NAMES = ["trigger", "phrase", "t1", "first", "size", "seen"]
+_KINDS = ("<u8", "<u8", "<i8", "<u4", "u1", "u1")
+#: ``seen``: once or more often in the sending task, or an occurrence of a phrase that is known to be repeated.
+_ONCE, _TWICE, _KNOWN = 1, 2, 0
 
 
-def _deal(columns: list[np.ndarray], to: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+def _packed(columns: list[np.ndarray], kinds: tuple[str, ...], names: list[str], to: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """One row a range, its columns as arrays of bytes."""
     order = np.argsort(to, kind="stable")
     cuts = np.searchsorted(to[order], np.arange(parts + 1))
-    columns = [np.ascontiguousarray(c[order].astype(k)) for c, k in zip(columns, _KINDS, strict=True)]
+    columns = [np.ascontiguousarray(c[order].astype(k)) for c, k in zip(columns, kinds, strict=True)]
     for p in range(parts):
         a, b = cuts[p], cuts[p + 1]
         if a < b:
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *[pa.array([c[a:b].tobytes()], pa.binary()) for c in columns]], ["part", *_NAMES])
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *[pa.array([c[a:b].tobytes()], pa.binary()) for c in columns]], ["part", *names])
+
+
+def _deal(columns: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
+    """Occurrences to the range of their trigger: of equal phrases the first, the others to their text's range as known.
+
+    So a range gets a phrase once from each hand-out of a task, however often it occurs.
+    """
+    trigger, phrase, t1, first, size = columns
+    order = np.argsort(phrase, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = phrase[order][1:] != phrase[order][:-1]
+    n = np.diff(np.append(np.flatnonzero(new), len(order)))
+    seen = np.full(len(order), _KNOWN, np.uint8)
+    seen[order[new]] = np.where(n > 1, _TWICE, _ONCE)
+    # occurrences in copies of a text are one
+    rest = order[~new]
+    if len(rest):
+        rest = rest[np.lexsort((first[rest], t1[rest]))]
+        again = np.zeros(len(rest), bool)
+        again[1:] = (t1[rest][1:] == t1[rest][:-1]) & (first[rest][1:] == first[rest][:-1])
+        rest = rest[~again]
+        order = np.concatenate([order[new], rest])
+        trigger, phrase, t1, first, size, seen = (c[order] for c in (trigger, phrase, t1, first, size, seen))
+    to = np.where(seen == _KNOWN, _range_of(mix(t1.view(U64)), parts), _range_of(mix(trigger), parts))
+    yield from _packed([trigger, phrase, t1, first, size, seen], _KINDS, _NAMES, to, parts)
 
 
 def _range_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -144,12 +176,10 @@ def _send(parts: int, length: int, gram: int):
                 held.append((trigger, phrase, t1[rows[own]], first + base, n))
                 size += len(own)
                 if size >= FLUSH:
-                    columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-                    yield from _deal(columns, _range_of(columns[0], parts), parts)
+                    yield from _deal([np.concatenate(c) for c in zip(*held, strict=True)], parts)
                     held, size = [], 0
         if size:
-            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            yield from _deal(columns, _range_of(columns[0], parts), parts)
+            yield from _deal([np.concatenate(c) for c in zip(*held, strict=True)], parts)
 
     return run
 
@@ -172,38 +202,42 @@ def _runs(*sorted_: np.ndarray) -> np.ndarray:
 
 _FULL, _OPEN, _SPELT, _HOT, _HOT_FULL = 0, 1, 2, 3, 4
 _REPLY = "part int, t1 binary, first binary, size binary, kind binary, trigger binary"
+_REPLY_NAMES = ["t1", "first", "size", "kind", "trigger"]
 _REPLY_KINDS = ("<i8", "<u4", "u1", "u1", "<u8")
 
 
+def parse_order(trigger: np.ndarray, phrase: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix array of a parse to the depth of one phrase: its order, for each place there the times of its
+    phrase, whether it is the first of its interval, and how many phrases share its trigger."""
+    order = np.lexsort((phrase, trigger))
+    by_trigger, by_phrase = _runs(trigger[order]), _runs(trigger[order], phrase[order])
+    new = np.ones(len(order), bool)
+    new[1:] = by_phrase[1:] != by_phrase[:-1]
+    n = np.bincount(by_phrase, times[order])[by_phrase]
+    return order, n, new, np.bincount(by_trigger[new])[by_trigger]
+
+
 def _match(parts: int, hot: int):
     """What the parse knows of each occurrence: _FULL repeated in all windows, _SPELT so too and its bytes
     are asked for, _OPEN once and its bytes; _HOT and _HOT_FULL once or repeated, and its windows' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trigger, phrase, t1, first, size = _gathered(batches, _NAMES, _KINDS)
-        order = np.lexsort((phrase, trigger))
-        trigger, phrase, t1, first, size = (c[order] for c in (trigger, phrase, t1, first, size))
+        trigger, phrase, t1, first, size, seen = _gathered(batches, _NAMES, _KINDS)
         if not len(trigger):
             return
-        by_trigger, by_phrase = _runs(trigger), _runs(trigger, phrase)
-        new = np.ones(len(by_phrase), bool)
-        new[1:] = by_phrase[1:] != by_phrase[:-1]
-        n = np.bincount(by_phrase)[by_phrase]
-        spellings = np.bincount(by_trigger[new])[by_trigger]
-        kind = np.where(n > 1, _FULL, _OPEN).astype(np.uint8)
-        kind[(n > 1) & new & (spellings > 1)] = _SPELT
-        kind[(kind == _OPEN) & (spellings > hot)] = _HOT
-        kind[(kind == _SPELT) & (spellings > hot)] = _HOT_FULL
-        keep = (n > 1) | (spellings > 1)
-        t1, first, size, kind, trigger = (c[keep] for c in (t1, first, size, kind, trigger))
-        to = _range_of(mix(t1.view(U64)), parts)
-        order = np.argsort(to, kind="stable")
-        cuts = np.searchsorted(to[order], np.arange(parts + 1))
-        columns = [c[order] for c in (t1, first, size, kind, trigger)]
-        for p in range(parts):
-            a, b = cuts[p], cuts[p + 1]
-            if a < b:
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *[pa.array([c[a:b].tobytes()], pa.binary()) for c in columns]], [f.split()[0] for f in _REPLY.split(", ")])
+        known = seen == _KNOWN
+        kept = [c[known] for c in (t1, first, size, np.full(len(seen), _FULL, np.uint8), trigger)]
+        trigger, phrase, t1, first, size, seen = (c[~known] for c in (trigger, phrase, t1, first, size, seen))
+        if len(trigger):
+            order, n, new, spellings = parse_order(trigger, phrase, seen)
+            kind = np.where(n > 1, _FULL, _OPEN).astype(np.uint8)
+            kind[(n > 1) & new & (spellings > 1)] = _SPELT
+            kind[(kind == _OPEN) & (spellings > hot)] = _HOT
+            kind[(kind == _SPELT) & (spellings > hot)] = _HOT_FULL
+            keep = (n > 1) | (spellings > 1)
+            asked = [*(c[order][keep] for c in (t1, first, size)), kind[keep], trigger[order][keep]]
+            kept = [np.concatenate(c) for c in zip(kept, asked, strict=True)]
+        yield from _packed(kept, _REPLY_KINDS, _REPLY_NAMES, _range_of(mix(kept[0].view(U64)), parts), parts)
 
     return run
 
@@ -214,7 +248,7 @@ _SPELL = np.dtype([("first", "<u4"), ("size", "u1"), ("kind", "u1"), ("trigger",
 
 def _by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a text: windows known to be repeated, phrases to spell out, phrases whose windows to hash."""
-    t1, first, size, kind, trigger = _gathered(batches, ["t1", "first", "size", "kind", "trigger"], _REPLY_KINDS)
+    t1, first, size, kind, trigger = _gathered(batches, _REPLY_NAMES, _REPLY_KINDS)
     # of equal occurrences in copies of a text, the one that asks for most
     order = np.lexsort((-kind.astype(int), first, t1))
     t1, first, size, kind, trigger = (c[order] for c in (t1, first, size, kind, trigger))
@@ -298,19 +332,20 @@ def _ranked(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-_FOUND = "part int, t1 binary, first binary, size binary, kind binary, trigger binary"
+def corpus_places(spellings: list[bytes], times: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
+    """For each window of each phrase, the places of the corpus where its string starts.
 
-
-def repeated_windows(spellings: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each phrase, which of its windows other places of the dictionary have too."""
+    Equal suffixes of the dictionary are one run of the corpus's order; the run is as long as
+    the parse's intervals of their phrases (``times``) together.
+    """
     sizes = np.array([len(s) for s in spellings])
     ranks = suffix_ranks(np.frombuffer(b"".join(spellings), np.uint8), length)
     begins = np.cumsum(sizes) - sizes
     windows = sizes - length + 1
     p = np.arange(windows.sum()) + np.repeat(begins - (np.cumsum(windows) - windows), windows)
     r = ranks[p]
-    many = (np.bincount(r, minlength=1) > 1)[r]
-    return np.split(many, np.cumsum(windows)[:-1])
+    places = np.bincount(r, np.repeat(times, windows), minlength=1).astype(np.int64)[r]
+    return np.split(places, np.cumsum(windows)[:-1])
 
 
 def _sorted_dictionary(parts: int, length: int):
@@ -318,14 +353,15 @@ def _sorted_dictionary(parts: int, length: int):
         for table, at in whole_groups(batches, ["trigger"]):
             t1, first, kind = (table.column(c).to_numpy() for c in ("t1", "first", "kind"))
             spellings = table.column("bytes").to_pylist()
-            sizes = np.array([len(s) for s in spellings])
-            total = np.concatenate([[0], np.cumsum(sizes)])[at]
+            total = np.concatenate([[0], np.cumsum([len(s) for s in spellings])])[at]
             lo = 0
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             while lo < len(at) - 1:
                 hi = max(lo + 1, int(np.searchsorted(total, total[lo] + SORTED, "right")) - 1)
                 rows = np.arange(at[lo], at[hi])
-                for i, many in zip(rows, repeated_windows([spellings[i] for i in rows], length), strict=True):
+                times = np.where(kind[rows] == _OPEN, 1, 2)
+                for i, places in zip(rows, corpus_places([spellings[i] for i in rows], times, length), strict=True):
+                    many = places > 1
                     if kind[i] == _OPEN and many.any():
                         edge = np.flatnonzero(np.diff(np.concatenate([[0], many.view(np.int8), [0]])))
                         out.append((np.full(len(edge) // 2, t1[i]), first[i] + edge[::2], edge[1::2] - edge[::2]))
@@ -338,22 +374,17 @@ def _sorted_dictionary(parts: int, length: int):
 
 
 def _found(t1: np.ndarray, first: np.ndarray, size: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    to = _range_of(mix(t1.view(U64)), parts)
-    order = np.argsort(to, kind="stable")
-    cuts = np.searchsorted(to[order], np.arange(parts + 1))
-    columns = [c[order].astype(k) for c, k in zip((t1, first, size, np.zeros(len(t1)), np.zeros(len(t1))), _REPLY_KINDS, strict=True)]
-    for p in range(parts):
-        a, b = cuts[p], cuts[p + 1]
-        if a < b:
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *[pa.array([c[a:b].tobytes()], pa.binary()) for c in columns]], [f.split()[0] for f in _FOUND.split(", ")])
+    none = np.zeros(len(t1))
+    yield from _packed([t1, first, size, none, none], _REPLY_KINDS, _REPLY_NAMES, _range_of(mix(t1.view(U64)), parts), parts)
 
 
 def _send_windows(parts: int, length: int):
-    """Hashes of the windows of phrases with hot triggers, as phrases of one window."""
+    """The windows of phrases with hot triggers, as phrases of one window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        n = 0
         for batch in batches:
-            held = []
             for t1, text, hot in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 raw = np.frombuffer(text.as_buffer(), np.uint8)
                 for first, size, _, trigger in np.frombuffer(hot, _SPELL).tolist():
@@ -361,23 +392,12 @@ def _send_windows(parts: int, length: int):
                     starts = np.arange(size)
                     h = _spans(sums, starts, starts + length)
                     held.append((mix(h ^ U64(trigger)), h, np.full(size, t1), first + starts, np.ones(size, np.int64)))
-            if held:
-                columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-                yield from _deal(columns, _range_of(columns[0], parts), parts)
-
-    return run
-
-
-def _match_windows(parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trigger, phrase, t1, first, _ = _gathered(batches, _NAMES, _KINDS)
-        if not len(trigger):
-            return
-        order = np.lexsort((phrase, trigger))
-        t1, first, run_ = t1[order], first[order], _runs(trigger[order], phrase[order])
-        many = (np.bincount(run_) > 1)[run_]
-        if many.any():
-            yield from _found(t1[many], first[many].astype(np.int64), np.ones(int(many.sum()), np.int64), parts)
+                    n += size
+                if n >= FLUSH:
+                    yield from _deal([np.concatenate(c) for c in zip(*held, strict=True)], parts)
+                    held, n = [], 0
+        if held:
+            yield from _deal([np.concatenate(c) for c in zip(*held, strict=True)], parts)
 
     return run
 
@@ -386,7 +406,8 @@ _COVERED = "t1 long, found binary"
 
 
 def _found_by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    t1, first, size = _gathered(batches, ["t1", "first", "size"], _REPLY_KINDS[:3])
+    t1, first, size, kind = _gathered(batches, _REPLY_NAMES[:4], _REPLY_KINDS[:4])
+    t1, first, size = (c[(kind == _FULL) | (kind == _SPELT)] for c in (t1, first, size))
     order = np.lexsort((first, t1))
     t1, first, size = t1[order], first[order], size[order]
     if not len(t1):
@@ -443,17 +464,19 @@ def suffix_dedup(docs: DataFrame, *, text: str = "text", length: int = LENGTH, g
     rest of characters that a cut fell into.
 
     Texts are known by a 64-bit hash; copies of a text are cut once.  Null and empty texts
-    have 0 bytes and nothing removed; repeated rows are copies of each other; an empty
-    table gives an empty one.  Columns of ``docs`` with the names made here are replaced;
-    names that begin with ``_s_`` are taken.
+    have 0 bytes and nothing removed (``kept`` of a null text is null); repeated rows are
+    copies of each other; an empty table gives an empty one.  A very long text is looked at
+    PIECE windows at a time.  Columns of ``docs`` with the names made here are replaced, all
+    others stay, whatever their names.
     """
     if not 0 < length - gram <= 255 or gram < 1:
         raise ValueError("gram must be from length - 255 to length - 1")
     spark = docs.sparkSession
     parts = partitions(spark)
-    made = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
-    docs = docs.select(*[c for c in docs.columns if c not in made])
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
+    docs, names = apart(docs)
+    bare = F.col(names[text]).cast("string")
+    t = F.coalesce(bare, F.lit(""))
     rows = docs.select(F.xxhash64(t).alias("t1"), t.alias("text")).where(F.octet_length("text") >= length)
     parse = rows.mapInArrow(_send(parts, length, gram), _SENT).repartitionById(parts, "part").mapInArrow(_match(parts, hot), _REPLY)
     asked = stored(parse.repartitionById(parts, "part").mapInArrow(_by_text, _ASKED), "dedup-parse")
@@ -461,30 +484,34 @@ def suffix_dedup(docs: DataFrame, *, text: str = "text", length: int = LENGTH, g
     maybe = parted(rows, asked.select("t1"), "t1", MOST_BLOCKS)[1]
     texts = maybe.dropDuplicates(["t1"]).join(asked, "t1")
     spelt = texts.where(F.octet_length("spell") > 0).select("t1", "text", "spell").mapInArrow(_spelt(length), _DICTIONARY)
-    dictionary = spelt.repartition(parts, "trigger").sortWithinPartitions("trigger").mapInArrow(_sorted_dictionary(parts, length), _FOUND)
+    dictionary = spelt.repartition(parts, "trigger").sortWithinPartitions("trigger").mapInArrow(_sorted_dictionary(parts, length), _REPLY)
     windows = texts.where(F.octet_length("hot") > 0).select("t1", "text", "hot").mapInArrow(_send_windows(parts, length), _SENT)
-    windows = windows.repartitionById(parts, "part").mapInArrow(_match_windows(parts), _FOUND)
+    windows = windows.repartitionById(parts, "part").mapInArrow(_match(parts, hot), _REPLY)
     found = dictionary.union(windows).repartitionById(parts, "part").mapInArrow(_found_by_text, _COVERED)
     cut = texts.join(found, "t1", "left").select("t1", "text", "full", "found").mapInArrow(_cut(length, with_text), _CUT)
-    cut = stored(cut, "dedup-cut")
-
-    out = docs.withColumn("_s_t1", F.xxhash64(t)).withColumn("n_bytes", F.octet_length(t).cast("long")).withColumn("_s_sha", F.sha2(t.cast("binary"), 256))
-    names = {"t1": "_s_t1", "n_removed": "_s_n", "n_spans": "_s_k", "kept_sha256": "_s_kept", "kept": "_s_b"}
-    named = cut.withColumnsRenamed(names)
-    sure, others = parted(out, cut.select(F.col("t1").alias("_s_t1")), "_s_t1", MOST_BLOCKS)
-    out = others.join(named, "_s_t1", "left").unionByName(sure, allowMissingColumns=True)
-    out = out.withColumn("n_removed", F.coalesce("_s_n", F.lit(0).cast("long"))).withColumn("n_spans", F.coalesce("_s_k", F.lit(0).cast("long"))).withColumn("kept_sha256", F.coalesce("_s_kept", "_s_sha"))
+    cut = stored(cut, "dedup-cut").withColumnsRenamed({c.split()[0]: f"_{c.split()[0]}" for c in _CUT.split(", ")})
+
+    out = docs.withColumn("_t1", F.xxhash64(t)).withColumn("n_bytes", F.octet_length(t).cast("long")).withColumn("_sha", F.sha2(t.cast("binary"), 256))
+    sure, others = parted(out, cut.select("_t1"), "_t1", MOST_BLOCKS)
+    out = others.join(cut, "_t1", "left").unionByName(sure, allowMissingColumns=True)
+    none = F.lit(0).cast("long")
+    out = out.withColumn("n_removed", F.coalesce("_n_removed", none)).withColumn("n_spans", F.coalesce("_n_spans", none)).withColumn("kept_sha256", F.coalesce("_kept_sha256", "_sha"))
     if with_text:
-        out = out.withColumn("kept", F.coalesce("_s_b", t))
-    return out.drop(*[c for c in out.columns if c.startswith("_s_")])
+        out = out.withColumn("kept", F.coalesce("_kept", bare))
+    return out.select(*[F.col(c).alias(name) for name, c in names.items() if name not in made], *made)
 
 
 def cut_documents(docs: DataFrame, *, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """``docs`` with what suffix_dedup() keeps of each text; n_chars, where there is one, follows."""
-    out = suffix_dedup(docs, text=text, length=length, with_text=True).withColumn(text, F.col("kept"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length(text).cast("long"))
-    return out.select(*docs.columns)
+    """``docs`` with what suffix_dedup() keeps of each text; n_chars, where there is one, follows.
+
+    All columns stay, whatever their names; null texts stay null.  See suffix_dedup() for
+    empty texts, repeated rows and empty tables.
+    """
+    docs, names = apart(docs)
+    out = suffix_dedup(docs, text=names[text], length=length, with_text=True).withColumn(names[text], F.col("kept"))
+    if "n_chars" in names:
+        out = out.withColumn(names["n_chars"], F.char_length(names[text]).cast(docs.schema[names["n_chars"]].dataType))
+    return out.select(*[F.col(c).alias(name) for name, c in names.items()])
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
