@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm.common import shared_dir
+from tidewell.llm.common import clear_stored, shared_dir
 from tidewell.llm.ngram_join import distinct_documents
 from tidewell.llm.packing import pack
 from tidewell.llm.quality_classifier import good_documents
@@ -57,5 +57,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/tidewell/pipeline-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        clear_stored(spark)
         docs = spark.read.parquet(path)
     return docs

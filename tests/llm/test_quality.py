@@ -77,3 +77,32 @@ def test_rules_and_repeats(spark):
     assert R.quality_cascade(df.limit(0)).count() == 0
     order = R.order_rules(df)
     assert {r.name for r, _, _ in order} == {r.name for r in R.RULES}
+
+
+def test_the_order_of_rules_is_the_same_each_time_and_follows_cost(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["alpha", "BETA", "#", "gamma\n"]) + str(rng.randrange(99)) for _ in range(80))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"}
+    first = R.order_rules(df, eager=wanted)
+    assert first == R.order_rules(df.repartition(3), eager=wanted)
+    cost = {r.name: c for r, _, c in first}
+    assert cost["symbols"] == cost["word_length"] == 1 < cost["capitals"] < cost["duplicate_lines"]
+    assert [s / c for _, s, c in first] == sorted((s / c for _, s, c in first), reverse=True)
+    full = {r.doc_id: r.kept for r in R.quality_cascade(df).collect()}
+    assert full == {r.doc_id: r.kept for r in R.quality_cascade(df, statistics=()).collect()}
+
+
+def test_repeated_rows_and_names_of_the_cascade(spark):
+    df = spark.createDataFrame([(1, "a b", 5, "x"), (1, "a b", 5, "x"), (None, None, None, None)], "doc_id long, text string, n_words int, _q_t string")
+    got = R.quality_cascade(df)
+    assert got.columns[:3] == ["doc_id", "text", "_q_t"] and sorted((r.n_words, r["_q_t"], r.kept) for r in got.where("doc_id = 1").collect()) == [(2, "x", False)] * 2
+    assert got.count() == 3
+
+
+def test_other_columns_of_good_documents_stay(spark):
+    docs, labels = corpus(120)
+    df = spark.createDataFrame([(i, t, "mine", i) for i, t in docs], "doc_id long, text string, _q_h string, _p_b long")
+    kept = Q.good_documents(df, spark.createDataFrame(labels, "doc_id long, quality int"))
+    got = kept.collect()
+    assert kept.columns == df.columns and got and all(r["_q_h"] == "mine" and r["_p_b"] == r.doc_id for r in got)

@@ -13,7 +13,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def plain():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return t
 
 
@@ -124,3 +123,62 @@ def test_sainte_lague_gives_the_highest_quotients():
             q = np.where(held < most, votes / (2 * held + 1), -1)
             held[int(np.argmax(q))] += 1
         assert source_mixing.sainte_lague(votes, seats, most).tolist() == held.tolist()
+
+
+def test_packed_pieces_are_those_of_plain_encoding(spark):
+    df = spark.createDataFrame([(i, t) for i, t in ROWS if i not in (None, 2)], "doc_id long, text string")
+    got = {(r.doc_id, r.start): r for r in packing.pack(df, size=64).collect()}
+    for i, t in df.collect():
+        ids = [*plain().encode(t or "", add_special_tokens=False).ids, 0]
+        for a in range(0, len(ids), 64):
+            r = got.pop((i, a))
+            part = ids[a : a + 64]
+            assert (r.length, r.doc_tokens, r.ids_crc32) == (len(part), len(ids), zlib.crc32(np.array(part, "<u4").tobytes()))
+    assert not got
+
+
+def test_sections_agree_with_the_offsets_of_the_library(spark):
+    rows = [(1, "one line\ntwo  words\n\nthree"), (2, "été 🙂\nligne\n"), (3, ""), (4, None), (5, "a\n" * 50), (6, "x" * 3000 + "\n" + "y")]
+    df = spark.createDataFrame([(i, t, 9, "z") for i, t in rows], "doc_id long, text string, section int, n_tokens string")
+    got = {}
+    for r in token_counts.token_counts(df).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for i, t in rows:
+        t = t or ""
+        begins = [0] + [k + 1 for k, c in enumerate(t) if c == "\n" and k + 1 < len(t)]
+        n, crossing = [0] * len(begins), [0] * len(begins)
+        for a, b in plain().encode(t, add_special_tokens=False).offsets:
+            at = max(k for k, x in enumerate(begins) if x <= a)
+            n[at] += 1
+            crossing[at] += at != max(k for k, x in enumerate(begins) if x <= max(a, b - 1))
+        mine = sorted(got[i], key=lambda r: r.section)
+        assert [(r.section, r.start_char, r.end_char) for r in mine] == [(k, x, y) for k, (x, y) in enumerate(zip(begins, [*begins[1:], len(t)], strict=True))]
+        assert [r.n_tokens for r in mine] == n and [r.n_crossing for r in mine] == crossing
+    assert token_counts.token_counts(df.limit(0)).count() == 0
+
+
+def test_token_files_of_no_documents_and_other_columns(spark):
+    from tidewell.llm.common import shared_dir
+
+    df = spark.createDataFrame([(4, "a b", 3, "x")], "doc_id long, text string, shard int, planes string")
+    token_files.write_token_files(df, f"{shared_dir(spark)}/test-other")
+    assert [(r.doc_id, r.start, r.n_tokens) for r in token_files.read_token_files(spark, f"{shared_dir(spark)}/test-other").collect()] == [(4, 0, 3)]
+    token_files.write_token_files(df.limit(0), f"{shared_dir(spark)}/test-none")
+    assert token_files.read_token_files(spark, f"{shared_dir(spark)}/test-none").count() == 0
+
+
+def test_small_sources_come_near_their_targets_and_cut_texts_are_words_of_the_text(spark):
+    df = spark.createDataFrame([(1, "one two three", "a", "u", 1), (2, " four\tfive\n six ", "b", "u", 2), (None, "w " * 3000, "c", "u", 3), (None, None, None, "u", 4)], "doc_id long, text string, source string, taken string, size int")
+    got = {r.source: r for r in source_mixing.mix_sources(df.drop("taken", "size")).collect()}
+    for r in got.values():
+        assert abs(r.taken - r.target) <= max(1, r.target / 8), r
+    mixed = source_mixing.mixed_documents(df)
+    rows = mixed.collect()
+    assert mixed.columns == df.columns and {r.taken for r in rows} == {"u"}
+    text = {r.source: (r.text or "").split() for r in df.collect()}
+    words = {}
+    for r in rows:
+        w = r.text.split()
+        assert " ".join(w) in " ".join(text[r.source]) and w
+        words[r.source] = words.get(r.source, 0) + len(w)
+    assert words == {s: r.taken for s, r in got.items() if r.taken}

@@ -84,3 +84,41 @@ def test_phrases_part_the_windows():
     same = {}
     for (o, p), t in place.items():
         assert same.setdefault(rows[o][p : p + 20], t) == t
+
+
+def test_ranges_are_even_and_a_frequent_phrase_is_sent_once_a_task():
+    rng = random.Random(6)
+    common = "".join(rng.choices("abcdefgh ", k=700))
+    rows = ["".join(rng.choices("abcdefgh ", k=1500)) + common for _ in range(120)]
+    raw = np.frombuffer("".join(rows).encode(), np.uint8)
+    off = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    own, first, size, trigger, phrase = S.phrases(raw, off)
+    sent = {b.column(0)[0].as_py(): len(b.column(1)[0].as_py()) // 8 for b in S._deal([trigger, phrase, own.astype("<i8"), first, size], 16)}
+    assert len(sent) == 16 and max(sent.values()) < 3 * sum(sent.values()) / 16
+    asked = 0
+    for b in S._deal([trigger, phrase, own.astype("<i8"), first, size], 16):
+        seen = np.frombuffer(b.column(6)[0].as_py(), "u1")
+        asked += int((seen != S._KNOWN).sum())
+    assert asked == len(np.unique(phrase)) < len(phrase)
+
+
+def test_places_in_the_corpus():
+    rng = random.Random(9)
+    spellings = ["".join(rng.choices("ab", k=rng.randrange(12, 30))).encode() for _ in range(20)]
+    times = np.array([rng.choice([1, 1, 2]) for _ in spellings])
+    want = Counter()
+    for s, n in zip(spellings, times, strict=True):
+        for p in range(len(s) - 11):
+            want[s[p : p + 12]] += n
+    for s, places in zip(spellings, S.corpus_places(spellings, times, 12), strict=True):
+        assert places.tolist() == [want[s[p : p + 12]] for p in range(len(s) - 11)]
+
+
+def test_names_and_nulls_of_what_is_left(spark):
+    p = "".join(random.Random(2).choices("abcdefgh ", k=230))
+    df = spark.createDataFrame([(1, p + "x", "USER", 777, "s"), (2, "y" + p, "USER", 777, "s"), (3, None, None, None, None)], "doc_id long, text string, kept string, n_bytes int, _s_t1 string")
+    got = {r.doc_id: r for r in S.cut_documents(df).collect()}
+    assert S.cut_documents(df).columns == df.columns
+    assert [tuple(got[i]) for i in (1, 2, 3)] == [(1, "x", "USER", 777, "s"), (2, "y", "USER", 777, "s"), (3, None, None, None, None)]
+    full = S.suffix_dedup(df, with_text=True).where("doc_id = 3").first()
+    assert (full.n_bytes, full.n_removed, full.kept) == (0, 0, None)

@@ -7,6 +7,7 @@ from tokenizers import Tokenizer
 from tidewell.llm.packing import SEQUENCE, shortest_pack_first, slots
 from tidewell.llm.token_counts import allocate, lines
 from tidewell.llm.token_files import WaveletMatrix
+from tidewell.llm import tokens
 from tidewell.llm.tokens import Encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -14,7 +15,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def test_units_give_the_ids_of_whole_texts():
     plain = Tokenizer.from_file(PATH)
-    plain.encode_special_tokens = True
     rng = random.Random(3)
     letters = ["a", "the", " ", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "　", "é", "ß", "12", "!!", "'s", "'", "🙂", "\x00", "\r\n", "​", "<|endoftext|>"]
     texts = ["", " ", "  ", "a ", " a", "a  b", "a   b", "a \n b", "\n\n a", "a　 b", "a 　b"]
@@ -27,6 +27,26 @@ def test_units_give_the_ids_of_whole_texts():
         assert lengths[np.frombuffer(ids, "<u4")].sum() == len(text.encode())
 
 
+def test_marks_in_texts_are_what_the_library_makes_of_them():
+    plain = Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> ", " <|endoftext|>\n y", "<|endof text|> z"]
+    for text, ids in zip(texts, tokens.encoded(texts, PATH), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    assert np.frombuffer(next(tokens.encoded(texts, PATH)), "<u4").tolist() == [64, 220, 50256, 275]
+
+
+def test_long_texts_go_in_parts_and_words_are_forgotten(monkeypatch):
+    plain = Tokenizer.from_file(PATH)
+    rng = random.Random(8)
+    monkeypatch.setattr(tokens, "CACHE", 200)
+    monkeypatch.setattr(tokens, "KEPT", 50)
+    texts = [" ".join("".join(rng.choices("abcé,. \n", k=rng.randrange(9))) for _ in range(rng.randrange(300))) for _ in range(40)] + ["x" * 900, " " * 300, None]
+    for limit in (37, 500, 1 << 20):
+        for text, ids in zip(texts, tokens.encoded(texts, PATH, limit), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text or "", add_special_tokens=False).ids
+        assert len(tokens.encoder(PATH).rows) < 200 + 40 * 300
+
+
 def test_wavelet_matrix_agrees_with_a_list():
     rng = np.random.default_rng(1)
     for n, most in ((0, 1), (1, 1), (5, 50_000), (3000, 7), (5000, 60_000), (700, 2)):

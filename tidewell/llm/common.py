@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -20,11 +21,13 @@ U64 = np.uint64
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) is a local folder made and set.
+    Where that is unset, a session on one machine (tests, a laptop) gets a local folder;
+    on a cluster, whose executors could not read each other's folders, it is an error.
     """
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("tidewell.shared.dir", None)
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("tidewell.shared.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tidewell-shared-")
         spark.conf.set("tidewell.shared.dir", path)
     return path.rstrip("/")
@@ -41,17 +44,30 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Paths that stored() has written in this process and that nothing has cleared.
+_written: list[str] = []
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    Cuts lineage: a lost executor re-reads files instead of recomputing.
+    Cuts lineage: a lost executor re-reads files instead of recomputing.  The files stay
+    until clear_stored().
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), "tidewell", f"{label}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_stored(spark: SparkSession) -> None:
+    """Delete what stored() has written so far; for callers whose results are written, since results read these files."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column end to end, and len+1 offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -174,18 +190,18 @@ def lowered(raw: np.ndarray) -> np.ndarray:
     return _LOWER[raw]
 
 
-def component_table(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def component_table(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in ``edges`` (a long, b long); root is the component's least node.
 
     Alternates large-star and small-star steps; each is two aggregations by key, so no
     component is gathered in a task and the number of rounds grows with the log of a
-    component's diameter.
+    component's diameter.  Rounds go on until one changes nothing.
     """
     from pyspark.sql import functions as F
 
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     last = None
-    for _ in range(rounds):
+    while True:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -196,7 +212,5 @@ def component_table(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if mark == last:
             break
         last = mark
-    else:
-        raise RuntimeError("components did not settle")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -15,8 +15,8 @@ from tidewell.llm.tokens import END, encoded
 
 #: Ids of a sequence.
 SEQUENCE = 1024
-#: Rows that a bucket of equal lengths aims at, and the most buckets.
-BUCKET_ROWS, MOST_BUCKETS = 4096, 1024
+#: Pieces that a bucket of pieces of all lengths aims at.
+BUCKET_ROWS = 4096
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -97,7 +97,7 @@ def pack(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size: int
     spark = docs.sparkSession
     made = stored(pieces(docs, text=text, key=key, size=size, tokenizer=tokenizer, end=end), "pieces")
     counts = {r.length: r.n for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    buckets = max(1, min(MOST_BUCKETS, sum(counts.values()) // BUCKET_ROWS))
+    buckets = max(1, sum(counts.values()) // BUCKET_ROWS)
     dealt = made.withColumn("_b", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
     before = dealt.groupBy("length", "_b").agg(F.count("*").alias("_n"))
     before = before.select("length", "_b", (F.sum("_n").over(Window.partitionBy("length").orderBy("_b")) - F.col("_n")).alias("_before"))

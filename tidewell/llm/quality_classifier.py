@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import chunks, span_hashes, stored, word_spans
+from tidewell.llm.common import apart, chunks, span_hashes, stored, word_spans
 from tidewell.llm.ngram_join import shingle_sets
 from tidewell.llm.url_filters import parted
 
@@ -138,7 +138,8 @@ def fit(x: DataFrame, labels: DataFrame, *, label: str = "quality", held_out: in
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where("doc_id is not null and y is not null").withColumn("fold", fold_of(F.col("doc_id"))).where(F.col("fold") != held_out)
     share = min(1.0, most / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = stored(x.join(known, "doc_id").select("fold", "y", "x").coalesce(TASKS), "labelled")
+    # ``most`` labels are a table of bounded size, so the statistics stay where they are
+    rows = stored(x.join(F.broadcast(known), "doc_id").select("fold", "y", "x").repartition(TASKS), "labelled")
     flat = rows.select("fold", "y", *[F.col("x")[i].alias(f"x{i}") for i in range(N_STATISTICS)])
     got = flat.agg(F.count("*").alias("n"), F.avg("y").alias("y"), *[f(f"x{i}").alias(f"{f.__name__}{i}") for i in range(N_STATISTICS) for f in (F.avg, F.stddev_pop)]).first()
     if not got.n or got.y in (0.0, 1.0):
@@ -222,8 +223,9 @@ def good_documents(docs: DataFrame, labels: DataFrame, *, text: str = "text", ke
     x = stored(document_statistics(docs, text, key), "statistics")
     bad = stored(scored(x, fit(x, labels)).where("predicted = 0").select(F.col("text_hash").alias("_q_h")).distinct(), "rejected")
     # most rows are settled by a filter of bounded size, in place; the others by an exact join
-    sure, maybe = parted(docs.withColumn("_q_h", _hash(text)), bad, "_q_h")
-    return sure.unionByName(maybe.join(bad, "_q_h", "left_anti")).select(*docs.columns)
+    docs, names = apart(docs)
+    sure, maybe = parted(docs.withColumn("_q_h", _hash(names[text])), bad, "_q_h")
+    return sure.unionByName(maybe.join(bad, "_q_h", "left_anti")).select(*[F.col(c).alias(name) for name, c in names.items()])
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,18 +1,20 @@
 """Quality rules as a short-circuit cascade, ordered by rejection per cost.
 
 Statistics are array and string expressions over a document's own words and lines, so no
-row is exploded, shuffled or handed to Python.
+row is exploded, shuffled or handed to Python.  Those that the caller wants, and those of
+the base rules, are computed for every row; the others stand inside the cascade's CASE and
+are computed only for rows that no rule before has rejected.
 """
 
 from __future__ import annotations
 
-import time
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import stored
+from tidewell.llm.common import apart, stored
 
 #: Rows on which costs and rejections are estimated; they only set the order of rules.
 SAMPLE_ROWS = 2000
@@ -24,21 +26,41 @@ _SYMBOLS = "#*$%&|<>"
 
 class Rule(NamedTuple):
     name: str
-    fails: str  #: SQL over the columns of with_statistics()
-    needs: tuple[str, ...]  #: statistics it reads, for the estimate of its cost
+    fails: str  #: SQL over statistics
 
 
 BASE = (
-    Rule("short", "n_words < 50", ("n_words",)),
-    Rule("repetitive", "100 * n_repeat_words > 50 * n_words", ("n_words", "n_repeat_words")),
+    Rule("short", "n_words < 50"),
+    Rule("repetitive", "100 * n_repeat_words > 50 * n_words"),
 )
 RULES = (
-    Rule("symbols", "10 * n_symbols > 3 * n_words", ("n_words", "n_symbols")),
-    Rule("duplicate_lines", "2 * n_dup_lines > n_lines", ("n_lines", "n_dup_lines")),
-    Rule("word_length", "word_chars < 2 * n_words or word_chars > 16 * n_words", ("n_words", "word_chars")),
-    Rule("capitals", "2 * n_capitals > word_chars", ("n_capitals", "word_chars")),
+    Rule("symbols", "10 * n_symbols > 3 * n_words"),
+    Rule("duplicate_lines", "n_dup_lines > 0 and 2 * n_dup_lines > n_lines"),
+    Rule("word_length", "word_chars < 2 * n_words or word_chars > 16 * n_words"),
+    Rule("capitals", "2 * n_capitals > word_chars"),
 )
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_capitals", "n_repeat_words")
+#: Statistics as SQL over the text, for use inside the cascade, and how often each goes over the text's characters.
+_LINES = r"filter(split(_q_t, '\n'), x -> x rlike r'[^\x20\x09-\x0D]')"
+INLINE = {
+    "word_chars": (r"char_length(regexp_replace(_q_t, r'[\x20\x09-\x0D]+', ''))", 2),
+    "n_symbols": ("regexp_count(_q_t, '[#*$%&|<>]')", 1),
+    "n_lines": (f"size({_LINES})", 2),
+    "n_dup_lines": (f"transform(array({_LINES}), l -> size(l) - size(array_distinct(l)))[0]", 3),
+    "n_capitals": ("regexp_count(_q_t, '[A-Z]')", 1),
+}
+
+
+def names_in(sql: str) -> set[str]:
+    """Statistics that a rule reads."""
+    return {name for name in STATISTICS if re.search(rf"\b{name}\b", sql)}
+
+
+def _inlined(sql: str, eager: set[str]) -> Column:
+    for name, (made, _) in INLINE.items():
+        if name not in eager:
+            sql = re.sub(rf"\b{name}\b", lambda _, made=made: f"({made})", sql)
+    return F.expr(sql)
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -78,40 +100,62 @@ def with_statistics(docs: DataFrame, text: str = "text", only: tuple[str, ...] =
     return out.select(*keep, *stats, F.expr("aggregate(transform(_q_p, (p, k) -> coalesce(least(3, get(_q_p, k + 1) - p), 3)), 0L, (a, x) -> a + x)").alias("n_repeat_words"))
 
 
-def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """Rules by rejection per second, with both figures, from at most ``rows`` sampled rows.
+def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", rows: int = SAMPLE_ROWS, *, base: tuple[Rule, ...] = BASE, eager: set[str] | None = None) -> list[tuple[Rule, float, float]]:
+    """Rules by rejection per cost, with both figures, from about ``rows`` rows that a hash picks.
 
-    The order changes what is computed, never which documents are kept.
+    Rejection: the share of sampled rows, among those that pass the base rules, that the
+    rule rejects.  Cost: the characters that it goes over a row beyond the statistics in
+    ``eager``, which are there anyway, and one for its comparison.  Both depend on the rows
+    alone, so the order is the same in each run; it changes what is computed, never which
+    documents are kept.
     """
-    sample = stored(docs.select(text).sample(0.1, seed=7).limit(rows), "rules-sample")
-    found = []
-    for rule in rules:
-        began = time.perf_counter()
-        seen = with_statistics(sample, text, rule.needs).agg(F.avg(F.expr(rule.fails).cast("double"))).first()[0] or 0.0
-        found.append((rule, seen, time.perf_counter() - began))
-    return sorted(found, key=lambda x: (-x[1] / max(x[2], 1e-9), x[0].name))
+    eager = _eager(rules, base, ()) if eager is None else eager
+    share = min(1.0, rows / max(1, docs.count()))
+    plain = [c for c, kind in docs.dtypes if kind in ("string", "bigint", "int")]
+    sample = docs.where(F.pmod(F.xxhash64(*plain), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(F.col(text))
+    seen = with_statistics(sample, text, tuple(eager)).withColumn("_q_t", F.coalesce(F.col(text), F.lit("")))
+    # written first: a filter would be pushed into the statistics and repeat them
+    seen = stored(seen.withColumn("_q_n", F.char_length("_q_t")), "rules-sample")
+    got = seen.where(~_any(base)).agg(F.avg("_q_n"), *[F.avg(_inlined(r.fails, eager).cast("double")) for r in rules]).first()
+    cost = lambda r: 1 + sum(INLINE[n][1] for n in names_in(r.fails) - eager) * (got[0] or 0.0)
+    found = [(r, got[i + 1] or 0.0, cost(r)) for i, r in enumerate(rules)]
+    return sorted(found, key=lambda x: (-x[1] / x[2], x[2], x[0].name))
+
+
+def _any(rules: tuple[Rule, ...]) -> Column:
+    return F.expr(" or ".join(f"({r.fails})" for r in rules) or "false")
+
+
+def _eager(rules: tuple[Rule, ...], base: tuple[Rule, ...], wanted: tuple[str, ...]) -> set[str]:
+    """Statistics for every row: those wanted, those of the base rules and those that can't stand inside a CASE."""
+    return {*wanted}.union(*(names_in(r.fails) for r in base), *(names_in(r.fails) - INLINE.keys() for r in rules))
 
 
-def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text: str = "text", base: tuple[Rule, ...] = BASE) -> DataFrame:
-    """Add the statistics, base_failed, failed_rule and kept to ``docs``.
+def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text: str = "text", base: tuple[Rule, ...] = BASE, statistics: tuple[str, ...] = STATISTICS) -> DataFrame:
+    """Add ``statistics``, base_failed, failed_rule and kept to ``docs``.
 
     A row that fails a base rule is not kept.  Others meet ``rules`` one after another in
     the order of order_rules(), as one CASE expression that stops at the first failure
-    (failed_rule).  Null or empty text has no words and fails the base.  Columns of
-    ``docs`` with the names made here are replaced; each input row gives one row.
+    (failed_rule); statistics that are not asked for are computed there, for the rows that
+    get so far.  Null or empty text has no words and fails the base; long texts are gone
+    over as a whole.  Columns of ``docs`` with the names made here are replaced, all others
+    stay; each input row, repeated or not, gives one row, an empty table none.
     """
-    clash = {*STATISTICS, "base_failed", "failed_rule", "kept"}
-    docs = docs.select(*[c for c in docs.columns if c not in clash])
-    made = with_statistics(docs, text).withColumn("base_failed", F.expr(" or ".join(f"({r.fails})" for r in base)))
+    made = [*statistics, "base_failed", "failed_rule", "kept"]
+    docs, names = apart(docs)
+    eager = _eager(rules, base, statistics)
+    out = with_statistics(docs, names[text], tuple(eager)).withColumn("base_failed", _any(base)).withColumn("_q_t", F.coalesce(F.col(names[text]), F.lit("")))
     case = F.when(F.col("base_failed"), F.lit("base"))
-    for rule, _, _ in order_rules(docs, rules, text):
-        case = case.when(F.expr(rule.fails), F.lit(rule.name))
-    return made.withColumn("failed_rule", case).withColumn("kept", F.col("failed_rule").isNull())
+    for rule, _, _ in order_rules(docs, rules, names[text], base=base, eager=eager):
+        case = case.when(_inlined(rule.fails, eager), F.lit(rule.name))
+    out = out.withColumn("failed_rule", case).withColumn("kept", F.col("failed_rule").isNull())
+    return out.select(*[F.col(c).alias(name) for name, c in names.items() if name not in made], *made)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return quality_cascade(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return quality_cascade(docs, statistics=columns).select("doc_id", *columns, "base_failed", "kept")
 
 
 ORACLE = r"""

@@ -8,10 +8,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import stored
+from tidewell.llm.common import apart, stored
 
-#: Words of a block, words that a shard aims at, and the most shards and (source, shard) quotas.
-BLOCK_WORDS, SHARD_WORDS, MOST_SHARDS, MOST_QUOTAS = 256, 200_000, 4096, 400_000
+#: Words of a block at most, words that a shard aims at, and the most (source, shard) quotas.
+BLOCK_WORDS, SHARD_WORDS, MOST_QUOTAS = 256, 200_000, 400_000
+#: Blocks that the smallest target is at least cut into.
+LEAST_BLOCKS = 16
 #: A document is repeated this many times at most.
 REPEATS = 3
 SEED = 20240607
@@ -89,30 +91,38 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), text
     document is taken; ``cuts``: word ranges [from, to) that are taken once more.  No
     document is taken more than three times.  The same rows give the same mix.
 
-    Null or empty text has size 0 and is never taken; a null source is a source; null ids
-    go to one shard like any id; repeated rows count as rows of their own; an empty table
-    gives an empty one.  Columns with the names made here are replaced.  The driver sees
-    one number a source and shard, at most MOST_QUOTAS of them.
+    A block has ``block_words`` words, fewer where the smallest target would else have less
+    than LEAST_BLOCKS of them, so that small sources come near their targets too.
+
+    Null or empty text has size 0 and is never taken; a null source is a source; rows with
+    null ids go to shards by their text; repeated rows count as rows of their own; an empty
+    table gives an empty one.  Columns with the names made here are replaced, all others
+    stay.  The driver sees one number a source and shard, at most MOST_QUOTAS of them; more
+    than half as many sources are an error, found before any number is fetched.
     """
-    return _mixed(sized_rows(docs, text=text, key=key, seed=seed), weights, source, block_words, seed)
+    docs, names = apart(docs)
+    sized = sized_rows(docs, text=names[text], key=names[key], seed=seed)
+    out = _mixed(sized, weights, names[source], block_words, seed)
+    return out.select(*[F.col(c).alias(name) for name, c in names.items() if name not in MADE], *MADE)
 
 
 def sized_rows(docs: DataFrame, *, text: str = "text", key: str = "doc_id", seed: int = SEED) -> DataFrame:
     """``docs`` with size, the hash that deals rows to shards and the seeded order."""
-    docs = docs.select(*[c for c in docs.columns if c not in MADE])
-    rows = docs.withColumn("size", n_words(F.col(text))).withColumn("_m_h", F.xxhash64(F.col(key), F.lit(seed)))
+    by = F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key), F.lit(seed))).otherwise(F.xxhash64(F.lit(seed), F.col(text)))
+    rows = docs.withColumn("size", n_words(F.col(text))).withColumn("_m_h", by)
     return rows.withColumn("_m_o", F.xxhash64(F.col("_m_h"), F.col(text)))
 
 
 def _mixed(sized: DataFrame, weights: tuple[float, ...], source: str, block_words: int, seed: int) -> DataFrame:
     spark = sized.sparkSession
-    per = sized.groupBy(F.col(source).alias("s")).agg(F.sum("size").alias("n")).collect()
-    per = sorted(per, key=lambda r: (r.s is None, (r.s or "").encode("utf-32-be")))
-    if len(per) > MOST_QUOTAS // 2:
+    per = stored(sized.groupBy(F.col(source).alias("s")).agg(F.sum("size").alias("n")), "mix-sources")
+    if per.count() > MOST_QUOTAS // 2:
         raise ValueError(f"more than {MOST_QUOTAS // 2} sources")
+    per = sorted(per.collect(), key=lambda r: (r.s is None, (r.s or "").encode("utf-32-be")))
     sizes = [int(r.n) for r in per]
     targets = shared_targets(sizes, [weights[i % len(weights)] for i in range(len(per))])
-    shards = max(1, min(MOST_SHARDS, sum(sizes) // SHARD_WORDS, MOST_QUOTAS // max(1, len(per))))
+    shards = max(1, min(sum(sizes) // SHARD_WORDS, MOST_QUOTAS // max(1, len(per))))
+    block_words = max(1, min(block_words, int(min([t for t in targets if t > 0], default=1)) // LEAST_BLOCKS))
     table = spark.createDataFrame([(i, r.s, sizes[i], targets[i]) for i, r in enumerate(per)], "_m_i int, _m_s string, source_size long, target double")
     rows = sized.join(F.broadcast(table), F.col(source).eqNullSafe(F.col("_m_s"))).drop("_m_s").withColumn("_m_k", F.pmod("_m_h", F.lit(shards)).cast("int"))
     cells = rows.groupBy("_m_i", "_m_k").agg(F.sum("size").alias("n")).where("n > 0").collect()
@@ -157,21 +167,24 @@ def _quotas(cells: list, targets: list[float], block: int, seed: int) -> list[tu
     return made
 
 
-def mixed_documents(docs: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), text: str = "text") -> DataFrame:
+def mixed_documents(docs: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
     """The mix itself: ``docs`` with each document as often, and with those words, as taken.
 
     Whole copies keep their text; a cut holds the text from its first word to its last.
+    All columns stay, whatever their names; n_chars, where there is one, follows the text.
+    See mix_sources() for null and empty values, repeated rows and empty tables.
     """
-    columns = docs.columns
-    mixed = mix_sources(docs, weights=weights, text=text)
+    docs, names = apart(docs)
+    mixed = mix_sources(docs, weights=weights, text=names[text], source=names[source], key=names[key])
     copies = F.when(F.col("whole") > 0, F.array_repeat(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").alias("end")), F.col("whole").cast("int"))).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
-    spans = mixed.withColumn("_m_span", F.explode(F.concat(copies, F.col("cuts"))))
-    whole = (F.col("_m_span.start") == 0) & (F.col("_m_span.end") == F.col("size"))
-    part = F.array_join(F.slice(F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?![\x20\x09-\x0D])"), (F.col("_m_span.start") + 1).cast("int"), (F.col("_m_span.end") - F.col("_m_span.start")).cast("int")), "")
-    spans = spans.withColumn(text, F.when(whole, F.col(text)).otherwise(part))
-    if "n_chars" in columns:
-        spans = spans.withColumn("n_chars", F.char_length(text).cast("long"))
-    return spans.select(*columns)
+    spans = mixed.withColumn("span", F.explode(F.concat(copies, F.col("cuts"))))
+    t, lo, hi = F.col(names[text]), F.col("span.start"), F.col("span.end")
+    words = F.split(F.regexp_replace(t, r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?![\x20\x09-\x0D])")
+    part = F.array_join(F.slice(words, (lo + 1).cast("int"), (hi - lo).cast("int")), "")
+    spans = spans.withColumn(names[text], F.when((lo == 0) & (hi == F.col("size")), t).otherwise(part))
+    if "n_chars" in names:
+        spans = spans.withColumn(names["n_chars"], F.char_length(names[text]).cast(docs.schema[names["n_chars"]].dataType))
+    return spans.select(*[F.col(c).alias(name) for name, c in names.items()])
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,8 +64,8 @@ class WaveletMatrix:
         for level in range(self.bits - 1, -1, -1):
             ones = np.unpackbits(self.planes[level], count=self.n).view(bool)
             now = np.empty(self.n, kind)
-            np.place(now, ~ones, out[: self.zeros[level]])
-            np.place(now, ones, out[self.zeros[level] :] | kind(1 << (self.bits - 1 - level)))
+            now[np.flatnonzero(~ones)] = out[: self.zeros[level]]
+            now[np.flatnonzero(ones)] = out[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
             out = now
         return out
 

@@ -6,6 +6,8 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -13,20 +15,34 @@ import pyarrow.compute as pc
 
 #: The tokenizer of the queries, and the id that ends each document.
 TOKENIZER, END = "byte_bpe_50k.json", 0
-#: Entries of a worker's unit cache before it starts anew.
-CACHE = 500_000
+#: Words that a worker remembers at most, and those that it keeps when it has as many.
+CACHE, KEPT = 300_000, 100_000
+#: Characters of text, and new words, that are encoded together.
+TOGETHER, TOGETHER_WORDS = 1 << 21, 50_000
 
 _TEARS = re.compile(r" (?=\S)")
 _SPACE = "\u0120"  # the letter that stands for a space in byte-level vocabularies
 _open: dict[str, Encoder] = {}
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself where it prints, else one from 256 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(others)) for b in range(256)]
+
+
+_LETTERS = {b: letter for b, letter in enumerate(byte_letters())}
+_SPACE = _LETTERS[0x20]
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
     A byte-level tokenizer with the usual word pattern never makes a token across the
     place before a space that stands before a non-space; so texts are torn there and each
-    distinct unit is encoded once.  Other tokenizers get whole texts.
+    distinct word is encoded once.  Texts that hold an added token, such as a mark of a
+    text's end, and other tokenizers get whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -34,89 +50,118 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
-        self.cache: dict[str, bytes] = {}
+        self._forget()
         if self.byte_level:
             vocab = self.tokenizer.get_vocab()
+            #: the same vocabulary for words that are parted already
+            self.bare = Tokenizer(self.tokenizer.model)
             self.begins = np.zeros(max(vocab.values()) + 1, bool)
             self.begins[[i for token, i in vocab.items() if token.startswith(_SPACE)]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _units(self, units: list[str]) -> list[bytes]:
-        """Ids of each unit, from the cache where it has them."""
-        if len(self.cache) > CACHE:
-            self.cache = {}
-        get = self.cache.get
-        found = list(map(get, units))
-        missing = [i for i, x in enumerate(found) if x is None]
-        if missing:
-            new = [units[i] for i in missing]
-            ids = self._ids(new)
-            self.cache.update(zip(new, ids, strict=True))
-            for i, x in zip(missing, ids, strict=True):
-                found[i] = x
-        return found
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.byte_level:
+        if not self.byte_level or not texts:
             return self._ids(texts)
-        out = self._plain(texts)
+        column = pa.array(texts, pa.large_string())
+        whole = np.zeros(len(texts), bool)
+        for token in self.added:
+            whole |= pc.match_substring(column, token).to_numpy(zero_copy_only=False)
+        out = self._plain(column)
+        for i in np.flatnonzero(whole).tolist():
+            out[i] = self._ids(texts[i : i + 1])[0]
         for i in [i for i, ids in enumerate(out) if ids is None]:
-            first, *rest = _TEARS.split(texts[i])
-            out[i] = b"".join(self._units([first, *map(" ".__add__, rest)]))
+            head, *rest = _TEARS.split(texts[i])
+            out[i] = b"".join(self._ids([head, *map(" ".__add__, rest)]))
         return out
 
-    def _spaced(self, words: list[str]) -> list[bytes]:
-        """Ids of a space and each word; words without spaces go in as one text, and the ids with a space begin anew."""
-        if len(self.cache) > CACHE:
-            self.cache = {}
-        get = self.cache.get
-        units = [" " + w for w in words]
-        found = list(map(get, units))
-        missing = [i for i, x in enumerate(found) if x is None and words[i]]
-        for lo in range(0, len(missing), 50_000):
-            part = missing[lo : lo + 50_000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join([units[i] for i in part])], add_special_tokens=False)[0].ids, "<u4")
-            cut = np.flatnonzero(self.begins[ids])
-            if len(cut) != len(part):
-                raise ValueError("a token with a space inside")
-            for i, a, b in zip(part, cut.tolist(), [*cut[1:].tolist(), len(ids)], strict=True):
-                found[i] = self.cache[units[i]] = ids[a:b].tobytes()
-        return [x or b"" for x in found]
-
-    def _plain(self, texts: list[str]) -> list[bytes | None]:
+    def _forget(self) -> None:
+        """No words are known: their rows, and by row the ids, where they end and in how many calls the word came."""
+        self.rows: dict[str, int] = {}
+        self.flat, self.ends, self.calls = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def _keep(self, n: int) -> None:
+        """Forget all words but the ``n`` that came in most calls."""
+        best = np.sort(np.argsort(-self.calls, kind="stable")[:n])
+        words, size = list(self.rows), np.diff(self.ends)
+        taken = np.zeros(len(size), bool)
+        taken[best] = True
+        self.rows = {words[i]: k for k, i in enumerate(best.tolist())}
+        self.flat, self.ends, self.calls = self.flat[np.repeat(taken, size)], np.concatenate([[0], np.cumsum(size[best])]), self.calls[best] // 2
+
+    def _row_of(self, words: list[str]) -> np.ndarray:
+        """Row of each word: its ids after a space.  Words hold no spaces and begin with no white space.
+
+        New words go in as one text, those of plain letters as a list; ids with a space begin anew.
+        """
+        found = list(map(self.rows.get, words))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            easy = [words[i].isascii() and words[i].isalpha() for i in missing]
+            plain = sum(easy)
+            missing = [*compress(missing, easy), *compress(missing, map(not_, easy))]
+            new = [words[i] for i in missing]
+            sizes, parts = [], [self.flat]
+            for lo in (*range(0, plain, TOGETHER_WORDS), *range(plain, len(new), TOGETHER_WORDS)):
+                some = new[lo : min(lo + TOGETHER_WORDS, plain if lo < plain else len(new))]
+                if lo < plain:  # words of ASCII letters are one piece each and stand for themselves
+                    got = self.bare.encode_batch_fast([[_SPACE + w for w in some]], is_pretokenized=True, add_special_tokens=False)
+                else:
+                    got = self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)
+                ids = np.array(got[0].ids, "<u4")
+                cut = np.flatnonzero(self.begins[ids])
+                if len(cut) != len(some):
+                    raise ValueError("a token with a space inside")
+                sizes.append(np.diff(np.append(cut, len(ids))))
+                parts.append(ids)
+            size, n = np.concatenate(sizes), len(self.rows)
+            self.flat = np.concatenate(parts)
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
+            self.calls = np.concatenate([self.calls, np.zeros(len(new), np.int32)])
+            self.rows.update(zip(new, range(n, n + len(new)), strict=True))
+            for i, k in zip(missing, range(n, n + len(new)), strict=True):
+                found[i] = k
+        rows = np.array(found, np.int64)
+        self.calls[rows] += 1
+        return rows
+
+    def _plain(self, column: pa.Array) -> list[bytes | None]:
         """Ids of texts whose units are what single spaces part, None for others.
 
         Words are numbered, and the ids of the numbers gathered.
         """
-        column = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-        off = column.offsets.to_numpy()
-        coded = column.flatten().dictionary_encode()
+        if len(self.rows) > CACHE:
+            self._keep(KEPT)
+        units = pc.split_pattern(column, " ")
+        off = units.offsets.to_numpy()
+        coded = units.flatten().dictionary_encode()
         at = coded.indices.to_numpy().astype(np.int64)
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False)
         # a space before white space or the end is not torn off: such texts are left to the caller
-        odd = np.array([not w or w[0].isspace() for w in words], bool)
-        lead = at[off[:-1]]
+        first = pc.utf8_slice_codeunits(coded.dictionary, 0, 1)
+        odd = pc.or_(pc.equal(first, ""), pc.utf8_is_space(first)).to_numpy(zero_copy_only=False)
         bad = odd[at]
         bad[off[:-1]] = False
-        bad = np.logical_or.reduceat(bad, off[:-1]) if bad.any() else np.zeros(len(texts), bool)
-        table = self._spaced([w if not o else "" for w, o in zip(words, odd, strict=True)])
-        firsts = [words[i] for i in lead.tolist()]
+        bad = np.logical_or.reduceat(bad, off[:-1])
         # a text's first unit has no space before it
-        at[off[:-1]] = len(table) + np.arange(len(firsts))
-        table += self._units(firsts)
-        n = np.array(list(map(len, table)), np.int64) >> 2
-        flat = np.frombuffer(b"".join(table), "<u4")
-        begin = (np.cumsum(n) - n)[at]
-        size = n[at]
-        end = np.cumsum(size)
-        ids = flat[np.repeat(begin - (end - size), size) + np.arange(end[-1])]
+        firsts = self._ids(words[at[off[:-1]]].tolist())
+        row = np.zeros(len(words), np.int64)
+        row[~odd] = self._row_of(words[~odd].tolist())
+        known = len(self.ends) - 1
+        flat = np.concatenate([self.flat, np.frombuffer(b"".join(firsts), "<u4")])
+        size = np.concatenate([np.diff(self.ends), np.array(list(map(len, firsts)), np.int64) >> 2])
+        begin = np.cumsum(size) - size
+        at = row[at]
+        at[off[:-1]] = known + np.arange(len(firsts))
+        n = size[at]
+        end = np.cumsum(n)
+        ids = flat[np.repeat(begin[at] - (end - n), n) + np.arange(end[-1])]
         cut = np.concatenate([[0], end])[off]
         return [None if o else ids[a:b].tobytes() for a, b, o in zip(cut[:-1].tolist(), cut[1:].tolist(), bad.tolist(), strict=True)]
 
@@ -140,14 +185,32 @@ def encoder(path: str | None = None) -> Encoder:
     return _open[path]
 
 
-def encoded(texts: list[str | None], path: str | None = None, limit: int = 1 << 21) -> Iterator[bytes]:
-    """Ids of each text (null: empty), a few megabytes of text at a time."""
-    enc, held, size = encoder(path), [], 0
+def torn(text: str, limit: int) -> list[str]:
+    """``text`` in parts of about ``limit`` characters, torn before a space that stands before a non-space."""
+    out, lo = [], 0
+    while len(text) - lo > limit:
+        tear = _TEARS.search(text, lo + limit)
+        if not tear:
+            break
+        out.append(text[lo : tear.start()])
+        lo = tear.start()
+    return [*out, text[lo:]]
+
+
+def encoded(texts: list[str | None], path: str | None = None, limit: int = TOGETHER) -> Iterator[bytes]:
+    """Ids of each text (null: empty), some megabytes of text at a time; longer texts go in parts."""
+    enc = encoder(path)
+    held: list[str] = []
+    size = 0
     for text in texts:
-        held.append(text or "")
-        size += len(held[-1])
-        if size >= limit:
+        text = text or ""
+        if held and size + len(text) > limit:
             yield from enc.encode(held)
             held, size = [], 0
+        if len(text) > limit and enc.byte_level and not any(t in text for t in enc.added):
+            yield b"".join([enc.encode([part])[0] for part in torn(text, limit)])
+            continue
+        held.append(text)
+        size += len(text)
     if held:
         yield from enc.encode(held)

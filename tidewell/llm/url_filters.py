@@ -30,10 +30,8 @@ RULES = (
     Rule("block", "net", "/fr/"),
 )
 
-#: Labels of hosts whose pages are on the block list that the query is run with.
-LISTED_LABELS = ("ads-track", "spam-farm")
-#: All labels of junk hosts; some of their pages are on hosts that no rule decides.
-JUNK_LABELS = (*LISTED_LABELS, "adult-x", "casino-win", "cheap-pills", "free-bets")
+#: Labels of junk hosts, whose pages are on the block list of the queries; some are on hosts that no rule decides.
+JUNK_LABELS = ("ads-track", "spam-farm", "adult-x", "casino-win", "cheap-pills", "free-bets")
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?"
@@ -132,7 +130,7 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = RULE
     )
 
 
-def listed_urls(pages: DataFrame, labels: Sequence[str] = LISTED_LABELS) -> DataFrame:
+def listed_urls(pages: DataFrame, labels: Sequence[str] = JUNK_LABELS) -> DataFrame:
     """The query's block list: URLs of pages on hosts with a listed label."""
     return pages.where(host_of(F.col("url")).rlike(r"(^|\.)(" + "|".join(labels) + r")\.")).select("url")
 
@@ -143,9 +141,9 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_junk_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with all junk hosts on the list, so that the list decides pages that no rule fits."""
+    """The pages that the list decides: no rule fits them and they are blocked."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return url_filter(pages, listed_urls(pages, JUNK_LABELS)).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter(pages, listed_urls(pages)).where("rule is null and verdict = 'block'").select("page_id", "host", "path", "rule", "verdict")
 
 
 ORACLE = r"""
@@ -163,9 +161,9 @@ c AS (
   SELECT page_id, host,
     host || regexp_replace(path, '/+$', '') || regexp_replace(regexp_replace(regexp_replace(query, '(utm_[^&=]*|\bref)=[^&]*(&|$)', '', 'g'), '&+$', ''), '[?&]+$', '') AS key
   FROM p),
-l AS (SELECT DISTINCT key FROM c WHERE regexp_matches(host, '(^|\.)(ads-track|spam-farm)\.'))
+l AS (SELECT DISTINCT key FROM c WHERE regexp_matches(host, '(^|\.)(ads-track|spam-farm|adult-x|casino-win|cheap-pills|free-bets)\.'))
 SELECT p.page_id, p.host, p.path, best.rule,
   coalesce(best.verdict, CASE WHEN c.key <> '' AND c.key IN (SELECT key FROM l) THEN 'block' ELSE 'allow' END) AS verdict
 FROM p JOIN c USING (page_id) LEFT JOIN best ON best.page_id = p.page_id AND best.k = 1
 """
-JUNK_ORACLE = ORACLE.replace("(" + "|".join(LISTED_LABELS) + ")", "(" + "|".join(JUNK_LABELS) + ")")
+JUNK_ORACLE = f"SELECT * FROM ({ORACLE}) WHERE rule IS NULL AND verdict = 'block'"
