@@ -186,10 +186,10 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 r = batch.slice(i, 1).to_pylist()[0]
-                ids = WaveletMatrix(r["n"], r["zeros"], r["planes"], r["ranks"]).decode()
+                ids = memoryview(WaveletMatrix(r["n"], r["zeros"], r["planes"], r["ranks"]).decode().astype("<u4"))
                 n = np.array(r["doc_tokens"], np.int64)
                 ends = np.cumsum(n)
-                crc = [zlib.crc32(ids[b - k : b].astype("<u4").tobytes()) for b, k in zip(ends, n, strict=True)]
+                crc = [zlib.crc32(ids[b - k : b]) for b, k in zip(ends.tolist(), n.tolist(), strict=True)]
                 k = len(n)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r["part"]] * k, pa.int32()), pa.array([r["shard"]] * k, pa.int32()), pa.array(r["doc_ids"], pa.int64()), pa.array(ends - n), pa.array(n), pa.array(crc, pa.int64())],
@@ -207,7 +207,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null text is empty; null ids come first; repeated ids are ordered by text."""
+    """Null text is empty; null ids come first; repeated ids are ordered by text; long texts are encoded in parts."""
     import uuid
 
     path = f"{shared_dir(spark)}/tidewell/token-files-{uuid.uuid4().hex}"

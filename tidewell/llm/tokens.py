@@ -6,8 +6,6 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import compress
-from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +19,8 @@ CACHE, KEPT = 300_000, 100_000
 TOGETHER, TOGETHER_WORDS = 1 << 21, 50_000
 
 _TEARS = re.compile(r" (?=\S)")
-_SPACE = "\u0120"  # the letter that stands for a space in byte-level vocabularies
-_open: dict[str, Encoder] = {}
+#: First character beyond those that every table of letters agrees on.
+_LATIN = "\u0250"
 
 
 def byte_letters() -> list[str]:
@@ -32,8 +30,9 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in prints else chr(next(others)) for b in range(256)]
 
 
-_LETTERS = {b: letter for b, letter in enumerate(byte_letters())}
+_LETTERS = dict(enumerate(byte_letters()))
 _SPACE = _LETTERS[0x20]
+_open: dict[str, Encoder] = {}
 
 
 class Encoder:
@@ -60,6 +59,7 @@ class Encoder:
             vocab = self.tokenizer.get_vocab()
             #: the same vocabulary for words that are parted already
             self.bare = Tokenizer(self.tokenizer.model)
+            self.marks = {c: vocab[c] for c in ".,;:!?" if c in vocab}
             self.begins = np.zeros(max(vocab.values()) + 1, bool)
             self.begins[[i for token, i in vocab.items() if token.startswith(_SPACE)]] = True
 
@@ -95,38 +95,64 @@ class Encoder:
         self.rows = {words[i]: k for k, i in enumerate(best.tolist())}
         self.flat, self.ends, self.calls = self.flat[np.repeat(taken, size)], np.concatenate([[0], np.cumsum(size[best])]), self.calls[best] // 2
 
-    def _row_of(self, words: list[str]) -> np.ndarray:
-        """Row of each word: its ids after a space.  Words hold no spaces and begin with no white space.
+    def _learn(self, words: list[str], letters: bool) -> None:
+        """Rows for new words, whose ids with a space begin anew.  Words of letters are one piece each, so they
+        need no parting; others go in as one text."""
+        sizes, parts = [], [self.flat]
+        for lo in range(0, len(words), TOGETHER_WORDS):
+            some = words[lo : lo + TOGETHER_WORDS]
+            if letters:
+                spelt = [_SPACE + (w if w.isascii() else w.encode().decode("latin-1").translate(_LETTERS)) for w in some]
+                got = self.bare.encode_batch_fast([spelt], is_pretokenized=True, add_special_tokens=False)
+            else:
+                got = self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)
+            ids = np.array(got[0].ids, "<u4")
+            cut = np.flatnonzero(self.begins[ids])
+            if len(cut) != len(some):
+                raise ValueError("a token with a space inside")
+            sizes.append(np.diff(np.append(cut, len(ids))))
+            parts.append(ids)
+        if words:
+            self._add(words, np.concatenate(parts), np.concatenate(sizes))
+
+    def _add(self, words: list[str], flat: np.ndarray, size: np.ndarray) -> None:
+        n = len(self.rows)
+        self.flat = flat
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
+        self.calls = np.concatenate([self.calls, np.zeros(len(words), np.int32)])
+        self.rows.update(zip(words, range(n, n + len(words)), strict=True))
 
-        New words go in as one text, those of plain letters as a list; ids with a space begin anew.
-        """
+    def _row_of(self, words: list[str]) -> np.ndarray:
+        """Row of each distinct word: its ids after a space.  Words hold no spaces and begin with no white space."""
         found = list(map(self.rows.get, words))
         missing = [i for i, x in enumerate(found) if x is None]
         if missing:
-            easy = [words[i].isascii() and words[i].isalpha() for i in missing]
-            plain = sum(easy)
-            missing = [*compress(missing, easy), *compress(missing, map(not_, easy))]
-            new = [words[i] for i in missing]
-            sizes, parts = [], [self.flat]
-            for lo in (*range(0, plain, TOGETHER_WORDS), *range(plain, len(new), TOGETHER_WORDS)):
-                some = new[lo : min(lo + TOGETHER_WORDS, plain if lo < plain else len(new))]
-                if lo < plain:  # words of ASCII letters are one piece each and stand for themselves
-                    got = self.bare.encode_batch_fast([[_SPACE + w for w in some]], is_pretokenized=True, add_special_tokens=False)
+            plain: dict[str, None] = {}
+            marked, others = [], []
+            for i in missing:
+                w = words[i]
+                if w.isalpha() and (w.isascii() or max(w) < _LATIN):
+                    plain[w] = None
+                elif w[-1] in self.marks and (x := w[:-1]).isalpha() and (x.isascii() or max(x) < _LATIN):
+                    marked.append(w)
+                    if x not in self.rows:
+                        plain[x] = None
                 else:
-                    got = self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)
-                ids = np.array(got[0].ids, "<u4")
-                cut = np.flatnonzero(self.begins[ids])
-                if len(cut) != len(some):
-                    raise ValueError("a token with a space inside")
-                sizes.append(np.diff(np.append(cut, len(ids))))
-                parts.append(ids)
-            size, n = np.concatenate(sizes), len(self.rows)
-            self.flat = np.concatenate(parts)
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
-            self.calls = np.concatenate([self.calls, np.zeros(len(new), np.int32)])
-            self.rows.update(zip(new, range(n, n + len(new)), strict=True))
-            for i, k in zip(missing, range(n, n + len(new)), strict=True):
-                found[i] = k
+                    others.append(w)
+            self._learn(list(plain), True)
+            self._learn(others, False)
+            if marked:  # a word of letters and the piece of one mark
+                at = np.array([self.rows[w[:-1]] for w in marked])
+                size = np.diff(self.ends)[at]
+                ends = np.cumsum(size + 1)
+                flat = np.empty(ends[-1], "<u4")
+                flat[ends - 1] = [self.marks[w[-1]] for w in marked]
+                first = ends - size - 1
+                step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                flat[np.repeat(first, size) + step] = self.flat[np.repeat(self.ends[at], size) + step]
+                self._add(marked, np.concatenate([self.flat, flat]), size + 1)
+            for i in missing:
+                found[i] = self.rows[words[i]]
         rows = np.array(found, np.int64)
         self.calls[rows] += 1
         return rows
