@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import redaction as R
@@ -75,3 +76,24 @@ def test_trust_and_confidence(spark):
 def test_epochs_that_no_clock_shows(spark):
     r = spark.sql("select 1700000000.1239D s union all select double('nan') union all select 1e13D union all select null").select(C.instant_of_epoch(F.col("s")).alias("t")).collect()
     assert [x.t for x in r] == ["2023-11-14T22:13:20.123Z", None, None, None]
+
+
+def test_since():
+    from datetime import UTC, datetime, timedelta
+
+    now = datetime(2024, 3, 1, tzinfo=UTC)
+    assert T.since("90d", now) == now - timedelta(days=90) and T.since(" 45m ", now) == now - timedelta(minutes=45)
+    assert T.since("2024-02-29", now) == datetime(2024, 2, 29, tzinfo=UTC)
+    assert T.since("2024-02-29T01:00:00+01:00", now) == datetime(2024, 2, 29, tzinfo=UTC)
+    for bad in ("", "d", "5w", "2024-13-01", "99999999999d", "yesterday"):
+        with pytest.raises(ValueError):
+            T.since(bad, now)
+
+
+def test_capped_text_has_whole_characters(spark):
+    for n in range(8):
+        raw = "a" * n + "é🙂ß🙂"
+        for most in range(1, 12):
+            cut = raw.encode()[:most].decode("utf-8", "ignore")
+            want = raw if len(raw.encode()) <= most else cut + "..."
+            assert one(spark, lambda t, most=most: T.capped(t, most, "..."), raw) == want

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ _RUNS = r"[A-Za-z0-9+/=_-]+|[^A-Za-z0-9+/=_-]+"
 def marker_rules(text: Column) -> Column:
     """Sorted names of the rules whose markers the text has."""
     rules = F.array(*[F.when(text.contains(m), F.lit(rule)) for m, rule in MARKERS])
-    return F.when(text.rlike(any_of(tuple(m for m, _ in MARKERS))), F.array_sort(F.array_distinct(F.array_compact(rules)))).otherwise(F.array().cast("array<string>"))
+    return F.array_sort(F.array_distinct(F.array_compact(rules)))
 
 
 def _rebuilt(text: Column, pattern: str, found: object, mark: str) -> Column:
@@ -42,7 +44,7 @@ def _rebuilt(text: Column, pattern: str, found: object, mark: str) -> Column:
 
 
 def without_uri_passwords(text: Column) -> Column:
-    return F.regexp_replace(text, URI, "$1[redacted]$2")
+    return F.when(text.contains("://"), F.regexp_replace(text, URI, "$1[redacted]$2")).otherwise(text)
 
 
 def without_cards(text: Column) -> Column:
@@ -75,6 +77,11 @@ def _prefix_pattern(prefix: str, least: int) -> str:
     return rf"({any_of((prefix,))})[A-Za-z0-9+/=_-]{{{least},}}"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def scrub(text: Column, tool_output: Column | bool = False) -> Column:
     """struct(status, rules, text): clean, redacted or quarantined, the rules that fired, and what may be kept.
 
@@ -82,22 +89,28 @@ def scrub(text: Column, tool_output: Column | bool = False) -> Column:
     result: URI passwords, card numbers, SSNs, prefixed tokens and, in tool output, random runs.
     """
     out = F.lit(tool_output) if isinstance(tool_output, bool) else tool_output
-    markers = marker_rules(text)
-    withheld = F.concat(F.lit("[withheld, "), F.octet_length(text).cast("string"), F.lit(" bytes, "), content_hash(text), F.lit("]"))
-    uri = without_uri_passwords(text)
-    card = without_cards(uri)
-    ssn = without_ssns(card)
-    rules = [F.when(uri != text, F.lit("uri_credentials")), F.when(card != uri, F.lit("card_number")), F.when(ssn != card, F.lit("ssn"))]
-    token = ssn
-    for prefix, rule, least in PREFIXES:
-        rules.append(F.when(ssn.rlike(_prefix_pattern(prefix, least)), F.lit(rule)))
-        token = F.regexp_replace(token, _prefix_pattern(prefix, least), "$1[redacted]")
-    last = F.when(out, without_random_runs(token)).otherwise(token)
-    rules.append(F.when(last != token, F.lit("high_entropy_run")))
-    fired = F.array_compact(F.array(*rules))
-    return F.when(F.size(markers) > 0, F.struct(F.lit("quarantined").alias("status"), markers.alias("rules"), withheld.alias("text"))).otherwise(
-        F.struct(F.when(F.size(fired) > 0, "redacted").otherwise("clean").alias("status"), fired.alias("rules"), last.alias("text"))
-    )
+
+    def tokens(ssn: Column) -> Column:
+        for prefix, _, least in PREFIXES:
+            ssn = F.regexp_replace(ssn, _prefix_pattern(prefix, least), "$1[redacted]")
+        return ssn
+
+    def result(t: Column, uri: Column, card: Column, ssn: Column, token: Column, last: Column) -> Column:
+        rules = [F.when(uri != t, F.lit("uri_credentials")), F.when(card != uri, F.lit("card_number")), F.when(ssn != card, F.lit("ssn"))]
+        rules += [F.when(ssn.contains(prefix) & ssn.rlike(_prefix_pattern(prefix, least)), F.lit(rule)) for prefix, rule, least in PREFIXES]
+        rules.append(F.when(last != token, F.lit("high_entropy_run")))
+        return _let(F.array_compact(F.array(*rules)), lambda fired: F.struct(F.when(F.size(fired) > 0, "redacted").otherwise("clean").alias("status"), fired.alias("rules"), last.alias("text")))
+
+    def structural(t: Column) -> Column:
+        last = lambda *x: _let(F.when(out, without_random_runs(x[-1])).otherwise(x[-1]), lambda y: result(*x, y))
+        token = lambda *x: _let(F.when(x[-1].rlike(any_of(tuple(p for p, _, _ in PREFIXES))), tokens(x[-1])).otherwise(x[-1]), lambda y: last(*x, y))
+        ssn = lambda *x: _let(without_ssns(x[-1]), lambda y: token(*x, y))
+        card = lambda *x: _let(without_cards(x[-1]), lambda y: ssn(*x, y))
+        return _let(without_uri_passwords(t), lambda y: card(t, y))
+
+    withheld = lambda t: F.concat(F.lit("[withheld, "), F.octet_length(t).cast("string"), F.lit(" bytes, "), content_hash(t), F.lit("]"))
+    marked = lambda t, marks: F.struct(F.lit("quarantined").alias("status"), marks.alias("rules"), withheld(t).alias("text"))
+    return _let(text, lambda t: _let(marker_rules(t), lambda marks: F.when(F.size(marks) > 0, marked(t, marks)).otherwise(structural(t))))
 
 
 def merged_status(*statuses: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ DENIED_FRAGMENTS = (
 )
 NEGATIONS = ("not", "no", "never", "none", "nobody", "nothing", "nowhere", "neither", "cannot")
 #: Characters that display as nothing or turn the direction of text.
-INVISIBLE = "​-‏‪-‮⁠-⁩﻿"
+INVISIBLE = "\u200b-\u200f\u202a-\u202e\u2060-\u2069\ufeff"
 #: Bytes a substantive line has at least.
 SUBSTANTIVE = 12
 
@@ -75,6 +76,26 @@ def visible(text: Column, most: int, marker: str = "…[truncated]") -> Column:
     return F.when(F.char_length(kept) > most, F.concat(F.substring(kept, 1, most), F.lit(marker))).otherwise(kept)
 
 
+def terminal_text(text: Column, most: int = 200, marker: str = "…[truncated]") -> Column:
+    """For a terminal: without any control or invisible character, line ends included, cut to ``most`` characters; not trimmed."""
+    kept = F.regexp_replace(text, r"[\p{Cc}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{FEFF}]", "")
+    return F.when(F.char_length(kept) > most, F.concat(F.substring(kept, 1, most), F.lit(marker))).otherwise(kept)
+
+
+def capped(text: Column, most: int = 1 << 20, marker: str = "...[truncated]") -> Column:
+    """At most ``most`` UTF-8 bytes, no character cut in two, and a marker where something went."""
+    raw = text.cast("binary")
+    # the last byte kept is followed by the begin of a character; a character has 4 bytes at most
+    begins = F.filter(F.array(*[F.lit(k) for k in range(4)]), lambda k: F.conv(F.hex(F.substring(raw, F.lit(most + 1) - k, F.lit(1))), 16, 10).cast("int").bitwiseAND(0xC0) != 0x80)
+    cut = F.decode(F.substring(raw, F.lit(1), F.lit(most) - F.get(begins, F.lit(0))), "UTF-8")
+    return F.when(F.octet_length(text) > most, F.concat(cut, F.lit(marker))).otherwise(text)
+
+
+def segment_problem(value: Column) -> Column:
+    """Why a value can't be one part of a path, or null."""
+    return F.when(F.coalesce(value, F.lit("")) == "", "empty").when(value.isin(".", ".."), "dots").when(value.rlike(r"[/\\\x00]"), "not one segment")
+
+
 def visible_line(text: Column, most: int, marker: str = "…[truncated]") -> Column:
     """visible() in one line, each run of white space a space."""
     return F.regexp_replace(F.regexp_replace(visible(text, most, marker), r"(?U)\s+", " "), "^ | $", "")
@@ -116,3 +137,28 @@ def longest_substantive(transcript: Column) -> Column:
     rest = lambda x: F.regexp_replace(x, r"^.*?\] ", "")
     size = lambda x: F.when(rest(x).startswith("tool:"), F.octet_length(F.trim(F.regexp_extract(rest(x), r"^tool:\S* (.*)$", 1)))).otherwise(F.octet_length(F.trim(rest(x))))
     return F.coalesce(F.array_max(F.transform(lines, size)), F.lit(0))
+
+
+def since(spec: str, now: datetime) -> datetime:
+    """The instant that ``90d``, ``36h``, ``45m`` or ``30s`` before ``now``, a date (midnight UTC) or an RFC 3339 time names."""
+    spec = spec.strip()
+    if found := re.fullmatch(r"([0-9]+)([dhms])", spec):
+        unit = {"d": "days", "h": "hours", "m": "minutes", "s": "seconds"}[found[2]]
+        try:
+            return now - timedelta(**{unit: int(found[1])})
+        except OverflowError:
+            raise ValueError(f"{spec}: reaches before the year 1") from None
+    if re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", spec):
+        spec += "T00:00:00Z"
+    if not re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})", spec):
+        raise ValueError(f"{spec!r} is no window (90d, 36h, 45m, 30s), date or RFC 3339 time")
+    return datetime.fromisoformat(spec)
+
+
+def edited_paths(result: Column) -> Column:
+    """Sorted distinct paths that a tool's JSON result says it edited: its own, and those of its patches."""
+    v = F.try_parse_json(result)
+    text = lambda x, path: F.when(F.schema_of_variant(F.try_variant_get(x, path, "variant")) == "STRING", F.try_variant_get(x, path, "string"))
+    entries = lambda key: F.coalesce(F.try_variant_get(v, f"$.{key}", "array<variant>"), F.array().cast("array<variant>"))
+    patched = F.transform(F.concat(entries("structuredPatch"), entries("bashEditDiff")), lambda e: F.array(*[text(e, f"$.{k}") for k in ("filePath", "file", "path")]))
+    return F.array_sort(F.array_distinct(F.array_compact(F.concat(F.array(text(v, "$.filePath")), F.flatten(patched)))))

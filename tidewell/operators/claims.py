@@ -114,3 +114,31 @@ def rendered(claims: DataFrame) -> DataFrame:
     contested = F.when(F.col("status") == "contested", ", CONTESTED").otherwise("")
     line = F.concat(F.lit("["), visible_line(F.col("observed_by"), 200), F.lit(", "), visible_line(F.col("observed_at"), 200), F.lit(", "), sessions, F.lit(", conf "), F.format_string("%.2f", "confidence"), contested, F.lit("]\n  "), visible_line(F.col("claim"), 2000))
     return claims.select("claim_id", line.alias("rendered"))
+
+
+def with_prefix(claims: DataFrame, prefix: str, preview: int = 10) -> DataFrame:
+    """Claims that an id's beginning may mean: the first ``preview`` by id, each with how many there are in all and whether one is meant."""
+    found = claims.where(F.col("claim_id").startswith(prefix))
+    n = found.agg(F.count("*").alias("n_matches"))
+    return found.orderBy("claim_id").limit(preview).join(F.broadcast(n)).withColumn("meant", F.col("n_matches") == 1)
+
+
+def demoted(claims: DataFrame, held: DataFrame) -> DataFrame:
+    """Promoted claims whose observer is quarantined, which become contested, with the reason."""
+    reason = F.concat(F.lit("observing agent "), F.col("observed_by"), F.lit(" is quarantined"))
+    return claims.where("status = 'promoted'").join(held.select(F.col("agent_id").alias("observed_by")), "observed_by", "left_semi").withColumn("status", F.lit("contested")).withColumn("reason", reason)
+
+
+def parsed_events(lines: DataFrame, schema: str) -> DataFrame:
+    """Claim events of JSON lines (key, value); those that are no event, or have no kind or claim, are skipped."""
+    e = lines.select("key", F.from_json("value", schema + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("e"))
+    return e.where("e is not null and e._corrupt is null and e.kind is not null and e.claim_id is not null").select("key", "e.*").drop("_corrupt")
+
+
+def listed(claims: DataFrame, status: str) -> DataFrame:
+    """Claims of a status by type and id, with their place, counted type by type."""
+    mine = claims.where(F.col("status") == status)
+    counts = mine.groupBy("claim_type").agg(F.count("*").alias("n"))
+    before = counts.select("claim_type", (F.sum("n").over(Window.orderBy("claim_type")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("claim_type").orderBy("claim_id"))
+    return mine.withColumn("place", place).join(F.broadcast(before), "claim_type").withColumn("rank", F.col("before") + F.col("place")).drop("before", "place")

@@ -18,3 +18,9 @@ def dedup_key(runtime: str, session: str, event_type: str, at: str, message: Col
 def accepted(events: DataFrame, ledger: DataFrame, key: list[str]) -> DataFrame:
     """Events once each by ``key``, without those that the ledger has."""
     return events.dropDuplicates(key).join(ledger.select(*key).distinct(), key, "left_anti")
+
+
+def counts(rows: DataFrame, by: str) -> DataFrame:
+    """What an import saw, skipped (rows with a ``problem``) and wrote, and in how many sessions."""
+    fine = F.col("problem").isNull()
+    return rows.groupBy(by).agg(F.count("*").alias("seen"), F.count_if(~fine).alias("skipped"), F.count_if(fine).alias("written"), F.count_distinct("session_id").alias("sessions"))

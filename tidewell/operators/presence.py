@@ -15,3 +15,15 @@ def superseded(versions: DataFrame, pointers: DataFrame, key: str, made: str, no
     """Versions that no pointer names and that are older than ``grace``."""
     old = versions.join(F.broadcast(now)).where(F.expr(f"{made} < now - {grace}")).drop("now")
     return old.join(pointers, key, "left_anti")
+
+
+def intents(lines: DataFrame, fleet: str) -> DataFrame:
+    """Intents of a fleet from JSON lines (key, value): its own by what the body says, not by the key; malformed lines are skipped."""
+    fields = "fleet_id string, agent_id string, updated_at string, _corrupt string"
+    e = lines.select("key", F.from_json("value", fields, {"columnNameOfCorruptRecord": "_corrupt"}).alias("e"))
+    return e.where((F.col("e.fleet_id") == fleet) & F.col("e._corrupt").isNull() & F.col("e.agent_id").isNotNull()).select("key", "e.*").drop("_corrupt")
+
+
+def roster(seen: DataFrame) -> DataFrame:
+    """One row an agent: when it was last seen and how many intents it has."""
+    return seen.groupBy("agent_id").agg(F.max("updated_at").alias("updated_at"), F.count("*").alias("intents"))

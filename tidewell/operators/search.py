@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.scores import bucket_of
+from tidewell.sources.shared import stored
 
 K1, B = 1.2, 0.75
-#: Rows that a ranked list holds.
-RANKED = 20_000
+#: Ranges of scores in which ranks are counted apart.
+RANGES = 200
 
 
 def query_terms(query: str) -> list[str]:
@@ -19,7 +20,7 @@ def query_terms(query: str) -> list[str]:
 
 
 def bm25(docs: DataFrame, query: str) -> DataFrame:
-    """(id, score, rank) of the RANKED best documents (id, text) with any term of the query, ties by id.
+    """(id, score, rank) of all documents (id, text) with any term of the query, ties by id.
 
     Lengths come from one pass; only tokens that the query names are exploded.  An idf
     that is not positive counts as 1e-6.
@@ -33,8 +34,21 @@ def bm25(docs: DataFrame, query: str) -> DataFrame:
     idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.when(idf > 0, idf).otherwise(1e-6) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
     scored = tf.join(F.broadcast(df), "term").join(F.broadcast(whole)).groupBy("id").agg(F.round(F.sum(part), 9).alias("score"))
-    top = scored.orderBy(F.desc("score"), "id").limit(RANKED)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("long"))
+    return ranked(stored(scored, "bm25"))
+
+
+def ranked(scored: DataFrame, ranges: int = RANGES) -> DataFrame:
+    """Add the rank of each row of (id, score) by score, ties by id.
+
+    Rows are counted in ranges between quantiles of the score, so that no task sorts all of
+    them; a rank is the rows of better ranges and the place in the own one.
+    """
+    edges = scored.agg(F.percentile_approx("score", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10_000).alias("edges"))
+    dealt = scored.join(F.broadcast(edges)).withColumn("range", F.size(F.filter("edges", lambda e: e > F.col("score")))).drop("edges")
+    counts = dealt.groupBy("range").agg(F.count("*").alias("n"))
+    before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(F.desc("score"), "id"))
+    return dealt.withColumn("place", place).join(F.broadcast(before), "range").select("id", "score", (F.col("before") + F.col("place")).alias("rank"))
 
 
 def hashed_cosine(docs: DataFrame, query: str, buckets: int = 256) -> DataFrame:

@@ -198,3 +198,54 @@ def usage(rows: DataFrame, by: str) -> DataFrame:
         F.round(F.sum("cost_usd"), 6).alias("cost_usd"),
         F.when(F.count_distinct("model") == 1, F.max("model")).alias("model"),
     )
+
+
+def command_lists(envelopes: DataFrame) -> DataFrame:
+    """(session_id, commands) of sessions with commands, those that came back with an exit code, in the order of their events.
+
+    Each is struct(event_id, tool, command, exit_code, is_test).  One aggregation a session;
+    a list is as long as the session, which its runtime bounds.
+    """
+    ran = envelopes.where("exit_code is not null")
+    one = F.struct("event_id", F.col("tool_name").alias("tool"), "command", "exit_code", F.coalesce(is_test_command(F.col("command")), F.lit(False)).alias("is_test"))
+    return ran.groupBy("session_id").agg(F.array_sort(F.collect_list(one)).alias("commands"))
+
+
+def files_touched(envelopes: DataFrame) -> DataFrame:
+    """(session_id, files): sorted distinct paths of a session's tools."""
+    return envelopes.where("path is not null").groupBy("session_id").agg(F.array_sort(F.collect_set("path")).alias("files"))
+
+
+def pending(sessions: DataFrame, done: DataFrame, version: int) -> DataFrame:
+    """Rows of ``sessions`` (session_id, content) that ``done`` (session_id, content, version) does not hold in this version or a later one."""
+    current = done.where(F.col("version") >= version).select("session_id", "content").distinct()
+    return sessions.join(current, ["session_id", "content"], "left_anti")
+
+
+def seals(envelopes: DataFrame) -> DataFrame:
+    """Seal marks of sessions that ended: session_id, ended_at, and the events and distinct events that were there."""
+    of = envelopes.groupBy("session_id").agg(
+        F.max(F.when(F.col("event_type") == "session_end", F.col("emitted_at"))).alias("ended_at"), F.count("*").alias("events"), F.count_distinct("event_id").alias("distinct_events")
+    )
+    return of.where("ended_at is not null")
+
+
+def parts(envelopes: DataFrame, most: int) -> DataFrame:
+    """Add ``part``: the compacted part of its date that an event goes to, by order of event.
+
+    Parts are cut where ``most`` bytes of JSON are reached, counted from each session's begin,
+    and sessions follow each other, so that running sums stay within a session and a table of
+    one row a session.
+    """
+    sized = envelopes.withColumn("bytes", F.octet_length("record").cast("long"))
+    whole = sized.groupBy("dt", "session_id").agg(F.sum("bytes").alias("all"))
+    before = whole.select("dt", "session_id", (F.sum("all").over(Window.partitionBy("dt").orderBy("session_id")) - F.col("all")).alias("before"))
+    within = F.sum("bytes").over(Window.partitionBy("dt", "session_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes")
+    return sized.withColumn("within", within).join(before, ["dt", "session_id"]).withColumn("part", F.floor((F.col("before") + F.col("within")) / most).cast("long")).drop("within", "before")
+
+
+def listed(sessions: DataFrame, prefix: str | None = None, limit: int = 20) -> DataFrame:
+    """Newest sessions first, of those whose id begins with ``prefix``, with their place."""
+    mine = sessions if prefix is None else sessions.where(F.col("session_id").startswith(prefix))
+    top = mine.orderBy(F.desc("ended_at"), "session_id").limit(limit)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("ended_at"), "session_id")).cast("long"))

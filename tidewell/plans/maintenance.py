@@ -24,26 +24,38 @@ def _fs(spark: SparkSession, path: str):  # noqa: ANN202
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def _pointers(spark: SparkSession, root: str) -> list[str]:
+    """Complete pointers, the oldest first: current-<number>-<unique>."""
+    fs, at = _fs(spark, f"{root}/current-*/_SUCCESS")
+    return sorted(f.getPath().getParent().getName() for f in fs.globStatus(at) or [])
+
+
 def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> str:
-    """Write tables under a name made of their content and point ``current`` at it; equal content is not written again."""
-    name = "_".join(content_id(t)[:40] for _, t in sorted(tables.items()))
+    """Write tables, name them by their content and add a pointer to the name; equal content is not kept twice.
+
+    Tables are computed once, into a folder of their own that gets its name when it is
+    complete.  Pointers are only added, and readers take the newest complete one, so there
+    is no moment without one.
+    """
+    made = f"{root}/writing-{uuid.uuid4().hex}"
     for label, t in tables.items():
-        path = f"{root}/{name}/{label}"
-        fs, at = _fs(spark, f"{path}/_SUCCESS")
-        if not fs.exists(at):
-            t.write.mode("overwrite").parquet(path)
-    pointer = f"{root}/current-{uuid.uuid4().hex}"
-    spark.createDataFrame([(name,)], "name string").coalesce(1).write.parquet(pointer)
-    fs, old = _fs(spark, f"{root}/current")
-    if fs.exists(old):
-        fs.delete(old, True)
-    fs.rename(_fs(spark, pointer)[1], old)
+        t.write.parquet(f"{made}/{label}")
+    name = "_".join(content_id(spark.read.parquet(f"{made}/{label}"))[:40] for label in sorted(tables))
+    fs, at = _fs(spark, f"{root}/{name}")
+    if fs.exists(at):
+        fs.delete(_fs(spark, made)[1], True)
+    else:
+        fs.rename(_fs(spark, made)[1], at)
+    last = _pointers(spark, root)
+    if not last or spark.read.parquet(f"{root}/{last[-1]}").first()[0] != name:
+        number = int(last[-1].split("-")[1]) + 1 if last else 1
+        spark.createDataFrame([(name,)], "name string").coalesce(1).write.parquet(f"{root}/current-{number:012d}-{uuid.uuid4().hex}")
     return name
 
 
 def opened(spark: SparkSession, root: str, label: str) -> DataFrame:
-    """A table of the snapshot that the pointer names."""
-    name = spark.read.parquet(f"{root}/current").first()[0]
+    """A table of the snapshot that the newest pointer names."""
+    name = spark.read.parquet(f"{root}/{_pointers(spark, root)[-1]}").first()[0]
     return spark.read.parquet(f"{root}/{name}/{label}")
 
 

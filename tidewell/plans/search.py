@@ -36,7 +36,7 @@ b AS (SELECT id, round(sum(CASE WHEN ln((docs - df + 0.5) / (df + 0.5)) > 0 THEN
 ranked AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM b)"""
 
 
-@query("bm25_search", f"WITH {_BM25} SELECT id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 20000")
+@query("bm25_search", f"WITH {_BM25} SELECT id, round(score, 6) AS score, rank FROM ranked")
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return R.bm25(docs, QUERY).withColumn("score", F.round("score", 6))

@@ -38,7 +38,7 @@ def redact_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MARKS = ", ".join(f"['{m}', '{r}']" for m, r in R.MARKERS)
 _SCRUB = rf"""
-WITH m AS (SELECT doc_id, text, list_sort(list_distinct(list_transform(list_filter([{_MARKS}], lambda x: contains(text[1:262144], x[1])), lambda x: x[2]))) AS marks FROM documents),
+WITH m AS (SELECT doc_id, text, list_sort(list_distinct(list_transform(list_filter([{_MARKS}], lambda x: contains(text, x[1])), lambda x: x[2]))) AS marks FROM documents),
 u AS (SELECT *, regexp_replace(text, '(://[^/?"''\s@:]*:)[^/?"''\s@]*(@)', '\1[redacted]\2', 'g') AS t1 FROM m),
 c AS (SELECT *, array_to_string({_CARDS.format(t="t1")}, '') AS t2 FROM u),
 s AS (SELECT *, regexp_replace(t2, '(^|[^0-9])(?:00[1-9]|0[1-9][0-9]|[1-57-8][0-9][0-9]|6[0-57-9][0-9]|66[0-57-9])-[0-9][0-9]-[0-9][0-9][0-9][0-9]($|[^0-9])', '\1[redacted-ssn]\2', 'g') AS t3 FROM c),
@@ -185,7 +185,7 @@ def double_encoded_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     inner = F.to_json(F.struct(F.concat(F.lit("ok "), F.col("event_type")).alias("output"), F.when(F.col("event_type") == "error", 1).otherwise(0).alias("exitCode")))
     payload = F.to_json(F.struct(inner.alias("tool_output"), F.col("value").alias("duration")))
-    return e.select("event_id", *tool_output(payload))
+    return e.select("event_id", *tool_output(F.try_parse_json(payload)))
 
 
 @query("epoch_to_ts", "SELECT event_id, strftime(make_timestamp((floor(epoch_us(ts) / 1000)::BIGINT) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS at FROM events")
@@ -215,3 +215,26 @@ def import_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = event_envelopes(spark, sf_dir).select("session_id", "event_type", "cwd")
     return accepted(e, e.where("event_type = 'prompt' and cwd = '/w/p1'"), ["session_id", "event_type", "cwd"])
+
+
+_HOSTILE = r"[\x00-\x1F\x7F\x{80}-\x{9F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{FEFF}]"
+
+
+@query("terminal_text", f"WITH c AS (SELECT doc_id, regexp_replace(text, '{_HOSTILE}', '', 'g') AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 200 THEN t[1:200] || '…[truncated]' ELSE t END AS text FROM c")
+def terminal_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", T.terminal_text(F.col("text")).alias("text"))
+
+
+@query("capped_fields", "SELECT doc_id, CASE WHEN strlen(text) <= 1000 THEN text ELSE text[1:list_max(list_filter(range(250, 1001), lambda k: strlen(text[1:k]) <= 1000))] || '...[truncated]' END AS text FROM documents")
+def capped_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in at most 1000 bytes, whole characters only."""
+    return _docs(spark, sf_dir).select("doc_id", T.capped(F.col("text"), 1000).alias("text"))
+
+
+@query("segment_ids", "SELECT page_id, url, CASE WHEN url = '' THEN 'empty' WHEN contains(url, '/') THEN 'not one segment' END AS problem FROM (SELECT page_id, url FROM pages UNION ALL SELECT page_id, CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'p' || page_id WHEN 2 THEN 'a.b' ELSE '..x' END FROM pages)")
+def segment_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which ids may be one part of a path."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    m = F.col("page_id") % 4
+    made = F.when(m == 0, "").when(m == 1, F.concat(F.lit("p"), F.col("page_id").cast("string"))).when(m == 2, "a.b").otherwise("..x")
+    return p.union(p.select("page_id", made)).withColumn("problem", T.segment_problem(F.col("url")))

@@ -16,18 +16,24 @@ EVENTS = {
 }
 
 
+def _get(payload: Column, path: str) -> Column:
+    """Text at a path of a parsed payload; objects and lists as JSON."""
+    return F.try_variant_get(payload, f"$.{path}", "string")
+
+
 def _field(payload: Column, *paths: str) -> Column:
     """The first field that is there and not empty."""
-    return F.coalesce(*[F.nullif(F.get_json_object(payload, f"$.{p}"), F.lit("")) for p in paths])
+    return F.coalesce(*[F.nullif(_get(payload, p), F.lit("")) for p in paths])
 
 
 def tool_output(payload: Column) -> list[Column]:
-    """exit_code, output and duration_ms of a payload whose output may be JSON in a string."""
-    raw = F.get_json_object(payload, "$.tool_output")
+    """exit_code, output and duration_ms of a parsed payload whose output may be JSON in a string."""
+    raw = _get(payload, "tool_output")
+    inner = F.try_parse_json(raw)
     duration = _field(payload, "duration_ms", "duration").try_cast("double")
     return [
-        F.coalesce(F.get_json_object(raw, "$.exitCode"), F.get_json_object(payload, "$.exit_code")).try_cast("long").alias("exit_code"),
-        F.coalesce(F.get_json_object(raw, "$.output"), raw).alias("output"),
+        F.coalesce(_get(inner, "exitCode"), _get(payload, "exit_code")).try_cast("long").alias("exit_code"),
+        F.coalesce(_get(inner, "output"), raw).alias("output"),
         F.round(duration).cast("long").alias("duration_ms"),
     ]
 
@@ -43,8 +49,9 @@ def normalized(hooks: DataFrame, runtime: str) -> DataFrame:
     Events that the runtime does not record go.  Text is scrubbed, a result of a denied
     path is withheld, and the status is the worst of all fields.
     """
-    p = F.col("payload")
-    base = hooks.withColumn("event_type", _event(runtime)[F.col("event")]).where("event_type is not null")
+    p = F.col("parsed")
+    known = hooks.where(F.col("event").isin(*EVENTS[runtime])).withColumn("event_type", _event(runtime)[F.col("event")])
+    base = known.withColumn("parsed", F.try_parse_json("payload"))
     tool = F.col("event_type") == "tool_call"
     if runtime == "cursor":
         session, text = _field(p, "session_id", "conversation_id"), _field(p, "prompt", "text")
@@ -70,14 +77,16 @@ def normalized(hooks: DataFrame, runtime: str) -> DataFrame:
         "event_type",
         cwd.alias("cwd"),
         F.when(tool, message).alias("message_id"),
-        scrub(F.when(F.col("event_type").isin("prompt", "assistant"), text)).alias("c"),
+        F.when(F.col("event_type").isin("prompt", "assistant"), text).alias("text"),
         F.when(tool, name).alias("tool_name"),
-        scrub(F.when(tool, given)).alias("i"),
-        F.when(tool, tool_result(output, F.coalesce(path, F.lit("")))).alias("r"),
+        F.when(tool, given).alias("given"),
+        F.when(tool, output).alias("output"),
         F.when(tool, path).alias("path"),
         F.when(tool, code).alias("exit_code"),
         F.when(tool, duration).alias("duration_ms"),
     )
+    made = {"c": scrub(F.col("text")), "i": scrub(F.col("given")), "r": F.when(F.col("event_type") == "tool_call", tool_result(F.col("output"), F.coalesce("path", F.lit(""))))}
+    rows = rows.withColumns(made)
     has = lambda c: F.when(F.col(f"{c}.text").isNotNull(), F.col(f"{c}.status"))
     rules = F.array_distinct(F.flatten(F.array_compact(F.array("c.rules", "i.rules", "r.rules"))))
     return rows.select(

@@ -35,9 +35,10 @@ def decoded(segments: DataFrame) -> DataFrame:
 
 
 def write_segments(envelopes: DataFrame, path: str, mode: str = "append") -> None:
+    """Segments below ``path`` (which ends in ``sessions``), by date, fleet, runtime, agent and session as partition_of() reads them."""
     rows = encoded(envelopes)
     parts = rows.withColumn("dt", F.substring("emitted_at", 1, 10)).withColumn("fleet", F.col("fleet_id")).withColumn("agent", F.col("agent_id")).withColumn("session", F.col("session_id"))
-    parts.withColumn("rt", F.col("runtime")).write.mode(mode).partitionBy("dt", "fleet", "rt", "agent", "session").option("compression", "snappy").parquet(path)
+    parts.write.mode(mode).partitionBy("dt", "fleet", "runtime", "agent", "session").option("compression", "snappy").parquet(path)
 
 
 def read_segments(spark: SparkSession, path: str, dt: str | None = None, fleet: str | None = None) -> DataFrame:

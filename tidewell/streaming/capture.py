@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewell.sources.segments import ENVELOPE, encoded
+from tidewell.streaming.spool import SpoolSource
 
 
-def spool(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """Envelopes of the spool's lines; the checkpoint knows how far each file was read, bad lines are skipped."""
-    lines = spark.readStream.format("text").option("maxFilesPerTrigger", max_files).load(path)
+def spool(spark: SparkSession, path: str) -> DataFrame:
+    """Envelopes of the spool's lines as a stream (see SpoolSource); bad lines are skipped."""
+    spark.dataSource.register(SpoolSource)
+    return parsed(spark.readStream.format(SpoolSource.name()).option("path", path).load())
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """Envelopes of JSON lines (value); those that are no envelope are skipped."""
     e = lines.select(F.from_json("value", ENVELOPE + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("e"))
     return e.where("e is not null and e._corrupt is null and e.event_id is not null").select("e.*").drop("_corrupt")
 
