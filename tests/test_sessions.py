@@ -110,3 +110,27 @@ def test_known_claims_pass_over_what_does_not_fit(spark):
     rows = [("3", "outcome", "x" * BUDGET, "promoted"), ("2", "outcome", "short", "contested"), ("1", "outcome", "new", "candidate")]
     df = spark.createDataFrame(rows, "claim_id string, claim_type string, claim string, status string")
     assert [(r.claim_id, r.line) for r in known_claims(df).collect()] == [("2", "- [outcome] short\n")]
+
+
+def test_hook_events_of_each_kind(spark):
+    import json
+
+    from tidewell.sources.hooks import normalized
+
+    rows = [
+        ("1", "beforeMCPExecution", {"session_id": "s", "mcp_server_name": "db", "tool_input": {"q": 1}}),
+        ("2", "beforeReadFile", {"session_id": "s", "file_path": "/w/a", "content": "text"}),
+        ("3", "subagentStart", {"conversation_id": "s", "subagent_type": "plan", "task": "do"}),
+        ("4", "postToolUseFailure", {"session_id": "s", "tool_name": "Bash", "error_message": "no"}),
+        ("5", "beforeReadFile", {"session_id": "s", "file_path": "/w/.env", "content": "KEY=1"}),
+        ("6", "stop", {"session_id": "s", "text": "done"}),
+        ("7", "unheardOf", {"session_id": "s"}),
+        ("8", "beforeShellExecution", {"session_id": "s", "command": "ls"}),
+    ]
+    df = spark.createDataFrame([(i, e, json.dumps(p)) for i, e, p in rows] + [("9", "preToolUse", "{broken")], "event_id string, event string, payload string")
+    got = {r.event_id: r for r in normalized(df, "cursor").collect()}
+    assert [(got[i].tool_name, got[i].tool_input, got[i].result) for i in "12348"] == [("mcp:db", '{"q":1}', None), ("read", None, "text"), ("subagent:plan", "do", None), ("Bash", None, "no"), ("shell", "ls", None)]
+    assert got["5"].redaction_status == "quarantined" and got["5"].result == "[withheld, denied path]"
+    assert got["6"].event_type == "assistant" and "7" not in got and got["9"].session_id is None
+    kinds = {r.event: r.event_type for e in ("PreToolUse", "PostToolUseFailure", "SubagentStop") for r in normalized(spark.createDataFrame([(e, e, "{}")], "event_id string, event string, payload string"), "claude_code").selectExpr("event_id as event", "event_type").collect()}
+    assert kinds == {"PreToolUse": "tool_call", "PostToolUseFailure": "tool_call", "SubagentStop": "assistant"}

@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.scores import cosine, jaccard, word_share
+from tidewell.sources.shared import stored
+
+#: Vectors of a block.
+BLOCK = 1024
 
 
 def _prefixes(sets: DataFrame, frequency: DataFrame, by: list[str], keep: Column) -> DataFrame:
     """The rarest words of each set, as many as ``keep`` says, by how many sets have them."""
     word = sets.select("id", *by, F.size("words").alias("n"), F.explode("words").alias("w"))
-    rank = F.row_number().over(Window.partitionBy("id", *by).orderBy(F.coalesce("df", F.lit(0)), "w"))
-    return word.join(frequency, [*by, "w"], "left").withColumn("_r", rank).where(F.col("_r") <= keep).select("id", *by, "w")
+    kept = word.join(frequency, [*by, "w"], "left").groupBy("id", *by).agg(F.first("n").alias("n"), F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w")).alias("all"))
+    return kept.select("id", *by, F.explode(F.slice(F.array_sort("all"), F.lit(1), F.greatest(F.lit(0), keep).cast("int"))).alias("x")).select("id", *by, "x.w")
 
 
 def containment_pairs(left: DataFrame, right: DataFrame, threshold: float, by: list[str]) -> DataFrame:
@@ -31,6 +35,7 @@ def containment_pairs(left: DataFrame, right: DataFrame, threshold: float, by: l
 
 def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, jaccard) of a < b with at least ``threshold``; both sets' rarest words are joined."""
+    sets = stored(sets.select("id", "words"), "sets")
     word = sets.select("id", F.explode("words").alias("w"))
     df = word.groupBy("w").agg(F.count("*").alias("df"))
     p = _prefixes(sets, df, [], F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
@@ -47,9 +52,16 @@ def top_by_cosine(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
 
 
 def cosine_pairs(vectors: DataFrame, threshold: float, by: str) -> DataFrame:
-    """(a, b, cosine) of a < b in the same group ``by``, at least ``threshold``; norms are computed once."""
+    """(a, b, cosine) of a < b in the same group ``by``, at least ``threshold``; norms are computed once.
+
+    A group is cut into blocks of about BLOCK vectors, and each block meets the group in a
+    key of its own, so that no task compares a whole group with itself.
+    """
     unit = vectors.select("vec_id", by, F.transform("embedding", lambda x: x.cast("double")).alias("e")).withColumn("norm", F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x))).where("norm > 0")
-    a = unit.select(F.col("vec_id").alias("a"), by, F.col("e").alias("ea"), F.col("norm").alias("na"))
-    b = unit.select(F.col("vec_id").alias("b"), by, F.col("e").alias("eb"), F.col("norm").alias("nb"))
+    unit = stored(unit.withColumnRenamed(by, "_by"), "vectors")
+    blocks = unit.groupBy("_by").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    unit = unit.join(blocks, "_by")
+    a = unit.select(F.col("vec_id").alias("a"), "_by", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.col("e").alias("ea"), F.col("norm").alias("na"))
+    b = unit.select(F.col("vec_id").alias("b"), "_by", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("e").alias("eb"), F.col("norm").alias("nb"))
     dot = F.aggregate(F.zip_with("ea", "eb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return a.join(b, by).where("a < b").withColumn("cosine", dot / (F.col("na") * F.col("nb"))).where(F.col("cosine") >= threshold).select("a", "b", "cosine")
+    return a.join(b, ["_by", "block"]).where("a < b").withColumn("cosine", dot / (F.col("na") * F.col("nb"))).where(F.col("cosine") >= threshold).select("a", "b", "cosine")

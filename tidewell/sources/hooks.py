@@ -10,10 +10,20 @@ from tidewell.functions.text import content_hash
 
 #: Event names of each runtime and the envelope's event type.  Fixed values.
 EVENTS = {
-    "claude_code": {"SessionStart": "session_start", "UserPromptSubmit": "prompt", "PostToolUse": "tool_call", "PreCompact": "compact", "Stop": "assistant", "SessionEnd": "session_end"},
-    "cursor": {"sessionStart": "session_start", "beforeSubmitPrompt": "prompt", "afterAgentResponse": "assistant", "postToolUse": "tool_call", "afterShellExecution": "tool_call", "afterFileEdit": "tool_call", "preCompact": "compact", "sessionEnd": "session_end"},
-    "hermes": {"on_session_start": "session_start", "pre_llm_call": "prompt", "post_llm_call": "assistant", "post_tool_call": "tool_call", "on_session_end": "session_end"},
-}
+    "claude_code": {
+        "SessionStart": "session_start", "UserPromptSubmit": "prompt", "PreToolUse": "tool_call", "PostToolUse": "tool_call", "PostToolUseFailure": "tool_call",
+        "PreCompact": "compact", "Stop": "assistant", "SubagentStop": "assistant", "SessionEnd": "session_end",
+    },
+    "cursor": {
+        "sessionStart": "session_start", "beforeSubmitPrompt": "prompt", "afterAgentResponse": "assistant", "stop": "assistant", "preToolUse": "tool_call", "postToolUse": "tool_call",
+        "postToolUseFailure": "tool_call", "beforeShellExecution": "tool_call", "afterShellExecution": "tool_call", "beforeMCPExecution": "tool_call", "afterFileEdit": "tool_call",
+        "beforeReadFile": "tool_call", "subagentStart": "tool_call", "subagentStop": "tool_call", "preCompact": "compact", "sessionEnd": "session_end",
+    },
+    "hermes": {
+        "on_session_start": "session_start", "pre_llm_call": "prompt", "post_llm_call": "assistant", "pre_tool_call": "tool_call", "post_tool_call": "tool_call",
+        "on_session_end": "session_end", "on_session_finalize": "session_end", "on_session_reset": "session_end",
+    },
+}
 
 
 def _get(payload: Column, path: str) -> Column:
@@ -55,10 +65,13 @@ def normalized(hooks: DataFrame, runtime: str) -> DataFrame:
     tool = F.col("event_type") == "tool_call"
     if runtime == "cursor":
         session, text = _field(p, "session_id", "conversation_id"), _field(p, "prompt", "text")
-        name = F.coalesce(_field(p, "tool_name"), F.when(F.col("event") == "afterShellExecution", "shell").when(F.col("event") == "afterFileEdit", "edit"))
-        given, path, message = F.coalesce(_field(p, "command"), _field(p, "tool_input")), _field(p, "file_path", "tool_input.file_path"), _field(p, "tool_use_id", "tool_call_id")
+        event = F.col("event")
+        of = lambda word, path: F.coalesce(F.concat(F.lit(f"{word}:"), _field(p, path)), F.lit(word))
+        name = F.when(event.isin("beforeShellExecution", "afterShellExecution"), "shell").when(event == "afterFileEdit", "edit").when(event == "beforeReadFile", "read")
+        name = F.coalesce(name.when(event == "beforeMCPExecution", of("mcp", "mcp_server_name")).when(event.isin("subagentStart", "subagentStop"), of("subagent", "subagent_type")), _field(p, "tool_name"))
+        given, path, message = F.coalesce(_field(p, "command", "tool_input", "edits", "task")), _field(p, "file_path", "tool_input.file_path"), _field(p, "tool_use_id", "tool_call_id")
         code, output, duration = tool_output(p)
-        output = F.coalesce(output, _field(p, "output"))
+        output = F.coalesce(output, _field(p, "output", "error_message"), F.when(event == "beforeReadFile", _field(p, "content")))
         cwd = _field(p, "cwd", "workspace_roots[0]")
     elif runtime == "hermes":
         session, text = _field(p, "session_id", "parent_session_id"), _field(p, "prompt", "extra.user_message", "extra.response")
