@@ -141,9 +141,9 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_junk_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages that the list decides: no rule fits them and they are blocked."""
+    """The same with the list of all junk hosts named; some of its pages no rule fits, and the list blocks them."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return url_filter(pages, listed_urls(pages)).where("rule is null and verdict = 'block'").select("page_id", "host", "path", "rule", "verdict")
+    return url_filter(pages, listed_urls(pages, JUNK_LABELS)).select("page_id", "host", "path", "rule", "verdict")
 
 
 ORACLE = r"""
@@ -166,4 +166,4 @@ SELECT p.page_id, p.host, p.path, best.rule,
   coalesce(best.verdict, CASE WHEN c.key <> '' AND c.key IN (SELECT key FROM l) THEN 'block' ELSE 'allow' END) AS verdict
 FROM p JOIN c USING (page_id) LEFT JOIN best ON best.page_id = p.page_id AND best.k = 1
 """
-JUNK_ORACLE = f"SELECT * FROM ({ORACLE}) WHERE rule IS NULL AND verdict = 'block'"
+JUNK_ORACLE = ORACLE
