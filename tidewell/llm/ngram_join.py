@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import U64, chunks, component_table, lowered, mix, partitions, span_hashes, stored, whole_groups, word_spans
+from tidewell.llm.common import U64, chunks, component_table, frugal, lowered, mix, partitions, span_hashes, stored, whole_groups, word_spans
 from tidewell.llm.url_filters import parted
 
 #: Words of a shingle; Jaccard similarity as a fraction.
@@ -509,13 +509,13 @@ def _every_link(sets: DataFrame, links: DataFrame, similarity: tuple[int, int],
     cell = F.greatest("block", "other").cast("long") * F.col("blocks") + F.least("block", "other")
     met = met.select("label", cell.alias("cell"), "block", (F.col("block") == F.col("other")).alias("alone"), "sid", "n", "keys")
     dealt = met.repartition(parts, "label", "cell").sortWithinPartitions("label", "cell")
-    return dealt.mapInArrow(_links_of_cells(similarity, counted), "sid long, n_links long" if counted else "a long, b long, overlap long")
+    return dealt.mapInArrow(frugal(_links_of_cells(similarity, counted)), "sid long, n_links long" if counted else "a long, b long, overlap long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """(a, b, overlap) of the pairs of sets that reach the threshold."""
     side = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("keys").alias(f"k{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(_verify(similarity), "a long, b long, overlap long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(frugal(_verify(similarity)), "a long, b long, overlap long")
 
 
 def text_hashes(text: Column) -> tuple[Column, Column]:
@@ -579,7 +579,7 @@ def _joined(docs: DataFrame, text: str, key: str, words: int, similarity: tuple[
     parts = partitions(docs.sparkSession)
     t1, t2 = text_hashes(F.col("text"))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("t1", F.coalesce(t1, F.lit(0))).withColumn("t2", F.coalesce(t2, F.lit(0)))
-    first = stored(rows.mapInArrow(_send(parts, words), _SENT).repartitionById(parts, "part").mapInArrow(_count, _FIRST), "join-first")
+    first = stored(rows.mapInArrow(frugal(_send(parts, words)), _SENT).repartitionById(parts, "part").mapInArrow(frugal(_count), _FIRST), "join-first")
     documents = first.where("is_doc").select("doc_id", "sid", "n", "n_half", "t1", "t2")
     num, den = similarity
     shared = first.where("not is_doc").groupBy("sid").agg(F.sum("n_shared").alias("n_shared"))
@@ -589,8 +589,8 @@ def _joined(docs: DataFrame, text: str, key: str, words: int, similarity: tuple[
     left = classes.join(shared, "sid", "left").where(lonely * den <= (den - num) * F.col("n")).select("one.*")
     left = stored(left, "join-left")
     text_of = _only(rows, left).select("text")
-    asked = text_of.mapInArrow(_send_sets(parts, words), _SETS).repartitionById(parts, "part")
-    sets = stored(asked.mapInArrow(_reply(parts), _REPLY).repartitionById(parts, "part").mapInArrow(_choose(similarity), _CANDIDATES), "join-sets")
+    asked = text_of.mapInArrow(frugal(_send_sets(parts, words)), _SETS).repartitionById(parts, "part")
+    sets = stored(asked.mapInArrow(frugal(_reply(parts)), _REPLY).repartitionById(parts, "part").mapInArrow(frugal(_choose(similarity)), _CANDIDATES), "join-sets")
     c = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")
     postings = lambda x, *more: x.select("sid", "n", c.alias("c"), *more, "lonely", F.posexplode("prefix").alias("pos", "key")).withColumn("at", F.col("lonely") + F.col("pos")).drop("lonely", "pos")
 
@@ -623,7 +623,7 @@ def _joined(docs: DataFrame, text: str, key: str, words: int, similarity: tuple[
     spread = F.transform(F.sequence(F.lit(0), cells - 1), lambda o: F.greatest(mine, o) * cells + F.least(mine, o))
     large = large.withColumn("cell", F.explode(spread)).select("key", "cell", "sid", "n", "label", "at", "vector")
     dealt = lambda x: x.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell")
-    pairs = dealt(small).mapInArrow(_pairs_of_keys(similarity, False), "a long, b long").union(dealt(large).mapInArrow(_pairs_of_keys(similarity, True), "a long, b long")).distinct()
+    pairs = dealt(small).mapInArrow(frugal(_pairs_of_keys(similarity, False)), "a long, b long").union(dealt(large).mapInArrow(frugal(_pairs_of_keys(similarity, True)), "a long, b long")).distinct()
     links = links.union(verified(pairs, sets, similarity))
     return documents.select("doc_id", "t1", "sid", "n"), sets, links
 

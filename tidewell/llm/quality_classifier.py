@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import apart, chunks, span_hashes, stored, word_spans
+from tidewell.llm.common import apart, chunks, frugal, span_hashes, stored, word_spans
 from tidewell.llm.ngram_join import shingle_sets
 from tidewell.llm.url_filters import parted
 
@@ -79,7 +79,7 @@ def document_statistics(docs: DataFrame, text: str = "text", key: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat], ["doc_id", "text_hash", "x"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), _hash(text).alias("text_hash"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, x array<double>")
+    return rows.mapInArrow(frugal(run), "doc_id long, text_hash long, x array<double>")
 
 
 def _hash(text: str) -> Column:
@@ -162,7 +162,7 @@ def fit(x: DataFrame, labels: DataFrame, *, label: str = "quality", held_out: in
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([a.tobytes()]), pa.array([b.tobytes()]), pa.array([n], pa.int64())], ["fold", "a", "b", "n"])
 
     folds: dict[int, list] = {}
-    for r in rows.coalesce(TASKS).mapInArrow(normal, "fold int, a binary, b binary, n long").collect():
+    for r in rows.coalesce(TASKS).mapInArrow(frugal(normal), "fold int, a binary, b binary, n long").collect():
         now = [np.frombuffer(r.a).reshape(FEATURES + 1, -1), np.frombuffer(r.b), r.n]
         folds[r.fold] = [a + b for a, b in zip(folds[r.fold], now, strict=True)] if r.fold in folds else now
 
@@ -184,7 +184,7 @@ def fit(x: DataFrame, labels: DataFrame, *, label: str = "quality", held_out: in
             step = np.clip((out - low) / width, 0, STEPS - 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(step), batch.column(1)], ["step", "y"])
 
-    steps = rows.mapInArrow(left_out, "step int, y double").groupBy("step").agg(F.count("*").alias("n"), F.avg("y").alias("y")).collect()
+    steps = rows.mapInArrow(frugal(left_out), "step int, y double").groupBy("step").agg(F.count("*").alias("n"), F.avg("y").alias("y")).collect()
     steps.sort(key=lambda r: r.step)
     at = np.array([low + (r.step + 0.5) * width for r in steps])
     value = isotonic(at, np.array([r.y for r in steps]), np.array([float(r.n) for r in steps]))
@@ -199,7 +199,7 @@ def scored(x: DataFrame, model: Model, good: float = GOOD) -> DataFrame:
             score = model.score(_matrix(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= good).astype(np.int32))], ["doc_id", "text_hash", "score", "predicted"])
 
-    return x.select("doc_id", "text_hash", "x").mapInArrow(run, "doc_id long, text_hash long, score double, predicted int")
+    return x.select("doc_id", "text_hash", "x").mapInArrow(frugal(run), "doc_id long, text_hash long, score double, predicted int")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", most: int = MOST_LABELLED) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import U64, apart, mix, partitions, powers, stored, text_buffer, whole_groups
+from tidewell.llm.common import U64, apart, frugal, mix, partitions, powers, stored, text_buffer, whole_groups
 from tidewell.llm.url_filters import parted
 
 #: Bytes of a repeat, and of a trigger.
@@ -478,17 +478,17 @@ def suffix_dedup(docs: DataFrame, *, text: str = "text", length: int = LENGTH, g
     bare = F.col(names[text]).cast("string")
     t = F.coalesce(bare, F.lit(""))
     rows = docs.select(F.xxhash64(t).alias("t1"), t.alias("text")).where(F.octet_length("text") >= length)
-    parse = rows.mapInArrow(_send(parts, length, gram), _SENT).repartitionById(parts, "part").mapInArrow(_match(parts, hot), _REPLY)
-    asked = stored(parse.repartitionById(parts, "part").mapInArrow(_by_text, _ASKED), "dedup-parse")
+    parse = rows.mapInArrow(frugal(_send(parts, length, gram)), _SENT).repartitionById(parts, "part").mapInArrow(frugal(_match(parts, hot)), _REPLY)
+    asked = stored(parse.repartitionById(parts, "part").mapInArrow(frugal(_by_text), _ASKED), "dedup-parse")
 
     maybe = parted(rows, asked.select("t1"), "t1", MOST_BLOCKS)[1]
     texts = maybe.dropDuplicates(["t1"]).join(asked, "t1")
-    spelt = texts.where(F.octet_length("spell") > 0).select("t1", "text", "spell").mapInArrow(_spelt(length), _DICTIONARY)
-    dictionary = spelt.repartition(parts, "trigger").sortWithinPartitions("trigger").mapInArrow(_sorted_dictionary(parts, length), _REPLY)
-    windows = texts.where(F.octet_length("hot") > 0).select("t1", "text", "hot").mapInArrow(_send_windows(parts, length), _SENT)
-    windows = windows.repartitionById(parts, "part").mapInArrow(_match(parts, hot), _REPLY)
-    found = dictionary.union(windows).repartitionById(parts, "part").mapInArrow(_found_by_text, _COVERED)
-    cut = texts.join(found, "t1", "left").select("t1", "text", "full", "found").mapInArrow(_cut(length, with_text), _CUT)
+    spelt = texts.where(F.octet_length("spell") > 0).select("t1", "text", "spell").mapInArrow(frugal(_spelt(length)), _DICTIONARY)
+    dictionary = spelt.repartition(parts, "trigger").sortWithinPartitions("trigger").mapInArrow(frugal(_sorted_dictionary(parts, length)), _REPLY)
+    windows = texts.where(F.octet_length("hot") > 0).select("t1", "text", "hot").mapInArrow(frugal(_send_windows(parts, length)), _SENT)
+    windows = windows.repartitionById(parts, "part").mapInArrow(frugal(_match(parts, hot)), _REPLY)
+    found = dictionary.union(windows).repartitionById(parts, "part").mapInArrow(frugal(_found_by_text), _COVERED)
+    cut = texts.join(found, "t1", "left").select("t1", "text", "full", "found").mapInArrow(frugal(_cut(length, with_text)), _CUT)
     cut = stored(cut, "dedup-cut").withColumnsRenamed({c.split()[0]: f"_{c.split()[0]}" for c in _CUT.split(", ")})
 
     out = docs.withColumn("_t1", F.xxhash64(t)).withColumn("n_bytes", F.octet_length(t).cast("long")).withColumn("_sha", F.sha2(t.cast("binary"), 256))

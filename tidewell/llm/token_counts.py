@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import frugal
 from tidewell.llm.tokens import encoded, encoder
 
 _OUT = "doc_id long, section long, start_char long, end_char long, n_tokens long, n_crossing long"
@@ -84,7 +85,7 @@ def token_counts(docs: DataFrame, *, sections: Callable[[str], list[int]] = line
             cols = [pa.array(np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64)) for c in out]
             yield pa.RecordBatch.from_arrays([pa.array(ids_out, pa.int64()), *cols], ["doc_id", "section", "start_char", "end_char", "n_tokens", "n_crossing"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _OUT)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(frugal(run), _OUT)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import shared_dir
+from tidewell.llm.common import frugal, shared_dir
 from tidewell.llm.tokens import END, encoded
 
 #: Ids at which a shard is closed, after the document that reaches it.
@@ -176,7 +176,7 @@ def write_token_files(docs: DataFrame, path: str, *, text: str = "text", key: st
     at = F.size(F.filter(F.lit(sorted(set(cuts))), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
     rows = rows.withColumn("part", F.coalesce(F.when(F.col("doc_id").isNotNull(), at), F.lit(0)).cast("int"))
     rows = rows.repartitionById(n, "part").sortWithinPartitions("doc_id", "text").drop("part")
-    rows.mapInArrow(shards, FILE).write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(frugal(shards), FILE).write.option("compression", "zstd").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -197,7 +197,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     files = spark.read.schema(FILE).parquet(path)
-    docs = files.mapInArrow(decoded, "part int, shard int, doc_id long, within long, n_tokens long, ids_crc32 long")
+    docs = files.mapInArrow(frugal(decoded), "part int, shard int, doc_id long, within long, n_tokens long, ids_crc32 long")
     # Running counts in two steps: over a part's shards, then over the parts.
     size = files.select("part", "shard", "n")
     parts = size.groupBy("part").agg(F.sum("n").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("a"))
