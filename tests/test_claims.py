@@ -60,6 +60,44 @@ def test_later_candidates_meet_earlier_promotions(spark):
     assert {r.kind for r in G.decision_events(G.sequential_gate(c, none, banned), "t").collect()} == {"promoted", "contested"}
 
 
+def walked(candidates, promoted, banned):
+    """The gate claim by claim: the promoted in order of id, then what was promoted on the way."""
+    out, known = {}, [[c, s, t.strip().lower(), True] for c, s, t, *_ in sorted(promoted)]
+    for c, s, t, kind, agent, n, ok, k, _ in sorted(candidates):
+        mine, conflict, gate = set(t.lower().split()), None, None
+        if agent in banned:
+            gate = "quarantine"
+        elif n == 0 or kind in ("hypothesis", "preference"):
+            gate = "evidence"
+        else:
+            hit = next((x for x in known if x[3] and x[1] == s and x[2] != t.strip().lower() and mine and len(mine & set(x[2].split())) / len(mine) >= G.WORDS_CONFLICT), None)
+            if hit:
+                gate, conflict, hit[3] = "contradiction", hit[0], False
+            elif not ok:
+                gate = "provenance"
+            elif k < G.NEEDED[kind]:
+                gate = "independence"
+        if gate is None:
+            known.append([c, s, t.strip().lower(), True])
+        out[c] = (gate, conflict)
+    return out
+
+
+def test_the_gate_agrees_with_a_plain_walk(spark):
+    rng = random.Random(7)
+    for n, least in ((60, 0), (200, 2)):
+        rows = [
+            (f"c{i:03}", rng.choice("st"), rng.choice(["", " "]) + " ".join(rng.choices("abcdefA", k=rng.randrange(least, 6))), rng.choice(["outcome", "convention", "environment", "hypothesis"]), rng.choice("xyz"), rng.randrange(4), rng.random() < 0.8, rng.randrange(3), None)
+            for i in rng.sample(range(1000), n)
+        ]
+        c, p = rows[: 2 * n // 3], rows[2 * n // 3 :]
+        banned = spark.createDataFrame([("z",), ("z",)], "agent_id string")
+        got = {r.claim_id: (r.gate, r.conflicts_with) for r in G.sequential_gate(gated(spark, c), gated(spark, p), banned).collect()}
+        assert got == walked(c, p, {"z"})
+        assert sum(gate == "contradiction" for gate, _ in got.values()) > 5
+    assert G.sequential_gate(gated(spark, c[:0]), gated(spark, p), banned).count() == 0
+
+
 def test_similarity_joins_agree_with_all_pairs(spark):
     rng = random.Random(4)
     sets = [(i, sorted(set(rng.choices("abcdefghij", k=rng.randrange(0, 7)))), i % 2) for i in range(60)]

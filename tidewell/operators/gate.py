@@ -6,7 +6,7 @@ provenance_ok and independent_count; trust may be null.
 
 from __future__ import annotations
 
-import re
+from collections import defaultdict, deque
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,12 +15,11 @@ from pyspark.sql import functions as F
 from tidewell.functions.scores import WORDS_CONFLICT, confidence
 from tidewell.functions.text import normalized_claim, words
 from tidewell.operators.similarity import containment_pairs
+from tidewell.sources.shared import stored
 
 #: Independent sessions that a type needs; a hypothesis never gets that far.
 NEEDED = {"environment": 1, "outcome": 1, "convention": 1, "preference": 0}
 
-DECISION = "claim_id string, decision string, gate string, conflicts_with string, independent_count long, confidence double"
-
 
 def contradictions(candidates: DataFrame, promoted: DataFrame, threshold: float = WORDS_CONFLICT) -> DataFrame:
     """(claim_id, conflicts_with, overlap): promoted claims on the subject that share the words but not the text."""
@@ -31,28 +30,36 @@ def contradictions(candidates: DataFrame, promoted: DataFrame, threshold: float
     return out.select(F.col("a").alias("claim_id"), F.col("b").alias("conflicts_with"), "overlap")
 
 
-def static_gate(candidates: DataFrame, promoted: DataFrame, quarantined: DataFrame) -> DataFrame:
-    """Decisions against the claims that are promoted already; the conflict told of is the one of least id."""
-    first = contradictions(candidates, promoted).groupBy("claim_id").agg(F.min("conflicts_with").alias("conflicts_with"))
-    held = quarantined.select(F.col("agent_id").alias("observed_by"), F.lit(True).alias("held"))
-    c = candidates.join(F.broadcast(held), "observed_by", "left").join(first, "claim_id", "left")
-    kind = F.col("claim_type")
-    needed = F.create_map(*[F.lit(x) for pair in NEEDED.items() for x in pair])[kind]
-    gate = (
-        F.when(F.col("held"), "quarantine")
-        .when((F.col("n_evidence") == 0) | kind.isin("hypothesis", "preference"), "evidence")
-        .when(F.col("conflicts_with").isNotNull(), "contradiction")
-        .when(~F.col("provenance_ok"), "provenance")
-        .when(F.col("independent_count") < needed, "independence")
-    )
+def _decided(candidates: DataFrame, conflicts: DataFrame, quarantined: DataFrame) -> DataFrame:
+    """Decisions where ``conflicts`` (claim_id, conflicts_with) has the one claim that contradicts a candidate, if any."""
+    c = _staged(candidates, quarantined).join(conflicts, "claim_id", "left")
+    contradicted = F.when(F.col("conflicts_with").isNotNull(), "contradiction")
+    c = c.withColumn("gate", F.coalesce("early", contradicted, "late"))
+    gate = F.col("gate")
     decision = F.when(gate.isNull(), "promote").when(gate == "contradiction", "contest").when(gate == "quarantine", "quarantined").otherwise("review")
     go = decision == "promote"
     return c.select(
-        "claim_id", decision.alias("decision"), gate.alias("gate"), F.when(decision == "contest", F.col("conflicts_with")).alias("conflicts_with"),
+        "claim_id", decision.alias("decision"), "gate", F.when(decision == "contest", F.col("conflicts_with")).alias("conflicts_with"),
         F.when(go, F.col("independent_count")).alias("independent_count"), F.when(go, F.round(confidence(F.col("independent_count"), F.col("trust")), 6)).alias("confidence"),
     )
 
 
+def _staged(candidates: DataFrame, quarantined: DataFrame) -> DataFrame:
+    """Candidates with the gate that stops them before (early) and after (late) contradiction is looked at."""
+    held = quarantined.select(F.col("agent_id").alias("observed_by"), F.lit(True).alias("held")).distinct()
+    kind = F.col("claim_type")
+    needed = F.create_map(*[F.lit(x) for pair in NEEDED.items() for x in pair])[kind]
+    early = F.when(F.col("held"), "quarantine").when((F.col("n_evidence") == 0) | kind.isin("hypothesis", "preference"), "evidence")
+    late = F.when(~F.col("provenance_ok"), "provenance").when(F.col("independent_count") < needed, "independence")
+    return candidates.join(held, "observed_by", "left").withColumn("early", early).withColumn("late", late)
+
+
+def static_gate(candidates: DataFrame, promoted: DataFrame, quarantined: DataFrame) -> DataFrame:
+    """Decisions against the claims that are promoted already; the conflict told of is the one of least id."""
+    first = contradictions(candidates, promoted).groupBy("claim_id").agg(F.min("conflicts_with").alias("conflicts_with"))
+    return _decided(candidates, first, quarantined)
+
+
 def decision_events(decisions: DataFrame, at: str) -> DataFrame:
     """One event for a promotion, one for each side of a conflict, none for a review."""
     event = lambda claim, kind, other: F.struct(claim.alias("claim_id"), F.lit(kind).alias("kind"), other.alias("conflicts_with"))
@@ -62,50 +69,46 @@ def decision_events(decisions: DataFrame, at: str) -> DataFrame:
     return decisions.select(F.explode(made).alias("e")).select("e.*", F.lit(at).alias("at"))
 
 
-def _word_set(text: str) -> frozenset[str]:
-    return frozenset(re.split(r"\s+", text.lower())) - {""}
-
-
 def _walk(subject: pd.DataFrame) -> pd.DataFrame:
-    """Candidates of a subject in order of id; promotions and contests change what later ones meet."""
-    promoted = [[r.claim_id, r.claim.strip().lower(), _word_set(r.claim), True] for r in subject[subject.status == "promoted"].sort_values("claim_id").itertuples()]
+    """Contests of a subject: candidates go in order of id, and each meets the first live claim with a text that its own contradicts."""
+    meets: dict[str, list[str]] = {}
+    for e in subject[subject.kind == "pair"].itertuples():
+        meets.setdefault(e.text, []).append(e.other)
+    live: dict[str, deque[tuple[int, str]]] = defaultdict(deque)
+    for r in subject[subject.kind == "promoted"].sort_values("claim_id").itertuples():
+        live[r.text].append((0, r.claim_id))
     rows = []
-    for r in subject[subject.status == "candidate"].sort_values("claim_id").itertuples():
-        gate = conflict = None
-        mine, text = _word_set(r.claim), r.claim.strip().lower()
-        if r.held:
-            gate = "quarantine"
-        elif r.n_evidence == 0 or r.claim_type in ("hypothesis", "preference"):
-            gate = "evidence"
-        else:
-            hit = next((p for p in promoted if p[3] and p[1] != text and mine and len(mine & p[2]) / len(mine) >= WORDS_CONFLICT), None)
-            if hit:
-                gate, conflict, hit[3] = "contradiction", hit[0], False
-            elif not r.provenance_ok:
-                gate = "provenance"
-            elif r.independent_count < NEEDED[r.claim_type]:
-                gate = "independence"
-        decision = {None: "promote", "contradiction": "contest", "quarantine": "quarantined"}.get(gate, "review")
-        sure = None
-        if decision == "promote":
-            promoted.append([r.claim_id, text, mine, True])
-            trust = 1.0 if pd.isna(r.trust) else r.trust
-            sure = round(max(min(min(0.5 + 0.15 * r.independent_count, 0.95) * trust, 0.95), 0.05), 6)
-        rows.append((r.claim_id, decision, gate, conflict, r.independent_count if decision == "promote" else None, sure))
-    out = pd.DataFrame(rows, columns=[f.split()[0] for f in DECISION.split(", ")])
-    return out.astype({"independent_count": "Int64", "confidence": "Float64"})
+    for r in subject[subject.kind == "candidate"].sort_values("claim_id").itertuples():
+        heads = [(live[t][0], t) for t in meets.get(r.text, ()) if live[t]]
+        if heads:
+            (_, other), text = min(heads)
+            live[text].popleft()
+            rows.append((r.claim_id, other))
+        elif r.may:
+            live[r.text].append((1, r.claim_id))
+    return pd.DataFrame(rows, columns=["claim_id", "conflicts_with"])
 
 
 def sequential_gate(candidates: DataFrame, promoted: DataFrame, quarantined: DataFrame) -> DataFrame:
     """Decisions in order of id within a subject, where each sees those before it.
 
-    A candidate meets claims of its own subject only, so subjects are walked apart; nothing
-    else in the engine needs a loop.
+    A promotion adds a claim that later candidates meet, a contest takes one away.  Texts
+    that contradict each other are found by a join of distinct texts; only candidates and
+    promoted claims with such a text are walked, by id and without texts, subjects apart.
+    Claims without a subject or words contradict none.
     """
-    held = quarantined.select(F.col("agent_id").alias("observed_by"), F.lit(True).alias("h"))
-    c = candidates.join(F.broadcast(held), "observed_by", "left").select("subject", "claim_id", "claim", "claim_type", F.lit("candidate").alias("status"), F.coalesce("h", F.lit(False)).alias("held"), "n_evidence", "provenance_ok", "independent_count", "trust")
-    p = promoted.select("subject", "claim_id", "claim", "claim_type", F.lit("promoted").alias("status"), F.lit(False).alias("held"), F.lit(0).cast("long").alias("n_evidence"), F.lit(True).alias("provenance_ok"), F.lit(0).cast("long").alias("independent_count"), F.lit(None).cast("double").alias("trust"))
-    return c.unionByName(p).groupBy("subject").applyInPandas(_walk, DECISION)
+    text = F.sha2(F.concat_ws("\x00", "subject", normalized_claim(F.col("claim"))), 256).alias("text")
+    c = _staged(candidates, quarantined).where(F.col("early").isNull() & F.col("subject").isNotNull())
+    c = c.select("subject", "claim_id", "claim", text, F.col("late").isNull().alias("may"))
+    p = promoted.where(F.col("subject").isNotNull()).select("subject", "claim_id", "claim", text, F.lit(True).alias("may"))
+    side = lambda x: x.groupBy(F.col("text").alias("id"), "subject").agg(F.first("claim").alias("claim")).select("id", "subject", words(F.col("claim")).alias("words"))
+    pairs = containment_pairs(side(c), side(p.union(c.where("may"))), WORDS_CONFLICT, ["subject"]).where("a <> b")
+    pairs = stored(pairs.join(side(c).select(F.col("id").alias("a"), "subject"), "a").select("subject", "a", "b"), "gate-pairs")
+    named = pairs.select(F.col("a").alias("text")).union(pairs.select("b")).distinct()
+    row = lambda x, kind: x.join(named, "text", "left_semi").select("subject", F.lit(kind).alias("kind"), "claim_id", "text", F.lit(None).cast("string").alias("other"), "may")
+    edges = pairs.select("subject", F.lit("pair").alias("kind"), F.lit(None).cast("string").alias("claim_id"), F.col("a").alias("text"), F.col("b").alias("other"), F.lit(False).alias("may"))
+    contests = edges.union(row(c, "candidate")).union(row(p, "promoted")).groupBy("subject").applyInPandas(_walk, "claim_id string, conflicts_with string")
+    return _decided(candidates, contests, quarantined)
 
 
 def explained(groups: DataFrame, quarantined: DataFrame) -> DataFrame:
