@@ -1,6 +1,6 @@
 """Queries of the training-data operators and the SQL that checks them."""
 
-from tidewell.llm import ngram_join, packing, quality_classifier, quality_rules, source_mixing, suffix_dedup, token_counts, token_files, topk_search, url_filters
+from tidewell.llm import ngram_join, packing, quality_classifier, quality_rules, source_audit, source_mixing, suffix_dedup, token_counts, token_files, topk_search, url_filters
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_topk_search": topk_search.op8_topk_search,
     "op9_source_mixing": source_mixing.op9_source_mixing,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+    "op11_source_audit": source_audit.op11_source_audit,
 }
 ORACLES = {
     "op3_url_filters": url_filters.ORACLE,
     "op3_junk_urls": url_filters.JUNK_ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
     "op8_topk_search": topk_search.ORACLE,
+    "op11_source_audit": source_audit.ORACLE,
 }
