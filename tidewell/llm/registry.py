@@ -1,6 +1,6 @@
 """Queries of the training-data operators and the SQL that checks them."""
 
-from tidewell.llm import conversation_repair, ngram_join, packing, quality_classifier, quality_rules, source_audit, source_mixing, suffix_dedup, token_counts, token_files, topk_search, url_filters
+from tidewell.llm import conversation_repair, fingerprints, ngram_join, packing, quality_classifier, quality_rules, source_audit, source_mixing, suffix_dedup, token_counts, token_files, topk_search, url_filters
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_source_mixing": source_mixing.op9_source_mixing,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
     "op11_source_audit": source_audit.op11_source_audit,
+    "op12_fingerprints": fingerprints.op12_fingerprints,
     "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 ORACLES = {
