@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline as P
+from tidewell.llm.quality_classifier import op10_quality_classifier
 
 
 def test_stages_do_their_work(spark, tmp_path):
@@ -22,9 +23,17 @@ def test_stages_do_their_work(spark, tmp_path):
     assert one.columns == docs.columns and not any(500 + i in left and i in left for i in range(20))
     assert P.repeats(spark, one, str(tmp_path)).columns == docs.columns
     assert P.mixing(spark, one, str(tmp_path)).columns == docs.columns
+    scored = op10_quality_classifier(spark, str(tmp_path))  # lazy, and reads files that it stored
     out = P.run(spark, str(tmp_path)).collect()
+    assert scored.count() == len(rows)
     assert out and {r.doc_id for r in out} <= left
 
 
 def test_five_stages_in_order():
     assert [n for n, _ in P.STAGES] == ["quality classifier", "n-gram Jaccard join", "suffix-array dedup", "source mixing", "packing"]
+
+
+def test_empty_documents(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert P.run(spark, str(tmp_path)).collect() == []

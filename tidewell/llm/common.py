@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -44,28 +45,38 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-#: Paths that stored() has written in this process and that nothing has cleared.
-_written: list[str] = []
+#: Paths that stored() wrote in each scratch() block that is open, the innermost last.
+_scratches: list[list[str]] = []
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    Cuts lineage: a lost executor re-reads files instead of recomputing.  The files stay
-    until clear_stored().
+    Cuts lineage: a lost executor re-reads files instead of recomputing.  The files stay,
+    as results read them, but for those written in a scratch() block.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), "tidewell", f"{label}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
+    if _scratches:
+        _scratches[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_stored(spark: SparkSession) -> None:
-    """Delete what stored() has written so far; for callers whose results are written, since results read these files."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what stored() wrote inside it, and nothing else; for steps whose results are written there."""
+    _scratches.append([])
+    try:
+        yield
+    finally:
+        for path in _scratches.pop():
+            delete(spark, path)
 
 
 def frugal(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
