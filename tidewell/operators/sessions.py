@@ -61,6 +61,7 @@ def hot_files(envelopes: DataFrame, above: int = HOT) -> DataFrame:
 
 
 def files_touched(envelopes: DataFrame) -> DataFrame:
+    """(session_id, files): sorted distinct paths of a session's tools."""
     return envelopes.where("path is not null").groupBy("session_id").agg(F.array_sort(F.collect_set("path")).alias("files"))
 
 
@@ -211,11 +212,6 @@ def command_lists(envelopes: DataFrame) -> DataFrame:
     return ran.groupBy("session_id").agg(F.array_sort(F.collect_list(one)).alias("commands"))
 
 
-def files_touched(envelopes: DataFrame) -> DataFrame:
-    """(session_id, files): sorted distinct paths of a session's tools."""
-    return envelopes.where("path is not null").groupBy("session_id").agg(F.array_sort(F.collect_set("path")).alias("files"))
-
-
 def pending(sessions: DataFrame, done: DataFrame, version: int) -> DataFrame:
     """Rows of ``sessions`` (session_id, content) that ``done`` (session_id, content, version) does not hold in this version or a later one."""
     current = done.where(F.col("version") >= version).select("session_id", "content").distinct()
@@ -230,18 +226,18 @@ def seals(envelopes: DataFrame) -> DataFrame:
     return of.where("ended_at is not null")
 
 
-def parts(envelopes: DataFrame, most: int) -> DataFrame:
-    """Add ``part``: the compacted part of its date that an event goes to, by order of event.
+def parts(envelopes: DataFrame, most: int, by: tuple[str, ...] = ("dt",)) -> DataFrame:
+    """Add ``part``: the compacted part of its date (or of each ``by``) that an event goes to, by order of event.
 
     Parts are cut where ``most`` bytes of JSON are reached, counted from each session's begin,
     and sessions follow each other, so that running sums stay within a session and a table of
     one row a session.
     """
     sized = envelopes.withColumn("bytes", F.octet_length("record").cast("long"))
-    whole = sized.groupBy("dt", "session_id").agg(F.sum("bytes").alias("all"))
-    before = whole.select("dt", "session_id", (F.sum("all").over(Window.partitionBy("dt").orderBy("session_id")) - F.col("all")).alias("before"))
-    within = F.sum("bytes").over(Window.partitionBy("dt", "session_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes")
-    return sized.withColumn("within", within).join(before, ["dt", "session_id"]).withColumn("part", F.floor((F.col("before") + F.col("within")) / most).cast("long")).drop("within", "before")
+    whole = sized.groupBy(*by, "session_id").agg(F.sum("bytes").alias("all"))
+    before = whole.select(*by, "session_id", (F.sum("all").over(Window.partitionBy(*by).orderBy("session_id")) - F.col("all")).alias("before"))
+    within = F.sum("bytes").over(Window.partitionBy(*by, "session_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes")
+    return sized.withColumn("within", within).join(before, [*by, "session_id"]).withColumn("part", F.floor((F.col("before") + F.col("within")) / most).cast("long")).drop("within", "before")
 
 
 def listed(sessions: DataFrame, prefix: str | None = None, limit: int = 20) -> DataFrame:

@@ -11,6 +11,8 @@ from tidewell.operators import imports as I
 from tidewell.operators import presence as P
 from tidewell.operators import sessions as S
 from tidewell.plans.catalog import query
+from tidewell.sources import compaction as C
+from tidewell.sources.segments import conformed, minimal, raw_segments, write_batch
 from tidewell.sources.shared import new_folder, stored
 from tidewell.sources.tables import claim_events, document_claims, event_envelopes, sql, table
 from tidewell.streaming import capture
@@ -162,3 +164,28 @@ def events_since(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     begin = T.since("36h", datetime(2024, 1, 17, tzinfo=UTC)).strftime("%Y-%m-%dT%H:%M:%S")
     return event_envelopes(spark, sf_dir).where(F.col("emitted_at") >= begin).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+@query(
+    "compacted_twice",
+    sql("env", """, s AS (SELECT session_id, min(emitted_at)[1:10] AS lo, max(emitted_at)[1:10] AS hi, starts_with(session_id, '1') AS late FROM env GROUP BY 1 HAVING bool_or(event_type = 'session_end')),
+r AS (SELECT emitted_at[1:10] AS dt, session_id, command FROM env WHERE session_id IN (SELECT session_id FROM s)),
+d AS (SELECT dt, count(*) AS rows_in, count(*) FILTER (command IS NULL) + count(DISTINCT session_id || '|' || command) AS events, count(DISTINCT session_id) AS sessions FROM r GROUP BY 1)
+SELECT *, (EXISTS (SELECT 1 FROM s WHERE NOT late AND dt BETWEEN lo AND hi))::BIGINT + (EXISTS (SELECT 1 FROM s WHERE late AND dt BETWEEN lo AND hi))::BIGINT AS written FROM d"""),
+)
+def compacted_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compacted dates read back after three runs: some sessions are sealed before the first, the rest before the second, none before the third.
+
+    ``written``: how many of the runs wrote the date; a date whose seals are as they were is left alone.
+    """
+    root = new_folder(spark, "lake")
+    write_batch(conformed(minimal(event_envelopes(spark, sf_dir))), f"{root}/sessions", 0)
+    e = raw_segments(spark, f"{root}/sessions")
+    ended = C.marks_of(e)
+    runs = []
+    for some in (ended.where("not startswith(session_id, '1')"), ended, ended):
+        C.seal(spark, root, some)
+        runs.append(C.compact(spark, root, part_bytes=1 << 18))
+    told = spark.createDataFrame([(x.dt, x.rows_in) for run in runs for x in run], "dt string, rows_in long").groupBy("dt").agg(F.max("rows_in").alias("rows_in"), F.count("*").alias("written"))
+    got = C.read_compacted(spark, root).groupBy("dt").agg(F.count("*").alias("events"), F.count_distinct("session_id").alias("sessions"))
+    return got.join(told, "dt").select("dt", "rows_in", "events", "sessions", "written")

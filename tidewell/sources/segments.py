@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidewell.functions.text import content_hash
 
@@ -19,6 +20,14 @@ COLUMNS = ("event_id", "emitted_at", "fleet_id", "agent_id", "runtime", "session
 RUNTIMES = ("claude_code", "cursor", "hermes")
 #: Path of a segment: date, fleet, runtime, agent, session.
 PATH = r"(?:^|/)sessions/dt=([^/]+)/fleet=([^/]+)/runtime=([^/]+)/agent=([^/]+)/session=([^/]+)/[^/]+$"
+#: Partition columns of a batch of segments.
+BATCH = ("dt", "fleet", "batch")
+
+
+def conformed(rows: DataFrame) -> DataFrame:
+    """All fields of an envelope, null where ``rows`` has none; other columns go."""
+    have = set(rows.columns)
+    return rows.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(ENVELOPE).fields])
 
 
 def encoded(envelopes: DataFrame) -> DataFrame:
@@ -41,9 +50,25 @@ def write_segments(envelopes: DataFrame, path: str, mode: str = "append") -> Non
     parts.write.mode(mode).partitionBy("dt", "fleet", "runtime", "agent", "session").option("compression", "snappy").parquet(path)
 
 
+def write_batch(envelopes: DataFrame, path: str, batch: int) -> None:
+    """Segments of one numbered batch below ``path``, by date, fleet and batch; writing a batch again replaces what it wrote.
+
+    Sessions stay columns, so that a batch makes one file a task and date, not one a session.
+    """
+    rows = encoded(envelopes).withColumns({"dt": F.substring("emitted_at", 1, 10), "fleet": F.col("fleet_id"), "batch": F.lit(batch)})
+    rows = rows.withColumns({c: F.when(F.col(c) == "", "none").otherwise(F.col(c)) for c in ("dt", "fleet")})
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*BATCH).option("compression", "snappy").parquet(path)
+
+
+def raw_segments(spark: SparkSession, path: str) -> DataFrame:
+    """Segments with dt and fleet, undecoded; date and fleet filters prune partitions."""
+    types = ", ".join(f"{c} string" for c in COLUMNS)
+    return spark.read.schema(f"{types}, dt string, fleet string").parquet(path)
+
+
 def read_segments(spark: SparkSession, path: str, dt: str | None = None, fleet: str | None = None) -> DataFrame:
     """Decoded envelopes; a date and a fleet prune partitions."""
-    rows = spark.read.parquet(path)
+    rows = raw_segments(spark, path)
     if dt:
         rows = rows.where(F.col("dt") == dt)
     if fleet:

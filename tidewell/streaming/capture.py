@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidewell.sources.segments import ENVELOPE, encoded
+from tidewell.sources.segments import ENVELOPE, raw_segments, write_batch
 from tidewell.streaming.spool import SpoolSource
 
 
@@ -23,17 +23,17 @@ def parsed(lines: DataFrame) -> DataFrame:
 
 
 def to_bronze(envelopes: DataFrame, path: str, checkpoint: str, **trigger: object) -> StreamingQuery:
-    """Append segments; a batch that is run again overwrites what it wrote, so nothing is there twice."""
+    """Append segments (see write_batch()); a batch that is run again overwrites what it wrote, so nothing is there twice."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = encoded(batch).withColumn("dt", F.substring("emitted_at", 1, 10))
-        rows.write.mode("overwrite").partitionBy("dt").parquet(f"{path}/batch={batch_id:09d}")
+        write_batch(batch, path, batch_id)
 
     return envelopes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def bronze(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    """Segments that to_bronze() wrote; decoded() or read_segments() gives their envelopes."""
+    return raw_segments(spark, path)
 
 
 def _timed(envelopes: DataFrame, late: str) -> DataFrame:
