@@ -87,15 +87,16 @@ def source_audit(docs: DataFrame, *, text: str = "text", lang: str = "lang", sou
     groups = stored(groups, "audit-groups")
     n_groups = groups.count()
 
-    held = kept.repartition("lang", "term")
-    counts = held.select("lang", "term", "source", "n")
-    dense = _with_groups(held.where("first").select("lang", "term"), groups.where("v > 0").select("lang", "source", "total", "v"), n_groups, ["term"])
-    dense = dense.join(counts, ["lang", "term", "source"], "left").na.fill(0, ["n"]).select("lang", "term", "source", _share("n", "total", "v").alias("p"))
+    # Zeros and counts meet in one aggregation, dealt by (lang, term) as the join of the dense table with itself asks for.
+    zeros = _with_groups(kept.where("first").select("lang", "term"), groups.where("v > 0").select("lang", "source", "total", "v"), n_groups, ["term"]).withColumn("n", F.lit(0).cast("long"))
+    both = zeros.unionByName(kept.select("lang", "term", "source", "n"), allowMissingColumns=True).repartition("lang", "term")
+    dense = both.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.max("total").alias("total"), F.max("v").alias("v"))
+    dense = dense.select("lang", "term", "source", _share("n", "total", "v").alias("p"))
 
     one, two = dense, dense.select("lang", "term", F.col("source").alias("other"), F.col("p").alias("q"))
     sums = one.join(two, ["lang", "term"]).where("source < other").groupBy("lang", "source", "other").agg(F.sum(_apart("p", "q")).alias("there"), F.sum(_apart("q", "p")).alias("back"))
-    both = F.array(F.struct("source", F.col("other").alias("item"), F.col("there").alias("value")), F.struct(F.col("other").alias("source"), F.col("source").alias("item"), F.col("back").alias("value")))
-    pairs = sums.select("lang", F.inline(both))
+    ways = F.array(F.struct("source", F.col("other").alias("item"), F.col("there").alias("value")), F.struct(F.col("other").alias("source"), F.col("source").alias("item"), F.col("back").alias("value")))
+    pairs = sums.select("lang", F.inline(ways))
     bare = groups.where("v = 0").select("lang", "source")
     pairs = pairs.unionByName(bare.join(bare.withColumnRenamed("source", "item"), "lang").where("source <> item").withColumn("value", F.lit(0).cast("long")))
 
