@@ -35,6 +35,23 @@ def fold(events: DataFrame) -> DataFrame:
     )
 
 
+def state(events: DataFrame) -> DataFrame:
+    """State of each claim with all that its events tell, by (at, key); see fold() for status and promotion.
+
+    Evidence is the union of all proposals', in the order in which each citation came first;
+    embedding and resolves_at are the first proposal's that has one.
+    """
+    folded = fold(events.withColumn("evidence_session", F.lit(None).cast("string"))).drop("evidence")
+    made = _live(events, ["at", "key"]).where("kind = 'proposed'")
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("o"))).alias(c)
+    told = made.groupBy("claim_id").agg(F.min_by("claim_type", "o").alias("claim_type"), F.min_by("subject", "o").alias("subject"), first("embedding"), first("resolves_at"))
+    cited = made.select("claim_id", "o", F.posexplode("evidence").alias("n", "e")).where("e is not null")
+    once = cited.groupBy("claim_id", "e").agg(F.min(F.struct("o", "n")).alias("first"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("first", "e"))), lambda x: x["e"])
+    evidence = once.groupBy("claim_id").agg(in_order.alias("evidence"))
+    return folded.join(told, "claim_id").join(evidence, "claim_id", "left")
+
+
 def _status(kind: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in STATUSES.items() for x in pair])[kind]
 
@@ -85,16 +102,35 @@ def contradiction_rates(claims: DataFrame) -> DataFrame:
     return c.withColumn("rate", F.col("contested") / (F.col("promoted") + F.col("contested")))
 
 
+def next_outcomes(claims: DataFrame) -> DataFrame:
+    """Hypotheses with ``next``: the first promoted outcome on the subject, not earlier, by another agent, as struct(o_at, outcome_id, o_claim).
+
+    An as-of join without a join: hypotheses and outcomes stand in one sort by subject, the
+    latest first and outcomes before hypotheses of their time, and each row carries the
+    earliest outcome so far and the earliest one by another agent than that one's.  One of
+    the two is what a hypothesis asks for.
+    """
+    h = claims.where("claim_type = 'hypothesis'").select("subject", F.col("observed_at").alias("at"), F.lit(1).alias("asks"), "claim_id", "claim", "observed_by", "resolves_at")
+    o = claims.where("claim_type = 'outcome' and status = 'promoted'").select("subject", F.col("observed_at").alias("at"), F.lit(0).alias("asks"), "claim_id", "claim", "observed_by")
+    back = Window.partitionBy("subject").orderBy(F.desc("at"), "asks", F.desc("claim_id"))
+    own = F.struct(F.col("at").alias("o_at"), F.col("claim_id").alias("outcome_id"), F.col("claim").alias("o_claim"), F.col("observed_by").alias("o_by"))
+    # Where the agent changes from one outcome to the next, the one before is the earliest by another.
+    o = o.withColumn("own", own).withColumn("before", F.lag("own").over(back))
+    o = o.withColumn("other", F.when(~F.col("before.o_by").eqNullSafe(F.col("observed_by")), F.col("before")))
+    rows = h.unionByName(o.drop("before"), allowMissingColumns=True)
+    so_far = back.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("near", F.last("own", ignorenulls=True).over(so_far)).withColumn("far", F.last("other", ignorenulls=True).over(so_far))
+    met = F.when(F.col("near.o_by") != F.col("observed_by"), F.col("near")).when(F.col("far.o_by") != F.col("observed_by"), F.col("far"))
+    return rows.where("asks = 1").withColumn("next", met).select("claim_id", "subject", "claim", "observed_by", F.col("at").alias("observed_at"), "resolves_at", "next")
+
+
 def resolutions(claims: DataFrame, now: str) -> DataFrame:
-    """Each hypothesis with the first promoted outcome on its subject, not earlier, by another agent.
+    """Each hypothesis with its next outcome (see next_outcomes()).
 
     Correct if the texts are the same but for case and margins; a negation on one side or a
     different text is incorrect; without an outcome it expires at ``resolves_at``.
     """
-    h = claims.where("claim_type = 'hypothesis'").select("claim_id", "subject", "claim", "observed_by", "observed_at", "resolves_at")
-    o = claims.where("claim_type = 'outcome' and status = 'promoted'").select("subject", F.col("claim_id").alias("outcome_id"), F.col("claim").alias("o_claim"), F.col("observed_by").alias("o_by"), F.col("observed_at").alias("o_at"))
-    near = h.join(o, "subject").where("o_at >= observed_at and o_by <> observed_by").groupBy("claim_id").agg(F.min(F.struct("o_at", "outcome_id")).alias("x")).select("claim_id", F.col("x.outcome_id").alias("outcome_id"))
-    both = h.join(near, "claim_id", "left").join(o.select("outcome_id", "o_claim"), "outcome_id", "left")
+    both = next_outcomes(claims).select("*", F.col("next.outcome_id").alias("outcome_id"), F.col("next.o_claim").alias("o_claim"))
     same = (normalized_claim(F.col("claim")) == normalized_claim(F.col("o_claim"))) & (has_negation(F.col("claim")) == has_negation(F.col("o_claim")))
     outcome = F.when(F.col("outcome_id").isNull(), F.when(F.lit(now) >= F.col("resolves_at"), "expired")).when(same, "correct").otherwise("incorrect")
     return both.select("claim_id", "outcome_id", F.col("observed_by").alias("agent_id"), outcome.alias("outcome")).where("outcome is not null")
