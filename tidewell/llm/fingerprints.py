@@ -311,8 +311,7 @@ def edited_fingerprints(docs: DataFrame, *, text: str = "text", key: str = "doc_
     if not found.n:
         return spark.createDataFrame([], made)
     sample = sorted(tuple(r) for r in keys.sample(fraction=min(1.0, SAMPLED * parts / found.n), seed=SEED).collect())
-    step = max(1, len(sample) // parts)
-    bounds = sorted({tuple(found.first), *sample[step::step][: parts - 1]})
+    bounds = sorted({tuple(found.first), *(sample[len(sample) * i // parts] for i in range(1, parts) if sample)})
 
     @F.arrow_udf("array<int>")
     def ranges(none: pa.Array, down: pa.Array, hash_: pa.Array) -> pa.Array:
