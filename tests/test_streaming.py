@@ -2,9 +2,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from tidewell.plans import maintenance
 from tidewell.sources.segments import decoded, minimal, partition_of, read_segments, write_segments
-from tidewell.sources.tables import claim_events, event_envelopes
+from tidewell.sources.tables import event_envelopes
 from tidewell.streaming import capture
 from tidewell.streaming.spool import spool_files
 
@@ -56,11 +55,3 @@ def test_segments_prune_by_date(spark, tmp_path):
     files = spark.read.parquet(str(tmp_path / "sessions")).select(partition_of(F.input_file_name()).alias("p")).distinct().collect()
     assert files and all(r.p is not None and r.p.fleet == "main" for r in files)
     assert day.count() == e.where("emitted_at like '2024-01-02%'").count() > 0
-
-
-def test_maintenance_twice_is_once(spark, tmp_path):
-    e, log = event_envelopes(spark, "/root/testdata/sf0.001"), claim_events(spark, "/root/testdata/sf0.001")
-    first = maintenance.run(spark, e, log, str(tmp_path / "snap"))
-    assert maintenance.run(spark, e.orderBy(F.rand(3)), log, str(tmp_path / "snap")) == first
-    shown = maintenance.opened(spark, str(tmp_path / "snap"), "claims")
-    assert shown.where("visible_to_agents and status <> 'promoted'").count() == 0 < shown.count()

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import text as T
 from tidewell.operators import claims as M
+from tidewell.operators import evidence as E
 from tidewell.operators import imports as I
 from tidewell.operators import presence as P
 from tidewell.operators import sessions as S
+from tidewell.plans import maintenance as X
 from tidewell.plans.catalog import query
 from tidewell.sources import compaction as C
-from tidewell.sources.segments import conformed, minimal, raw_segments, write_batch
+from tidewell.sources import eventlog as L
+from tidewell.sources.segments import conformed, decoded, minimal, raw_segments, write_batch
 from tidewell.sources.shared import new_folder, stored
 from tidewell.sources.tables import claim_events, document_claims, event_envelopes, sql, table
 from tidewell.streaming import capture
@@ -39,8 +42,6 @@ def spool_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     spool_of(event_envelopes(spark, sf_dir).select("event_id", "emitted_at", "agent_id", "session_id", "event_type", F.lit("other").alias("runtime")), f"{root}/spool")
     for _ in range(2):
         capture.to_bronze(capture.spool(spark, f"{root}/spool"), f"{root}/bronze", f"{root}/checkpoint").awaitTermination()
-    from tidewell.sources.segments import decoded
-
     return decoded(capture.bronze(spark, f"{root}/bronze")).select("event_id", "emitted_at", "agent_id", "session_id", "event_type", "runtime")
 
 
@@ -189,3 +190,109 @@ def compacted_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = spark.createDataFrame([(x.dt, x.rows_in) for run in runs for x in run], "dt string, rows_in long").groupBy("dt").agg(F.max("rows_in").alias("rows_in"), F.count("*").alias("written"))
     got = C.read_compacted(spark, root).groupBy("dt").agg(F.count("*").alias("events"), F.count_distinct("session_id").alias("sessions"))
     return got.join(told, "dt").select("dt", "rows_in", "events", "sessions", "written")
+
+
+def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A claim a document, each citing one event: some of no such message, some at another time, some by an agent that nobody saw."""
+    i = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d"), i.cast("string")).alias("claim_id"), F.concat(F.lit("a"), (i % 9).cast("string")).alias("agent_id"))
+    e = event_envelopes(spark, sf_dir).select("event_id", "session_id", "emitted_at")
+    met = d.join(e, F.lpad(F.col("doc_id").cast("string"), 12, "0") == F.col("event_id"))
+    cite = F.struct("session_id", F.when(i % 5 == 1, "none").otherwise(F.col("event_id")).alias("message_id"), F.lit(None).cast("string").alias("excerpt_hash"), F.when(i % 5 == 2, "2031-01-01").otherwise(F.col("emitted_at")).alias("observed_at"))
+    kind = F.when(i % 7 == 3, "hypothesis").otherwise("environment")
+    return met.select("claim_id", F.lit("2030-01-01").alias("at"), F.lit("proposed").alias("kind"), "agent_id", F.concat(F.lit("claim "), F.col("claim_id")).alias("claim"), kind.alias("claim_type"), F.col("claim_id").alias("subject"), F.array(cite).alias("evidence"))
+
+
+def _lake(spark: SparkSession, sf_dir: str) -> str:
+    """A lake of the events, sealed where a session ended; every sixth event was shown the claim of its number."""
+    root = new_folder(spark, "lake")
+    e = event_envelopes(spark, sf_dir)
+    i = F.col("event_id").cast("long")
+    shown = F.when(i % 6 == 0, F.array(F.struct(F.concat(F.lit("d"), i.cast("string")).alias("claim_id"), F.lit("x").alias("source"), F.lit("y").alias("observed_by"))))
+    rows = minimal(e).join(e.select("event_id", F.col("event_id").alias("message_id"), shown.alias("injected_context")), "event_id")
+    write_batch(conformed(rows), f"{root}/sessions", 0)
+    C.seal(spark, root, C.marks_of(raw_segments(spark, f"{root}/sessions")))
+    return root
+
+
+@query(
+    "maintained_claims",
+    sql("env", """, s AS (SELECT session_id, min(emitted_at) AS lo, max(emitted_at) AS hi FROM env GROUP BY 1 HAVING bool_or(event_type = 'session_end')),
+kept AS (SELECT env.* FROM env JOIN s USING (session_id) QUALIFY command IS NULL OR row_number() OVER (PARTITION BY emitted_at[1:10], session_id, command ORDER BY event_id) = 1),
+w AS (SELECT session_id, min(emitted_at) AS lo, max(emitted_at) AS hi FROM kept GROUP BY 1),
+c AS (SELECT doc_id, 'd' || doc_id AS claim_id, 'a' || (doc_id % 9) AS observed_by, env.session_id, env.event_id, env.emitted_at FROM documents JOIN env ON env.event_id::BIGINT = doc_id),
+g AS (SELECT c.*, doc_id % 5 <> 1 AND doc_id % 5 <> 2 AND w.lo IS NOT NULL AND c.emitted_at BETWEEN w.lo AND w.hi AND EXISTS (SELECT 1 FROM kept k WHERE k.event_id = c.event_id) AND c.observed_by IN (SELECT agent_id FROM kept) AS ok,
+  CASE WHEN doc_id % 6 = 0 AND EXISTS (SELECT 1 FROM kept k WHERE k.event_id = c.event_id) THEN 0 ELSE 1 END AS independent FROM c LEFT JOIN w USING (session_id))
+SELECT claim_id, CASE WHEN doc_id % 7 <> 3 AND ok AND independent >= 1 THEN 'promoted' ELSE 'candidate' END AS status, (CASE WHEN doc_id % 7 <> 3 AND ok AND independent >= 1 THEN 1 ELSE 0 END)::BIGINT AS independent_count,
+  doc_id % 7 <> 3 AND ok AND independent >= 1 AS visible_to_agents FROM g"""),
+)
+def maintained_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of the published snapshot after the whole chain: their evidence is held against what was captured."""
+    root = _lake(spark, sf_dir)
+    L.append(_cited(spark, sf_dir), root)
+    X.run(spark, root, "2030-01-02")
+    return X.opened(spark, f"{root}/snapshot", "claims").select("claim_id", "status", "independent_count", "visible_to_agents")
+
+
+@query(
+    "maintained_digests",
+    sql("env", """, s AS (SELECT session_id, count(*) AS events FROM env GROUP BY 1 HAVING bool_or(event_type = 'session_end')),
+kept AS (SELECT env.* FROM env JOIN s USING (session_id) QUALIFY command IS NULL OR row_number() OVER (PARTITION BY emitted_at[1:10], session_id, command ORDER BY event_id) = 1)
+SELECT session_id, count(*) FILTER (exit_code IS NOT NULL) AS n_commands, count(*) FILTER (exit_code = 1) AS n_failed, count(DISTINCT path) AS n_files, coalesce(string_agg(command, ';' ORDER BY event_id) FILTER (exit_code IS NOT NULL), '') AS commands,
+  CASE WHEN NOT starts_with(session_id, '2') THEN 2 ELSE 1 END::BIGINT AS versions FROM kept GROUP BY 1"""),
+)
+def maintained_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest table after two runs, the first of which knew only some seals; ``versions``: that of a session's first digest."""
+    root = _lake(spark, sf_dir)
+    every = stored(C.seals(spark, root).read(), "seals")
+    half = f"{root}-half"
+    write_batch(decoded(raw_segments(spark, f"{root}/sessions")), f"{half}/sessions", 0)
+    first: dict[int, DataFrame] = {}
+    for some in (every.where("startswith(session_id, '2')"), every):
+        C.seal(spark, half, some)
+        C.compact(spark, half)
+        merge = X.run_digests(spark, half)
+        first[merge.version] = X.digest_table(spark, half).read(merge.version).select("session_id")
+    numbered = None
+    for version, rows in first.items():
+        rows = rows.withColumn("versions", F.lit(version).cast("long"))
+        numbered = rows if numbered is None else numbered.unionByName(rows)
+    begun = numbered.groupBy("session_id").agg(F.min("versions").alias("versions"))
+    commands = F.coalesce(F.array_join(F.transform("commands", lambda c: c["command"]), ";"), F.lit("")).alias("commands")
+    return X.digest_table(spark, half).read().join(begun, "session_id").select("session_id", "n_commands", "n_failed", "n_files", commands, "versions")
+
+
+@query(
+    "gate_inputs",
+    sql("env", """, x AS (SELECT session_id, 'window' AS kind, '' AS value, emitted_at FROM env UNION ALL SELECT session_id, 'agent', agent_id, emitted_at FROM env UNION ALL SELECT session_id, 'message', event_id, emitted_at FROM env
+  UNION ALL SELECT session_id, 'shown', 'c' || (event_id::BIGINT % 50), emitted_at FROM env WHERE event_id::BIGINT % 4 = 0)
+SELECT session_id, kind, value, min(emitted_at) AS first_at, max(emitted_at) AS last_at FROM x GROUP BY ALL"""),
+)
+def gate_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows, agents, messages and what was shown, in one pass over the events."""
+    i = F.col("event_id").cast("long")
+    shown = F.when(i % 4 == 0, F.array(F.struct(F.concat(F.lit("c"), (i % 50).cast("string")).alias("claim_id"))))
+    e = event_envelopes(spark, sf_dir).withColumn("message_id", F.col("event_id")).withColumn("injected_context", shown)
+    return E.gate_inputs(e).withColumn("value", F.coalesce("value", F.lit("")))
+
+
+@query("claim_log", sql("log", "SELECT claim_id, kind, count(*) AS n, min(\"at\") AS first_at FROM (SELECT DISTINCT claim_id, \"at\", kind, agent_id, claim, confidence, independent_count FROM log) GROUP BY ALL"))
+def claim_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claim events appended to a log twice, the second time in other tasks, and read back."""
+    root = new_folder(spark, "log")
+    e = claim_events(spark, sf_dir).select("claim_id", "at", "kind", "agent_id", "claim", "confidence", "independent_count")
+    for rows in (e, e.repartition(7)):
+        L.append(rows, root)
+    return L.read_events(spark, root).groupBy("claim_id", "kind").agg(F.count("*").alias("n"), F.min("at").alias("first_at"))
+
+
+@query("proposed_claims", "SELECT 'a' || (doc_id % 5) AS agent_id, count(*) AS n FROM documents WHERE doc_id % 3 <> 0 AND coalesce(lang, '') <> '' GROUP BY doc_id % 5")
+def proposed_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposals that went into the log: valid ones only, each once."""
+    root = new_folder(spark, "log")
+    i = F.col("doc_id")
+    cite = F.array(F.struct(F.lit("s").alias("session_id"), F.lit("m").alias("message_id"), F.lit(None).cast("string").alias("excerpt_hash"), F.lit(None).cast("string").alias("observed_at")))
+    p = table(spark, sf_dir, "documents").select(F.concat(F.lit("a"), (i % 5).cast("string")).alias("agent_id"), F.concat(F.lit("claim "), i.cast("string")).alias("claim"), F.lit("outcome").alias("claim_type"), F.when(i % 3 == 0, "").otherwise(F.col("lang")).alias("subject"), cite.alias("evidence"))
+    for _ in range(2):
+        L.propose(p, root, "2030-01-01")
+    return L.read_events(spark, root).groupBy("agent_id").agg(F.count("*").alias("n"))

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.operators import claims, gate, sessions
+from tidewell.functions.text import command_text
+from tidewell.operators import claims, evidence, gate, sessions
+from tidewell.sources import compaction, eventlog
+from tidewell.sources.keyed import Keyed, Merge
+from tidewell.sources.segments import decoded
+from tidewell.sources.shared import stored
 
 
 def content_id(table: DataFrame) -> str:
@@ -59,14 +65,97 @@ def opened(spark: SparkSession, root: str, label: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}/{label}")
 
 
-def run(spark: SparkSession, envelopes: DataFrame, events: DataFrame, root: str, *, reads_enabled: bool = True) -> str:
-    """Compact and digest the envelopes, fold the claims, gate the candidates, publish; running it twice changes nothing."""
-    kept = sessions.compacted(envelopes.withColumn("content_hash", F.sha2(F.concat_ws("\x00", "event_id", "command"), 256)))
-    digest = sessions.digest(kept).join(sessions.summaries(kept), "session_id", "left")
-    state = claims.fold(events).withColumn("claim_type", F.lit("environment")).withColumn("subject", F.col("observed_by"))
-    state = state.withColumn("n_evidence", F.size(F.split("evidence", ",")).cast("long")).withColumn("provenance_ok", F.lit(True)).withColumn("trust", F.lit(None).cast("double"))
-    banned = claims.quarantined(events)
-    decided = gate.sequential_gate(state.where("status = 'candidate'"), state.where("status = 'promoted'"), banned)
-    state = state.join(decided.where("decision = 'promote'").select("claim_id", F.lit("promoted").alias("now")), "claim_id", "left").withColumn("status", F.coalesce("now", "status")).drop("now")
+#: Version of a digest row; sessions with an older one are digested again.
+DIGEST = 2
+
+
+class Report(NamedTuple):
+    """What a run of the chain did."""
+
+    compacted: list[compaction.Compacted]
+    digests: Merge
+    decisions: dict[str, int]
+    events: int  #: appended to the claim log
+    claims: Merge
+    snapshot: str
+
+
+def flat(envelopes: DataFrame) -> DataFrame:
+    """Envelopes with the columns that session operators read; a tool with several paths has a row more for each further one."""
+    e = envelopes.select(
+        "session_id", "event_id", "emitted_at", "event_type", "cwd", "git_sha", F.col("tool.name").alias("tool_name"), F.when(F.col("tool").isNotNull(), command_text(F.col("tool.input"), F.col("tool.name"))).alias("command"),
+        F.col("tool.exit_code").cast("long").alias("exit_code"), *[F.col(f"usage.{c}").alias(c) for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "cost_usd")], F.posexplode_outer("tool.paths").alias("_n", "path"),
+    )
+    own = F.coalesce("_n", F.lit(0)) == 0
+    always = ("session_id", "event_id", "emitted_at", "path")
+    return e.select(*[F.col(c) if c in always else F.when(own, F.col(c)).alias(c) for c in e.columns if c != "_n"])
+
+
+def digests(envelopes: DataFrame) -> DataFrame:
+    """Full digest rows: the digest with its summary, commands, files, friction and all kinds of tokens."""
+    e = flat(envelopes)
+    tight = sessions.friction(e).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("rank", "kind", "subject", "count"))).alias("friction"))
+    more = e.groupBy("session_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("output_tokens", "cache_read_tokens", "cache_write_tokens")])
+    out = sessions.digest(e).join(sessions.summaries(e), "session_id", "left").join(more, "session_id", "left")
+    for part in (sessions.command_lists(e), sessions.files_touched(e), tight):
+        out = out.join(part, "session_id", "left")
+    return out
+
+
+def digest_table(spark: SparkSession, root: str) -> Keyed:
+    return Keyed(spark, f"{root}/digests", ["session_id"])
+
+
+def claim_table(spark: SparkSession, root: str) -> Keyed:
+    return Keyed(spark, f"{root}/claims-state", ["claim_id"])
+
+
+def run_digests(spark: SparkSession, root: str) -> Merge:
+    """Digest sealed sessions that have no digest of what they hold now; the others are not read."""
+    table = digest_table(spark, root)
+    have = compaction.seals(spark, root).read()
+    if have is None:
+        return Merge(0, {}, 0, 0, 0)
+    of = have.select("session_id", F.concat_ws("/", "ended_at", F.col("events").cast("string")).alias("content")).groupBy("session_id").agg(F.max("content").alias("content"))
+    done = table.read()
+    todo = stored(of if done is None else sessions.pending(of, done.select("session_id", "content", "version"), DIGEST), "pending")
+    if todo.isEmpty():
+        return Merge(table.version(), {}, 0, 0, of.count())
+    e = compaction.read_compacted(spark, root).join(todo, "session_id", "left_semi")
+    return table.upsert(digests(decoded(e)).join(todo, "session_id").withColumn("version", F.lit(DIGEST)))
+
+
+def run_gate(spark: SparkSession, root: str, at: str) -> tuple[dict[str, int], int]:
+    """Demote claims of quarantined agents, decide on candidates, and append what was decided; decisions by kind and events appended."""
+    log = eventlog.read_events(spark, root)
+    state = stored(claims.state(log), "claims")
+    held = stored(claims.quarantined(log), "quarantined")
+    fallen = claims.demoted(state, held)
+    inputs = stored(evidence.gate_inputs(compaction.compacted_envelopes(spark, root)), "gate-inputs")
+    asked = evidence.checked(state.where("status = 'candidate'"), inputs).withColumn("trust", F.lit(None).cast("double"))
+    standing = state.where("status = 'promoted'").join(fallen.select("claim_id"), "claim_id", "left_anti")
+    decided = stored(gate.sequential_gate(asked, standing, held), "decisions")
+    told = gate.decision_events(decided, at).join(decided.where("decision = 'promote'").select("claim_id", "independent_count", "confidence"), "claim_id", "left")
+    told = told.unionByName(fallen.select("claim_id", F.lit("contested").alias("kind"), F.lit(at).alias("at"), "reason"), allowMissingColumns=True)
+    # A claim that was promoted in this run may be contested in it, and never the other way round.
+    told = told.withColumn("agent_id", F.lit("gate")).withColumn("step", F.when(F.col("kind") == "promoted", 0).otherwise(1))
+    n = eventlog.append(told, root)
+    return {r.decision: r["count"] for r in decided.groupBy("decision").count().collect()}, n
+
+
+def run(spark: SparkSession, root: str, at: str, *, reads_enabled: bool = True, part_bytes: int = compaction.PART_BYTES) -> Report:
+    """The chain over the lake below ``root``: compact, digest, gate, publish claim state and a snapshot.
+
+    ``root`` has sessions (segments), seals and events (the claim log).  Each step takes up
+    only what changed: dates by their seals, sessions by their digest's content and version,
+    claims by their row.  A run over an unchanged lake writes no data and keeps the snapshot.
+    """
+    compacted = compaction.compact(spark, root, part_bytes=part_bytes)
+    digested = run_digests(spark, root)
+    decisions, events = run_gate(spark, root, at)
+    state = claims.state(eventlog.read_events(spark, root))
     shown = state.withColumn("visible_to_agents", (F.col("status") == "promoted") & F.lit(reads_enabled))
-    return publish(spark, {"claims": shown, "sessions": digest}, root)
+    merged = claim_table(spark, root).upsert(shown)
+    tables = {"claims": claim_table(spark, root).read(), "sessions": digest_table(spark, root).read()}
+    name = publish(spark, {k: t for k, t in tables.items() if t is not None}, f"{root}/snapshot")
+    return Report(compacted, digested, decisions, events, merged, name)

@@ -98,11 +98,15 @@ class EventLog(DataSource):
 
 
 def keyed(events: DataFrame) -> DataFrame:
-    """``events`` (fields of EVENT) with dt, agent, value and a key by time and content; events that are equal have one key."""
+    """``events`` (fields of EVENT) with dt, agent, value and a key by time, step and content; events that are equal have one key.
+
+    A column ``step`` orders events of one time, as the log goes by (at, key).
+    """
     have = set(events.columns)
     record = F.to_json(F.struct(*[f.name for f in StructType.fromDDL(EVENT).fields if f.name in have]))
     safe = lambda c: F.coalesce(F.nullif(F.regexp_replace(c, r"[^A-Za-z0-9_.@-]", "_"), F.lit("")), F.lit("none"))
-    rows = events.withColumn("value", record).withColumn("key", F.concat(F.coalesce("at", F.lit("")), F.lit("-"), F.substring(F.sha2("value", 256), 1, 32)))
+    step = F.coalesce(F.col("step").cast("string"), F.lit("0")) if "step" in have else F.lit("0")
+    rows = events.withColumn("value", record).withColumn("key", F.concat(F.coalesce("at", F.lit("")), F.lit("-"), step, F.lit("-"), F.substring(F.sha2("value", 256), 1, 32)))
     return rows.select(safe(F.substring("at", 1, 10)).alias("dt"), safe(F.col("agent_id")).alias("agent"), "key", "value").dropDuplicates(["key"])
 
 

@@ -88,7 +88,7 @@ def runtime_of(name: Column) -> Column:
 
 
 def minimal(rows: DataFrame, fleet: str = "main") -> DataFrame:
-    """Rows with session, event and tool columns as ENVELOPE records."""
+    """Rows with session, event and tool columns as ENVELOPE records; see conformed() for the fields that they lack."""
     tool = F.when(F.col("tool_name").isNotNull(), F.struct(F.col("tool_name").alias("name"), F.col("command").alias("input"), content_hash(F.coalesce("command", F.lit(""))).alias("input_hash"), F.lit(None).cast("string").alias("result"), F.col("exit_code").cast("int").alias("exit_code"), F.lit(None).cast("long").alias("duration_ms"), F.array_compact(F.array("path")).alias("paths")))
     return rows.select(
         F.lit(1).alias("schema_version"), "event_id", "emitted_at", F.lit(fleet).alias("fleet_id"), "agent_id", runtime_of(F.col("runtime")).alias("runtime"), "session_id", "cwd", "git_sha", "event_type",
