@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.operators import claims as M
 from tidewell.operators import search as R
 from tidewell.operators import similarity as S
 from tidewell.plans.catalog import query
-from tidewell.sources.tables import table
+from tidewell.sources import index as I
+from tidewell.sources.shared import new_folder
+from tidewell.sources.tables import document_claims, table
 
 QUERY = "the ing und worthless est"
 
@@ -55,3 +58,38 @@ SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s WHE
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return R.hybrid(docs, QUERY, 10)
+
+
+def _indexed(spark: SparkSession, docs: DataFrame) -> I.Index:
+    root = new_folder(spark, "index")
+    I.write_index(docs, root)
+    return I.open_index(spark, root)
+
+
+@query("bm25_indexed", f"WITH {_BM25} SELECT id, round(score, 6) AS score, rank FROM ranked")
+def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ranks from postings that were stored."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return R.bm25_over(_indexed(spark, docs), QUERY).withColumn("score", F.round("score", 6))
+
+
+_CLAIMS = "WITH documents AS (SELECT doc_id, text || ' ' || lang || (doc_id % 10) AS text FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 17 <> 1), "
+
+
+@query(
+    "claim_search",
+    rf"""{_CLAIMS}{_BM25},
+hw AS (SELECT doc_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS w FROM documents),
+hc AS (SELECT id, ('0x' || md5(w)[1:8])::BIGINT % 256 AS bucket, count(*) AS n FROM hw GROUP BY ALL),
+hq AS (SELECT ('0x' || md5(w)[1:8])::BIGINT % 256 AS bucket, count(*) AS qn FROM (SELECT unnest(string_split('{QUERY}', ' ')) AS w) GROUP BY ALL),
+c AS (SELECT id, sum(n * coalesce(qn, 0)) / (sqrt(sum(n * n)) * (SELECT sqrt(sum(qn * qn)) FROM hq)) AS cosine FROM hc LEFT JOIN hq USING (bucket) GROUP BY ALL),
+s AS (SELECT c.id, round(coalesce(1 / rank, 0) + cosine, 6) AS score FROM c LEFT JOIN ranked ON ranked.id = c.id),
+r AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 201)
+SELECT r.rank, lpad(id::VARCHAR, 12, '0') AS claim_id, score, source AS observed_by, rank = 201 AS more FROM r JOIN (SELECT doc_id, source FROM documents_all) d ON d.doc_id = r.id""".replace("documents_all", "main.documents"),
+)
+def claim_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best visible claims by text and subject, from a stored index, joined with what they are; the last row tells of more."""
+    c = M.visible(document_claims(spark, sf_dir))
+    index = _indexed(spark, c.select(F.col("claim_id").alias("id"), F.concat_ws(" ", "claim", "subject").alias("text")))
+    found = R.hybrid_over(index, QUERY, 200)
+    return found.join(c.select(F.col("claim_id").alias("id"), "observed_by"), "id").select("rank", F.col("id").alias("claim_id"), "score", "observed_by", (F.col("rank") == 201).alias("more"))
