@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import content_hash, json_payload, normalized_claim, without_injected
@@ -40,20 +40,46 @@ def citable(envelopes: DataFrame) -> DataFrame:
     return envelopes.where("content is not null").groupBy("session_id", F.coalesce("message_id", "event_id").alias("message_id")).agg(F.max(F.struct("event_id", content_hash(F.col("content")).alias("h"), "emitted_at")).alias("x")).select("session_id", "message_id", F.col("x.h").alias("excerpt_hash"), F.col("x.emitted_at").alias("observed_at"))
 
 
-def claims_from_answers(answers: DataFrame, index: DataFrame, existing: DataFrame) -> DataFrame:
-    """Claims of models' answers (session_id, answer) whose type is known and that cite real messages.
+#: Why a claim of an answer is dropped.
+UNPARSED, NO_CLAIMS, UNKNOWN_TYPE, UNCITED = "answer is no JSON", "answer has no claims", "unknown type", "cites no message"
+
+
+def judged_answers(answers: DataFrame, index: DataFrame, existing: DataFrame) -> DataFrame:
+    """Claims of models' answers (session_id, answer), each with the reason why it is dropped or null.
 
-    The message id verifies a citation; a wrong session id in it is put right, since an
-    answer is about one session.  A claim with the text and type of an existing one that is
-    not retired takes that one's id, the least of several.
+    An answer that gives no claims has one row with its reason.  The message id verifies a
+    citation; a wrong session id in it is put right, since an answer is about one session.
+    A claim with the text and type of an existing one that is not retired takes that one's
+    id, the least of several.
     """
-    parsed = answers.select("session_id", F.from_json(json_payload(F.col("answer")), ANSWER).alias("a")).select("session_id", F.posexplode("a.claims").alias("n", "c"))
-    good = parsed.where(F.col("c.claim_type").isin(*CLAIM_TYPES))
-    cites = good.select("session_id", "n", F.explode("c.evidence.message_id").alias("message_id")).distinct()
+    parsed = answers.select("session_id", F.from_json(json_payload(F.col("answer")), ANSWER).alias("a")).select("session_id", F.col("a.claims").alias("list"), F.posexplode_outer("a.claims").alias("n", "c"))
+    early = F.when(F.col("list").isNull(), UNPARSED).when(F.col("n").isNull(), NO_CLAIMS).when(~F.coalesce(F.col("c.claim_type").isin(*CLAIM_TYPES), F.lit(False)), UNKNOWN_TYPE)
+    parsed = parsed.withColumn("early", early)
+    cites = parsed.where("early is null").select("session_id", "n", F.explode("c.evidence.message_id").alias("message_id")).distinct()
     found = cites.join(index, ["session_id", "message_id"]).groupBy("session_id", "n").agg(F.count("*").alias("evidence"), F.min("observed_at").alias("observed_at"))
-    kept = good.join(found, ["session_id", "n"]).withColumn("norm", normalized_claim(F.col("c.claim")))
+    kept = parsed.join(found, ["session_id", "n"], "left").withColumn("norm", normalized_claim(F.col("c.claim")))
     known = existing.where("status <> 'retired'").groupBy(F.col("claim_type").alias("kt"), normalized_claim(F.col("claim")).alias("kn")).agg(F.min("claim_id").alias("claim_id"))
-    return kept.join(known, (F.col("norm") == F.col("kn")) & (F.col("c.claim_type") == F.col("kt")), "left").select("session_id", "n", F.col("c.claim").alias("claim"), F.col("c.claim_type").alias("claim_type"), F.col("c.subject").alias("subject"), "evidence", "observed_at", "claim_id")
+    met = kept.join(known, (F.col("norm") == F.col("kn")) & (F.col("c.claim_type") == F.col("kt")), "left")
+    reason = F.coalesce("early", F.when(F.col("evidence").isNull(), UNCITED))
+    return met.select("session_id", "n", F.col("c.claim").alias("claim"), F.col("c.claim_type").alias("claim_type"), F.col("c.subject").alias("subject"), "evidence", "observed_at", "claim_id", reason.alias("dropped"))
+
+
+def claims_from_answers(answers: DataFrame, index: DataFrame, existing: DataFrame) -> DataFrame:
+    """Claims of judged_answers() whose type is known and that cite real messages."""
+    return judged_answers(answers, index, existing).where("dropped is null").drop("dropped")
+
+
+def write_claims(answers: DataFrame, index: DataFrame, existing: DataFrame, path: str) -> dict[str, int]:
+    """Write claims_from_answers() to ``path``; how many were kept and dropped, by reason.
+
+    The counts are gathered by the write's own tasks as rows pass, without a second pass; a
+    task that is run again counts once.
+    """
+    reasons = [UNPARSED, NO_CLAIMS, UNKNOWN_TYPE, UNCITED]
+    seen = Observation()
+    counts = [F.count_if(F.col("dropped").isNull()).alias("kept"), *[F.count_if(F.col("dropped") == r).alias(r) for r in reasons]]
+    judged_answers(answers, index, existing).observe(seen, *counts).where("dropped is null").drop("dropped").write.parquet(path)
+    return seen.get
 
 
 #: Claims that a preamble lists at most, and the bytes it may take.

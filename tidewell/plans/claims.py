@@ -12,6 +12,7 @@ from tidewell.operators import gate as G
 from tidewell.operators import similarity as S
 from tidewell.operators import transcripts as T
 from tidewell.plans.catalog import query
+from tidewell.sources.shared import new_folder
 from tidewell.sources.tables import claim_events, conversation_envelopes, document_claims, event_envelopes, sql, table
 
 _FOLD = """,
@@ -237,6 +238,24 @@ def claims_from_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.claims_from_answers(answers, T.citable(c), none).select("session_id", F.col("n").cast("long").alias("n"), "claim", "claim_type", "subject", "evidence", "observed_at", "claim_id")
 
 
+@query(
+    "extraction_drops",
+    sql("conv", """, r AS (SELECT session_id::BIGINT AS i, session_id FROM conv WHERE event_id = '000000'),
+d AS (SELECT CASE WHEN i % 7 = 0 THEN 'answer is no JSON' WHEN i % 7 = 1 THEN 'answer has no claims' WHEN i % 3 = 2 THEN 'unknown type' WHEN (i % 9)::VARCHAR NOT IN (SELECT message_id FROM conv c WHERE c.session_id = r.session_id AND content IS NOT NULL) THEN 'cites no message' ELSE 'kept' END AS reason FROM r)
+SELECT reason, count(*) AS n FROM d GROUP BY 1"""),
+)
+def extraction_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims that an extraction kept and dropped, by reason, as counted by its write."""
+    c = conversation_envelopes(spark, sf_dir).withColumn("emitted_at", F.concat(F.lit("t"), F.col("event_id")))
+    i = F.col("session_id").cast("long")
+    kind = F.element_at(F.array(F.lit("environment"), F.lit("outcome"), F.lit("rumour")), (i % 3 + 1).cast("int"))
+    cite = F.array(F.struct(F.col("session_id"), (i % 9).cast("string").alias("message_id")))
+    claim = F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("claim"), kind.alias("claim_type"), F.lit("topic").alias("subject"), cite.alias("evidence"))).alias("claims")))
+    answer = F.when(i % 7 == 0, "I can not say").when(i % 7 == 1, '{"claims": []}').otherwise(claim)
+    made = T.write_claims(c.where("event_id = '000000'").select("session_id", answer.alias("answer")), T.citable(c), document_claims(spark, sf_dir).limit(0), new_folder(spark, "claims"))
+    return spark.createDataFrame([(k, n) for k, n in made.items() if n], "reason string, n long")
+
+
 @query("propose_validate", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'claim is empty' WHEN doc_id % 5 = 0 THEN 'subject is empty' WHEN lang = 'de' THEN 'unknown type' WHEN doc_id % 25 = 1 THEN 'no evidence' WHEN doc_id % 25 > 20 THEN 'too much evidence' WHEN doc_id % 3 = 0 THEN 'evidence names no message' END AS problem FROM documents")
 def propose_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
@@ -268,7 +287,6 @@ def briefing_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-
 @query("known_claims", sql("claims", "SELECT claim_id, '- [' || claim_type || '] ' || claim || chr(10) AS line FROM claims WHERE status <> 'candidate' AND claim_type = 'outcome' AND strlen(claim) < 100 QUALIFY row_number() OVER (ORDER BY claim_id DESC) <= 400"))
 def known_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short outcomes that an extraction is shown as known already; few enough to fit whole."""

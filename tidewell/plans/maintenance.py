@@ -59,6 +59,19 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> str
     return name
 
 
+def snapshots(spark: SparkSession, root: str) -> list[tuple[str, dict[str, int]]]:
+    """Names of published snapshots, the newest first, each with its tables and the rows that each was published with."""
+    out = []
+    for pointer in reversed(_pointers(spark, root)):
+        name = spark.read.parquet(f"{root}/{pointer}").first()[0]
+        fs, at = _fs(spark, f"{root}/{name}/*")
+        labels = sorted(f.getPath().getName() for f in fs.globStatus(at) or [])
+        counts = [int(part.split("-")[0], 16) for part in name.split("_")]
+        if len(labels) == len(counts):
+            out.append((name, dict(zip(labels, counts, strict=True))))
+    return out
+
+
 def opened(spark: SparkSession, root: str, label: str) -> DataFrame:
     """A table of the snapshot that the newest pointer names."""
     name = spark.read.parquet(f"{root}/{_pointers(spark, root)[-1]}").first()[0]
