@@ -115,3 +115,44 @@ def test_search(spark):
     assert [r.id for r in R.hybrid(docs, "staging port").orderBy("rank").collect()][0] == 1
     assert [(r.id, r.score) for r in R.hybrid(docs, "  ", 1).orderBy("rank").collect()] == [(1, 0.0), (2, 0.0)]
     assert R.hybrid(docs, "!!!").count() == 0
+
+
+def near(a, b):
+    if not a or not b or len(a) != len(b):
+        return False
+    lengths = [sum(x * x for x in v) ** 0.5 for v in (a, b)]
+    return all(lengths) and sum(x * y for x, y in zip(a, b, strict=True)) / (lengths[0] * lengths[1]) >= G.COSINE_CONFLICT
+
+
+def test_the_gate_agrees_with_a_plain_walk_over_words_and_vectors(spark):
+    rng = random.Random(11)
+    vector = lambda: rng.choice([None, [0.0, 0.0], [1.0, 2.0, 3.0], [float(rng.randrange(-4, 5)), float(rng.randrange(-4, 5))], [float(rng.randrange(-4, 5)), 1.0]])
+    rows = [(f"c{i:03}", rng.choice("st"), " ".join(rng.choices("abcdefghij", k=rng.randrange(1, 6))), vector()) for i in rng.sample(range(1000), 150)]
+    frame = lambda x: spark.createDataFrame([(c, s, t, "outcome", "x", 1, True, 1, None, v) for c, s, t, v in x], "claim_id string, subject string, claim string, claim_type string, observed_by string, n_evidence long, provenance_ok boolean, independent_count long, trust double, embedding array<float>")
+    c, p = rows[:100], rows[100:]
+    clash = lambda x, y: x[1] == y[1] and x[2] != y[2] and (len(set(x[2].split()) & set(y[2].split())) / len(set(x[2].split())) >= G.WORDS_CONFLICT or near(x[3], y[3]))
+    known, want = [[x, True] for x in sorted(p, key=lambda x: x[0])], {}
+    for x in sorted(c, key=lambda x: x[0]):
+        hit = next((k for k in known if k[1] and clash(x, k[0])), None)
+        want[x[0]] = hit[0][0] if hit else None
+        if hit:
+            hit[1] = False
+        else:
+            known.append([x, True])
+    nobody = spark.createDataFrame([], "agent_id string")
+    got = {r.claim_id: r.conflicts_with for r in G.sequential_gate(frame(c), frame(p), nobody).collect()}
+    assert got == want and 10 < sum(v is not None for v in want.values()) < 100
+    still = {r.claim_id: r.conflicts_with for r in G.static_gate(frame(c), frame(p), nobody).collect()}
+    assert still == {x[0]: min((y[0] for y in p if clash(x, y)), default=None) for x in c}
+    for size in (1, 2, 6):
+        pairs = {(r.a, r.b) for r in S.near_vectors(frame(c).selectExpr("claim_id id", "subject", "embedding"), frame(p).selectExpr("claim_id id", "subject", "embedding"), 0.85, ["subject"], size).collect()}
+        assert pairs == {(x[0], y[0]) for x in c for y in p if x[1] == y[1] and near(x[3], y[3])}
+
+
+def test_predictions_may_come_true_in_other_words(spark):
+    row = lambda c, kind, claim, by, v: (c, kind, "s", claim, by, "2024-01", "promoted", "2024-02", v)
+    rows = [row("h1", "hypothesis", "it is fast", "a", [1.0, 0.1]), row("h2", "hypothesis", "it is not fast", "a", [1.0, 0.1]), row("h3", "hypothesis", "slow", "a", None), row("o", "outcome", "speed is good", "b", [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "claim_id string, claim_type string, subject string, claim string, observed_by string, observed_at string, status string, resolves_at string, embedding array<float>")
+    got = M.resolutions(df, "2024-03")
+    assert {r.claim_id: r.outcome for r in got.collect()} == {"h1": "correct", "h2": "incorrect", "h3": "incorrect"}
+    assert {(r.kind, r.reason) for r in M.calibration_events(got, "t").collect()} == {("retired", "resolved: correct"), ("retired", "resolved: incorrect")}

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions.scores import LOW_SAMPLE, brier
+from tidewell.functions.scores import COSINE_CONFLICT, LOW_SAMPLE, brier, cosine
 from tidewell.functions.text import has_negation, normalized_claim, visible_line
 
 STATUSES = {"promoted": "promoted", "contested": "contested", "retired": "retired", "superseded": "retired"}
@@ -110,10 +110,11 @@ def next_outcomes(claims: DataFrame) -> DataFrame:
     earliest outcome so far and the earliest one by another agent than that one's.  One of
     the two is what a hypothesis asks for.
     """
-    h = claims.where("claim_type = 'hypothesis'").select("subject", F.col("observed_at").alias("at"), F.lit(1).alias("asks"), "claim_id", "claim", "observed_by", "resolves_at")
-    o = claims.where("claim_type = 'outcome' and status = 'promoted'").select("subject", F.col("observed_at").alias("at"), F.lit(0).alias("asks"), "claim_id", "claim", "observed_by")
+    claims = claims if "embedding" in claims.columns else claims.withColumn("embedding", F.lit(None).cast("array<float>"))
+    h = claims.where("claim_type = 'hypothesis'").select("subject", F.col("observed_at").alias("at"), F.lit(1).alias("asks"), "claim_id", "claim", "observed_by", "embedding", "resolves_at")
+    o = claims.where("claim_type = 'outcome' and status = 'promoted'").select("subject", F.col("observed_at").alias("at"), F.lit(0).alias("asks"), "claim_id", "claim", "observed_by", "embedding")
     back = Window.partitionBy("subject").orderBy(F.desc("at"), "asks", F.desc("claim_id"))
-    own = F.struct(F.col("at").alias("o_at"), F.col("claim_id").alias("outcome_id"), F.col("claim").alias("o_claim"), F.col("observed_by").alias("o_by"))
+    own = F.struct(F.col("at").alias("o_at"), F.col("claim_id").alias("outcome_id"), F.col("claim").alias("o_claim"), F.col("observed_by").alias("o_by"), F.col("embedding").alias("o_embedding"))
     # Where the agent changes from one outcome to the next, the one before is the earliest by another.
     o = o.withColumn("own", own).withColumn("before", F.lag("own").over(back))
     o = o.withColumn("other", F.when(~F.col("before.o_by").eqNullSafe(F.col("observed_by")), F.col("before")))
@@ -121,21 +122,29 @@ def next_outcomes(claims: DataFrame) -> DataFrame:
     so_far = back.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("near", F.last("own", ignorenulls=True).over(so_far)).withColumn("far", F.last("other", ignorenulls=True).over(so_far))
     met = F.when(F.col("near.o_by") != F.col("observed_by"), F.col("near")).when(F.col("far.o_by") != F.col("observed_by"), F.col("far"))
-    return rows.where("asks = 1").withColumn("next", met).select("claim_id", "subject", "claim", "observed_by", F.col("at").alias("observed_at"), "resolves_at", "next")
+    return rows.where("asks = 1").withColumn("next", met).select("claim_id", "subject", "claim", "observed_by", F.col("at").alias("observed_at"), "embedding", "resolves_at", "next")
 
 
 def resolutions(claims: DataFrame, now: str) -> DataFrame:
     """Each hypothesis with its next outcome (see next_outcomes()).
 
-    Correct if the texts are the same but for case and margins; a negation on one side or a
-    different text is incorrect; without an outcome it expires at ``resolves_at``.
+    Correct if the texts are the same but for case and margins, or if both or neither deny
+    and their vectors, where there is a column ``embedding``, are near; any other outcome is
+    incorrect, and without one a hypothesis expires at ``resolves_at``.
     """
-    both = next_outcomes(claims).select("*", F.col("next.outcome_id").alias("outcome_id"), F.col("next.o_claim").alias("o_claim"))
-    same = (normalized_claim(F.col("claim")) == normalized_claim(F.col("o_claim"))) & (has_negation(F.col("claim")) == has_negation(F.col("o_claim")))
-    outcome = F.when(F.col("outcome_id").isNull(), F.when(F.lit(now) >= F.col("resolves_at"), "expired")).when(same, "correct").otherwise("incorrect")
+    both = next_outcomes(claims).select("*", F.col("next.outcome_id").alias("outcome_id"), F.col("next.o_claim").alias("o_claim"), F.col("next.o_embedding").alias("o_embedding"))
+    same = normalized_claim(F.col("claim")) == normalized_claim(F.col("o_claim"))
+    near = (has_negation(F.col("claim")) == has_negation(F.col("o_claim"))) & (cosine(F.col("embedding"), F.col("o_embedding")) >= COSINE_CONFLICT)
+    outcome = F.when(F.col("outcome_id").isNull(), F.when(F.lit(now) >= F.col("resolves_at"), "expired")).when(same | F.coalesce(near, F.lit(False)), "correct").otherwise("incorrect")
     return both.select("claim_id", "outcome_id", F.col("observed_by").alias("agent_id"), outcome.alias("outcome")).where("outcome is not null")
 
 
+def calibration_events(resolved: DataFrame, at: str) -> DataFrame:
+    """Events that a calibration appends: hypotheses that were resolved retire, whatever came out."""
+    reason = F.concat(F.lit("resolved: "), F.col("outcome"))
+    return resolved.select("claim_id", F.lit(at).alias("at"), F.lit("retired").alias("kind"), F.lit("calibration").alias("agent_id"), F.col("outcome_id").alias("conflicts_with"), reason.alias("reason"))
+
+
 def groups(candidates: DataFrame) -> DataFrame:
     """Candidates with the same type and text but for case and margins: observers, events, and whether all cite."""
     return candidates.groupBy("claim_type", normalized_claim(F.col("claim")).alias("norm")).agg(

@@ -12,9 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions.scores import WORDS_CONFLICT, confidence
+from tidewell.functions.scores import COSINE_CONFLICT, WORDS_CONFLICT, confidence
 from tidewell.functions.text import normalized_claim, words
-from tidewell.operators.similarity import containment_pairs
+from tidewell.operators.similarity import containment_pairs, near_vectors
 from tidewell.sources.shared import stored
 
 #: Independent sessions that a type needs; a hypothesis never gets that far.
@@ -22,14 +22,25 @@ NEEDED = {"environment": 1, "outcome": 1, "convention": 1, "preference": 0}
 
 
 def contradictions(candidates: DataFrame, promoted: DataFrame, threshold: float = WORDS_CONFLICT) -> DataFrame:
-    """(claim_id, conflicts_with, overlap): promoted claims on the subject that share the words but not the text."""
+    """(claim_id, conflicts_with, overlap): promoted claims on the subject that share the words, or whose vector is near, but not the text.
+
+    Vectors count where both sides have a column ``embedding``; overlap is null for claims that only vectors bring together.
+    """
     side = lambda x: x.select(F.col("claim_id").alias("id"), "subject", words(F.col("claim")).alias("words"))
     pairs = containment_pairs(side(candidates), side(promoted), threshold, ["subject"])
+    if _vectors(candidates, promoted):
+        sent = lambda x: x.select(F.col("claim_id").alias("id"), "subject", "embedding")
+        near = near_vectors(sent(candidates), sent(promoted), COSINE_CONFLICT, ["subject"]).select("a", "b", F.lit(None).cast("double").alias("overlap"))
+        pairs = pairs.unionByName(near).groupBy("a", "b").agg(F.max("overlap").alias("overlap"))
     text = lambda x, c: x.select(F.col("claim_id").alias(c), normalized_claim(F.col("claim")).alias(f"n{c}"))
     out = pairs.join(text(candidates, "a"), "a").join(text(promoted, "b"), "b").where("na <> nb")
     return out.select(F.col("a").alias("claim_id"), F.col("b").alias("conflicts_with"), "overlap")
 
 
+def _vectors(*tables: DataFrame) -> bool:
+    return all("embedding" in t.columns for t in tables)
+
+
 def _decided(candidates: DataFrame, conflicts: DataFrame, quarantined: DataFrame) -> DataFrame:
     """Decisions where ``conflicts`` (claim_id, conflicts_with) has the one claim that contradicts a candidate, if any."""
     c = _staged(candidates, quarantined).join(conflicts, "claim_id", "left")
@@ -93,17 +104,25 @@ def sequential_gate(candidates: DataFrame, promoted: DataFrame, quarantined: Dat
     """Decisions in order of id within a subject, where each sees those before it.
 
     A promotion adds a claim that later candidates meet, a contest takes one away.  Texts
-    that contradict each other are found by a join of distinct texts; only candidates and
-    promoted claims with such a text are walked, by id and without texts, subjects apart.
-    Claims without a subject or words contradict none.
+    that contradict each other, by words or, where both tables have a column ``embedding``,
+    by vectors, are found by joins of distinct texts; only candidates and promoted claims
+    with such a text are walked, by id and without texts, subjects apart.  Claims without a
+    subject contradict none, and those without words or vector neither.
     """
-    text = F.sha2(F.concat_ws("\x00", "subject", normalized_claim(F.col("claim"))), 256).alias("text")
+    with_vectors = _vectors(candidates, promoted)
+    vector = F.col("embedding") if with_vectors else F.lit(None).cast("array<float>")
+    # Claims of one text and vector meet the same others; texts are told apart from vectors, as equal texts do not contradict.
+    text = F.concat_ws(":", F.sha2(F.concat_ws("\x00", "subject", normalized_claim(F.col("claim"))), 256), F.sha2(F.to_json(vector), 256)).alias("text")
     c = _staged(candidates, quarantined).where(F.col("early").isNull() & F.col("subject").isNotNull())
-    c = c.select("subject", "claim_id", "claim", text, F.col("late").isNull().alias("may"))
-    p = promoted.where(F.col("subject").isNotNull()).select("subject", "claim_id", "claim", text, F.lit(True).alias("may"))
-    side = lambda x: x.groupBy(F.col("text").alias("id"), "subject").agg(F.first("claim").alias("claim")).select("id", "subject", words(F.col("claim")).alias("words"))
-    pairs = containment_pairs(side(c), side(p.union(c.where("may"))), WORDS_CONFLICT, ["subject"]).where("a <> b")
-    pairs = stored(pairs.join(side(c).select(F.col("id").alias("a"), "subject"), "a").select("subject", "a", "b"), "gate-pairs")
+    c = c.select("subject", "claim_id", "claim", text, vector.alias("embedding"), F.col("late").isNull().alias("may"))
+    p = promoted.where(F.col("subject").isNotNull()).select("subject", "claim_id", "claim", text, vector.alias("embedding"), F.lit(True).alias("may"))
+    side = lambda x: x.groupBy(F.col("text").alias("id"), "subject").agg(F.first("claim").alias("claim"), F.first("embedding").alias("embedding")).select("id", "subject", words(F.col("claim")).alias("words"), "embedding")
+    left, right = side(c), side(p.union(c.where("may")))
+    pairs = containment_pairs(left.drop("embedding"), right.drop("embedding"), WORDS_CONFLICT, ["subject"]).select("a", "b")
+    if with_vectors:
+        pairs = pairs.union(near_vectors(left.drop("words"), right.drop("words"), COSINE_CONFLICT, ["subject"]).select("a", "b")).distinct()
+    pairs = pairs.where(F.substring_index("a", ":", 1) != F.substring_index("b", ":", 1))
+    pairs = stored(pairs.join(left.select(F.col("id").alias("a"), "subject"), "a").select("subject", "a", "b"), "gate-pairs")
     named = pairs.select(F.col("a").alias("text")).union(pairs.select("b")).distinct()
     row = lambda x, kind: x.join(named, "text", "left_semi").select("subject", F.lit(kind).alias("kind"), "claim_id", "text", F.lit(None).cast("string").alias("other"), "may")
     edges = pairs.select("subject", F.lit("pair").alias("kind"), F.lit(None).cast("string").alias("claim_id"), F.col("a").alias("text"), F.col("b").alias("other"), F.lit(False).alias("may"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidewell.functions.scores import cosine, jaccard, word_share
+from tidewell.functions.scores import cosine, dot, jaccard, word_share
 from tidewell.sources.shared import stored
 
-#: Vectors of a block.
-BLOCK = 1024
+#: Vectors of a block, and pivots that distances are taken to.
+BLOCK, PIVOTS = 1024, 6
 
 
 def _prefixes(sets: DataFrame, frequency: DataFrame, by: list[str], keep: Column) -> DataFrame:
@@ -51,6 +54,43 @@ def top_by_cosine(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")).cast("long"))
 
 
+def near_vectors(left: DataFrame, right: DataFrame, threshold: float, by: list[str], pivots: int = PIVOTS) -> DataFrame:
+    """(a, b, cosine) of vectors in the same group with a cosine of at least ``threshold``, which is above 0.
+
+    left, right: id, embedding and the columns ``by``.  Unit vectors that near are at most
+    r = sqrt(2 - 2 threshold) apart, so by the triangle inequality their distances to any
+    pivot differ by r at most.  Bands of width r of the distances to two pivots are joined
+    with their neighbours, the other pivots' distances are compared before any product is
+    made, and the bound drops no pair that counts.  Pivots are a few of the right vectors;
+    vectors of other lengths than theirs, which no bound is known for, meet by length.
+
+    Null vectors, those of zeros and those with null or non-finite components are near to none.
+    """
+    spark = left.sparkSession
+
+    def units(x: DataFrame) -> DataFrame:
+        e = F.transform("embedding", lambda v: v.cast("double"))
+        fine = F.col("embedding").isNotNull() & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+        n = F.sqrt(dot(F.col("e"), F.col("e")))
+        return x.where(fine).select("id", *by, e.alias("e")).withColumn("norm", n).where("norm > 0").select("id", *by, F.transform("e", lambda v: v / F.col("norm")).alias("e"), F.size("e").alias("dims"))
+
+    one, two = stored(units(left), "left-vectors"), stored(units(right), "right-vectors")
+    some = [r.e for r in two.select("e", F.xxhash64("id").alias("h")).orderBy("h").limit(pivots).collect()]
+    some = [p for p in some if len(p) == len(some[0])]
+    if not some:
+        return spark.createDataFrame([], StructType([StructField("a", left.schema["id"].dataType), StructField("b", right.schema["id"].dataType), StructField("cosine", DoubleType())]))
+    r = math.sqrt(2 - 2 * threshold) + 1e-6
+    table = F.broadcast(spark.createDataFrame([(some,)], "p array<array<double>>"))
+    apart = F.when(F.col("dims") == len(some[0]), F.transform("p", lambda p: F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot(F.col("e"), p))))).otherwise(F.array_repeat(F.lit(0.0), len(some)))
+    banded = lambda x: x.join(table).withColumn("d", apart).withColumns({f"band{i}": F.floor(F.col("d")[min(i, len(some) - 1)] / r).cast("int") for i in range(2)}).drop("p")
+    around = lambda c: F.explode(F.array(*[F.col(c) + i for i in (-1, 0, 1)]))
+    a = banded(one).select(F.col("id").alias("a"), *by, "dims", F.col("e").alias("ea"), F.col("d").alias("da"), around("band0").alias("band0"), "band1")
+    a = a.withColumn("band1", around("band1"))
+    b = banded(two).select(F.col("id").alias("b"), *by, "dims", F.col("e").alias("eb"), F.col("d").alias("db"), "band0", "band1")
+    met = a.join(b, [*by, "dims", "band0", "band1"]).where(~F.exists(F.zip_with("da", "db", lambda x, y: F.abs(x - y) > r), lambda x: x))
+    return met.withColumn("cosine", dot(F.col("ea"), F.col("eb"))).where(F.col("cosine") >= threshold).select("a", "b", "cosine")
+
+
 def cosine_pairs(vectors: DataFrame, threshold: float, by: str) -> DataFrame:
     """(a, b, cosine) of a < b in the same group ``by``, at least ``threshold``; norms are computed once.
 
