@@ -93,3 +93,10 @@ def claim_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _indexed(spark, c.select(F.col("claim_id").alias("id"), F.concat_ws(" ", "claim", "subject").alias("text")))
     found = R.hybrid_over(index, QUERY, 200)
     return found.join(c.select(F.col("claim_id").alias("id"), "observed_by"), "id").select("rank", F.col("id").alias("claim_id"), "score", "observed_by", (F.col("rank") == 201).alias("more"))
+
+
+@query("near_vectors", f"WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings) SELECT x.vec_id AS a, y.vec_id AS b, round({_COS.format(a='x.e', b='y.e')}, 6) AS cosine FROM v x JOIN v y ON x.label = y.label AND x.vec_id % 2 = 0 AND y.vec_id % 2 = 1 WHERE {_COS.format(a='x.e', b='y.e')} >= 0.35")
+def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of an even and an odd vector of a label that are near, by the join with pivot bounds."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
+    return S.near_vectors(v.where("id % 2 = 0"), v.where("id % 2 = 1"), 0.35, ["label"]).withColumn("cosine", F.round("cosine", 6))
