@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import U64, chunks, component_table, frugal, lowered, mix, partitions, span_hashes, stored, whole_groups, word_spans
+from tidewell.llm.common import U64, apart, chunks, component_table, frugal, lowered, mix, partitions, span_hashes, stored, whole_groups, word_spans
 from tidewell.llm.url_filters import parted
 
 #: Words of a shingle; Jaccard similarity as a fraction.
@@ -664,8 +664,10 @@ def ngram_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id"
 def distinct_documents(docs: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """One row of ``docs`` for each component, that of the least doc_id (null last), with all its columns.
 
-    Texts without words are in no group, so all of them stay.
+    Texts without words are in no group, so all of them stay.  Columns may have any names.
     """
+    docs, names = apart(docs)
+    text, key = names[text], names[key]
     named = stored(_rooted(docs, text=text, key=key, words=words, similarity=similarity).where("n > 0"), "join-named")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1")
     one = named.groupBy("root").agg(F.min(order).alias("one"))
@@ -678,7 +680,7 @@ def distinct_documents(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     tested = maybe.join(found, (F.col("_j_1") == F.col("_j_t")) & F.col("_j_k").eqNullSafe(F.col("_j_d")), "left").drop("_j_t", "_j_d")
     alone = tested.where("_j_go is null").drop("_j_go")
     again = tested.where("not _j_go").drop("_j_go").dropDuplicates(["_j_1", "_j_k"])
-    return sure.unionByName(alone).unionByName(again).select(*docs.columns)
+    return sure.unionByName(alone).unionByName(again).select(*[F.col(c).alias(name) for name, c in names.items()])
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,15 +12,19 @@ triggers at equal places, in whatever document they stand.
   of hashes, packed in arrays; what a task has several times it sends once and settles
   itself.  There the parse is sorted by phrase: its suffix array to a depth of one phrase,
   which is as deep as a string of ``length`` bytes can see.  Intervals of equal phrases
-  give the times of each.  A trigger seen once ends there: its windows are unique.  A
-  phrase seen twice is repeated in all its windows, whatever surrounds it.
+  tell which occur once and which more often, which is all that the cut asks.  A trigger
+  seen once ends there: its windows are unique.  A phrase seen twice is repeated in all its
+  windows, whatever surrounds it.
 * The dictionary: phrases that occur once but share their trigger with others send their
   bytes, and of those that occur more often one does.  By trigger, their suffixes are sorted by prefix
   doubling to a depth of ``length`` bytes.
-* Corpus order: a run of equal dictionary suffixes stands for as many places of the corpus
-  as the parse's intervals of their phrases are wide (corpus_places()).
+* Corpus order: a run of equal dictionary suffixes stands for one place of the corpus or
+  for several, by the intervals of their phrases, counted to two (corpus_places()).  The
+  order is that of each trigger's suffixes; triggers are not ordered among themselves.
 * The windows of a trigger with very many phrases are dealt out as phrases of one window
-  each, so that no group is gathered in a task; they go through the same parse.
+  each, which go through the same parse, so that their bytes never stand in one task.
+  That a trigger is such a one is seen where its phrases' hashes have come together: about
+  30 bytes for each distinct phrase of a trigger are in one range before.
 
 Both answers go back to the texts, whose bytes are cut.
 """

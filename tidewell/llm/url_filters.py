@@ -11,6 +11,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import apart
+
 
 class Rule(NamedTuple):
     verdict: str
@@ -107,10 +109,12 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = RULE
     A null or malformed URL has an empty host and path, fits no rule, is never on the
     list and is allowed.  Repeated pages and repeated list entries do not multiply rows.
     An empty list or empty ``pages`` give what the rules alone give.  Columns of ``pages``
-    called host, path, rule or verdict are replaced; names beginning ``_url_`` are taken.
+    called host, path, rule or verdict are replaced; all others stay, whatever their names.
+    A URL is looked at as a whole, however long; what is kept of it besides is of its length.
     """
+    pages, names = apart(pages)
     keys = listed.select(canonical(F.col("url")).alias("_url_key")).where("_url_key <> ''").distinct()
-    u = F.col(url)
+    u = F.col(names[url])
     made = pages.withColumn("_url_h", host_of(u)).withColumn("_url_p", path_of(u))
     made = made.withColumn("_url_r", best_rule(F.col("_url_h"), F.col("_url_p"), rules)).withColumn("_url_key", canonical(u))
     block, mask = _probe(F.col("_url_key"), blocks, bits)
@@ -120,7 +124,7 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = RULE
     sure = tested.where(~maybe).withColumn("_url_v", F.lit("allow"))
     found = keys.withColumn("_url_hit", F.lit(True))
     hits = tested.where(maybe).join(found.hint("shuffle_hash"), "_url_key", "left").withColumn("_url_v", F.when(F.col("_url_hit"), "block").otherwise("allow")).drop("_url_hit")
-    rest = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    rest = [F.col(c).alias(name) for name, c in names.items() if name not in ("host", "path", "rule", "verdict")]
     return sure.unionByName(hits).select(
         *rest,
         F.col("_url_h").alias("host"),
