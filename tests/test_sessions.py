@@ -60,13 +60,13 @@ def test_enrichment_fills_only_what_is_missing(spark):
 def test_transcripts_give_outcomes_and_usage(spark):
     lines = [
         '{"gitBranch":"","message":{"usage":{"input_tokens":3,"output_tokens":1}}}',
-        '{"gitBranch":"main","toolUseResult":{"stdout":"ok","filePath":"/f"},"message":{"content":[{"type":"tool_result","tool_use_id":"t1","is_error":true}]}}',
+        '{"gitBranch":"main","toolUseResult":{"stdout":"ok","filePath":"/f","structuredPatch":[{"file":"/g"},{"path":"/f"}]},"message":{"content":[{"type":"tool_result","tool_use_id":"t1","is_error":true}]}}',
         "no json",
         '{"message":{"usage":{"input_tokens":4}}}',
     ]
     df = spark.createDataFrame([("s", i, x) for i, x in enumerate(lines)], "session_id string, n int, value string")
     r = transcripts.outcomes(df).first()
-    assert (r.message_id, r.result, r.exit_code, r.paths) == ("t1", "ok", 1, ["/f"])
+    assert (r.message_id, r.result, r.exit_code, r.paths) == ("t1", "ok", 1, ["/f", "/g"])
     u = transcripts.usage(df).first()
     assert (u.input_tokens, u.output_tokens, u.branch) == (7, 1, "main")
 
@@ -126,11 +126,13 @@ def test_hook_events_of_each_kind(spark):
         ("6", "stop", {"session_id": "s", "text": "done"}),
         ("7", "unheardOf", {"session_id": "s"}),
         ("8", "beforeShellExecution", {"session_id": "s", "command": "ls"}),
+        ("long", "beforeSubmitPrompt", {"session_id": "s", "prompt": "é" * (1 << 20)}),
     ]
     df = spark.createDataFrame([(i, e, json.dumps(p)) for i, e, p in rows] + [("9", "preToolUse", "{broken")], "event_id string, event string, payload string")
     got = {r.event_id: r for r in normalized(df, "cursor").collect()}
     assert [(got[i].tool_name, got[i].tool_input, got[i].result) for i in "12348"] == [("mcp:db", '{"q":1}', None), ("read", None, "text"), ("subagent:plan", "do", None), ("Bash", None, "no"), ("shell", "ls", None)]
     assert got["5"].redaction_status == "quarantined" and got["5"].result == "[withheld, denied path]"
+    assert got["long"].content == "é" * (1 << 19) + "...[truncated]"
     assert got["6"].event_type == "assistant" and "7" not in got and got["9"].session_id is None
     kinds = {r.event: r.event_type for e in ("PreToolUse", "PostToolUseFailure", "SubagentStop") for r in normalized(spark.createDataFrame([(e, e, "{}")], "event_id string, event string, payload string"), "claude_code").selectExpr("event_id as event", "event_type").collect()}
     assert kinds == {"PreToolUse": "tool_call", "PostToolUseFailure": "tool_call", "SubagentStop": "assistant"}

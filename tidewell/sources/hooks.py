@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.redaction import merged_status, scrub, tool_result
-from tidewell.functions.text import content_hash
+from tidewell.functions.text import capped, content_hash
 
 #: Event names of each runtime and the envelope's event type.  Fixed values.
 EVENTS = {
@@ -56,8 +56,8 @@ def _event(runtime: str) -> Column:
 def normalized(hooks: DataFrame, runtime: str) -> DataFrame:
     """Envelopes of hook calls (event, payload, and an id column ``event_id``) of one runtime.
 
-    Events that the runtime does not record go.  Text is scrubbed, a result of a denied
-    path is withheld, and the status is the worst of all fields.
+    Events that the runtime does not record go.  Texts are cut to a MiB each, then scrubbed,
+    a result of a denied path is withheld, and the status is the worst of all fields.
     """
     p = F.col("parsed")
     known = hooks.where(F.col("event").isin(*EVENTS[runtime])).withColumn("event_type", _event(runtime)[F.col("event")])
@@ -98,6 +98,7 @@ def normalized(hooks: DataFrame, runtime: str) -> DataFrame:
         F.when(tool, code).alias("exit_code"),
         F.when(tool, duration).alias("duration_ms"),
     )
+    rows = rows.withColumns({c: capped(F.col(c)) for c in ("text", "given", "output")})
     made = {"c": scrub(F.col("text")), "i": scrub(F.col("given")), "r": F.when(F.col("event_type") == "tool_call", tool_result(F.col("output"), F.coalesce("path", F.lit(""))))}
     rows = rows.withColumns(made)
     has = lambda c: F.when(F.col(f"{c}.text").isNotNull(), F.col(f"{c}.status"))
