@@ -103,18 +103,19 @@ def contradiction_rates(claims: DataFrame) -> DataFrame:
 
 
 def next_outcomes(claims: DataFrame) -> DataFrame:
-    """Hypotheses with ``next``: the first promoted outcome on the subject, not earlier, by another agent, as struct(o_at, outcome_id, o_claim).
+    """Hypotheses with ``next``: the first promoted outcome on the subject, not earlier, by another agent, as struct(o_at, outcome_id, ...).
 
     An as-of join without a join: hypotheses and outcomes stand in one sort by subject, the
     latest first and outcomes before hypotheses of their time, and each row carries the
     earliest outcome so far and the earliest one by another agent than that one's.  One of
-    the two is what a hypothesis asks for.
+    the two is what a hypothesis asks for.  Texts go as hashes, so rows of the sort are small.
     """
     claims = claims if "embedding" in claims.columns else claims.withColumn("embedding", F.lit(None).cast("array<float>"))
-    h = claims.where("claim_type = 'hypothesis'").select("subject", F.col("observed_at").alias("at"), F.lit(1).alias("asks"), "claim_id", "claim", "observed_by", "embedding", "resolves_at")
-    o = claims.where("claim_type = 'outcome' and status = 'promoted'").select("subject", F.col("observed_at").alias("at"), F.lit(0).alias("asks"), "claim_id", "claim", "observed_by", "embedding")
+    claims = claims.withColumn("norm", F.sha2(normalized_claim(F.col("claim")), 256)).withColumn("denies", has_negation(F.col("claim")))
+    h = claims.where("claim_type = 'hypothesis'").select("subject", F.col("observed_at").alias("at"), F.lit(1).alias("asks"), "claim_id", "norm", "denies", "observed_by", "embedding", "resolves_at")
+    o = claims.where("claim_type = 'outcome' and status = 'promoted'").select("subject", F.col("observed_at").alias("at"), F.lit(0).alias("asks"), "claim_id", "norm", "denies", "observed_by", "embedding")
     back = Window.partitionBy("subject").orderBy(F.desc("at"), "asks", F.desc("claim_id"))
-    own = F.struct(F.col("at").alias("o_at"), F.col("claim_id").alias("outcome_id"), F.col("claim").alias("o_claim"), F.col("observed_by").alias("o_by"), F.col("embedding").alias("o_embedding"))
+    own = F.struct(F.col("at").alias("o_at"), F.col("claim_id").alias("outcome_id"), F.col("norm").alias("o_norm"), F.col("denies").alias("o_denies"), F.col("observed_by").alias("o_by"), F.col("embedding").alias("o_embedding"))
     # Where the agent changes from one outcome to the next, the one before is the earliest by another.
     o = o.withColumn("own", own).withColumn("before", F.lag("own").over(back))
     o = o.withColumn("other", F.when(~F.col("before.o_by").eqNullSafe(F.col("observed_by")), F.col("before")))
@@ -122,7 +123,7 @@ def next_outcomes(claims: DataFrame) -> DataFrame:
     so_far = back.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("near", F.last("own", ignorenulls=True).over(so_far)).withColumn("far", F.last("other", ignorenulls=True).over(so_far))
     met = F.when(F.col("near.o_by") != F.col("observed_by"), F.col("near")).when(F.col("far.o_by") != F.col("observed_by"), F.col("far"))
-    return rows.where("asks = 1").withColumn("next", met).select("claim_id", "subject", "claim", "observed_by", F.col("at").alias("observed_at"), "embedding", "resolves_at", "next")
+    return rows.where("asks = 1").withColumn("next", met).select("claim_id", "subject", "norm", "denies", "observed_by", F.col("at").alias("observed_at"), "embedding", "resolves_at", "next")
 
 
 def resolutions(claims: DataFrame, now: str) -> DataFrame:
@@ -132,9 +133,9 @@ def resolutions(claims: DataFrame, now: str) -> DataFrame:
     and their vectors, where there is a column ``embedding``, are near; any other outcome is
     incorrect, and without one a hypothesis expires at ``resolves_at``.
     """
-    both = next_outcomes(claims).select("*", F.col("next.outcome_id").alias("outcome_id"), F.col("next.o_claim").alias("o_claim"), F.col("next.o_embedding").alias("o_embedding"))
-    same = normalized_claim(F.col("claim")) == normalized_claim(F.col("o_claim"))
-    near = (has_negation(F.col("claim")) == has_negation(F.col("o_claim"))) & (cosine(F.col("embedding"), F.col("o_embedding")) >= COSINE_CONFLICT)
+    both = next_outcomes(claims).select("*", F.col("next.outcome_id").alias("outcome_id"), F.col("next.o_embedding").alias("o_embedding"))
+    same = F.col("norm") == F.col("next.o_norm")
+    near = (F.col("denies") == F.col("next.o_denies")) & (cosine(F.col("embedding"), F.col("o_embedding")) >= COSINE_CONFLICT)
     outcome = F.when(F.col("outcome_id").isNull(), F.when(F.lit(now) >= F.col("resolves_at"), "expired")).when(same | F.coalesce(near, F.lit(False)), "correct").otherwise("incorrect")
     return both.select("claim_id", "outcome_id", F.col("observed_by").alias("agent_id"), outcome.alias("outcome")).where("outcome is not null")
 
