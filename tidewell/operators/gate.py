@@ -26,15 +26,19 @@ def contradictions(candidates: DataFrame, promoted: DataFrame, threshold: float
 
     Vectors count where both sides have a column ``embedding``; overlap is null for claims that only vectors bring together.
     """
-    side = lambda x: x.select(F.col("claim_id").alias("id"), "subject", words(F.col("claim")).alias("words"))
-    pairs = containment_pairs(side(candidates), side(promoted), threshold, ["subject"])
+    # Claims of a subject with one text are one set, and equal texts do not contradict.
+    text = F.sha2(normalized_claim(F.col("claim")), 256)
+    side = lambda x: x.where(F.col("claim").isNotNull()).select(text.alias("id"), "subject", words(F.col("claim")).alias("words"))
+    of = lambda x, text_as, id_as: x.select("subject", text.alias(text_as), F.col("claim_id").alias(id_as))
+    shared = stored(containment_pairs(side(candidates), side(promoted), threshold, ["subject"]).where("a <> b"), "contradicting-texts")
+    out = shared.join(of(candidates, "a", "claim_id"), ["subject", "a"]).join(of(promoted, "b", "conflicts_with"), ["subject", "b"]).select("claim_id", "conflicts_with", "overlap")
     if _vectors(candidates, promoted):
         sent = lambda x: x.select(F.col("claim_id").alias("id"), "subject", "embedding")
         near = near_vectors(sent(candidates), sent(promoted), COSINE_CONFLICT, ["subject"]).select("a", "b", F.lit(None).cast("double").alias("overlap"))
-        pairs = pairs.unionByName(near).groupBy("a", "b").agg(F.max("overlap").alias("overlap"))
-    text = lambda x, c: x.select(F.col("claim_id").alias(c), normalized_claim(F.col("claim")).alias(f"n{c}"))
-    out = pairs.join(text(candidates, "a"), "a").join(text(promoted, "b"), "b").where("na <> nb")
-    return out.select(F.col("a").alias("claim_id"), F.col("b").alias("conflicts_with"), "overlap")
+        named = lambda x, c: x.select(F.col("claim_id").alias(c), text.alias(f"n{c}"))
+        near = near.join(named(candidates, "a"), "a").join(named(promoted, "b"), "b").where("na <> nb").select(F.col("a").alias("claim_id"), F.col("b").alias("conflicts_with"), "overlap")
+        out = out.unionByName(near).groupBy("claim_id", "conflicts_with").agg(F.max("overlap").alias("overlap"))
+    return out
 
 
 def _vectors(*tables: DataFrame) -> bool:
@@ -116,13 +120,14 @@ def sequential_gate(candidates: DataFrame, promoted: DataFrame, quarantined: Dat
     c = _staged(candidates, quarantined).where(F.col("early").isNull() & F.col("subject").isNotNull())
     c = c.select("subject", "claim_id", "claim", text, vector.alias("embedding"), F.col("late").isNull().alias("may"))
     p = promoted.where(F.col("subject").isNotNull()).select("subject", "claim_id", "claim", text, vector.alias("embedding"), F.lit(True).alias("may"))
-    side = lambda x: x.groupBy(F.col("text").alias("id"), "subject").agg(F.first("claim").alias("claim"), F.first("embedding").alias("embedding")).select("id", "subject", words(F.col("claim")).alias("words"), "embedding")
-    left, right = side(c), side(p.union(c.where("may")))
-    pairs = containment_pairs(left.drop("embedding"), right.drop("embedding"), WORDS_CONFLICT, ["subject"]).select("a", "b")
+    side = lambda x: x.select(F.col("text").alias("id"), "subject", words(F.col("claim")).alias("words"))
+    others = p.union(c.where("may"))
+    pairs = containment_pairs(side(c), side(others), WORDS_CONFLICT, ["subject"]).select("subject", "a", "b")
     if with_vectors:
-        pairs = pairs.union(near_vectors(left.drop("words"), right.drop("words"), COSINE_CONFLICT, ["subject"]).select("a", "b")).distinct()
+        sent = lambda x: x.groupBy(F.col("text").alias("id"), "subject").agg(F.first("embedding").alias("embedding"))
+        pairs = pairs.union(near_vectors(sent(c), sent(others), COSINE_CONFLICT, ["subject"]).select("subject", "a", "b")).distinct()
     pairs = pairs.where(F.substring_index("a", ":", 1) != F.substring_index("b", ":", 1))
-    pairs = stored(pairs.join(left.select(F.col("id").alias("a"), "subject"), "a").select("subject", "a", "b"), "gate-pairs")
+    pairs = stored(pairs, "gate-pairs")
     named = pairs.select(F.col("a").alias("text")).union(pairs.select("b")).distinct()
     row = lambda x, kind: x.join(named, "text", "left_semi").select("subject", F.lit(kind).alias("kind"), "claim_id", "text", F.lit(None).cast("string").alias("other"), "may")
     edges = pairs.select("subject", F.lit("pair").alias("kind"), F.lit(None).cast("string").alias("claim_id"), F.col("a").alias("text"), F.col("b").alias("other"), F.lit(False).alias("may"))

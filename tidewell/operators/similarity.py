@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidewell.functions.scores import cosine, dot, jaccard, word_share
+from tidewell.functions.scores import cosine, dot, jaccard
+from tidewell.operators import setjoin as X
 from tidewell.sources.shared import stored
 
 #: Vectors of a block, and pivots that distances are taken to.
@@ -23,17 +25,17 @@ def _prefixes(sets: DataFrame, frequency: DataFrame, by: list[str], keep: Column
 
 
 def containment_pairs(left: DataFrame, right: DataFrame, threshold: float, by: list[str]) -> DataFrame:
-    """(a, b, overlap) where a share ``threshold`` or more of a left set's words is in a right set of the same group.
+    """(by, a, b, overlap) where a share ``threshold`` or more of a left set's words is in a right set of the same group.
 
-    left, right: id, words and the columns ``by``.  If the share is reached, one of the
-    left set's rarest n - ceil(t n) + 1 words is in the right set, so only those are joined.
+    left, right: id, words and the columns ``by``.  Rows of a side and group with the same id
+    hold the same set and count once.  Sets go to their tasks as codes, not as words.
     """
-    need = F.ceil(F.col("n") * threshold - 1e-9)
-    words = right.select(F.col("id").alias("b"), *by, F.explode("words").alias("w"))
-    df = words.groupBy(*by, "w").agg(F.count("*").alias("df"))
-    pairs = _prefixes(left, df, by, F.col("n") - need + 1).withColumnRenamed("id", "a").join(words, [*by, "w"]).select("a", "b").distinct()
-    both = pairs.join(left.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(right.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
-    return both.withColumn("overlap", word_share(F.col("wa"), F.col("wb"))).where(F.col("overlap") >= threshold).select("a", "b", "overlap")
+    sizes, count = X.blocks_of(left, right, by)
+    known = X.known_words(right, count)
+    once = lambda x: X.encoded(x, by, known).groupBy(*by, "id").agg(*[F.first(c).alias(c) for c in ("n", "codes", "rare")])
+    keep = lambda inter, na, nb, a, b: inter / na >= threshold
+    pairs = X.met(once(left), once(right), by, sizes, keep, lambda n: np.ceil(n * threshold - 1e-9).astype(np.int64))
+    return pairs.select(*by, "a", "b", (F.col("inter") / F.col("na")).alias("overlap"))
 
 
 def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
@@ -55,7 +57,7 @@ def top_by_cosine(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
 
 
 def near_vectors(left: DataFrame, right: DataFrame, threshold: float, by: list[str], pivots: int = PIVOTS) -> DataFrame:
-    """(a, b, cosine) of vectors in the same group with a cosine of at least ``threshold``, which is above 0.
+    """(by, a, b, cosine) of vectors in the same group with a cosine of at least ``threshold``, which is above 0.
 
     left, right: id, embedding and the columns ``by``.  Unit vectors that near are at most
     r = sqrt(2 - 2 threshold) apart, so by the triangle inequality their distances to any
@@ -78,7 +80,7 @@ def near_vectors(left: DataFrame, right: DataFrame, threshold: float, by: list[s
     some = [r.e for r in two.select("e", F.xxhash64("id").alias("h")).orderBy("h").limit(pivots).collect()]
     some = [p for p in some if len(p) == len(some[0])]
     if not some:
-        return spark.createDataFrame([], StructType([StructField("a", left.schema["id"].dataType), StructField("b", right.schema["id"].dataType), StructField("cosine", DoubleType())]))
+        return spark.createDataFrame([], StructType([*[left.schema[c] for c in by], StructField("a", left.schema["id"].dataType), StructField("b", right.schema["id"].dataType), StructField("cosine", DoubleType())]))
     r = math.sqrt(2 - 2 * threshold) + 1e-6
     table = F.broadcast(spark.createDataFrame([(some,)], "p array<array<double>>"))
     apart = F.when(F.col("dims") == len(some[0]), F.transform("p", lambda p: F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot(F.col("e"), p))))).otherwise(F.array_repeat(F.lit(0.0), len(some)))
@@ -88,7 +90,7 @@ def near_vectors(left: DataFrame, right: DataFrame, threshold: float, by: list[s
     a = a.withColumn("band1", around("band1"))
     b = banded(two).select(F.col("id").alias("b"), *by, "dims", F.col("e").alias("eb"), F.col("d").alias("db"), "band0", "band1")
     met = a.join(b, [*by, "dims", "band0", "band1"]).where(~F.exists(F.zip_with("da", "db", lambda x, y: F.abs(x - y) > r), lambda x: x))
-    return met.withColumn("cosine", dot(F.col("ea"), F.col("eb"))).where(F.col("cosine") >= threshold).select("a", "b", "cosine")
+    return met.withColumn("cosine", dot(F.col("ea"), F.col("eb"))).where(F.col("cosine") >= threshold).select(*by, "a", "b", "cosine")
 
 
 def cosine_pairs(vectors: DataFrame, threshold: float, by: str) -> DataFrame:

@@ -99,4 +99,4 @@ def claim_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of an even and an odd vector of a label that are near, by the join with pivot bounds."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
-    return S.near_vectors(v.where("id % 2 = 0"), v.where("id % 2 = 1"), 0.35, ["label"]).withColumn("cosine", F.round("cosine", 6))
+    return S.near_vectors(v.where("id % 2 = 0"), v.where("id % 2 = 1"), 0.35, ["label"]).select("a", "b", F.round("cosine", 6).alias("cosine"))
