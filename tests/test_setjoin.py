@@ -18,12 +18,16 @@ def test_blocks_of_coded_sets_give_all_pairs(spark, monkeypatch, known):
     share = {(a, b): len(set(x) & set(y)) / len(x) for a, x, g in sets for b, y, h in sets if g and g == h and x}
     got = {(r.a, r.b): r.overlap for r in S.containment_pairs(df, df, 0.6, ["g"]).collect()}
     assert got == {k: v for k, v in share.items() if v >= 0.6} and len(got) > 1000
+    both = {(a, b): len(set(x) & set(y)) / len(set(x) | set(y)) for a, x, _ in sets for b, y, _ in sets if a < b and x and y}
+    rows = S.jaccard_pairs(df.select("id", "words"), 0.35).collect()
+    assert {(r.a, r.b): r.jaccard for r in rows} == {k: v for k, v in both.items() if v >= 0.35} and len(rows) > 1000
 
 
 def test_no_join_of_sets_sends_a_row_a_word(spark):
     words = [(f"c{i}", "s", f"a{i} b c d e f g") for i in range(20)]
     claims = spark.createDataFrame(words, "claim_id string, subject string, claim string")
-    for made in (G.contradictions(claims, claims),):
+    sets = claims.selectExpr("claim_id id", "split(claim, ' ') words")
+    for made in (G.contradictions(claims, claims), S.jaccard_pairs(sets, 0.35)):
         assert made.count() > 0
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         assert "explode(words" not in plan and "explode(array_distinct" not in plan and "collect_list" not in plan

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,8 +14,10 @@ from pyspark.sql.types import StructType
 
 from tidewell.sources.shared import stored
 
-#: Sets of a block; words with a code of their own; codes that all other words share by hash.
-BLOCK, KNOWN, SHARED = 1 << 15, (1 << 16) - (1 << 12), 1 << 12
+#: Sets of a block, sets that are indexed together in it; words with a code of their own; codes that all other words share by hash.
+BLOCK, CHUNK, KNOWN, SHARED = 1 << 15, 1 << 12, (1 << 16) - (1 << 12), 1 << 12
+#: Tasks that a few large groups are cut into at least, and sets that a block then has at least.
+TASKS, LEAST = 36, 1 << 11
 #: Sets that the order of words is taken from.
 SAMPLED = 20_000
 #: What a set is sent as: its size, sorted two-byte codes of its known words and hashes of the others.
@@ -70,10 +73,11 @@ def _binary(values: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def met(left: DataFrame, right: DataFrame, by: list[str], sizes: DataFrame, keep: Callable, need: Needs) -> DataFrame:
+def met(left: DataFrame, right: DataFrame, by: list[str], sizes: DataFrame, keep: Callable, need: Needs, reach: Callable) -> DataFrame:
     """(by, a, b, inter, na, nb) of the encoded sets of a group that ``keep`` takes, given inter, na, nb and both ids.
 
-    A pair that counts has at least ``need(na)`` words in common.  Groups are cut into blocks
+    A pair that counts has at least ``need(na)`` words in common, and nb is from one to the
+    other of the two numbers that ``reach(na)`` gives.  Groups are cut into blocks
     of about BLOCK sets by ``sizes`` (by, blocks_a, blocks_b), and each block of the one side
     meets each of the other in a task that holds these two.
     """
@@ -84,7 +88,7 @@ def met(left: DataFrame, right: DataFrame, by: list[str], sizes: DataFrame, keep
     schema = StructType(group).add("a", ids[0]).add("b", ids[1]).add("inter", "integer").add("na", "integer").add("nb", "integer")
 
     def compare(key: tuple, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        got = _compare(one, two, keep, need) if len(one) and len(two) else {}
+        got = _compare(one, two, keep, need, reach) if len(one) and len(two) else {}
         return pd.DataFrame({**{c: [key[i]] * len(got["a"]) for i, c in enumerate(by)}, **got}) if got else pd.DataFrame(columns=schema.names, dtype=object)
 
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(compare, schema)
@@ -116,51 +120,59 @@ class _Sets:
         size = np.fromiter(map(len, column), np.int64, len(column)) // np.dtype(kind).itemsize
         return np.frombuffer(b"".join(column), kind), np.concatenate([[0], np.cumsum(size)])
 
+    def inverted(self, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of sets, counted from ``begin``, by code, and where each code's places begin."""
+        spans = [(at[begin : end + 1], values) for at, values in ((self.rare_at, self.shared), (self.codes_at, self.codes))]
+        tokens = np.concatenate([values[at[0] : at[-1]] for at, values in spans])
+        docs = np.concatenate([np.repeat(np.arange(end - begin, dtype=np.int32), np.diff(at)) for at, _ in spans])
+        return docs[np.argsort(tokens, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(tokens, minlength=1 << 16))])
+
     def of(self, values: np.ndarray, at: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values of some sets, and the place in ``some`` that each belongs to."""
         parts = [values[at[i] : at[i + 1]] for i in some]
         return np.concatenate(parts), np.repeat(np.arange(len(some)), at[some + 1] - at[some])
 
 
-def _compare(one: pd.DataFrame, two: pd.DataFrame, keep: Callable, need: Needs) -> dict[str, np.ndarray]:
+def _compare(one: pd.DataFrame, two: pd.DataFrame, keep: Callable, need: Needs, reach: Callable) -> dict[str, np.ndarray]:
     """All pairs of two blocks that ``keep`` takes.
 
     Of a set of n words, of which ``need`` are to be common, the n - need + k rarest hold at
-    least k common ones.  These are counted over an inverted index of the other block, where
-    words without a code count as common if their shared codes are, so no pair is lost;
-    what is left is compared word by word.
+    least k common ones.  These are counted over inverted indexes of the other block's sets,
+    CHUNK of them in order of size so that sets out of reach are passed over; words without
+    a code count as common if their shared codes are, so no pair is lost; what is left is
+    compared word by word.
     """
-    left, right = _Sets(one), _Sets(two)
-    tokens = np.concatenate([right.shared, right.codes])
-    docs = np.concatenate([np.repeat(np.arange(len(right.n), dtype=np.int32), np.diff(at)) for at in (right.rare_at, right.codes_at)])
-    docs = docs[np.argsort(tokens, kind="stable")]
-    starts = np.concatenate([[0], np.cumsum(np.bincount(tokens, minlength=1 << 16))])
+    left, right = _Sets(one), _Sets(two.sort_values("n", kind="stable"))
     needs = np.maximum(1, need(left.n))
+    low, high = reach(left.n)
     marked = np.zeros(1 << 16, bool)
     out: dict[str, list] = {c: [] for c in ("a", "b", "inter", "na", "nb")}
-    for i in np.flatnonzero(needs <= left.n):
-        k = 1 + int(needs[i]) // 4
-        prefix = int(left.n[i] - needs[i]) + k
-        own, rare = left.codes[left.codes_at[i] : left.codes_at[i + 1]], left.rare[left.rare_at[i] : left.rare_at[i + 1]]
-        first = np.concatenate([left.shared[left.rare_at[i] : left.rare_at[i + 1]], own])[:prefix].astype(np.int64)
-        found = [docs[s:e] for s, e in zip(starts[first].tolist(), starts[first + 1].tolist(), strict=True) if s < e]
-        if not found:
-            continue
-        hits = np.flatnonzero(np.bincount(np.concatenate(found), minlength=len(right.n)) >= k)
-        if not len(hits):
-            continue
-        marked[own] = True
-        values, at = right.of(right.codes, right.codes_at, hits)
-        inter = np.bincount(at[marked[values]], minlength=len(hits))
-        marked[own] = False
-        values, at = right.of(right.rare, right.rare_at, hits)
-        inter += np.bincount(at[np.isin(values, rare)], minlength=len(hits))
-        fine = keep(inter, left.n[i], right.n[hits], left.ids[i], right.ids[hits])
-        hits, inter = hits[fine], inter[fine]
-        if not len(hits):
-            continue
-        for c, v in (("a", np.repeat(left.ids[i : i + 1], len(hits))), ("b", right.ids[hits]), ("inter", inter), ("na", np.repeat(left.n[i], len(hits))), ("nb", right.n[hits])):
-            out[c].append(v)
+    for begin in range(0, len(right.n), CHUNK):
+        end = min(begin + CHUNK, len(right.n))
+        docs, starts = right.inverted(begin, end)
+        for i in np.flatnonzero((needs <= left.n) & (low <= right.n[end - 1]) & (high >= right.n[begin])):
+            k = 1 + int(needs[i]) // 6
+            prefix = int(left.n[i] - needs[i]) + k
+            own, rare = left.codes[left.codes_at[i] : left.codes_at[i + 1]], left.rare[left.rare_at[i] : left.rare_at[i + 1]]
+            first = np.concatenate([left.shared[left.rare_at[i] : left.rare_at[i + 1]], own])[:prefix].astype(np.int64)
+            found = [docs[s:e] for s, e in zip(starts[first].tolist(), starts[first + 1].tolist(), strict=True) if s < e]
+            if not found:
+                continue
+            hits = np.flatnonzero(np.bincount(np.concatenate(found), minlength=end - begin) >= k) + begin
+            if not len(hits):
+                continue
+            marked[own] = True
+            values, at = right.of(right.codes, right.codes_at, hits)
+            inter = np.bincount(at[marked[values]], minlength=len(hits))
+            marked[own] = False
+            values, at = right.of(right.rare, right.rare_at, hits)
+            inter += np.bincount(at[np.isin(values, rare)], minlength=len(hits))
+            fine = keep(inter, left.n[i], right.n[hits], left.ids[i], right.ids[hits])
+            hits, inter = hits[fine], inter[fine]
+            if not len(hits):
+                continue
+            for c, v in (("a", np.repeat(left.ids[i : i + 1], len(hits))), ("b", right.ids[hits]), ("inter", inter), ("na", np.repeat(left.n[i], len(hits))), ("nb", right.n[hits])):
+                out[c].append(v)
     return {c: np.concatenate(v) for c, v in out.items() if v}
 
 
@@ -170,7 +182,7 @@ def blocks_of(left: DataFrame, right: DataFrame, by: list[str], block: int | Non
     a, b = count(left, "sets_a"), count(right, "sets_b")
     both = (a.join(b, by) if by else a.crossJoin(b)).where("sets_a > 0 and sets_b > 0")
     both = stored(both, "set-blocks")
-    total = both.agg(F.sum("sets_b")).first()[0] or 0
-    size = [F.ceil(F.col(f"sets_{s}") / (block or BLOCK)).cast("int").alias(f"blocks_{s}") for s in "ab"]
+    total, groups = both.agg(F.coalesce(F.sum("sets_b"), F.lit(0)), F.count("*")).first()
+    parts = math.ceil(math.sqrt(TASKS / max(1, groups)))
+    size = [F.greatest(F.ceil(F.col(f"sets_{s}") / (block or BLOCK)), F.least(F.lit(parts), F.ceil(F.col(f"sets_{s}") / LEAST))).cast("int").alias(f"blocks_{s}") for s in "ab"]
     return both.select(*by, *size), total
-

@@ -1,15 +1,15 @@
-"""Exact set-similarity joins with prefix filters, and vector search."""
+"""Exact set-similarity joins over blocks of coded sets, and vector search."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidewell.functions.scores import cosine, dot, jaccard
+from tidewell.functions.scores import cosine, dot
 from tidewell.operators import setjoin as X
 from tidewell.sources.shared import stored
 
@@ -17,13 +17,6 @@ from tidewell.sources.shared import stored
 BLOCK, PIVOTS = 1024, 6
 
 
-def _prefixes(sets: DataFrame, frequency: DataFrame, by: list[str], keep: Column) -> DataFrame:
-    """The rarest words of each set, as many as ``keep`` says, by how many sets have them."""
-    word = sets.select("id", *by, F.size("words").alias("n"), F.explode("words").alias("w"))
-    kept = word.join(frequency, [*by, "w"], "left").groupBy("id", *by).agg(F.first("n").alias("n"), F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w")).alias("all"))
-    return kept.select("id", *by, F.explode(F.slice(F.array_sort("all"), F.lit(1), F.greatest(F.lit(0), keep).cast("int"))).alias("x")).select("id", *by, "x.w")
-
-
 def containment_pairs(left: DataFrame, right: DataFrame, threshold: float, by: list[str]) -> DataFrame:
     """(by, a, b, overlap) where a share ``threshold`` or more of a left set's words is in a right set of the same group.
 
@@ -34,19 +27,23 @@ def containment_pairs(left: DataFrame, right: DataFrame, threshold: float, by: l
     known = X.known_words(right, count)
     once = lambda x: X.encoded(x, by, known).groupBy(*by, "id").agg(*[F.first(c).alias(c) for c in ("n", "codes", "rare")])
     keep = lambda inter, na, nb, a, b: inter / na >= threshold
-    pairs = X.met(once(left), once(right), by, sizes, keep, lambda n: np.ceil(n * threshold - 1e-9).astype(np.int64))
+    need = lambda n: np.ceil(n * threshold - 1e-9).astype(np.int64)
+    pairs = X.met(once(left), once(right), by, sizes, keep, need, lambda n: (need(n), np.full(len(n), np.iinfo(np.int64).max)))
     return pairs.select(*by, "a", "b", (F.col("inter") / F.col("na")).alias("overlap"))
 
 
 def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of a < b with at least ``threshold``; both sets' rarest words are joined."""
-    sets = stored(sets.select("id", "words"), "sets")
-    word = sets.select("id", F.explode("words").alias("w"))
-    df = word.groupBy("w").agg(F.count("*").alias("df"))
-    p = _prefixes(sets, df, [], F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
-    pairs = p.select(F.col("id").alias("a"), "w").join(p.select(F.col("id").alias("b"), "w"), "w").where("a < b").select("a", "b").distinct()
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
-    return both.withColumn("jaccard", jaccard(F.col("wa"), F.col("wb"))).where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
+    """(a, b, jaccard) of a < b with at least ``threshold``.
+
+    Of two sets the smaller one, of n words, has at least 2 t n / (1 + t) of them in common,
+    so each pair is looked for from its smaller set, by id where they are as large.
+    """
+    sizes, count = X.blocks_of(sets, sets, [])
+    coded = X.encoded(sets, [], X.known_words(sets, count))
+    keep = lambda inter, na, nb, a, b: (inter / (na + nb - inter) >= threshold) & ((nb > na) | (nb == na) & (b > a))
+    need = lambda n: np.ceil(2 * threshold / (1 + threshold) * n - 1e-9).astype(np.int64)
+    pairs = X.met(coded, coded, [], sizes, keep, need, lambda n: (n, n / threshold + 1e-6))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("jaccard"))
 
 
 def top_by_cosine(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
