@@ -31,3 +31,25 @@ def test_no_join_of_sets_sends_a_row_a_word(spark):
         assert made.count() > 0
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         assert "explode(words" not in plan and "explode(array_distinct" not in plan and "collect_list" not in plan
+
+
+def test_blocks_of_vectors_give_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 30)
+    monkeypatch.setattr(S, "ROWS", 4)
+    monkeypatch.setattr(S, "COLUMNS", 7)
+    rng = random.Random(5)
+    rows = [(i, rng.choice([0, 1, 1, None]), rng.choice([None, [0.0, 0.0]]) if i % 40 == 0 else [rng.gauss(0, 1) for _ in range(rng.choice([3, 3, 3, 2]))]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id int, label int, embedding array<double>")
+
+    def cosine(x, y):
+        lengths = [sum(v * v for v in e) ** 0.5 for e in (x, y)]
+        return sum(p * q for p, q in zip(x, y, strict=True)) / (lengths[0] * lengths[1])
+
+    fine = [(i, g, e) for i, g, e in rows if g is not None and e and any(e)]
+    want = {(i, j): cosine(x, y) for i, g, x in fine for j, h, y in fine if g == h and len(x) == len(y)}
+    got = {(r.a, r.b): r.cosine for r in S.cosine_pairs(df, 0.3, "label").collect()}
+    assert got.keys() == {(i, j) for (i, j), c in want.items() if i < j and c >= 0.3} and len(got) > 500
+    assert all(abs(c - want[k]) < 1e-12 for k, c in got.items())
+    v = df.withColumnRenamed("vec_id", "id")
+    near = {(r.a, r.b) for r in S.near_vectors(v.where("id % 2 = 0"), v.where("id % 2 = 1"), 0.35, ["label"]).collect()}
+    assert near == {(i, j) for (i, j), c in want.items() if i % 2 == 0 and j % 2 == 1 and c >= 0.35}

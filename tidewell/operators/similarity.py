@@ -5,16 +5,16 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructType
 
-from tidewell.functions.scores import cosine, dot
+from tidewell.functions.scores import cosine
 from tidewell.operators import setjoin as X
-from tidewell.sources.shared import stored
 
-#: Vectors of a block, and pivots that distances are taken to.
-BLOCK, PIVOTS = 1024, 6
+#: Vectors of a block, pivots that distances are taken to, and rows and columns of a product of matrices.
+BLOCK, PIVOTS, ROWS, COLUMNS = 1 << 14, 6, 256, 4096
 
 
 def containment_pairs(left: DataFrame, right: DataFrame, threshold: float, by: list[str]) -> DataFrame:
@@ -58,49 +58,102 @@ def near_vectors(left: DataFrame, right: DataFrame, threshold: float, by: list[s
 
     left, right: id, embedding and the columns ``by``.  Unit vectors that near are at most
     r = sqrt(2 - 2 threshold) apart, so by the triangle inequality their distances to any
-    pivot differ by r at most.  Bands of width r of the distances to two pivots are joined
-    with their neighbours, the other pivots' distances are compared before any product is
-    made, and the bound drops no pair that counts.  Pivots are a few of the right vectors;
+    pivot differ by r at most; blocks of vectors meet, each a few rows at a time with the
+    range of the other block that this bound leaves.  Pivots are a few of the right vectors;
     vectors of other lengths than theirs, which no bound is known for, meet by length.
 
     Null vectors, those of zeros and those with null or non-finite components are near to none.
     """
-    spark = left.sparkSession
-
-    def units(x: DataFrame) -> DataFrame:
-        e = F.transform("embedding", lambda v: v.cast("double"))
-        fine = F.col("embedding").isNotNull() & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-        n = F.sqrt(dot(F.col("e"), F.col("e")))
-        return x.where(fine).select("id", *by, e.alias("e")).withColumn("norm", n).where("norm > 0").select("id", *by, F.transform("e", lambda v: v / F.col("norm")).alias("e"), F.size("e").alias("dims"))
-
-    one, two = stored(units(left), "left-vectors"), stored(units(right), "right-vectors")
-    some = [r.e for r in two.select("e", F.xxhash64("id").alias("h")).orderBy("h").limit(pivots).collect()]
-    some = [p for p in some if len(p) == len(some[0])]
-    if not some:
-        return spark.createDataFrame([], StructType([*[left.schema[c] for c in by], StructField("a", left.schema["id"].dataType), StructField("b", right.schema["id"].dataType), StructField("cosine", DoubleType())]))
-    r = math.sqrt(2 - 2 * threshold) + 1e-6
-    table = F.broadcast(spark.createDataFrame([(some,)], "p array<array<double>>"))
-    apart = F.when(F.col("dims") == len(some[0]), F.transform("p", lambda p: F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot(F.col("e"), p))))).otherwise(F.array_repeat(F.lit(0.0), len(some)))
-    banded = lambda x: x.join(table).withColumn("d", apart).withColumns({f"band{i}": F.floor(F.col("d")[min(i, len(some) - 1)] / r).cast("int") for i in range(2)}).drop("p")
-    around = lambda c: F.explode(F.array(*[F.col(c) + i for i in (-1, 0, 1)]))
-    a = banded(one).select(F.col("id").alias("a"), *by, "dims", F.col("e").alias("ea"), F.col("d").alias("da"), around("band0").alias("band0"), "band1")
-    a = a.withColumn("band1", around("band1"))
-    b = banded(two).select(F.col("id").alias("b"), *by, "dims", F.col("e").alias("eb"), F.col("d").alias("db"), "band0", "band1")
-    met = a.join(b, [*by, "dims", "band0", "band1"]).where(~F.exists(F.zip_with("da", "db", lambda x, y: F.abs(x - y) > r), lambda x: x))
-    return met.withColumn("cosine", dot(F.col("ea"), F.col("eb"))).where(F.col("cosine") >= threshold).select(*by, "a", "b", "cosine")
+
+    def fine(x: DataFrame) -> DataFrame:
+        e = F.col("embedding")
+        ok = e.isNotNull() & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf")))
+        return x.where(ok & F.exists(e, lambda v: v != 0))
+
+    some = [r.embedding for r in fine(right).select("embedding", F.xxhash64("id").alias("h")).orderBy("h").limit(pivots).collect()]
+    some = np.array([p for p in some if len(p) == len(some[0])], np.float64)
+    return _vector_pairs(fine(left), fine(right), threshold, by, some, same=False)
 
 
 def cosine_pairs(vectors: DataFrame, threshold: float, by: str) -> DataFrame:
     """(a, b, cosine) of a < b in the same group ``by``, at least ``threshold``; norms are computed once.
 
-    A group is cut into blocks of about BLOCK vectors, and each block meets the group in a
-    key of its own, so that no task compares a whole group with itself.
+    A group is cut into blocks of about BLOCK vectors, and each two blocks meet in a task of
+    their own, so that no task compares a whole group with itself.
     """
-    unit = vectors.select("vec_id", by, F.transform("embedding", lambda x: x.cast("double")).alias("e")).withColumn("norm", F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x))).where("norm > 0")
-    unit = stored(unit.withColumnRenamed(by, "_by"), "vectors")
-    blocks = unit.groupBy("_by").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    unit = unit.join(blocks, "_by")
-    a = unit.select(F.col("vec_id").alias("a"), "_by", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.col("e").alias("ea"), F.col("norm").alias("na"))
-    b = unit.select(F.col("vec_id").alias("b"), "_by", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("e").alias("eb"), F.col("norm").alias("nb"))
-    dot = F.aggregate(F.zip_with("ea", "eb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return a.join(b, ["_by", "block"]).where("a < b").withColumn("cosine", dot / (F.col("na") * F.col("nb"))).where(F.col("cosine") >= threshold).select("a", "b", "cosine")
+    v = vectors.select(F.col("vec_id").alias("id"), F.col(by).alias("_by"), "embedding").where(F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull()))
+    return _vector_pairs(v, v, threshold, ["_by"], np.zeros((0, 0)), same=True).select("a", "b", "cosine")
+
+
+def _vector_pairs(left: DataFrame, right: DataFrame, threshold: float, by: list[str], pivots: np.ndarray, *, same: bool) -> DataFrame:
+    """(by, a, b, cosine) of two sides, or of one side with itself (``same``), where a < b."""
+    for c in by:
+        left, right = left.where(F.col(c).isNotNull()), right.where(F.col(c).isNotNull())
+    kind = "array<float>" if {x.schema["embedding"].dataType.elementType.typeName() for x in (left, right)} == {"float"} else "array<double>"
+    keys = [*by, "dims"]
+    left, right = (x.select("id", *by, F.size("embedding").alias("dims"), F.col("embedding").cast(kind).alias("e")) for x in (left, right))
+    sizes, _ = X.blocks_of(left, right, keys, BLOCK)
+    a, b = X.dealt(left, right, keys, sizes, same=same)
+    ids = [left.schema["id"].dataType, right.schema["id"].dataType]
+    schema = StructType([left.schema[c] for c in by]).add("a", ids[0]).add("b", ids[1]).add("cosine", DoubleType())
+
+    def compare(key: tuple, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        got = _near(one, two, threshold, pivots) if len(one) and len(two) else []
+        if not got:
+            return pd.DataFrame(columns=schema.names, dtype=object)
+        x, y, cos = [np.concatenate(c) for c in zip(*got, strict=True)]
+        if same:
+            swap = x > y
+            keep = (x != y) & ~swap if key[len(keys)] == key[len(keys) + 1] else np.ones(len(x), bool)
+            x, y, cos = np.where(swap, y, x)[keep], np.where(swap, x, y)[keep], cos[keep]
+        return pd.DataFrame({**{c: [key[i]] * len(cos) for i, c in enumerate(by)}, "a": x, "b": y, "cosine": cos}) if len(cos) else pd.DataFrame(columns=schema.names, dtype=object)
+
+    at = [*keys, "block_a", "block_b"]
+    return a.groupBy(*at).cogroup(b.groupBy(*at)).applyInPandas(compare, schema)
+
+
+def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed in order of the components."""
+    out = np.zeros(len(x))
+    for d in range(x.shape[1]):
+        out += x[:, d] * y[:, d]
+    return out
+
+
+@np.errstate(all="ignore")
+def _near(one: pd.DataFrame, two: pd.DataFrame, threshold: float, pivots: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids and cosines of near vectors of two blocks.  A product of matrices, which sums in another order, finds them with a margin."""
+    sides = []
+    for frame in (one, two):
+        e = np.stack(frame["e"].to_numpy()).astype(np.float64) if len(frame["e"].iloc[0]) else np.zeros((len(frame), 0))
+        norm = np.sqrt(_dots(e, e))
+        # NaN compares as greater than all numbers, as it does in SQL.
+        ok = (norm > 0) | np.isnan(norm)
+        e, norm, ids = e[ok], norm[ok], frame["id"].to_numpy()[ok]
+        unit = np.where(np.isfinite(norm)[:, None], e / norm[:, None], np.nan)
+        far = np.zeros((len(e), 0))
+        if len(pivots) and pivots.shape[1] == e.shape[1]:
+            p = pivots / np.sqrt((pivots * pivots).sum(1))[:, None]
+            far = np.sqrt(np.maximum(0.0, 2 - 2 * (unit @ p.T)))
+            order = np.argsort(far[:, 0], kind="stable")
+            e, norm, ids, unit, far = e[order], norm[order], ids[order], unit[order], far[order]
+        sides.append((e, norm, ids, unit, far))
+    (e, norm, ids, unit, far), (f, norm2, ids2, unit2, far2) = sides
+    r = math.sqrt(2 - 2 * threshold) + 1e-6
+    out = []
+    for i in range(0, len(e), ROWS):
+        rows = slice(i, i + ROWS)
+        near = np.arange(len(f))
+        if far.shape[1] and far2.shape[1]:
+            low, high = far[rows].min(0) - r, far[rows].max(0) + r
+            near = near[slice(*np.searchsorted(far2[:, 0], [low[0], high[0]]))]
+            near = near[((far2[near] >= low) & (far2[near] <= high)).all(1)]
+        for j in range(0, len(near), COLUMNS):
+            some = near[j : j + COLUMNS]
+            x, y = np.nonzero(~(unit[rows] @ unit2[some].T < threshold - 1e-9))
+            x, y = x + i, some[y]
+            cos = _dots(e[x], f[y]) / (norm[x] * norm2[y])
+            keep = ~(cos < threshold)
+            if keep.any():
+                out.append((ids[x[keep]], ids2[y[keep]], cos[keep]))
+    return out
