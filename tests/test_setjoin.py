@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -53,3 +54,28 @@ def test_blocks_of_vectors_give_all_pairs(spark, monkeypatch):
     v = df.withColumnRenamed("vec_id", "id")
     near = {(r.a, r.b) for r in S.near_vectors(v.where("id % 2 = 0"), v.where("id % 2 = 1"), 0.35, ["label"]).collect()}
     assert near == {(i, j) for (i, j), c in want.items() if i % 2 == 0 and j % 2 == 1 and c >= 0.35}
+
+
+def test_static_gate_lists_no_pairs_and_shuffles_no_texts(spark, monkeypatch):
+    monkeypatch.setattr(X, "BLOCK", 40)
+    rng = random.Random(7)
+    base = [[f"w{rng.randrange(90)}" for _ in range(rng.randrange(3, 30))] for _ in range(12)]
+    rows = [(f"c{i:03d}", rng.choice(["x", "x", "y", None]), " ".join(w for w in rng.choice(base) if rng.random() < 0.9) or None, f"a{i % 5}") for i in range(300)]
+    rows += [("c900", "x", rows[0][2], "a1"), ("c901", "x", "  ", "a1"), ("c902", "x", None, "a1")]
+    claims = spark.createDataFrame(rows, "claim_id string, subject string, claim string, observed_by string").selectExpr("*", "'outcome' claim_type", "1L n_evidence", "true provenance_ok", "2L independent_count", "cast(null as double) trust")
+    one, two = claims.where("substr(claim_id, 4) < '4'"), claims.where("substr(claim_id, 4) >= '4'")
+    held = spark.createDataFrame([("a3",)], "agent_id string")
+    want = {}
+    for r in G.contradictions(one, two).collect():
+        want[r.claim_id] = min(r.conflicts_with, want.get(r.claim_id, "z"))
+
+    def listed(*_):
+        raise AssertionError("pairs are listed")
+
+    monkeypatch.setattr(G, "containment_pairs", listed)
+    made = G.static_gate(one, two, held)
+    got = {r.claim_id: r.conflicts_with for r in made.collect()}
+    quarantined = {r[0] for r in rows if r[3] == "a3"}
+    expected = {r.claim_id: None if r.claim_id in quarantined else want.get(r.claim_id) for r in one.collect()}
+    assert got == expected and len(want) > 50
+    assert not re.search(r"hashpartitioning\(observed_by#\d+, \d+\)", made._jdf.queryExecution().executedPlan().toString())

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.scores import COSINE_CONFLICT, WORDS_CONFLICT, confidence
 from tidewell.functions.text import normalized_claim, words
-from tidewell.operators.similarity import containment_pairs, near_vectors
+from tidewell.operators.similarity import containment_pairs, least_containing, near_vectors
 from tidewell.sources.shared import stored
 
 #: Independent sessions that a type needs; a hypothesis never gets that far.
@@ -33,14 +33,31 @@ def contradictions(candidates: DataFrame, promoted: DataFrame, threshold: float
     shared = stored(containment_pairs(side(candidates), side(promoted), threshold, ["subject"]).where("a <> b"), "contradicting-texts")
     out = shared.join(of(candidates, "a", "claim_id"), ["subject", "a"]).join(of(promoted, "b", "conflicts_with"), ["subject", "b"]).select("claim_id", "conflicts_with", "overlap")
     if _vectors(candidates, promoted):
-        sent = lambda x: x.select(F.col("claim_id").alias("id"), "subject", "embedding")
-        near = near_vectors(sent(candidates), sent(promoted), COSINE_CONFLICT, ["subject"]).select("a", "b", F.lit(None).cast("double").alias("overlap"))
-        named = lambda x, c: x.select(F.col("claim_id").alias(c), text.alias(f"n{c}"))
-        near = near.join(named(candidates, "a"), "a").join(named(promoted, "b"), "b").where("na <> nb").select(F.col("a").alias("claim_id"), F.col("b").alias("conflicts_with"), "overlap")
+        near = _near(candidates, promoted).withColumn("overlap", F.lit(None).cast("double"))
         out = out.unionByName(near).groupBy("claim_id", "conflicts_with").agg(F.max("overlap").alias("overlap"))
     return out
 
 
+def _first_contradictions(candidates: DataFrame, promoted: DataFrame, threshold: float = WORDS_CONFLICT) -> DataFrame:
+    """(claim_id, conflicts_with): the least id of contradictions(), without listing those by words."""
+    text = F.sha2(normalized_claim(F.col("claim")), 256)
+    side = lambda x, *more: x.where(F.col("claim").isNotNull()).select(text.alias("id"), "subject", words(F.col("claim")).alias("words"), *more)
+    least = least_containing(side(candidates), side(promoted, F.col("claim_id").alias("name")), threshold, ["subject"])
+    out = candidates.select("subject", text.alias("a"), "claim_id").join(least, ["subject", "a"]).select("claim_id", F.col("least").alias("conflicts_with"))
+    if _vectors(candidates, promoted):
+        out = out.union(_near(candidates, promoted).select("claim_id", "conflicts_with"))
+    return out.groupBy("claim_id").agg(F.min("conflicts_with").alias("conflicts_with"))
+
+
+def _near(candidates: DataFrame, promoted: DataFrame) -> DataFrame:
+    """(claim_id, conflicts_with) of claims with near vectors and other texts."""
+    text = F.sha2(normalized_claim(F.col("claim")), 256)
+    sent = lambda x: x.select(F.col("claim_id").alias("id"), "subject", "embedding")
+    near = near_vectors(sent(candidates), sent(promoted), COSINE_CONFLICT, ["subject"]).select("a", "b")
+    named = lambda x, c: x.select(F.col("claim_id").alias(c), text.alias(f"n{c}"))
+    return near.join(named(candidates, "a"), "a").join(named(promoted, "b"), "b").where("na <> nb").select(F.col("a").alias("claim_id"), F.col("b").alias("conflicts_with"))
+
+
 def _vectors(*tables: DataFrame) -> bool:
     return all("embedding" in t.columns for t in tables)
 
@@ -60,8 +77,11 @@ def _decided(candidates: DataFrame, conflicts: DataFrame, quarantined: DataFrame
 
 
 def _staged(candidates: DataFrame, quarantined: DataFrame) -> DataFrame:
-    """Candidates with the gate that stops them before (early) and after (late) contradiction is looked at."""
-    held = quarantined.select(F.col("agent_id").alias("observed_by"), F.lit(True).alias("held")).distinct()
+    """Candidates with the gate that stops them before (early) and after (late) contradiction is looked at.
+
+    Agents, of whom there are few, go to the candidates, so that no claim's text is shuffled for them.
+    """
+    held = F.broadcast(quarantined.select(F.col("agent_id").alias("observed_by"), F.lit(True).alias("held")).distinct())
     kind = F.col("claim_type")
     needed = F.create_map(*[F.lit(x) for pair in NEEDED.items() for x in pair])[kind]
     early = F.when(F.col("held"), "quarantine").when((F.col("n_evidence") == 0) | kind.isin("hypothesis", "preference"), "evidence")
@@ -71,8 +91,8 @@ def _staged(candidates: DataFrame, quarantined: DataFrame) -> DataFrame:
 
 def static_gate(candidates: DataFrame, promoted: DataFrame, quarantined: DataFrame) -> DataFrame:
     """Decisions against the claims that are promoted already; the conflict told of is the one of least id."""
-    first = contradictions(candidates, promoted).groupBy("claim_id").agg(F.min("conflicts_with").alias("conflicts_with"))
-    return _decided(candidates, first, quarantined)
+    asked = _staged(candidates, quarantined).where("early is null")
+    return _decided(candidates, _first_contradictions(asked, promoted), quarantined)
 
 
 def decision_events(decisions: DataFrame, at: str) -> DataFrame:

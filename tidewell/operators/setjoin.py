@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,11 +41,11 @@ def _hashes() -> Column:
     return F.transform("words", lambda w: F.xxhash64(w))
 
 
-def encoded(sets: DataFrame, by: list[str], known: np.ndarray) -> DataFrame:
-    """``by``, id and SET of the sets (id, words) that have words."""
+def encoded(sets: DataFrame, by: list[str], known: np.ndarray, also: tuple[str, ...] = ()) -> DataFrame:
+    """``by``, id, the columns ``also`` and SET of the sets (id, words) that have words."""
     order = np.argsort(known, kind="stable")
     ascending, code = known[order], (order + SHARED).astype(np.int64)
-    fields = [sets.schema[c] for c in [*by, "id"]]
+    fields = [sets.schema[c] for c in [*by, "id", *also]]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,7 +65,7 @@ def encoded(sets: DataFrame, by: list[str], known: np.ndarray) -> DataFrame:
     have = sets.where(F.size("words") > 0)
     for c in by:
         have = have.where(F.col(c).isNotNull())
-    return have.select(*by, "id", _hashes().alias("h")).mapInArrow(encode, StructType([*fields, *StructType.fromDDL(SET).fields]))
+    return have.select(*[f.name for f in fields], _hashes().alias("h")).mapInArrow(encode, StructType([*fields, *StructType.fromDDL(SET).fields]))
 
 
 def _binary(values: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
@@ -89,11 +90,61 @@ def met(left: DataFrame, right: DataFrame, by: list[str], sizes: DataFrame, keep
 
     def compare(key: tuple, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         got = _compare(one, two, keep, need, reach) if len(one) and len(two) else {}
-        return pd.DataFrame({**{c: [key[i]] * len(got["a"]) for i, c in enumerate(by)}, **got}) if got else pd.DataFrame(columns=schema.names, dtype=object)
+        return _frame(key, by, got, schema)
 
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(compare, schema)
 
 
+def _frame(key: tuple, by: list[str], got: dict, schema: StructType) -> pd.DataFrame:
+    return pd.DataFrame({**{c: [key[i]] * len(got["a"]) for i, c in enumerate(by)}, **got}) if got else pd.DataFrame(columns=schema.names, dtype=object)
+
+
+def met_least(left: DataFrame, right: DataFrame, by: list[str], sizes: DataFrame, keep: Callable, need: Needs, reach: Callable) -> DataFrame:
+    """(by, a, least): the least ``name`` of the right sets that met() would pair with a left one, whose pairs are not listed."""
+    a, b = dealt(left, right, by, sizes)
+    keys = [*by, "block_a", "block_b"]
+    schema = StructType([left.schema[c] for c in by]).add("a", left.schema["id"].dataType).add("least", right.schema["name"].dataType)
+
+    def compare(key: tuple, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if not (len(one) and len(two)):
+            return _frame(key, by, {}, schema)
+        two = two.sort_values("name", kind="stable", ignore_index=True)
+        rank = two["n"].argsort(kind="stable").to_numpy()  # place by name of the set at each place by size
+        best = np.full(len(one), len(two))
+        for i, _, _, hits, _ in _hits(one, two, keep, need, reach):
+            best[i] = min(best[i], rank[hits].min())
+        some = np.flatnonzero(best < len(two))
+        return _frame(key, by, {"a": one["id"].to_numpy()[some], "least": two["name"].to_numpy()[best[some]]}, schema)
+
+    out = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(compare, schema)
+    return out.groupBy(*by, "a").agg(F.min("least").alias("least"))
+
+
+def met_lists(left: DataFrame, right: DataFrame, by: list[str], sizes: DataFrame, keep: Callable, need: Needs, reach: Callable) -> DataFrame:
+    """(by, a, found): the right sets that met() would pair with a left one, of each block of theirs packed in one value; see listed().  Their ids are numbers from 0."""
+    a, b = dealt(left, right, by, sizes)
+    keys = [*by, "block_a", "block_b"]
+    schema = StructType([left.schema[c] for c in by]).add("a", left.schema["id"].dataType).add("found", "binary")
+
+    def compare(key: tuple, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        own: dict[int, list[np.ndarray]] = {}
+        for i, _, right, hits, _ in _hits(one, two, keep, need, reach) if len(one) and len(two) else ():
+            own.setdefault(i, []).append(right.ids[hits])
+        got = {"a": one["id"].to_numpy()[list(own)], "found": [packed(np.concatenate(x)) for x in own.values()]} if own else {}
+        return _frame(key, by, got, schema)
+
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(compare, schema)
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers as steps from one to the next, compressed, so that many of a few numbers cost less than a byte each."""
+    return zlib.compress(np.diff(np.sort(numbers), prepend=0).astype("<u4").tobytes(), 1)
+
+
+def listed(found: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(found), "<u4").astype(np.int64))
+
+
 def dealt(left: DataFrame, right: DataFrame, by: list[str], sizes: DataFrame, *, same: bool = False) -> tuple[DataFrame, DataFrame]:
     """Both sides with block_a and block_b, a row for each task that it is in; of two blocks of the ``same`` table the smaller number is a's."""
     sized = lambda x: x.join(sizes, by) if by else x.crossJoin(F.broadcast(sizes))
@@ -133,8 +184,8 @@ class _Sets:
         return np.concatenate(parts), np.repeat(np.arange(len(some)), at[some + 1] - at[some])
 
 
-def _compare(one: pd.DataFrame, two: pd.DataFrame, keep: Callable, need: Needs, reach: Callable) -> dict[str, np.ndarray]:
-    """All pairs of two blocks that ``keep`` takes.
+def _hits(one: pd.DataFrame, two: pd.DataFrame, keep: Callable, need: Needs, reach: Callable) -> Iterator[tuple[int, _Sets, _Sets, np.ndarray, np.ndarray]]:
+    """Place of a left set, both blocks, places by size of right sets that ``keep`` takes with it, and the words in common; a left set may come several times.
 
     Of a set of n words, of which ``need`` are to be common, the n - need + k rarest hold at
     least k common ones.  These are counted over inverted indexes of the other block's sets,
@@ -146,7 +197,6 @@ def _compare(one: pd.DataFrame, two: pd.DataFrame, keep: Callable, need: Needs,
     needs = np.maximum(1, need(left.n))
     low, high = reach(left.n)
     marked = np.zeros(1 << 16, bool)
-    out: dict[str, list] = {c: [] for c in ("a", "b", "inter", "na", "nb")}
     for begin in range(0, len(right.n), CHUNK):
         end = min(begin + CHUNK, len(right.n))
         docs, starts = right.inverted(begin, end)
@@ -168,11 +218,16 @@ def _compare(one: pd.DataFrame, two: pd.DataFrame, keep: Callable, need: Needs,
             values, at = right.of(right.rare, right.rare_at, hits)
             inter += np.bincount(at[np.isin(values, rare)], minlength=len(hits))
             fine = keep(inter, left.n[i], right.n[hits], left.ids[i], right.ids[hits])
-            hits, inter = hits[fine], inter[fine]
-            if not len(hits):
-                continue
-            for c, v in (("a", np.repeat(left.ids[i : i + 1], len(hits))), ("b", right.ids[hits]), ("inter", inter), ("na", np.repeat(left.n[i], len(hits))), ("nb", right.n[hits])):
-                out[c].append(v)
+            if fine.any():
+                yield int(i), left, right, hits[fine], inter[fine]
+
+
+def _compare(one: pd.DataFrame, two: pd.DataFrame, keep: Callable, need: Needs, reach: Callable) -> dict[str, np.ndarray]:
+    """All pairs of two blocks that ``keep`` takes."""
+    out: dict[str, list] = {c: [] for c in ("a", "b", "inter", "na", "nb")}
+    for i, left, right, hits, inter in _hits(one, two, keep, need, reach):
+        for c, v in (("a", np.repeat(left.ids[i : i + 1], len(hits))), ("b", right.ids[hits]), ("inter", inter), ("na", np.repeat(left.n[i], len(hits))), ("nb", right.n[hits])):
+            out[c].append(v)
     return {c: np.concatenate(v) for c, v in out.items() if v}
 
 

@@ -23,13 +23,37 @@ def containment_pairs(left: DataFrame, right: DataFrame, threshold: float, by: l
     left, right: id, words and the columns ``by``.  Rows of a side and group with the same id
     hold the same set and count once.  Sets go to their tasks as codes, not as words.
     """
+    pairs = X.met(*_containment(left, right, threshold, by))
+    return pairs.select(*by, "a", "b", (F.col("inter") / F.col("na")).alias("overlap"))
+
+
+def _containment(left: DataFrame, right: DataFrame, threshold: float, by: list[str], numbers: DataFrame | None = None, *, others: bool = False) -> tuple:
+    """Both sides coded, and how they meet.  ``numbers`` (by, id, number) take the place of ids, ``others``: sets of one id do not meet, and of the right ones the least name stays."""
     sizes, count = X.blocks_of(left, right, by)
     known = X.known_words(right, count)
-    once = lambda x: X.encoded(x, by, known).groupBy(*by, "id").agg(*[F.first(c).alias(c) for c in ("n", "codes", "rare")])
-    keep = lambda inter, na, nb, a, b: inter / na >= threshold
+
+    def once(x: DataFrame) -> DataFrame:
+        also = ("name",) if "name" in x.columns else ()
+        sets = X.encoded(x, by, known, also).groupBy(*by, "id").agg(*[F.first(c).alias(c) for c in ("n", "codes", "rare")], *[F.min(c).alias(c) for c in also])
+        return sets if numbers is None else sets.join(numbers, [*by, "id"]).drop("id").withColumnRenamed("number", "id")
+
+    share = lambda inter, na: inter / na >= threshold
+    keep = (lambda inter, na, nb, a, b: share(inter, na) & (b != a)) if others else (lambda inter, na, nb, a, b: share(inter, na))
     need = lambda n: np.ceil(n * threshold - 1e-9).astype(np.int64)
-    pairs = X.met(once(left), once(right), by, sizes, keep, need, lambda n: (need(n), np.full(len(n), np.iinfo(np.int64).max)))
-    return pairs.select(*by, "a", "b", (F.col("inter") / F.col("na")).alias("overlap"))
+    return once(left), once(right), by, sizes, keep, need, lambda n: (need(n), np.full(len(n), np.iinfo(np.int64).max))
+
+
+def least_containing(left: DataFrame, right: DataFrame, threshold: float, by: list[str]) -> DataFrame:
+    """(by, a, least): for each left set the least ``name`` of a right set of another id that containment_pairs() has with it.
+
+    What goes on from a task is a row a left set and block, however many sets it is in.
+    """
+    return X.met_least(*_containment(left, right, threshold, by, others=True))
+
+
+def containing_lists(left: DataFrame, right: DataFrame, threshold: float, by: list[str], numbers: DataFrame) -> DataFrame:
+    """(by, a, found): containment_pairs() with ids as ``numbers`` (by, id, number) has them, the right ones packed for setjoin.listed()."""
+    return X.met_lists(*_containment(left, right, threshold, by, numbers))
 
 
 def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
