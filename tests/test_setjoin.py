@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tidewell.operators import gate as G
@@ -79,3 +80,37 @@ def test_static_gate_lists_no_pairs_and_shuffles_no_texts(spark, monkeypatch):
     expected = {r.claim_id: None if r.claim_id in quarantined else want.get(r.claim_id) for r in one.collect()}
     assert got == expected and len(want) > 50
     assert not re.search(r"hashpartitioning\(observed_by#\d+, \d+\)", made._jdf.queryExecution().executedPlan().toString())
+
+
+def test_gate_walk_reads_packed_lists(spark, monkeypatch):
+    monkeypatch.setattr(X, "BLOCK", 20)
+    rng = random.Random(9)
+    rows = [(f"c{i:03d}", rng.choice("xxy"), " ".join(sorted({f"w{rng.randrange(7)}" for _ in range(5)})), f"a{i % 5}") for i in range(160)]
+    claims = spark.createDataFrame(rows, "claim_id string, subject string, claim string, observed_by string").selectExpr("*", "'outcome' claim_type", "1L n_evidence", "true provenance_ok", "cast(substr(claim_id, 4) <> '7' as long) independent_count", "cast(null as double) trust")
+    one, two = claims.where("substr(claim_id, 4) < '8'"), claims.where("substr(claim_id, 4) >= '8'")
+    made = {}
+
+    def listed(*_):
+        raise AssertionError("pairs are listed")
+
+    monkeypatch.setattr(G, "containment_pairs", listed)
+    monkeypatch.setattr(G, "stored", lambda df, label: made.setdefault(label, df.cache()))
+    got = {r.claim_id: (r.decision, r.conflicts_with) for r in G.sequential_gate(one, two, spark.createDataFrame([("a3",)], "agent_id string")).collect()}
+    assert made["gate-claims"].count() <= 160  # a row a claim, none a pair
+    live, want = sorted(r for r in rows if r[0][3] >= "8"), {}
+    for r in sorted(r for r in rows if r[0][3] < "8"):
+        own = set(r[2].split())
+        hit = next((x for x in live if x[1] == r[1] and x[2] != r[2] and len(own & set(x[2].split())) / len(own) >= 0.6), None)
+        if r[3] == "a3":
+            want[r[0]] = ("quarantined", None)
+        elif hit:
+            live.remove(hit)
+            want[r[0]] = ("contest", hit[0])
+        elif r[0][3] == "7":
+            want[r[0]] = ("review", None)
+        else:
+            live.append(r)
+            want[r[0]] = ("promote", None)
+    assert got == want and {d for d, _ in got.values()} == {"promote", "contest", "quarantined", "review"}
+    some = rng.sample(range(10**6), 500)
+    assert X.listed(X.packed(np.array(some))).tolist() == sorted(some) and len(X.packed(np.arange(10**5))) < 10**4

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from collections import defaultdict, deque
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.scores import COSINE_CONFLICT, WORDS_CONFLICT, confidence
 from tidewell.functions.text import normalized_claim, words
-from tidewell.operators.similarity import containment_pairs, least_containing, near_vectors
+from tidewell.operators.setjoin import listed
+from tidewell.operators.similarity import containing_lists, containment_pairs, least_containing, near_vectors
 from tidewell.sources.shared import stored
 
 #: Independent sessions that a type needs; a hypothesis never gets that far.
@@ -105,22 +107,47 @@ def decision_events(decisions: DataFrame, at: str) -> DataFrame:
 
 
 def _walk(subject: pd.DataFrame) -> pd.DataFrame:
-    """Contests of a subject: candidates go in order of id, and each meets the first live claim with a text that its own contradicts."""
-    meets: dict[str, list[str]] = {}
-    for e in subject[subject.kind == "pair"].itertuples():
-        meets.setdefault(e.text, []).append(e.other)
-    live: dict[str, deque[tuple[int, str]]] = defaultdict(deque)
-    for r in subject[subject.kind == "promoted"].sort_values("claim_id").itertuples():
-        live[r.text].append((0, r.claim_id))
+    """Contests of a subject: candidates go in order of id, and each meets the first live claim with a text that its own contradicts.
+
+    Texts are numbers.  Live claims have places in the order in which they are met, and each
+    text knows the place of its first one; what a text contradicts is unpacked when it is asked for.
+    """
+    kind = subject["kind"].to_numpy()
+    packed: dict[int, list[bytes]] = defaultdict(list)
+    others: dict[int, list[int]] = defaultdict(list)
+    for r in subject[kind == "list"].itertuples():
+        packed[r.text].append(r.found)
+    for r in subject[kind == "pair"].itertuples():
+        others[r.text].append(int(r.other))
+    claims = subject[(kind == "candidate") | (kind == "promoted")].sort_values(["kind", "claim_id", "text"], ascending=[False, True, True])
+    if not len(claims) or not (packed or others):
+        return pd.DataFrame([], columns=["claim_id", "conflicts_with"])
+    ids, texts, free = claims["claim_id"].to_numpy(), claims["text"].to_numpy(np.int64), claims["may"].to_numpy(bool)
+    norm = np.zeros(texts.max() + 1, np.int64)
+    norm[texts] = claims["norm"].to_numpy(np.int64)
+    gone = len(claims)
+    head = np.full(len(norm), gone)
+    live: dict[int, deque[int]] = defaultdict(deque)
+
+    def join(place: int) -> None:
+        live[texts[place]].append(place)
+        head[texts[place]] = live[texts[place]][0]
+
     rows = []
-    for r in subject[subject.kind == "candidate"].sort_values("claim_id").itertuples():
-        heads = [(live[t][0], t) for t in meets.get(r.text, ()) if live[t]]
-        if heads:
-            (_, other), text = min(heads)
-            live[text].popleft()
-            rows.append((r.claim_id, other))
-        elif r.may:
-            live[r.text].append((1, r.claim_id))
+    for place, waits in enumerate((claims["kind"] == "candidate").to_numpy()):
+        own = texts[place]
+        first = gone
+        if waits and (own in packed or own in others):
+            near = np.concatenate([*(listed(x) for x in packed.get(own, ())), np.array(others.get(own, ()), np.int64)])
+            near = near[norm[near] != norm[own]]
+            first = head[near].min() if len(near) else gone
+        if first < gone:
+            queue = live[texts[first]]
+            queue.popleft()
+            head[texts[first]] = queue[0] if queue else gone
+            rows.append((ids[place], ids[first]))
+        elif not waits or free[place]:
+            join(place)
     return pd.DataFrame(rows, columns=["claim_id", "conflicts_with"])
 
 
@@ -129,29 +156,37 @@ def sequential_gate(candidates: DataFrame, promoted: DataFrame, quarantined: Dat
 
     A promotion adds a claim that later candidates meet, a contest takes one away.  Texts
     that contradict each other, by words or, where both tables have a column ``embedding``,
-    by vectors, are found by joins of distinct texts; only candidates and promoted claims
-    with such a text are walked, by id and without texts, subjects apart.  Claims without a
-    subject contradict none, and those without words or vector neither.
+    by vectors, are found by joins of distinct texts, which are numbers within a subject; the
+    walk goes by id and without texts, subjects apart, over lists of numbers that are packed
+    until they are asked for.  Claims without a subject contradict none, and those without
+    words or vector neither.
     """
     with_vectors = _vectors(candidates, promoted)
     vector = F.col("embedding") if with_vectors else F.lit(None).cast("array<float>")
     # Claims of one text and vector meet the same others; texts are told apart from vectors, as equal texts do not contradict.
-    text = F.concat_ws(":", F.sha2(F.concat_ws("\x00", "subject", normalized_claim(F.col("claim"))), 256), F.sha2(F.to_json(vector), 256)).alias("text")
+    norm = F.sha2(F.concat_ws("\x00", "subject", normalized_claim(F.col("claim"))), 256).alias("norm")
+    text = F.concat_ws(":", norm, F.sha2(F.to_json(vector), 256)).alias("text")
     c = _staged(candidates, quarantined).where(F.col("early").isNull() & F.col("subject").isNotNull())
-    c = c.select("subject", "claim_id", "claim", text, vector.alias("embedding"), F.col("late").isNull().alias("may"))
-    p = promoted.where(F.col("subject").isNotNull()).select("subject", "claim_id", "claim", text, vector.alias("embedding"), F.lit(True).alias("may"))
+    c = c.select("subject", "claim_id", "claim", norm, text, vector.alias("embedding"), F.col("late").isNull().alias("may"))
+    p = promoted.where(F.col("subject").isNotNull()).select("subject", "claim_id", "claim", norm, text, vector.alias("embedding"), F.lit(True).alias("may"))
     side = lambda x: x.select(F.col("text").alias("id"), "subject", words(F.col("claim")).alias("words"))
     others = p.union(c.where("may"))
-    pairs = containment_pairs(side(c), side(others), WORDS_CONFLICT, ["subject"]).select("subject", "a", "b")
+    short = lambda x, kind: x.select("subject", F.lit(kind).alias("kind"), "claim_id", "norm", F.col("text").alias("id"), "may")
+    claims = stored(short(c, "candidate").union(short(p, "promoted")), "gate-claims")
+    # A subject's texts are numbered in their order, and so are texts without vectors.
+    of = Window.partitionBy("subject").orderBy
+    numbers = claims.select("subject", "norm", "id").distinct().select("subject", "id", (F.row_number().over(of("norm", "id")) - 1).alias("number"), (F.dense_rank().over(of("norm")) - 1).alias("norm"))
+    numbers = stored(numbers, "gate-texts")
+    named = numbers.select("subject", "id", "number")
+    row = {"kind": "string", "claim_id": "string", "text": "int", "norm": "int", "may": "boolean", "other": "int", "found": "binary"}
+    full = lambda x: x.select("subject", *[(F.col(k) if k in x.columns else F.lit(None)).cast(v).alias(k) for k, v in row.items()])
+    lists = containing_lists(side(c), side(others), WORDS_CONFLICT, ["subject"], named)
+    rows = full(claims.drop("norm").join(numbers, ["subject", "id"]).withColumnRenamed("number", "text")).union(full(lists.withColumnRenamed("a", "text").withColumn("kind", F.lit("list"))))
     if with_vectors:
-        sent = lambda x: x.groupBy(F.col("text").alias("id"), "subject").agg(F.first("embedding").alias("embedding"))
-        pairs = pairs.union(near_vectors(sent(c), sent(others), COSINE_CONFLICT, ["subject"]).select("subject", "a", "b")).distinct()
-    pairs = pairs.where(F.substring_index("a", ":", 1) != F.substring_index("b", ":", 1))
-    pairs = stored(pairs, "gate-pairs")
-    named = pairs.select(F.col("a").alias("text")).union(pairs.select("b")).distinct()
-    row = lambda x, kind: x.join(named, "text", "left_semi").select("subject", F.lit(kind).alias("kind"), "claim_id", "text", F.lit(None).cast("string").alias("other"), "may")
-    edges = pairs.select("subject", F.lit("pair").alias("kind"), F.lit(None).cast("string").alias("claim_id"), F.col("a").alias("text"), F.col("b").alias("other"), F.lit(False).alias("may"))
-    contests = edges.union(row(c, "candidate")).union(row(p, "promoted")).groupBy("subject").applyInPandas(_walk, "claim_id string, conflicts_with string")
+        sent = lambda x: x.groupBy(F.col("text").alias("id"), "subject").agg(F.first("embedding").alias("embedding")).join(named, ["subject", "id"]).select("subject", F.col("number").alias("id"), "embedding")
+        near = near_vectors(sent(c), sent(others), COSINE_CONFLICT, ["subject"])
+        rows = rows.union(full(near.select("subject", F.lit("pair").alias("kind"), F.col("a").alias("text"), F.col("b").alias("other"))))
+    contests = rows.groupBy("subject").applyInPandas(_walk, "claim_id string, conflicts_with string")
     return _decided(candidates, contests, quarantined)
 
 
