@@ -54,3 +54,20 @@ def test_generation_does_not_hang_on_order(spark):
     rows = [("2024-01-01", "f", f"s{i}", i * 7) for i in range(50)]
     make = lambda x: C.generations(spark.createDataFrame(x, "dt string, fleet string, session_id string, content long")).first().generation
     assert make(rows) == make(rows[::-1]) != make(rows[1:])
+
+
+def test_rows_are_counted_where_they_are_deduplicated(spark, tmp_path, monkeypatch):
+    rows = [("a", f"a{i:02d}", "2024-01-01T00:00:00Z", f"h{i % 4}" if i % 5 else S.EMPTY, "prompt") for i in range(20)] + [("a", "a00", "2024-01-01T00:00:00Z", S.EMPTY, "prompt")]
+    e = events(spark, *rows)
+    root = f"file://{tmp_path}/lake"
+    write_batch(e, f"{root}/sessions", 0)
+    C.seal(spark, root, marks(e))
+    plans, kept = [], C.stored
+
+    def stored(df, label):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return kept(df, label)
+
+    monkeypatch.setattr(C, "stored", stored)
+    assert [(x.rows_in, x.rows_out) for x in C.compact(spark, root)] == [(21, 9)]
+    assert any("_in" in p and "envelope_json" in p for p in plans)

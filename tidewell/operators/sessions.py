@@ -233,11 +233,20 @@ def parts(envelopes: DataFrame, most: int, by: tuple[str, ...] = ("dt",)) -> Dat
     and sessions follow each other, so that running sums stay within a session and a table of
     one row a session.
     """
-    sized = envelopes.withColumn("bytes", F.octet_length("record").cast("long"))
+    return placed(within(envelopes, by), most, by)
+
+
+def within(envelopes: DataFrame, by: tuple[str, ...] = ("dt",)) -> DataFrame:
+    """Add ``bytes`` of each record, and ``within``: those of the records before it in its session."""
+    before = F.sum("bytes").over(Window.partitionBy(*by, "session_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes")
+    return envelopes.withColumn("bytes", F.octet_length("record").cast("long")).withColumn("within", before)
+
+
+def placed(sized: DataFrame, most: int, by: tuple[str, ...] = ("dt",)) -> DataFrame:
+    """parts() of rows that within() has gone over; where these are stored, only their sizes are read for the sums."""
     whole = sized.groupBy(*by, "session_id").agg(F.sum("bytes").alias("all"))
     before = whole.select(*by, "session_id", (F.sum("all").over(Window.partitionBy(*by).orderBy("session_id")) - F.col("all")).alias("before"))
-    within = F.sum("bytes").over(Window.partitionBy(*by, "session_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes")
-    return sized.withColumn("within", within).join(before, [*by, "session_id"]).withColumn("part", F.floor((F.col("before") + F.col("within")) / most).cast("long")).drop("within", "before")
+    return sized.join(before, [*by, "session_id"]).withColumn("part", F.floor((F.col("before") + F.col("within")) / most).cast("long")).drop("within", "before")
 
 
 def listed(sessions: DataFrame, prefix: str | None = None, limit: int = 20) -> DataFrame:

@@ -182,7 +182,7 @@ def compacted_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = new_folder(spark, "lake")
     write_batch(conformed(minimal(event_envelopes(spark, sf_dir))), f"{root}/sessions", 0)
     e = raw_segments(spark, f"{root}/sessions")
-    ended = C.marks_of(e)
+    ended = stored(C.marks_of(e), "marks")
     runs = []
     for some in (ended.where("not startswith(session_id, '1')"), ended, ended):
         C.seal(spark, root, some)
@@ -203,16 +203,15 @@ def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("claim_id", F.lit("2030-01-01").alias("at"), F.lit("proposed").alias("kind"), "agent_id", F.concat(F.lit("claim "), F.col("claim_id")).alias("claim"), kind.alias("claim_type"), F.col("claim_id").alias("subject"), F.array(cite).alias("evidence"))
 
 
-def _lake(spark: SparkSession, sf_dir: str) -> str:
-    """A lake of the events, sealed where a session ended; every sixth event was shown the claim of its number."""
+def _lake(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """A lake of the events and the seals of the sessions that ended; every sixth event was shown the claim of its number."""
     root = new_folder(spark, "lake")
     e = event_envelopes(spark, sf_dir)
     i = F.col("event_id").cast("long")
     shown = F.when(i % 6 == 0, F.array(F.struct(F.concat(F.lit("d"), i.cast("string")).alias("claim_id"), F.lit("x").alias("source"), F.lit("y").alias("observed_by"))))
-    rows = minimal(e).join(e.select("event_id", F.col("event_id").alias("message_id"), shown.alias("injected_context")), "event_id")
+    rows = minimal(e).withColumns({"message_id": F.col("event_id"), "injected_context": shown})
     write_batch(conformed(rows), f"{root}/sessions", 0)
-    C.seal(spark, root, C.marks_of(raw_segments(spark, f"{root}/sessions")))
-    return root
+    return root, stored(C.marks_of(raw_segments(spark, f"{root}/sessions")), "marks")
 
 
 @query(
@@ -228,7 +227,8 @@ SELECT claim_id, CASE WHEN doc_id % 7 <> 3 AND ok AND independent >= 1 THEN 'pro
 )
 def maintained_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims of the published snapshot after the whole chain: their evidence is held against what was captured."""
-    root = _lake(spark, sf_dir)
+    root, ended = _lake(spark, sf_dir)
+    C.seal(spark, root, ended)
     L.append(_cited(spark, sf_dir), root)
     X.run(spark, root, "2030-01-02")
     return X.opened(spark, f"{root}/snapshot", "claims").select("claim_id", "status", "independent_count", "visible_to_agents")
@@ -243,23 +243,20 @@ SELECT session_id, count(*) FILTER (exit_code IS NOT NULL) AS n_commands, count(
 )
 def maintained_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest table after two runs, the first of which knew only some seals; ``versions``: that of a session's first digest."""
-    root = _lake(spark, sf_dir)
-    every = stored(C.seals(spark, root).read(), "seals")
-    half = f"{root}-half"
-    write_batch(decoded(raw_segments(spark, f"{root}/sessions")), f"{half}/sessions", 0)
+    root, every = _lake(spark, sf_dir)
     first: dict[int, DataFrame] = {}
     for some in (every.where("startswith(session_id, '2')"), every):
-        C.seal(spark, half, some)
-        C.compact(spark, half)
-        merge = X.run_digests(spark, half)
-        first[merge.version] = X.digest_table(spark, half).read(merge.version).select("session_id")
+        C.seal(spark, root, some)
+        C.compact(spark, root)
+        merge = X.run_digests(spark, root)
+        first[merge.version] = X.digest_table(spark, root).read(merge.version).select("session_id")
     numbered = None
     for version, rows in first.items():
         rows = rows.withColumn("versions", F.lit(version).cast("long"))
         numbered = rows if numbered is None else numbered.unionByName(rows)
     begun = numbered.groupBy("session_id").agg(F.min("versions").alias("versions"))
     commands = F.coalesce(F.array_join(F.transform("commands", lambda c: c["command"]), ";"), F.lit("")).alias("commands")
-    return X.digest_table(spark, half).read().join(begun, "session_id").select("session_id", "n_commands", "n_failed", "n_files", commands, "versions")
+    return X.digest_table(spark, root).read().join(begun, "session_id").select("session_id", "n_commands", "n_failed", "n_files", commands, "versions")
 
 
 @query(

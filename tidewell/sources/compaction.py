@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.operators.sessions import EMPTY, parts
+from tidewell.operators.sessions import EMPTY, placed, within
 from tidewell.sources import records
 from tidewell.sources.keyed import Keyed, Merge
 from tidewell.sources.segments import decoded, raw_segments
@@ -71,11 +71,12 @@ def generations(sealed: DataFrame) -> DataFrame:
 
 
 def deduplicated(rows: DataFrame) -> DataFrame:
-    """The first event of each (date, fleet, session, content hash); events without content all stay."""
+    """The first event of each (date, fleet, session, content hash), with ``_in``: the rows that it stands for; events without content all stay."""
     empty = F.col("content_hash") == EMPTY
     own = F.when(empty, F.concat(F.lit("#"), "event_id")).otherwise(F.col("content_hash"))
-    nth = F.row_number().over(Window.partitionBy(*BY, "session_id", own).orderBy("event_id", "envelope_json"))
-    return rows.withColumn("_n", nth).where(empty | (F.col("_n") == 1)).drop("_n")
+    same = Window.partitionBy(*BY, "session_id", own)
+    numbered = rows.withColumn("_n", F.row_number().over(same.orderBy("event_id", "envelope_json"))).withColumn("_in", F.when(F.col("_n") == 1, F.count("*").over(same)).otherwise(0))
+    return numbered.where(empty | (F.col("_n") == 1)).drop("_n")
 
 
 def compact(spark: SparkSession, root: str, *, part_bytes: int = PART_BYTES) -> list[Compacted]:
@@ -104,8 +105,10 @@ def compact(spark: SparkSession, root: str, *, part_bytes: int = PART_BYTES) ->
         rows = rows.where(F.col("dt").isin(dates))
     ours = sealed.join(wanted, list(BY)).select(*BY, "session_id", "generation")
     rows = rows.join(ours, [*BY, "session_id"])
-    rows_in = rows.groupBy(*BY).agg(F.count("*").alias("rows_in"))
-    out = parts(deduplicated(rows).withColumn("record", F.col("envelope_json")), part_bytes, BY).drop("record", "bytes").withColumnRenamed("generation", "gen")
+    # Rows meet their seals and each other once; what is counted over them reads the narrow columns of the outcome.
+    kept = stored(within(deduplicated(rows).withColumn("record", F.col("envelope_json")), BY).drop("record"), "deduplicated")
+    rows_in = kept.groupBy(*BY).agg(F.sum("_in").alias("rows_in"))
+    out = placed(kept.drop("_in"), part_bytes, BY).drop("bytes").withColumnRenamed("generation", "gen")
     order = [*BY, "gen", "part"]
     dealt = out.repartition(*order).sortWithinPartitions(*order, "session_id", "event_id")
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*order).parquet(f"{root}/compacted")
