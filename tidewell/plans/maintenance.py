@@ -105,8 +105,11 @@ def flat(envelopes: DataFrame) -> DataFrame:
 
 
 def digests(envelopes: DataFrame) -> DataFrame:
-    """Full digest rows: the digest with its summary, commands, files, friction and all kinds of tokens."""
-    e = flat(envelopes)
+    """Full digest rows: the digest with its summary, commands, files, friction and all kinds of tokens.
+
+    Records are decoded once, and each part of the digest reads its columns of what that gave.
+    """
+    e = stored(flat(envelopes), "digest-events")
     tight = sessions.friction(e).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("rank", "kind", "subject", "count"))).alias("friction"))
     more = e.groupBy("session_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("output_tokens", "cache_read_tokens", "cache_write_tokens")])
     out = sessions.digest(e).join(sessions.summaries(e), "session_id", "left").join(more, "session_id", "left")
