@@ -114,3 +114,39 @@ def test_gate_walk_reads_packed_lists(spark, monkeypatch):
     assert got == want and {d for d, _ in got.values()} == {"promote", "contest", "quarantined", "review"}
     some = rng.sample(range(10**6), 500)
     assert X.listed(X.packed(np.array(some))).tolist() == sorted(some) and len(X.packed(np.arange(10**5))) < 10**4
+
+
+def test_groups_without_a_hit_have_no_least(spark):
+    a = spark.createDataFrame([(1, "x", ["p", "q"]), (2, "y", ["p", "q"])], "id int, g string, words array<string>")
+    b = spark.createDataFrame([(8, "x", ["p", "q"], "n8"), (9, "y", ["r"], "n9")], "id int, g string, words array<string>, name string")
+    assert [tuple(r) for r in S.least_containing(a, b, 0.6, ["g"]).collect()] == [("x", 1, "n8")]
+    assert S.least_containing(a.where("g = 'y'"), b, 0.6, ["g"]).count() == 0
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_copies_are_sent_by_few_and_sets_are_shuffled_once(spark, monkeypatch, order):
+    monkeypatch.setattr(X, "BLOCK", 40)
+    rng = random.Random(11)
+    texts = [[f"w{i % 7}", *(f"w{rng.randrange(14)}" for _ in range(6))] for i in range(30)]
+    rows = [(k, "xy"[k % 2] if k else "x", sorted(set(texts[k])), f"n{i:03d}") for i in range(400) for k in [rng.randrange(30) if i % 4 == 0 else 0]]
+    rows.sort(key=lambda r: r[3], reverse=order < 0)
+    rows.append((29, None, ["w0"], "n0"))
+    sets = spark.createDataFrame(rows, "id int, g string, words array<string>, name string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        sent = X.encoded(sets, ["g"], X.known_words(sets, 400), once=True).groupBy("g", "id").count().collect()
+        assert max(r["count"] for r in sent) <= (1 if order > 0 else 9)  # once a batch at most
+        some = sets.drop("name")
+        least, pairs = S.least_containing(some, sets, 0.6, ["g"]), S.containment_pairs(some, sets, 0.6, ["g"])
+        got, listed = {(r.g, r.a): r.least for r in least.collect()}, sorted((r.g, r.a, r.b) for r in pairs.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    near = sorted({(g, a, b, n) for a, g, x, _ in rows for b, h, y, n in rows if g and g == h and len({*x} & {*y}) / len(x) >= 0.6})
+    assert listed == sorted({(g, a, b) for g, a, b, _ in near})
+    want = {}
+    for g, a, b, n in near:
+        if a != b:
+            want[g, a] = min(n, want.get((g, a), n))
+    assert got == want and len(want) > 5
+    for made in (least, pairs):
+        assert not re.search(r"hashpartitioning\(g#\d+, id#\d+, \d+\)", made._jdf.queryExecution().executedPlan().toString())

@@ -41,14 +41,21 @@ def _hashes() -> Column:
     return F.transform("words", lambda w: F.xxhash64(w))
 
 
-def encoded(sets: DataFrame, by: list[str], known: np.ndarray, also: tuple[str, ...] = ()) -> DataFrame:
-    """``by``, id, the columns ``also`` and SET of the sets (id, words) that have words."""
+def encoded(sets: DataFrame, by: list[str], known: np.ndarray, *, once: bool = False) -> DataFrame:
+    """``by``, id, the ``name`` if there is one, and SET of the sets (id, words) that have words.
+
+    ``once``: rows of a group with one id hold the same set, and a task sends it again only
+    under a lesser name, so that copies aren't shuffled; those of several tasks are left to only().
+    """
     order = np.argsort(known, kind="stable")
     ascending, code = known[order], (order + SHARED).astype(np.int64)
-    fields = [sets.schema[c] for c in [*by, "id", *also]]
+    fields = [sets.schema[c] for c in [*by, "id", "name"] if c in sets.columns]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: dict[tuple, object] = {}
         for batch in batches:
+            if once:
+                batch = batch.take(pa.array(_fresh(batch, len(by) + 1, sent), pa.int64()))  # noqa: PLW2901
             lists = batch.column(len(fields))
             n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             h = lists.flatten().to_numpy(zero_copy_only=False)
@@ -68,14 +75,31 @@ def encoded(sets: DataFrame, by: list[str], known: np.ndarray, also: tuple[str,
     return have.select(*[f.name for f in fields], _hashes().alias("h")).mapInArrow(encode, StructType([*fields, *StructType.fromDDL(SET).fields]))
 
 
+def _fresh(batch: pa.RecordBatch, keys: int, sent: dict[tuple, object]) -> list[int]:
+    """Rows of a batch that tell more than ``sent``, which has the least name of each key so far: the best row of a key that is new or has a lesser name."""
+    names = batch.column("name").to_pylist() if "name" in batch.schema.names else [None] * len(batch)
+    rows: dict[tuple, int] = {}
+    for row, key in enumerate(zip(*(batch.column(i).to_pylist() for i in range(keys)), strict=True)):
+        if key not in sent or names[row] is not None and (sent[key] is None or names[row] < sent[key]):
+            sent[key], rows[key] = names[row], row
+    return sorted(rows.values())
+
+
+def only(block: pd.DataFrame) -> pd.DataFrame:
+    """One row of each id, the one of the least name if there are names."""
+    if "name" in block:
+        block = block.sort_values("name", kind="stable")
+    return block.drop_duplicates("id", ignore_index=True)
+
+
 def _binary(values: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
     """The values of each row, which stand together, as bytes."""
     ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))]) * values.itemsize
     return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def met(left: DataFrame, right: DataFrame, by: list[str], sizes: DataFrame, keep: Callable, need: Needs, reach: Callable) -> DataFrame:
-    """(by, a, b, inter, na, nb) of the encoded sets of a group that ``keep`` takes, given inter, na, nb and both ids.
+def met(left: DataFrame, right: DataFrame, by: list[str], sizes: DataFrame, keep: Callable, need: Needs, reach: Callable, *, once: bool = False) -> DataFrame:
+    """(by, a, b, inter, na, nb) of the encoded sets of a group that ``keep`` takes, given inter, na, nb and both ids; ``once``: each id counts once.
 
     A pair that counts has at least ``need(na)`` words in common, and nb is from one to the
     other of the two numbers that ``reach(na)`` gives.  Groups are cut into blocks
@@ -89,6 +113,8 @@ def met(left: DataFrame, right: DataFrame, by: list[str], sizes: DataFrame, keep
     schema = StructType(group).add("a", ids[0]).add("b", ids[1]).add("inter", "integer").add("na", "integer").add("nb", "integer")
 
     def compare(key: tuple, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if once:
+            one, two = only(one), only(two)
         got = _compare(one, two, keep, need, reach) if len(one) and len(two) else {}
         return _frame(key, by, got, schema)
 
@@ -100,7 +126,7 @@ def _frame(key: tuple, by: list[str], got: dict, schema: StructType) -> pd.DataF
 
 
 def met_least(left: DataFrame, right: DataFrame, by: list[str], sizes: DataFrame, keep: Callable, need: Needs, reach: Callable) -> DataFrame:
-    """(by, a, least): the least ``name`` of the right sets that met() would pair with a left one, whose pairs are not listed."""
+    """(by, a, least): the least ``name`` of the right sets that met() would pair with a left one, each id once, whose pairs are not listed."""
     a, b = dealt(left, right, by, sizes)
     keys = [*by, "block_a", "block_b"]
     schema = StructType([left.schema[c] for c in by]).add("a", left.schema["id"].dataType).add("least", right.schema["name"].dataType)
@@ -108,13 +134,14 @@ def met_least(left: DataFrame, right: DataFrame, by: list[str], sizes: DataFrame
     def compare(key: tuple, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         if not (len(one) and len(two)):
             return _frame(key, by, {}, schema)
-        two = two.sort_values("name", kind="stable", ignore_index=True)
+        one, two = only(one), only(two)
         rank = two["n"].argsort(kind="stable").to_numpy()  # place by name of the set at each place by size
         best = np.full(len(one), len(two))
         for i, _, _, hits, _ in _hits(one, two, keep, need, reach):
             best[i] = min(best[i], rank[hits].min())
         some = np.flatnonzero(best < len(two))
-        return _frame(key, by, {"a": one["id"].to_numpy()[some], "least": two["name"].to_numpy()[best[some]]}, schema)
+        got = {"a": one["id"].to_numpy()[some], "least": two["name"].to_numpy()[best[some]]} if len(some) else {}
+        return _frame(key, by, got, schema)
 
     out = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(compare, schema)
     return out.groupBy(*by, "a").agg(F.min("least").alias("least"))

@@ -23,7 +23,7 @@ def containment_pairs(left: DataFrame, right: DataFrame, threshold: float, by: l
     left, right: id, words and the columns ``by``.  Rows of a side and group with the same id
     hold the same set and count once.  Sets go to their tasks as codes, not as words.
     """
-    pairs = X.met(*_containment(left, right, threshold, by))
+    pairs = X.met(*_containment(left, right, threshold, by), once=True)
     return pairs.select(*by, "a", "b", (F.col("inter") / F.col("na")).alias("overlap"))
 
 
@@ -33,9 +33,11 @@ def _containment(left: DataFrame, right: DataFrame, threshold: float, by: list[s
     known = X.known_words(right, count)
 
     def once(x: DataFrame) -> DataFrame:
-        also = ("name",) if "name" in x.columns else ()
-        sets = X.encoded(x, by, known, also).groupBy(*by, "id").agg(*[F.first(c).alias(c) for c in ("n", "codes", "rare")], *[F.min(c).alias(c) for c in also])
-        return sets if numbers is None else sets.join(numbers, [*by, "id"]).drop("id").withColumnRenamed("number", "id")
+        sets = X.encoded(x, by, known, once=True)
+        if numbers is None:  # equal ids are in one block, which takes them once
+            return sets
+        sets = sets.groupBy(*by, "id").agg(*[F.first(c).alias(c) for c in ("n", "codes", "rare")])
+        return sets.join(numbers, [*by, "id"]).drop("id").withColumnRenamed("number", "id")
 
     share = lambda inter, na: inter / na >= threshold
     keep = (lambda inter, na, nb, a, b: share(inter, na) & (b != a)) if others else (lambda inter, na, nb, a, b: share(inter, na))
