@@ -156,3 +156,39 @@ def test_predictions_may_come_true_in_other_words(spark):
     got = M.resolutions(df, "2024-03")
     assert {r.claim_id: r.outcome for r in got.collect()} == {"h1": "correct", "h2": "incorrect", "h3": "incorrect"}
     assert {(r.kind, r.reason) for r in M.calibration_events(got, "t").collect()} == {("retired", "resolved: correct"), ("retired", "resolved: incorrect")}
+
+
+def test_subjects_of_a_few_claims_go_through_the_gate_together(spark, monkeypatch):
+    rng = random.Random(13)
+    rows = [(f"c{i:04}", f"s{rng.randrange(120)}", " ".join(rng.choices("abcde", k=rng.randrange(1, 5))), rng.choice(["outcome", "convention"]), "x", 1, rng.random() < 0.9, rng.randrange(3), None) for i in rng.sample(range(1000), 400)]
+    rows += [(f"d{i:04}", "large", " ".join(rng.choices("abcdef", k=3)), "outcome", "x", 1, True, 1, None) for i in range(60)]
+    c, p = rows[::2], rows[1::2]
+    nobody = spark.createDataFrame([], "agent_id string")
+    vectors = spark.createDataFrame([(i, i % 80, [rng.gauss(0, 1), rng.gauss(0, 1)]) for i in range(400)], "id int, g int, embedding array<double>")
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(conf, 7)
+    try:
+        made = G.sequential_gate(gated(spark, c), gated(spark, p), nobody)
+        got = {r.claim_id: (r.gate, r.conflicts_with) for r in made.collect()}
+        least = G.static_gate(gated(spark, c), gated(spark, p), nobody)
+        first = {r.claim_id: r.conflicts_with for r in least.collect()}
+        near_ = S.near_vectors(vectors.where("id < 200"), vectors.where("id >= 200"), 0.35, ["g"])
+        pairs = {(r.g, r.a, r.b) for r in near_.collect()}
+    finally:
+        spark.conf.unset(conf)
+    assert got == walked(c, p, set()) and sum(gate == "contradiction" for gate, _ in got.values()) > 50
+    clash = lambda x, y: x[1] == y[1] and x[2] != y[2] and len({*x[2].split()} & {*y[2].split()}) / len({*x[2].split()}) >= G.WORDS_CONFLICT
+    assert first == {x[0]: min((y[0] for y in p if clash(x, y)), default=None) for x in c}
+    v = [tuple(r) for r in vectors.collect()]
+    cos = lambda x, y: (x[0] * y[0] + x[1] * y[1]) / ((x[0] ** 2 + x[1] ** 2) * (y[0] ** 2 + y[1] ** 2)) ** 0.5
+    assert pairs == {(g, a, b) for a, g, x in v for b, h, y in v if a < 200 <= b and g == h and cos(x, y) >= 0.35} and len(pairs) > 50
+    for x in (made, least, near_):  # no call of Python a subject
+        assert "GroupsInPandas" not in x._jdf.queryExecution().executedPlan().toString()
+
+    def looked_at(*_):
+        raise AssertionError("subjects of one text are compared")
+
+    monkeypatch.setattr(G, "containing_lists", looked_at)
+    alone = [(*r[:1], r[0], *r[2:]) for r in rows[:100]]
+    got = {r.claim_id: (r.gate, r.conflicts_with) for r in G.sequential_gate(gated(spark, alone), gated(spark, p), nobody).collect()}
+    assert got == walked(alone, [], set())

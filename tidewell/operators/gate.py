@@ -7,6 +7,7 @@ provenance_ok and independent_count; trust may be null.
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.scores import COSINE_CONFLICT, WORDS_CONFLICT, confidence
 from tidewell.functions.text import normalized_claim, words
-from tidewell.operators.setjoin import listed
+from tidewell.operators.setjoin import listed, whole
 from tidewell.operators.similarity import containing_lists, containment_pairs, least_containing, near_vectors
 from tidewell.sources.shared import stored
 
@@ -106,20 +107,32 @@ def decision_events(decisions: DataFrame, at: str) -> DataFrame:
     return decisions.select(F.explode(made).alias("e")).select("e.*", F.lit(at).alias("at"))
 
 
-def _walk(subject: pd.DataFrame) -> pd.DataFrame:
-    """Contests of a subject: candidates go in order of id, and each meets the first live claim with a text that its own contradicts.
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Contests of subjects whose rows stand together."""
+    yield from map(_contests, whole(batches, ["subject"]))
 
-    Texts are numbers.  Live claims have places in the order in which they are met, and each
-    text knows the place of its first one; what a text contradicts is unpacked when it is asked for.
+
+def _contests(subjects: pd.DataFrame) -> pd.DataFrame:
+    """Contests of whole subjects: candidates of one go in order of id, and each meets the first live claim with a text that its own contradicts.
+
+    Texts are numbers, those of a subject from its ``base`` on.  Live claims have places in
+    the order in which they are met, and each text knows the place of its first one; what a
+    text contradicts is unpacked when it is asked for.
     """
-    kind = subject["kind"].to_numpy()
-    packed: dict[int, list[bytes]] = defaultdict(list)
+    kind, group = subjects["kind"].to_numpy(), subjects["group"].to_numpy()
+    claims = (kind == "candidate") | (kind == "promoted")
+    number = subjects["text"].to_numpy(np.int64)
+    size = np.zeros(group[-1] + 1, np.int64)
+    np.maximum.at(size, group[claims], number[claims] + 1)
+    base = (np.cumsum(size) - size)[group]
+    subjects = subjects.assign(text=number + base, base=base)
+    packed: dict[int, list[tuple[bytes, int]]] = defaultdict(list)
     others: dict[int, list[int]] = defaultdict(list)
-    for r in subject[kind == "list"].itertuples():
-        packed[r.text].append(r.found)
-    for r in subject[kind == "pair"].itertuples():
-        others[r.text].append(int(r.other))
-    claims = subject[(kind == "candidate") | (kind == "promoted")].sort_values(["kind", "claim_id", "text"], ascending=[False, True, True])
+    for r in subjects[kind == "list"].itertuples():
+        packed[r.text].append((r.found, r.base))
+    for r in subjects[kind == "pair"].itertuples():
+        others[r.text].append(int(r.other) + r.base)
+    claims = subjects[claims].sort_values(["group", "kind", "claim_id", "text"], ascending=[True, False, True, True])
     if not len(claims) or not (packed or others):
         return pd.DataFrame([], columns=["claim_id", "conflicts_with"])
     ids, texts, free = claims["claim_id"].to_numpy(), claims["text"].to_numpy(np.int64), claims["may"].to_numpy(bool)
@@ -138,7 +151,7 @@ def _walk(subject: pd.DataFrame) -> pd.DataFrame:
         own = texts[place]
         first = gone
         if waits and (own in packed or own in others):
-            near = np.concatenate([*(listed(x) for x in packed.get(own, ())), np.array(others.get(own, ()), np.int64)])
+            near = np.concatenate([*(listed(x) + first_text for x, first_text in packed.get(own, ())), np.array(others.get(own, ()), np.int64)])
             near = near[norm[near] != norm[own]]
             first = head[near].min() if len(near) else gone
         if first < gone:
@@ -173,6 +186,12 @@ def sequential_gate(candidates: DataFrame, promoted: DataFrame, quarantined: Dat
     others = p.union(c.where("may"))
     short = lambda x, kind: x.select("subject", F.lit(kind).alias("kind"), "claim_id", "norm", F.col("text").alias("id"), "may")
     claims = stored(short(c, "candidate").union(short(p, "promoted")), "gate-claims")
+    # Only candidates on a subject of several texts meet one that is not their own.
+    told = claims.groupBy("subject").agg(F.min("norm").alias("low"), F.max("norm").alias("high"), F.bool_or(F.col("kind") == "candidate").alias("asked"))
+    several = stored(told.where("low < high and asked").select("subject"), "gate-subjects")
+    if several.isEmpty():
+        return _decided(candidates, claims.where(F.lit(False)).select("claim_id", F.lit(None).cast("string").alias("conflicts_with")), quarantined)
+    claims = claims.join(several, "subject", "left_semi")
     # A subject's texts are numbered in their order, and so are texts without vectors.
     of = Window.partitionBy("subject").orderBy
     numbers = claims.select("subject", "norm", "id").distinct().select("subject", "id", (F.row_number().over(of("norm", "id")) - 1).alias("number"), (F.dense_rank().over(of("norm")) - 1).alias("norm"))
@@ -180,13 +199,13 @@ def sequential_gate(candidates: DataFrame, promoted: DataFrame, quarantined: Dat
     named = numbers.select("subject", "id", "number")
     row = {"kind": "string", "claim_id": "string", "text": "int", "norm": "int", "may": "boolean", "other": "int", "found": "binary"}
     full = lambda x: x.select("subject", *[(F.col(k) if k in x.columns else F.lit(None)).cast(v).alias(k) for k, v in row.items()])
-    lists = containing_lists(side(c), side(others), WORDS_CONFLICT, ["subject"], named)
+    lists = containing_lists(side(c), side(others), WORDS_CONFLICT, ["subject"], named, several)
     rows = full(claims.drop("norm").join(numbers, ["subject", "id"]).withColumnRenamed("number", "text")).union(full(lists.withColumnRenamed("a", "text").withColumn("kind", F.lit("list"))))
     if with_vectors:
         sent = lambda x: x.groupBy(F.col("text").alias("id"), "subject").agg(F.first("embedding").alias("embedding")).join(named, ["subject", "id"]).select("subject", F.col("number").alias("id"), "embedding")
         near = near_vectors(sent(c), sent(others), COSINE_CONFLICT, ["subject"])
         rows = rows.union(full(near.select("subject", F.lit("pair").alias("kind"), F.col("a").alias("text"), F.col("b").alias("other"))))
-    contests = rows.groupBy("subject").applyInPandas(_walk, "claim_id string, conflicts_with string")
+    contests = rows.repartition("subject").sortWithinPartitions("subject").mapInPandas(_walk, "claim_id string, conflicts_with string")
     return _decided(candidates, contests, quarantined)
 
 

@@ -86,10 +86,10 @@ def _fresh(batch: pa.RecordBatch, keys: int, sent: dict[tuple, object]) -> list[
 
 
 def only(block: pd.DataFrame) -> pd.DataFrame:
-    """One row of each id, the one of the least name if there are names."""
+    """One row of each group and id, the one of the least name if there are names."""
     if "name" in block:
         block = block.sort_values("name", kind="stable")
-    return block.drop_duplicates("id", ignore_index=True)
+    return block.drop_duplicates(["group", "id"], ignore_index=True)
 
 
 def _binary(values: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
@@ -106,34 +106,70 @@ def met(left: DataFrame, right: DataFrame, by: list[str], sizes: DataFrame, keep
     of about BLOCK sets by ``sizes`` (by, blocks_a, blocks_b), and each block of the one side
     meets each of the other in a task that holds these two.
     """
-    a, b = dealt(left, right, by, sizes)
-    keys = [*by, "block_a", "block_b"]
     group = [left.schema[c] for c in by]
     ids = [left.schema["id"].dataType, right.schema["id"].dataType]
     schema = StructType(group).add("a", ids[0]).add("b", ids[1]).add("inter", "integer").add("na", "integer").add("nb", "integer")
 
-    def compare(key: tuple, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+    def compare(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         if once:
             one, two = only(one), only(two)
-        got = _compare(one, two, keep, need, reach) if len(one) and len(two) else {}
-        return _frame(key, by, got, schema)
+        got = _compare(one, two, keep, need, reach)
+        return _frame(one, got.pop("at", []), by, got, schema)
 
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(compare, schema)
+    return together(*dealt(left, right, by, sizes), [*by, "block_a", "block_b"], compare, schema)
 
 
-def _frame(key: tuple, by: list[str], got: dict, schema: StructType) -> pd.DataFrame:
-    return pd.DataFrame({**{c: [key[i]] * len(got["a"]) for i, c in enumerate(by)}, **got}) if got else pd.DataFrame(columns=schema.names, dtype=object)
+def _frame(one: pd.DataFrame, at: np.ndarray | list[int], by: list[str], got: dict, schema: StructType) -> pd.DataFrame:
+    """What was found for the left sets at the places ``at``, with their groups."""
+    return pd.DataFrame({**{c: one[c].to_numpy()[at] for c in by}, **got}) if got else pd.DataFrame(columns=schema.names, dtype=object)
+
+
+def whole(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """Sorted batches as frames of whole groups, which ``group`` numbers: many of a few rows together, so that none costs a call of its own, and a large one as it is."""
+    held: list[pd.DataFrame] = []
+
+    def numbered() -> pd.DataFrame:
+        rows = pd.concat(held, ignore_index=True)
+        held.clear()
+        new = np.zeros(len(rows), bool)
+        for c in by:
+            values = rows[c].to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        return rows.assign(group=np.cumsum(new))
+
+    for batch in filter(len, batches):
+        other = np.zeros(len(batch), bool)
+        for c in by:
+            other |= batch[c].to_numpy() != batch[c].iloc[-1]
+        begin = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+        if begin:
+            held.append(batch[:begin])
+        if held and (begin or any(held[-1][c].iloc[-1] != batch[c].iloc[-1] for c in by)):
+            yield numbered()
+        held.append(batch[begin:])
+    if held:
+        yield numbered()
+
+
+def together(a: DataFrame, b: DataFrame, keys: list[str], compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: StructType) -> DataFrame:
+    """``compare`` of the rows of both sides in frames of whole groups by ``keys``, with ``group``; a frame that one side has no row of is passed over."""
+    sides = [a.columns, b.columns]
+    both = a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1)), allowMissingColumns=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in whole(batches, keys):
+            one, two = (rows.loc[rows["side"] == i, [*columns, "group"]].reset_index(drop=True) for i, columns in enumerate(sides))
+            if len(one) and len(two):
+                yield compare(one, two)
+
+    return both.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
 def met_least(left: DataFrame, right: DataFrame, by: list[str], sizes: DataFrame, keep: Callable, need: Needs, reach: Callable) -> DataFrame:
     """(by, a, least): the least ``name`` of the right sets that met() would pair with a left one, each id once, whose pairs are not listed."""
-    a, b = dealt(left, right, by, sizes)
-    keys = [*by, "block_a", "block_b"]
     schema = StructType([left.schema[c] for c in by]).add("a", left.schema["id"].dataType).add("least", right.schema["name"].dataType)
 
-    def compare(key: tuple, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        if not (len(one) and len(two)):
-            return _frame(key, by, {}, schema)
+    def compare(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         one, two = only(one), only(two)
         rank = two["n"].argsort(kind="stable").to_numpy()  # place by name of the set at each place by size
         best = np.full(len(one), len(two))
@@ -141,26 +177,24 @@ def met_least(left: DataFrame, right: DataFrame, by: list[str], sizes: DataFrame
             best[i] = min(best[i], rank[hits].min())
         some = np.flatnonzero(best < len(two))
         got = {"a": one["id"].to_numpy()[some], "least": two["name"].to_numpy()[best[some]]} if len(some) else {}
-        return _frame(key, by, got, schema)
+        return _frame(one, some, by, got, schema)
 
-    out = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(compare, schema)
+    out = together(*dealt(left, right, by, sizes), [*by, "block_a", "block_b"], compare, schema)
     return out.groupBy(*by, "a").agg(F.min("least").alias("least"))
 
 
 def met_lists(left: DataFrame, right: DataFrame, by: list[str], sizes: DataFrame, keep: Callable, need: Needs, reach: Callable) -> DataFrame:
     """(by, a, found): the right sets that met() would pair with a left one, of each block of theirs packed in one value; see listed().  Their ids are numbers from 0."""
-    a, b = dealt(left, right, by, sizes)
-    keys = [*by, "block_a", "block_b"]
     schema = StructType([left.schema[c] for c in by]).add("a", left.schema["id"].dataType).add("found", "binary")
 
-    def compare(key: tuple, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+    def compare(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         own: dict[int, list[np.ndarray]] = {}
-        for i, _, right, hits, _ in _hits(one, two, keep, need, reach) if len(one) and len(two) else ():
+        for i, _, right, hits, _ in _hits(one, two, keep, need, reach):
             own.setdefault(i, []).append(right.ids[hits])
         got = {"a": one["id"].to_numpy()[list(own)], "found": [packed(np.concatenate(x)) for x in own.values()]} if own else {}
-        return _frame(key, by, got, schema)
+        return _frame(one, list(own), by, got, schema)
 
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(compare, schema)
+    return together(*dealt(left, right, by, sizes), [*by, "block_a", "block_b"], compare, schema)
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -185,13 +219,15 @@ def dealt(left: DataFrame, right: DataFrame, by: list[str], sizes: DataFrame, *,
 
 
 class _Sets:
-    """The codes and hashes of a block's sets, each in one array, and where the sets begin."""
+    """The codes and hashes of a block's sets, each in one array, where the sets begin, and a number that sets the codes of their group apart."""
 
     def __init__(self, frame: pd.DataFrame) -> None:
         self.ids, self.n = frame["id"].to_numpy(), frame["n"].to_numpy(np.int64)
         self.codes, self.codes_at = self._joined(frame["codes"], "<u2")
         self.rare, self.rare_at = self._joined(frame["rare"], "<i8")
         self.shared = (self.rare & (SHARED - 1)).astype(np.uint16)
+        self.group = frame["group"].to_numpy(np.int64)
+        self.apart = (self.group * 40503).astype(np.uint16)
 
     @staticmethod
     def _joined(column: pd.Series, kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -201,7 +237,7 @@ class _Sets:
     def inverted(self, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of sets, counted from ``begin``, by code, and where each code's places begin."""
         spans = [(at[begin : end + 1], values) for at, values in ((self.rare_at, self.shared), (self.codes_at, self.codes))]
-        tokens = np.concatenate([values[at[0] : at[-1]] for at, values in spans])
+        tokens = np.concatenate([values[at[0] : at[-1]] + np.repeat(self.apart[begin:end], np.diff(at)) for at, values in spans])
         docs = np.concatenate([np.repeat(np.arange(end - begin, dtype=np.int32), np.diff(at)) for at, _ in spans])
         return docs[np.argsort(tokens, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(tokens, minlength=1 << 16))])
 
@@ -218,7 +254,7 @@ def _hits(one: pd.DataFrame, two: pd.DataFrame, keep: Callable, need: Needs, rea
     least k common ones.  These are counted over inverted indexes of the other block's sets,
     CHUNK of them in order of size so that sets out of reach are passed over; words without
     a code count as common if their shared codes are, so no pair is lost; what is left is
-    compared word by word.
+    compared word by word.  A block may hold several groups, whose codes are shifted apart.
     """
     left, right = _Sets(one), _Sets(two.sort_values("n", kind="stable"))
     needs = np.maximum(1, need(left.n))
@@ -231,11 +267,13 @@ def _hits(one: pd.DataFrame, two: pd.DataFrame, keep: Callable, need: Needs, rea
             k = 1 + int(needs[i]) // 6
             prefix = int(left.n[i] - needs[i]) + k
             own, rare = left.codes[left.codes_at[i] : left.codes_at[i + 1]], left.rare[left.rare_at[i] : left.rare_at[i + 1]]
-            first = np.concatenate([left.shared[left.rare_at[i] : left.rare_at[i + 1]], own])[:prefix].astype(np.int64)
+            first = np.concatenate([left.shared[left.rare_at[i] : left.rare_at[i + 1]], own])[:prefix] + left.apart[i]
+            first = first.astype(np.int64)
             found = [docs[s:e] for s, e in zip(starts[first].tolist(), starts[first + 1].tolist(), strict=True) if s < e]
             if not found:
                 continue
             hits = np.flatnonzero(np.bincount(np.concatenate(found), minlength=end - begin) >= k) + begin
+            hits = hits[right.group[hits] == left.group[i]]
             if not len(hits):
                 continue
             marked[own] = True
@@ -250,20 +288,20 @@ def _hits(one: pd.DataFrame, two: pd.DataFrame, keep: Callable, need: Needs, rea
 
 
 def _compare(one: pd.DataFrame, two: pd.DataFrame, keep: Callable, need: Needs, reach: Callable) -> dict[str, np.ndarray]:
-    """All pairs of two blocks that ``keep`` takes."""
-    out: dict[str, list] = {c: [] for c in ("a", "b", "inter", "na", "nb")}
+    """All pairs of two blocks that ``keep`` takes, with the left set's place."""
+    out: dict[str, list] = {c: [] for c in ("at", "a", "b", "inter", "na", "nb")}
     for i, left, right, hits, inter in _hits(one, two, keep, need, reach):
-        for c, v in (("a", np.repeat(left.ids[i : i + 1], len(hits))), ("b", right.ids[hits]), ("inter", inter), ("na", np.repeat(left.n[i], len(hits))), ("nb", right.n[hits])):
+        for c, v in (("at", np.full(len(hits), i)), ("a", np.repeat(left.ids[i : i + 1], len(hits))), ("b", right.ids[hits]), ("inter", inter), ("na", np.repeat(left.n[i], len(hits))), ("nb", right.n[hits])):
             out[c].append(v)
     return {c: np.concatenate(v) for c, v in out.items() if v}
 
 
-def blocks_of(left: DataFrame, right: DataFrame, by: list[str], block: int | None = None) -> tuple[DataFrame, int]:
-    """(by, blocks_a, blocks_b) of the groups that both sides have, and how many rows the right side has then."""
+def blocks_of(left: DataFrame, right: DataFrame, by: list[str], block: int | None = None, groups: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """(by, blocks_a, blocks_b) of the groups that both sides, and ``groups`` if there are any, have, and how many rows the right side has then."""
     count = lambda x, c: x.groupBy(*by).agg(F.count("*").alias(c)) if by else x.agg(F.count("*").alias(c))
     a, b = count(left, "sets_a"), count(right, "sets_b")
     both = (a.join(b, by) if by else a.crossJoin(b)).where("sets_a > 0 and sets_b > 0")
-    both = stored(both, "set-blocks")
+    both = stored(both if groups is None else both.join(groups, by, "left_semi"), "set-blocks")
     total, groups = both.agg(F.coalesce(F.sum("sets_b"), F.lit(0)), F.count("*")).first()
     parts = math.ceil(math.sqrt(TASKS / max(1, groups)))
     size = [F.greatest(F.ceil(F.col(f"sets_{s}") / (block or BLOCK)), F.least(F.lit(parts), F.ceil(F.col(f"sets_{s}") / LEAST))).cast("int").alias(f"blocks_{s}") for s in "ab"]

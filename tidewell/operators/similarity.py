@@ -27,9 +27,9 @@ def containment_pairs(left: DataFrame, right: DataFrame, threshold: float, by: l
     return pairs.select(*by, "a", "b", (F.col("inter") / F.col("na")).alias("overlap"))
 
 
-def _containment(left: DataFrame, right: DataFrame, threshold: float, by: list[str], numbers: DataFrame | None = None, *, others: bool = False) -> tuple:
-    """Both sides coded, and how they meet.  ``numbers`` (by, id, number) take the place of ids, ``others``: sets of one id do not meet, and of the right ones the least name stays."""
-    sizes, count = X.blocks_of(left, right, by)
+def _containment(left: DataFrame, right: DataFrame, threshold: float, by: list[str], numbers: DataFrame | None = None, groups: DataFrame | None = None, *, others: bool = False) -> tuple:
+    """Both sides coded, and how they meet, in ``groups`` (by) if there are any.  ``numbers`` (by, id, number) take the place of ids, ``others``: sets of one id do not meet, and of the right ones the least name stays."""
+    sizes, count = X.blocks_of(left, right, by, groups=groups)
     known = X.known_words(right, count)
 
     def once(x: DataFrame) -> DataFrame:
@@ -53,9 +53,9 @@ def least_containing(left: DataFrame, right: DataFrame, threshold: float, by: li
     return X.met_least(*_containment(left, right, threshold, by, others=True))
 
 
-def containing_lists(left: DataFrame, right: DataFrame, threshold: float, by: list[str], numbers: DataFrame) -> DataFrame:
-    """(by, a, found): containment_pairs() with ids as ``numbers`` (by, id, number) has them, the right ones packed for setjoin.listed()."""
-    return X.met_lists(*_containment(left, right, threshold, by, numbers))
+def containing_lists(left: DataFrame, right: DataFrame, threshold: float, by: list[str], numbers: DataFrame, groups: DataFrame) -> DataFrame:
+    """(by, a, found): containment_pairs() of different ids in ``groups`` (by), as ``numbers`` (by, id, number) has them, the right ones packed for setjoin.listed()."""
+    return X.met_lists(*_containment(left, right, threshold, by, numbers, groups, others=True))
 
 
 def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
@@ -123,19 +123,22 @@ def _vector_pairs(left: DataFrame, right: DataFrame, threshold: float, by: list[
     ids = [left.schema["id"].dataType, right.schema["id"].dataType]
     schema = StructType([left.schema[c] for c in by]).add("a", ids[0]).add("b", ids[1]).add("cosine", DoubleType())
 
-    def compare(key: tuple, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        got = _near(one, two, threshold, pivots) if len(one) and len(two) else []
-        if not got:
-            return pd.DataFrame(columns=schema.names, dtype=object)
-        x, y, cos = [np.concatenate(c) for c in zip(*got, strict=True)]
-        if same:
-            swap = x > y
-            keep = (x != y) & ~swap if key[len(keys)] == key[len(keys) + 1] else np.ones(len(x), bool)
-            x, y, cos = np.where(swap, y, x)[keep], np.where(swap, x, y)[keep], cos[keep]
-        return pd.DataFrame({**{c: [key[i]] * len(cos) for i, c in enumerate(by)}, "a": x, "b": y, "cosine": cos}) if len(cos) else pd.DataFrame(columns=schema.names, dtype=object)
-
-    at = [*keys, "block_a", "block_b"]
-    return a.groupBy(*at).cogroup(b.groupBy(*at)).applyInPandas(compare, schema)
+    def compare(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        found: dict[str, list] = {c: [] for c in (*by, "a", "b", "cosine")}
+        others = dict(iter(two.groupby("group", sort=False)))
+        for group, mine in one.groupby("group", sort=False):
+            if group not in others or not (got := _near(mine, others[group], threshold, pivots)):
+                continue
+            x, y, cos = [np.concatenate(c) for c in zip(*got, strict=True)]
+            if same:
+                swap = x > y
+                keep = (x != y) & ~swap if mine["block_a"].iloc[0] == mine["block_b"].iloc[0] else np.ones(len(x), bool)
+                x, y, cos = np.where(swap, y, x)[keep], np.where(swap, x, y)[keep], cos[keep]
+            for c, v in ((*((c, np.repeat(mine[c].to_numpy()[:1], len(cos))) for c in by), ("a", x), ("b", y), ("cosine", cos))):
+                found[c].append(v)
+        return pd.DataFrame({c: np.concatenate(v) for c, v in found.items()}) if found["a"] else pd.DataFrame(columns=schema.names, dtype=object)
+
+    return X.together(a, b, [*keys, "block_a", "block_b"], compare, schema)
 
 
 def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
