@@ -91,8 +91,9 @@ def friction(envelopes: DataFrame) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2]).withColumn("rank", rank.cast("long")).drop("o")
 
 
-def digest(envelopes: DataFrame) -> DataFrame:
-    """One row a session, from two aggregations by session and the friction of it."""
+def digest(envelopes: DataFrame, tight: DataFrame | None = None) -> DataFrame:
+    """One row a session, from two aggregations by session and the friction of it; ``tight``: friction() of the same envelopes, where that is there already."""
+    tight = friction(envelopes) if tight is None else tight
     key = F.col("event_id")
     run = commands(envelopes).groupBy("session_id").agg(
         F.count("*").alias("n_commands"),
@@ -111,10 +112,9 @@ def digest(envelopes: DataFrame) -> DataFrame:
         F.round(F.coalesce(F.sum("cost_usd"), F.lit(0.0)), 6).alias("cost_usd"),
         F.count_distinct("path").alias("n_files"),
     )
-    gone = abandoned(envelopes).select("session_id", F.lit(True).alias("gone"))
-    tight = friction(envelopes).groupBy("session_id").agg(F.count("*").alias("n_friction"))
+    tight = tight.groupBy("session_id").agg(F.count("*").alias("n_friction"), F.bool_or(F.col("kind") == "abandoned_after_failures").alias("gone"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    joined = main.join(run, "session_id", "left").join(gone, "session_id", "left").join(tight, "session_id", "left").join(dominant_cwd(envelopes).drop("n"), "session_id", "left")
+    joined = main.join(run, "session_id", "left").join(tight, "session_id", "left").join(dominant_cwd(envelopes).drop("n"), "session_id", "left")
     span = F.floor((F.unix_micros(instant(F.col("b.emitted_at"))) - F.unix_micros(instant(F.col("a.emitted_at")))) / 1000).cast("long")
     return joined.select(
         "session_id",
@@ -132,11 +132,13 @@ def digest(envelopes: DataFrame) -> DataFrame:
     )
 
 
-def summaries(envelopes: DataFrame) -> DataFrame:
-    """session_id and one line of at most SUMMARY characters: friction, files, commands, commits."""
-    first = friction(envelopes).where("rank = 1").select("session_id", "kind", "subject", "count")
+def summaries(envelopes: DataFrame, tight: DataFrame | None = None, digests: DataFrame | None = None) -> DataFrame:
+    """session_id and one line of at most SUMMARY characters: friction, files, commands, commits; ``tight`` and ``digests`` of the same envelopes, where they are there already."""
+    tight = friction(envelopes) if tight is None else tight
+    digests = digest(envelopes, tight) if digests is None else digests
+    first = tight.where("rank = 1").select("session_id", "kind", "subject", "count")
     short = files_touched(envelopes).select("session_id", F.size("files").alias("n_files"), F.slice(F.array_distinct(F.transform("files", short_path)), 1, 3).alias("shown"))
-    d = digest(envelopes).select("session_id", "turn_count", "n_commands", "n_failed", "n_commits").join(first, "session_id", "left").join(short, "session_id", "left")
+    d = digests.select("session_id", "turn_count", "n_commands", "n_failed", "n_commits").join(first, "session_id", "left").join(short, "session_id", "left")
     n = F.col("count").cast("string")
     tight = (
         F.when(F.col("kind") == "repeated_failure", F.concat(F.lit("`"), short_command(F.col("subject")), F.lit("` failed "), n, F.lit("x")))

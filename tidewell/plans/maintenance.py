@@ -108,11 +108,14 @@ def digests(envelopes: DataFrame) -> DataFrame:
     """Full digest rows: the digest with its summary, commands, files, friction and all kinds of tokens.
 
     Records are decoded once, and each part of the digest reads its columns of what that gave.
+    Friction is found once, and so are the digests that summaries tell of.
     """
     e = stored(flat(envelopes), "digest-events")
-    tight = sessions.friction(e).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("rank", "kind", "subject", "count"))).alias("friction"))
+    found = stored(sessions.friction(e), "digest-friction")
+    main = stored(sessions.digest(e, found), "digest-rows")
+    tight = found.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("rank", "kind", "subject", "count"))).alias("friction"))
     more = e.groupBy("session_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("output_tokens", "cache_read_tokens", "cache_write_tokens")])
-    out = sessions.digest(e).join(sessions.summaries(e), "session_id", "left").join(more, "session_id", "left")
+    out = main.join(sessions.summaries(e, found, main), "session_id", "left").join(more, "session_id", "left")
     for part in (sessions.command_lists(e), sessions.files_touched(e), tight):
         out = out.join(part, "session_id", "left")
     return out
@@ -143,12 +146,12 @@ def run_digests(spark: SparkSession, root: str) -> Merge:
 
 def run_gate(spark: SparkSession, root: str, at: str) -> tuple[dict[str, int], int]:
     """Demote claims of quarantined agents, decide on candidates, and append what was decided; decisions by kind and events appended."""
-    log = eventlog.read_events(spark, root)
+    log = stored(eventlog.read_events(spark, root), "claim-log")
     state = stored(claims.state(log), "claims")
     held = stored(claims.quarantined(log), "quarantined")
     fallen = claims.demoted(state, held)
     inputs = stored(evidence.gate_inputs(compaction.compacted_envelopes(spark, root)), "gate-inputs")
-    asked = evidence.checked(state.where("status = 'candidate'"), inputs).withColumn("trust", F.lit(None).cast("double"))
+    asked = stored(evidence.checked(state.where("status = 'candidate'"), inputs).drop("evidence").withColumn("trust", F.lit(None).cast("double")), "candidates")
     standing = state.where("status = 'promoted'").join(fallen.select("claim_id"), "claim_id", "left_anti")
     decided = stored(gate.sequential_gate(asked, standing, held), "decisions")
     told = gate.decision_events(decided, at).join(decided.where("decision = 'promote'").select("claim_id", "independent_count", "confidence"), "claim_id", "left")
@@ -169,7 +172,7 @@ def run(spark: SparkSession, root: str, at: str, *, reads_enabled: bool = True,
     compacted = compaction.compact(spark, root, part_bytes=part_bytes)
     digested = run_digests(spark, root)
     decisions, events = run_gate(spark, root, at)
-    state = claims.state(eventlog.read_events(spark, root))
+    state = claims.state(stored(eventlog.read_events(spark, root), "claim-log"))
     shown = state.withColumn("visible_to_agents", (F.col("status") == "promoted") & F.lit(reads_enabled))
     merged = claim_table(spark, root).upsert(shown)
     tables = {"claims": claim_table(spark, root).read(), "sessions": digest_table(spark, root).read()}
